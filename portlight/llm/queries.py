@@ -2,15 +2,21 @@
 
 from __future__ import annotations
 
-from . import chat, packing, warc
+from . import chat, decontaminate, licenses, packing, quality, spotsigs, urls, warc
 
 QUERIES = {
     "op1_warc_salvage": warc.op1_warc_salvage,
     "op2_preference_format": chat.op2_preference_format,
+    "op3_simhash_decontamination": decontaminate.op3_simhash_decontamination,
     "op4_nnls_packing": packing.op4_nnls_packing,
+    "op5_spotsigs": spotsigs.op5_spotsigs,
+    "op6_additive_quality": quality.op6_additive_quality,
+    "op7_sentence_licences": licenses.op7_sentence_licences,
+    "op9_url_trees": urls.op9_url_trees,
 }
 
 ORACLE_SQL = {
     "op1_warc_salvage": warc.OP1_SQL,
     "op2_preference_format": chat.OP2_SQL,
+    "op7_sentence_licences": licenses.ORACLE,
 }
