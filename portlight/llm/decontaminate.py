@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import table, words_of
+from .common import materialise, table, words_of
 
 SHINGLE = 5
 THRESHOLD = 0.8
@@ -30,7 +30,8 @@ def add_shingles(df: DataFrame, text: str) -> DataFrame:
 def simhash(shingles: str) -> Column:
     """64 bits: bit b is set when most shingles, each as often as it stands there, have it set."""
     votes = f"transform(sequence(0, 63), b -> aggregate({shingles}, 0, (v, h) -> v + 2 * cast(shiftright(h, b) & 1 as int) - 1))"
-    return F.expr(f"aggregate(transform({votes}, (v, b) -> if(v > 0, shiftleft(1L, b), 0L)), 0L, (x, y) -> x | y)")
+    whole = f"aggregate(transform({votes}, (v, b) -> if(v > 0, shiftleft(1L, b), 0L)), 0L, (x, y) -> x | y)"
+    return F.expr(f"if(size({shingles}) = 0, 0L, {whole})")
 
 
 def blocks(fingerprint: str, radius: int = RADIUS) -> Column:
@@ -66,20 +67,22 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHO
     as do null and empty texts; rows with a null doc_id or item_id are left out; repeated rows give one result; other
     columns are ignored.
     """
-    items = add_shingles(benchmark.filter("item_id is not null").select("item_id", "text"), "text").filter("size(sh_) > 0").select("item_id", F.col("sh_").alias("item_sh"), F.size("sh_").alias("len_"))
-    items = items.withColumn("item_fp", simhash("item_sh"))
+    items = add_shingles(benchmark.filter("item_id is not null").select("item_id", "text"), "text").select("item_id", F.col("sh_").alias("item_sh"), F.size("sh_").alias("len_"))
+    items = materialise(items.withColumn("item_fp", simhash("item_sh")), "decontaminate-items").filter("len_ > 0")
     places = items.select("len_", F.posexplode("item_sh").alias("off_", "s_")).distinct()
     n = places.count()
-    rows = add_shingles(docs.filter("doc_id is not null").select("doc_id", "text"), "text").filter("size(sh_) > 0")
-    seeds = rows.select("doc_id", F.size("sh_").alias("n_"), F.posexplode("sh_").alias("at_", "s_")).join(_small(places, n), "s_")
+    whole = docs.filter("doc_id is not null").select("doc_id", "text")
+    # the outer form: Spark adds no filter on the array, which it would compute anew for it
+    rows = add_shingles(whole, "text").select("doc_id", F.size("sh_").alias("n_"), F.posexplode_outer("sh_").alias("at_", "s_"))
+    seeds = rows.join(_small(places, n), "s_")
     start = F.greatest(F.lit(0), F.least(F.col("at_") - F.col("off_"), F.col("n_") - F.col("len_")))
     windows = seeds.select("doc_id", F.struct(start.alias("start"), F.col("len_").alias("len")).alias("w_"))
     windows = windows.groupBy("doc_id").agg(F.collect_set("w_").alias("windows_"))
-    cut = rows.join(windows, "doc_id").select("doc_id", "sh_", F.explode("windows_").alias("w_"))
+    cut = add_shingles(whole.join(windows, "doc_id"), "text").select("doc_id", "sh_", F.explode("windows_").alias("w_"))
     cut = cut.select("doc_id", F.col("w_.start").alias("first_word"), F.col("w_.len").alias("len_"), F.slice("sh_", F.col("w_.start") + 1, F.col("w_.len")).alias("win_sh"))
     cut = cut.withColumn("win_fp", simhash("win_sh"))
-    ours = cut.withColumn("win_blocks", blocks("win_fp", radius)).select("*", F.posexplode("win_blocks").alias("j_", "v_"))
-    theirs = items.withColumn("item_blocks", blocks("item_fp", radius)).select("*", F.posexplode("item_blocks").alias("j_", "v_"))
+    ours = cut.withColumn("win_blocks", blocks("win_fp", radius)).select("*", F.posexplode_outer("win_blocks").alias("j_", "v_"))
+    theirs = items.withColumn("item_blocks", blocks("item_fp", radius)).select("*", F.posexplode_outer("item_blocks").alias("j_", "v_"))
     pairs = ours.join(_small(theirs, n), ["len_", "j_", "v_"])
     first = F.expr("array_position(transform(win_blocks, (x, i) -> x = item_blocks[i]), true) - 1")  # one of the blocks in common
     pairs = pairs.filter((F.col("j_") == first) & (F.expr("bit_count(win_fp ^ item_fp)") <= radius))

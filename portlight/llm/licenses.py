@@ -121,8 +121,8 @@ def oracle_sql() -> str:
     return f"""
 with known(sentence, id) as (values {values}), rules(n, licence, ids) as (values {rules}),
 parts as (select doc_id, unnest(regexp_split_to_array(regexp_replace(coalesce(text, ''), '([.!?])\\s+', '\\1' || chr(10), 'g'), chr(10))) as s from documents),
-found as (select doc_id, id, row_number() over () as at from (select doc_id, trim(regexp_replace(lower(s), '[^a-z0-9]+', ' ', 'g')) as t from parts) x join known on t = sentence),
-perdoc as (select doc_id, list(id order by at) as ids from found group by doc_id),
+found as (select doc_id, id, row_number() over () as place from (select doc_id, trim(regexp_replace(lower(s), '[^a-z0-9]+', ' ', 'g')) as t from parts) x join known on t = sentence),
+perdoc as (select doc_id, list(id order by place) as ids from found group by doc_id),
 hits as (select doc_id, n, licence from perdoc, rules where len(rules.ids) = 1 and list_contains(perdoc.ids, rules.ids[1])),
 per as (select doc_id, string_agg(licence, ',' order by n) as licences from (select doc_id, licence, min(n) as n from hits group by doc_id, licence) y group by doc_id)
 select d.doc_id, coalesce(array_to_string(perdoc.ids, ','), '') as sentence_ids, coalesce(per.licences, '') as licences,
