@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, decontaminate, licenses, packing, quality, spotsigs, suffix_dedup, urls, warc
+from . import chat, decontaminate, licenses, ngram_join, packing, quality, spotsigs, suffix_dedup, urls, warc
 
 QUERIES = {
     "op1_warc_salvage": warc.op1_warc_salvage,
@@ -12,6 +12,7 @@ QUERIES = {
     "op5_spotsigs": spotsigs.op5_spotsigs,
     "op6_additive_quality": quality.op6_additive_quality,
     "op7_sentence_licences": licenses.op7_sentence_licences,
+    "op8_token_group_join": ngram_join.op8_token_group_join,
     "op9_url_trees": urls.op9_url_trees,
     "op10_suffix_dedup": suffix_dedup.op10_suffix_dedup,
 }
