@@ -1,0 +1 @@
+"""Carrier events as a stream."""
