@@ -64,7 +64,7 @@ CREDENTIALS = [
     ("PIN", r"(?i)\b(?:pin|code|atm|passcode|passphrase|key)\b(?:\s+[a-zA-Z]{2,}){0,2}\s*[:\-=\s]*\b([0-9]{4,6})\b"),
     ("PASSWORD", r"(?i)\b(?:password|pwd|pass)\b(?:\s+(?:is|for|are|was|code|word))?[\s:\-=.]*\s*([^\s]{4,32})"),
 ]
-#: Order numbers are business data: they are masked nowhere but in mask().
+#: Order numbers are business data: redact_text() leaves them, also where a later pattern would match.
 KEPT = {"PO_NUMBER"}
 
 
@@ -103,13 +103,14 @@ def redact_text(text: str | None, tokens: dict[str, str]) -> str | None:
     taken: list[tuple[int, int, str]] = []
     plain = unicodedata.normalize("NFKC", text)
     plain = plain if len(plain) == len(text) else text
-    for kind, pattern, group in [*[(k, p, 1) for k, p in CREDENTIALS], *[(k, p, 0) for k, p in [*SECRETS, *ENTITIES] if k not in KEPT]]:
+    for kind, pattern, group in [*[(k, p, 1) for k, p in CREDENTIALS], *[(k, p, 0) for k, p in [*SECRETS, *ENTITIES]]]:
         for m in re.finditer(pattern, plain, re.ASCII):
             a, b = m.span(group)
             if a < b and not any(a < y and x < b for x, y, _ in taken) and not re.search(r"\[[A-Z_]+_\d+\]", text[a:b]):
                 taken.append((a, b, kind))
     for a, b, kind in sorted(taken, reverse=True):  # from the right, so that places stay
-        text = text[:a] + token(kind, text[a:b]) + text[b:]
+        if kind not in KEPT:
+            text = text[:a] + token(kind, text[a:b]) + text[b:]
     return text
 
 

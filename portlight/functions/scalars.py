@@ -41,7 +41,7 @@ def priority(c) -> Column:
 
 
 def split_list(c) -> Column:
-    return F.filter(F.transform(F.split(col(c), ","), F.trim), lambda x: x != "")
+    return F.filter(F.transform(F.split(col(c), ","), lambda x: F.trim(x)), lambda x: x != "")
 
 
 def clamp(c, n: int) -> Column:
