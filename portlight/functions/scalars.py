@@ -187,3 +187,21 @@ def clock_time(c) -> Column:
 def differs(pairs) -> Column:
     """Whether any of the pairs (a, b) differs, null being a value."""
     return reduce(lambda x, y: x | y, [~col(a).eqNullSafe(col(b)) for a, b in pairs])
+
+
+def schedule_error(pattern, value) -> Column:
+    """What is wrong with a schedule, else null: CRON has five fields at least, REPEAT_INTERVAL a number and a unit,
+    REPEAT_AT three characters at least, ONE_TIME a date."""
+    kind, v = F.upper(F.trim(col(pattern))), F.trim(col(value))
+    empty = F.coalesce(v, F.lit("")) == ""
+    return (
+        F.when(kind.isNull() | ~kind.isin("CRON", "REPEAT_INTERVAL", "REPEAT_AT", "ONE_TIME"), "unknown pattern").when(empty, "no value")
+        .when((kind == "CRON") & (F.size(F.split(v, r"\s+")) < 5), "cron needs five fields").when((kind == "REPEAT_INTERVAL") & ~v.rlike(r"(?i)^\d+\s+(seconds?|minutes?|hours?|days?|weeks?|months?|years?)$"), "interval needs a number and a unit")
+        .when((kind == "REPEAT_AT") & (F.length(v) < 3), "time is too short").when((kind == "ONE_TIME") & timestamp(v).isNull(), "no date")
+    )
+
+
+def name_error(name) -> Column:
+    """What is wrong with a schedule's name, else null: letters, digits and spaces, 100 at most."""
+    t = F.trim(col(name))
+    return F.when(F.coalesce(t, F.lit("")) == "", "no name").when(F.length(t) > 100, "longer than 100").when(~t.rlike("^[A-Za-z0-9 ]+$"), "letters, digits and spaces only")

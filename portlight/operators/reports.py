@@ -122,3 +122,13 @@ def truncation_profile(rows: DataFrame, limits: dict[str, int]) -> DataFrame:
     long = rows.select(*limits).unpivot([], list(limits), "field", "value")
     limit = F.create_map(*[F.lit(x) for kv in limits.items() for x in kv])
     return long.filter(F.length("value") > limit[F.col("field")]).groupBy("field").agg(F.count("*").alias("n"), F.max(F.length("value")).cast("long").alias("longest"))
+
+
+def rollup_counters(rows: DataFrame, counters: list[str]) -> DataFrame:
+    """Sums of counters by entity, and of all."""
+    return rows.rollup("entity").agg(*[F.sum(c).alias(c) for c in counters]).select(F.coalesce("entity", F.lit("all")).alias("entity"), *counters)
+
+
+def page_estimate(total, page: int):
+    """Pages that so many rows take."""
+    return F.ceil(F.col(total) / F.lit(page)) if isinstance(total, str) else F.ceil(total / F.lit(page))

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import privacy, scalars as S
-from .operators import adhoc, classify, merge, relational, reports, runlogs
+from .operators import adhoc, classify, conversations, merge, relational, reports, runlogs
 from .operators.adhoc import Query
 from .plans.bridge import AS_OF_EVENTS, AS_OF_ORDERS, Tables, oracle_prefix
 
@@ -486,3 +486,15 @@ def carrier_documents_flattened(t):
     from .sources.documents import flatten_events, nested_events
 
     return flatten_events(nested_events(t.carrier_events)).groupBy("source_id").agg(F.count("*").cast("int").alias("parts")).select(F.col("source_id").alias("id"), "parts")
+
+
+@query("select conv_id, turn, true as same from (select distinct conv_id, turn, text from conversations)")
+def conversation_roundtrip(t):
+    rows, tokens = conversations.redact_conversations(t.conversations.select("conv_id", "turn", "text").distinct())
+    back = conversations.restore_conversations(rows, tokens)
+    return back.select("conv_id", "turn", F.col("restored").eqNullSafe(F.col("text")).alias("same"))
+
+
+@query("""select coalesce(entity, 'all') as entity, cast(sum(added) as bigint) as added, cast(sum(failed) as bigint) as failed from (select coalesce(nullif(provider, ''), 'none') as entity, ai_calls as added, case when status = 'failed' then 1 else 0 end as failed from execution_logs) group by rollup (entity)""")
+def sync_totals(t):
+    return reports.rollup_counters(t.execution_logs.select(F.coalesce(S.blank_null("provider"), F.lit("none")).alias("entity"), F.col("ai_calls").alias("added"), F.when(F.col("status") == "failed", 1).otherwise(0).alias("failed")), ["added", "failed"])

@@ -6,7 +6,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from portlight.functions import privacy
-from portlight.operators import adhoc, classify, merge, relational, runlogs
+from portlight.operators import adhoc, classify, conversations, merge, relational, runlogs
 from portlight.operators.adhoc import Query
 from portlight.plans.bridge import Tables
 from portlight.sources import documents, files
@@ -131,3 +131,21 @@ def test_stream_deduplicates(spark, tmp_path):
     run = streaming.run(stream, lambda batch, n: seen.extend(r.source_hash for r in batch.collect()), str(tmp_path / "ck"))
     run.awaitTermination(60)
     assert sorted(seen) == [f"h{k}" for k in range(6)]
+
+
+def test_conversation_tokens(spark):
+    rows = spark.createDataFrame([(1, 0, "I am a@x.org"), (1, 1, "a@x.org and b@x.org"), (2, 0, "b@x.org"), (1, 2, None), (1, 3, "nothing")], "conv_id long, turn long, text string")
+    out, tokens = conversations.redact_conversations(rows)
+    got = {(r.conv_id, r.turn): r.redacted for r in out.collect()}
+    assert got == {(1, 0): "I am [EMAIL_ADDRESS_1]", (1, 1): "[EMAIL_ADDRESS_1] and [EMAIL_ADDRESS_2]", (2, 0): "[EMAIL_ADDRESS_1]", (1, 2): None, (1, 3): "nothing"}
+    assert {(r.conv_id, r.turn): r.restored for r in conversations.restore_conversations(out, tokens).collect()} == {(r.conv_id, r.turn): r.text for r in rows.collect()}
+    one = spark.createDataFrame([("see [NAME_2] and [PHONE_9]", ["[EMAIL_ADDRESS_2]"])], "t string, k array<string>")
+    assert one.select(conversations.repair_tokens("t", "k").alias("v")).first().v == "see [EMAIL_ADDRESS_2] and [PHONE_9]"
+
+
+def test_messages_and_tools(spark):
+    rows = spark.createDataFrame([(1, '[{"id":"a","role":"User","content":" hi "},{"id":"b","role":"bot","content":"x"},{"id":"c","role":"assistant","content":""}]'), (2, "broken")], "k int, j string")
+    assert [(r.k, r.turn, r.role, r.text) for r in conversations.parse_messages(rows, "j").collect()] == [(1, 0, "user", "hi")]
+    calls = spark.createDataFrame([("1",), ("2",), ("3",), ("4",)], "call_id string")
+    outputs = spark.createDataFrame([("1", "error", "e"), ("1", "result", "r"), ("2", "error", "e"), ("3", "odd", None)], "call_id string, kind string, output string")
+    assert {r.call_id: (r.state, r.output) for r in conversations.tool_states(calls, outputs).collect()} == {"1": ("result", "r"), "2": ("error", "e"), "3": ("invalid", None), "4": ("call", None)}

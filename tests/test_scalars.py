@@ -68,3 +68,12 @@ def test_dates_and_text(spark):
 def test_delivery_bucket(spark, days, want):
     rows = spark.createDataFrame([(days,)], "d int").select(F.date_add(F.lit("1998-06-01").cast("date"), "d").alias("c"))
     assert rows.select(S.delivery_bucket("c", "1998-06-01").alias("v")).first().v == want
+
+
+@pytest.mark.parametrize(
+    "pattern, v, want",
+    [("cron", "* * * * *", None), ("CRON", "* *", "cron needs five fields"), ("REPEAT_INTERVAL", "30 minutes", None), ("REPEAT_INTERVAL", "often", "interval needs a number and a unit"), ("REPEAT_AT", "5", "time is too short"), ("ONE_TIME", "2024-01-01", None), ("ONE_TIME", "x", "no date"), ("X", "1", "unknown pattern"), ("CRON", None, "no value")],
+)
+def test_schedules(spark, pattern, v, want):
+    row = spark.createDataFrame([(pattern, v)], "p string, v string").select(S.schedule_error("p", "v").alias("e"), S.name_error("p").alias("n")).first()
+    assert row.e == want and (row.n is None) == ("_" not in pattern)
