@@ -57,14 +57,18 @@ def with_next(rows: DataFrame, key: str, columns: list[str], span: int = RANGE)
     """Adds next_<column> of the row with the next larger key, of the row with the smallest one after the last.
 
     Rows are ordered within ranges of `span` keys; the successor of a range's last row is the first row of the next range
-    that has one. So rows are shuffled once, and no task orders more than `span` keys together.
+    that has one. So rows are shuffled once, and no task orders more than `span` keys together. Only rows at a place in
+    their range where some range begins can be first rows: with keys without gaps that is one in `span`.
     """
     w = Window.partitionBy("range_").orderBy(key)
     value = F.struct(*columns)
-    inner = rows.withColumn("range_", F.floor(F.col(key) / span))
-    inner = inner.withColumn("next_", F.lead(value).over(w)).withColumn("before_", F.lag(key).over(w))
-    heads = inner.filter("before_ is null").select(F.col("range_").alias("next_range_"), value.alias("head_"))
-    heads = heads.join(next_ranges(rows.select(F.col(key).alias("key_")), span), "next_range_").select("range_", "head_")
+    ranged = rows.withColumn("range_", F.floor(F.col(key) / span))
+    inner = ranged.withColumn("next_", F.lead(value).over(w))
+    keys = rows.select(F.col(key).alias("key_"))
+    firsts = keys.groupBy(F.floor(F.col("key_") / span).alias("next_range_")).agg(F.min("key_").alias("first_"))
+    places = [r[0] for r in firsts.select(F.pmod("first_", F.lit(span))).distinct().collect()]  # at most span
+    heads = ranged.filter(F.pmod(F.col(key), F.lit(span)).isin(places)).join(firsts, F.col(key) == F.col("first_")).select("next_range_", value.alias("head_"))
+    heads = heads.join(next_ranges(keys, span), "next_range_").select("range_", "head_")
     out = inner.join(heads, "range_", "left").withColumn("next_", F.coalesce("next_", "head_"))
     return out.select(*rows.columns, *[F.col(f"next_.{c}").alias(f"next_{c}") for c in columns])
 
@@ -95,8 +99,9 @@ def fingerprint_report(docs: DataFrame) -> DataFrame:
     are ignored.
     """
     rows = docs.filter("doc_id is not null").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    rows = add_signatures(rows, "text", "sig")
-    rows = with_next(rows, "doc_id", ["text", "sig"])
+    rows = with_next(rows, "doc_id", ["text"])
+    for text, sig in (("text", "sig"), ("next_text", "next_sig")):  # after the shuffle, which then carries texts alone
+        rows = add_signatures(rows, text, sig)
     rows = rows.withColumn("edited", edited_text(F.col("text"), F.col("next_text")))
     rows = add_signatures(rows, "edited", "edited_sig")
     return rows.select(
