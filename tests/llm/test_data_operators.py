@@ -248,9 +248,9 @@ def crowd():
     return docs | {500: None, 501: "", 502: " \n", 503: "A b C d", 504: "a B c\td", 505: "\u00c4 b", 506: "\u00e4 b", 507: "x " * 5000}
 
 
-@pytest.mark.parametrize("rounds", [0, ngram_join.ROUNDS])
-def test_links_against_brute_force(spark, rounds, monkeypatch):
-    monkeypatch.setattr(ngram_join, "ROUNDS", rounds)
+@pytest.mark.parametrize("tokens", [500, ngram_join.GROUP_TOKENS])
+def test_links_against_brute_force(spark, tokens, monkeypatch):
+    monkeypatch.setattr(ngram_join, "GROUP_TOKENS", tokens)
     docs = crowd()
     frame = spark.createDataFrame([(k, v, 1) for k, v in docs.items()], "doc_id long, text string, rep int")
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.link_components(frame).collect()} == brute_join(docs)
