@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -46,6 +47,29 @@ def free_name(df: DataFrame, wanted: str) -> str:
     return wanted
 
 
+def maybe_in(df: DataFrame, column: str, keys: DataFrame, bits: int = 24, wanted: bool = True) -> DataFrame:
+    """Rows of df whose column may be among keys (one column), before a join that decides it; or, not wanted, the others,
+    which surely aren't.
+
+    A Bloom filter with one hash and 2 ** bits bits, of a fixed size whatever the number of keys, is broadcast as words of
+    64 bits; where most bits are set it keeps most rows, and is still right.
+    """
+    place = lambda c: F.pmod(F.xxhash64(F.col(c)), F.lit(1 << bits))
+    bit = lambda h: F.call_function("shiftleft", F.lit(1).cast("long"), h.bitwiseAND(63).cast("int"))
+    words = keys.toDF("key_").withColumn("h_", place("key_")).groupBy(F.shiftright("h_", 6).alias("word_")).agg(F.bit_or(bit(F.col("h_"))).alias("set_"))
+    kept = df.columns
+    rows = df.withColumn("h_", place(column)).withColumn("word_", F.shiftright("h_", 6)).join(F.broadcast(words), "word_", "left")
+    found = F.coalesce(F.col("set_"), F.lit(0)).bitwiseAND(bit(F.col("h_"))) != 0
+    return rows.filter(found if wanted else ~found).select(kept)
+
+
+def release(spark: SparkSession) -> None:
+    """Lets Spark drop shuffle files of plans that nothing refers to any more; else they wait for the driver's next full
+    garbage collection."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def words_of(text: Column) -> Column:
     """Lower-cased runs of letters and digits; null counts as empty."""
     return F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+"), lambda w: w != "")

@@ -2,22 +2,23 @@
 
 Documents with equal shingle sets are one node. Nodes are partitioned into groups of similar ones by content: a set is cut
 into so many segments, by hashes of its shingles, that two sets which link must agree in one segment at least, whole; who
-shares a segment meets in its bucket. There a pivot opens a group, and what links to it joins. A bucket whose documents end
-in several groups is not done: the token-group matrix holds each group's union of shingles, a document's overlap with a
-union bounds its overlap with any member, and only groups whose bound suffices are opened, member by member.
+shares a segment meets in its bucket, whose smallest node is a pivot that all others are compared with. Where that leaves a
+bucket in several components, its documents and those that buckets connect with them are partitioned into groups: the
+token-group matrix holds each group's union of shingles, a document's overlap with a union bounds its overlap with any
+member, and only groups whose bound suffices are opened, member by member.
 """
 
 from __future__ import annotations
 
-import gc
 from functools import lru_cache
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialise, mix64, shingle_hashes, table, word_hashes
+from .common import materialise, maybe_in, mix64, release, shingle_hashes, table, word_hashes
 from .suffix_dedup import digest
 
 WIDTH = 3
@@ -25,8 +26,10 @@ WIDTH = 3
 PERCENT = 90
 #: Sizes from one bound to the next share a number of segments; sizes near a bound use that of both sides.
 SIZE_STEP = 1.4
-#: Times that buckets in several groups get other pivots before their groups are opened.
-ROUNDS = 3
+#: Sets below this size link only when they differ in two shingles at most; they are named by what is left without one or two.
+SMALL = 29
+#: Shingles in a group of similar sets; two groups are opened together in one task.
+GROUP_TOKENS = 100_000
 
 
 def shingle_set(text: str | None, width: int = WIDTH) -> np.ndarray:
@@ -36,7 +39,7 @@ def shingle_set(text: str | None, width: int = WIDTH) -> np.ndarray:
 
 @lru_cache
 def size_bounds() -> list[int]:
-    out = [1]
+    out = [1, SMALL]
     while out[-1] < 1 << 40:
         out.append(max(out[-1] + 1, int(out[-1] * SIZE_STEP)))
     return out
@@ -60,6 +63,9 @@ def segment_keys(tokens: np.ndarray, percent: int = PERCENT) -> np.ndarray:
     out = []
     for size_class in size_classes(len(tokens), percent):
         n = segments(percent, size_class)
+        if size_class == 0 and n <= 3:
+            out.append(_left_over(tokens, percent))
+            continue
         cut = lambda salt, name: _cut(tokens, n, np.uint64(salt), name)
         keys, empty = cut(1, np.uint64(size_class))
         out.append(keys)
@@ -69,6 +75,21 @@ def segment_keys(tokens: np.ndarray, percent: int = PERCENT) -> np.ndarray:
     return np.unique(np.concatenate(out)) if out else np.zeros(0, dtype=np.uint64)
 
 
+def _left_over(tokens: np.ndarray, percent: int) -> np.ndarray:
+    """Hashes of a small set whole, without each shingle and without each two, as far as a set that links may lack them."""
+    n = len(tokens)
+    with np.errstate(over="ignore"):
+        value = mix64(tokens ^ np.uint64(0xA5A5A5A5A5A5A5A5))
+        total = value.sum(dtype=np.uint64)
+        sums = [np.array([total])]
+        if percent * n <= 100 * (n - 1):
+            sums.append(total - value)
+        if percent * n <= 100 * (n - 2):
+            i, j = np.triu_indices(n, 1)
+            sums.append(total - value[i] - value[j])
+        return mix64(mix64(np.concatenate(sums)) + np.uint64(77))
+
+
 def _cut(tokens: np.ndarray, n: int, salt: np.uint64, name: np.uint64) -> tuple[np.ndarray, np.ndarray]:
     with np.errstate(over="ignore"):
         place = (mix64(tokens + salt) % np.uint64(n)).astype(np.int64)
@@ -80,28 +101,29 @@ def _cut(tokens: np.ndarray, n: int, salt: np.uint64, name: np.uint64) -> tuple[
     return keys, np.setdiff1d(np.arange(n), place[firsts])
 
 
-_SETS = "doc_id long, n long, d1 long, d2 long, keys array<long>"
+_SETS = "doc_id long, n long, node long, check long, keys array<long>"
 
 
-def describe(docs: DataFrame, width: int, percent: int) -> DataFrame:
-    """_SETS of each document: size and digest of its shingle set, and its segment keys."""
+def describe(docs: DataFrame, width: int, percent: int, seed: int) -> DataFrame:
+    """_SETS of each document: size and digest of its shingle set (node, and check, which tells a collision of nodes), and
+    its segment keys."""
 
     def run(batches):
         for batch in batches:
             ids, texts = batch.column(0).cast(pa.int64()), batch.column(1).to_pylist()
-            n, d1, d2, keys = [], [], [], []
+            n, node, check, keys = [], [], [], []
             for text in texts:
                 tokens = shingle_set(text, width)
-                a, b = digest(tokens.tobytes())
-                n.append(len(tokens)), d1.append(a), d2.append(b)
+                a, b = digest(tokens.tobytes(), seed)
+                n.append(len(tokens)), node.append(a), check.append(b)
                 keys.append(segment_keys(tokens, percent).view(np.int64) if len(tokens) else np.zeros(0, dtype=np.int64))
-            yield pa.RecordBatch.from_arrays([ids, pa.array(n, pa.int64()), pa.array(d1, pa.int64()), pa.array(d2, pa.int64()), pa.array(keys, pa.list_(pa.int64()))], names=["doc_id", "n", "d1", "d2", "keys"])
+            yield pa.RecordBatch.from_arrays([ids, pa.array(n, pa.int64()), pa.array(node, pa.int64()), pa.array(check, pa.int64()), pa.array(keys, pa.list_(pa.int64()))], names=["doc_id", "n", "node", "check", "keys"])
 
     return docs.select("doc_id", "text").mapInArrow(run, _SETS)
 
 
 def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Of pairs (a, b) those whose sets (doc_id, tokens) link."""
+    """Of pairs (a, b) those whose sets (node, tokens) link."""
 
     def run(batches):
         for batch in batches:
@@ -115,36 +137,27 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
             mask = pa.array(keep, pa.bool_())
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(mask), batch.column(1).filter(mask)], names=["a", "b"])
 
-    of = lambda side: sets.select(F.col("doc_id").alias(side), F.col("tokens").alias(f"tokens_{side}"))
+    of = lambda side: sets.select(F.col("node").alias(side), F.col("tokens").alias(f"tokens_{side}"))
     return pairs.join(of("a"), "a").join(of("b"), "b").select("a", "b", "tokens_a", "tokens_b").mapInArrow(run, "a long, b long")
 
 
-def release(spark) -> None:
-    """Lets Spark drop shuffle files of plans that nothing refers to any more; else they wait for the driver's next full
-    garbage collection."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-
-
 def components(edges: DataFrame) -> DataFrame:
-    """doc_id, component (smallest doc_id) of every end of edges (a, b), by alternating large and small stars."""
-    spark = edges.sparkSession
+    """node, component (the smallest node) of every end of edges (a, b), by alternating large and small stars."""
     now = materialise(edges.select(F.least("a", "b").alias("v"), F.greatest("a", "b").alias("u")).filter("u <> v").distinct(), "components")
-    while True:
+    mark = lambda df: tuple(df.agg(F.count("*"), F.sum(F.xxhash64("v", "u").cast("decimal(38,0)"))).first())
+    before = mark(now)
+    while before[0]:
         both = now.union(now.select("u", "v"))  # v, u: each edge from both ends
         least = both.groupBy("v").agg(F.min("u").alias("m")).select("v", F.least("m", "v").alias("m"))
-        large = both.filter("u > v").join(least, "v").select(F.col("u"), F.col("m").alias("v")).filter("u <> v").distinct()
-        large = materialise(large.select("v", "u"), "components")
+        large = both.filter("u > v").join(least, "v").select("m", "u").filter("u <> m").distinct().toDF("v", "u")
+        large = materialise(large, "components")
         low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").select(F.explode(F.array("u", "v")).alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
-        small = materialise(small.select("v", "u"), "components")
-        changed = small.exceptAll(now).limit(1).count() or now.exceptAll(small).limit(1).count()
-        now = small
-        release(spark)
-        if not changed:
+        small = large.join(low, "u").select("m", F.explode(F.array("u", "v")).alias("u")).filter("u <> m").distinct().toDF("v", "u")
+        now = materialise(small, "components")
+        if (after := mark(now)) == before:
             break
-    ends = now.select(F.col("u").alias("doc_id"), F.col("v").alias("component"))
-    return ends.union(now.select("v", "v").distinct())
+        before = after
+    return now.select(F.col("u").alias("node"), F.col("v").alias("component")).union(now.select("v", "v").distinct())
 
 
 def link_components(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
@@ -152,91 +165,138 @@ def link_components(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT)
     reach, the document's own without links.
 
     Words are cut at ASCII white space, A-Z lower-cased. Null and empty texts have no shingles and link with nothing, also
-    not with each other. Rows without doc_id stay, without a component, and link with nothing. Rows that repeat a doc_id
-    are one node as far as their texts are equal, and reach each other's links through that id. Other columns are ignored.
+    not with each other. Rows without doc_id stay, without a component, and link with nothing. Each row counts by its own
+    text, also where a doc_id repeats. Other columns are ignored.
     """
-    spark = docs.sparkSession
-    described = materialise(describe(docs, width, percent), "ngram-sets")
-    whole = described.filter("n > 0 and doc_id is not null")
-    classes = materialise(whole.groupBy("d1", "d2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.min_by("keys", "doc_id").alias("keys")), "ngram-classes")
-    rows = classes.select("rep", F.explode("keys").alias("key"))
-    buckets = rows.groupBy("key").agg(F.min("rep").alias("a"), F.max("rep").alias("b"), F.count("*").alias("size")).filter("size > 1 and a <> b")
+    spark, seed = docs.sparkSession, 0
+    while True:
+        described = materialise(describe(docs, width, percent, seed), "ngram-sets")
+        whole = described.filter("n > 0 and doc_id is not null")
+        classes = whole.groupBy("node").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.max("n").alias("n"), F.min("check").alias("x"), F.max("check").alias("y"))
+        classes = materialise(classes, "ngram-classes")
+        if classes.filter("x <> y").isEmpty():
+            break
+        seed += 1  # two different sets with one digest: all are named anew
+    links = _all_links(docs, whole, classes, width, percent)
+    reached = components(links)
+    named = classes.select("node", "rep").join(reached, "node", "left").select("node", "rep", F.coalesce("component", "node").alias("component"))
+    least = named.groupBy("component").agg(F.min("rep").alias("component_id"))
+    found = materialise(named.join(least, "component").select("node", "component_id"), "ngram-found")
+    out = described.select("doc_id", "n", F.when((F.col("n") > 0) & F.col("doc_id").isNotNull(), F.col("node")).alias("node")).join(found, "node", "left")
+    return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
+
+
+def _one_each(whole: DataFrame, classes: DataFrame) -> DataFrame:
+    """node, keys, once for each node: of copies the one named rep. Only rows of nodes with copies are shuffled, by their
+    own doc_id, so that copies in any number spread."""
+    copied = classes.filter("copies > 1").select("rep", F.col("node").alias("node_"))
+    alone = maybe_in(whole, "node", copied.select("node_"), wanted=False)
+    first = maybe_in(whole, "node", copied.select("node_")).join(classes.select("rep", F.col("node").alias("node_")), (F.col("doc_id") == F.col("rep")) & (F.col("node") == F.col("node_")), "left_semi")
+    return alone.select("node", "keys").unionByName(first.dropDuplicates(["doc_id", "node"]).select("node", "keys"))
+
+
+def _crowds(whole: DataFrame, classes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(pairs, members): pairs (a, b) of nodes in buckets of two, and key, node, pivot of the buckets of more."""
+    rows = _one_each(whole, classes).select("node", F.explode("keys").alias("key"))
+    buckets = rows.groupBy("key").agg(F.min("node").alias("a"), F.max("node").alias("b"), F.count("*").alias("rows")).filter("a <> b")
     buckets = materialise(buckets, "ngram-buckets")
+    release(whole.sparkSession)
+    plain = buckets.filter("rows = 2").select("a", "b")
+    more = buckets.filter("rows > 2").select("key", F.col("a").alias("pivot"))
+    members = maybe_in(rows, "key", more.select("key")).join(more, "key").select("key", "node", "pivot").distinct()
+    return plain, materialise(members, "ngram-members")
+
+
+def _all_links(docs: DataFrame, whole: DataFrame, classes: DataFrame, width: int, percent: int) -> DataFrame:
+    """Enough links (a, b) between nodes that the ends of every link are connected."""
+    spark = docs.sparkSession
+    plain, members = _crowds(whole, classes)
+    tested = materialise(plain.union(members.filter("node <> pivot").select("pivot", "node")).distinct(), "ngram-pairs")
     release(spark)
-    crowded = buckets.filter("size > 2").select("key", F.col("a").alias("pivot"))
-    members = materialise(rows.join(crowded, "key").select("key", "rep", "pivot"), "ngram-members")
-    pairs = buckets.filter("size = 2").select("a", "b").union(members.filter("rep <> pivot").select("pivot", "rep")).distinct()
-    tested = materialise(pairs, "ngram-pairs")
-    release(spark)
-    ends = tested.select("a").union(tested.select("b")).union(members.select("rep")).distinct()
-    sets = materialise(_sets_of(docs, ends, width), "ngram-tokens")
+    ends = tested.select("a").union(tested.select("b")).union(members.select("node")).distinct()
+    sets = materialise(_sets_of(docs, classes.join(ends.toDF("node"), "node", "left_semi").select("rep", "node", "n"), width), "ngram-tokens")
     release(spark)
     links = materialise(verified(tested, sets, percent), "ngram-links")
-    for turn in range(ROUNDS):
-        open_ = _open_buckets(members, links, f"ngram-open-{turn}")
-        if open_.isEmpty():
-            break
-        # another pivot for each open bucket: a member of another group meets it unless the two have met
-        chosen = open_.groupBy("key").agg(F.min(F.struct(F.xxhash64("rep", F.lit(turn)).alias("h"), "rep", "component")).alias("p"))
-        new = open_.join(chosen, "key").filter("component <> p.component").select(F.least("rep", "p.rep").alias("a"), F.greatest("rep", "p.rep").alias("b")).distinct()
-        new = materialise(new.join(tested, ["a", "b"], "left_anti"), "ngram-pairs")
-        tested = tested.union(new)
-        links = links.union(materialise(verified(new, sets, percent), "ngram-links"))
-    else:
-        open_ = _open_buckets(members, links, "ngram-open-last")
-        if not open_.isEmpty():
-            links = links.union(materialise(_open_groups(open_, tested, sets, percent), "ngram-links"))
-    reached = components(links)
-    found = whole.select("doc_id", "d1", "d2").join(classes.select("d1", "d2", "rep"), ["d1", "d2"])
-    found = found.join(reached.withColumnRenamed("doc_id", "rep"), "rep", "left").select("doc_id", F.coalesce("component", "rep").alias("component"))
-    found = found.groupBy("doc_id").agg(F.min("component").alias("component_id"))
-    out = described.select("doc_id", F.col("n").alias("n_shingles")).join(found, "doc_id", "left")
-    return out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+    release(spark)
+    open_ = _open_buckets(members, links)
+    if not open_.isEmpty():
+        links = links.union(materialise(_open_groups(open_, sets, percent), "ngram-links"))
+    return links
 
 
-def _sets_of(docs: DataFrame, ids: DataFrame, width: int) -> DataFrame:
-    """doc_id, tokens (sorted 64-bit shingle hashes) of the documents in ids (one column)."""
+def _sets_of(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
+    """node, tokens (sorted 64-bit shingle hashes) of wanted (rep, node), from the documents named rep."""
 
     def run(batches):
+        seen = set()  # rows that repeat a doc_id stand in one task, one after the other
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array([shingle_set(t, width).tobytes() for t in batch.column(1).to_pylist()], pa.binary())], names=["doc_id", "tokens"])
+            nodes, tokens = [], []
+            for node, n, text in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+                data = shingle_set(text, width)
+                if node not in seen and len(data) == n:
+                    nodes.append(node), tokens.append(data.tobytes())
+                    seen.add(node)
+            yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(tokens, pa.binary())], names=["node", "tokens"])
 
-    rows = docs.select("doc_id", "text").join(ids.toDF("doc_id"), "doc_id", "left_semi")
-    return rows.mapInArrow(run, "doc_id long, tokens binary").dropDuplicates(["doc_id"])
+    rows = maybe_in(docs.select("doc_id", "text"), "doc_id", wanted.select("rep"))
+    return rows.join(wanted.withColumnRenamed("rep", "doc_id"), "doc_id").select("node", "n", "text").mapInArrow(run, "node long, tokens binary")
 
 
-def _open_buckets(members: DataFrame, links: DataFrame, label: str) -> DataFrame:
-    """key, rep, component of the buckets whose members are in several groups so far."""
-    grouped = members.select("key", "rep").join(components(links).withColumnRenamed("doc_id", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+def _open_buckets(members: DataFrame, links: DataFrame) -> DataFrame:
+    """key, node, component of the buckets whose members aren't connected by links so far."""
+    grouped = members.select("key", "node").join(components(links), "node", "left").withColumn("component", F.coalesce("component", "node"))
     several = grouped.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x <> y").select("key")
-    return materialise(grouped.join(several, "key").select("key", "rep", "component"), label)
+    return materialise(grouped.join(several, "key").select("key", "node", "component"), "ngram-open")
 
 
-def _open_groups(open_: DataFrame, tested: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Links between members of different groups of a bucket. The token-group matrix bounds them first."""
+def _open_groups(open_: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) between nodes of open buckets in different components, one for each two components at least.
 
-    def explode(batches):
-        for batch in batches:
-            ids, tokens = [], []
-            for doc_id, data in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                x = np.frombuffer(data.as_buffer(), dtype=np.int64)
-                ids.append(np.full(len(x), doc_id))
-                tokens.append(x)
-            if ids:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(ids)), pa.array(np.concatenate(tokens))], names=["rep", "token"])
-
-    nodes = open_.select("rep", "component").distinct()
-    held = sets.join(nodes.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi").select("doc_id", "tokens").mapInArrow(explode, "rep long, token long")
-    matrix = held.join(nodes, "rep").select(F.col("component").alias("grp"), "token").distinct()
-    near = open_.select("key", F.col("component").alias("grp")).distinct()
-    asked = open_.join(near, "key").filter("component <> grp").select("rep", "grp").distinct()
-    overlap = held.join(asked, "rep").join(matrix, ["grp", "token"]).groupBy("rep", "grp").agg(F.count("*").alias("bound"))
-    size = held.groupBy("rep").agg(F.count("*").alias("n"))
-    # with the whole union of a group it shares `bound`; a member that links shares percent of its own size at least
-    worth = overlap.join(size, "rep").filter(F.col("bound") * 100 >= F.col("n") * percent).select("rep", "grp")
-    theirs = open_.select("key", F.col("rep").alias("other"), F.col("component").alias("grp"))
-    pairs = open_.select("key", "rep").join(worth, "rep").join(theirs, ["key", "grp"]).select(F.least("rep", "other").alias("a"), F.greatest("rep", "other").alias("b")).distinct()
-    return verified(pairs.join(tested, ["a", "b"], "left_anti"), sets, percent)
+    Nodes that buckets connect are similar. They are dealt to groups of GROUP_TOKENS shingles, and groups that buckets
+    connect meet in pairs, each pair in a task of its own.
+    """
+    pivot = open_.groupBy("key").agg(F.min("node").alias("pivot"))
+    crowd = components(open_.join(pivot, "key").select(F.col("node").alias("a"), F.col("pivot").alias("b"))).withColumnRenamed("component", "crowd")
+    sized = sets.select("node", (F.octet_length("tokens") / 8).cast("long").alias("n"))
+    before = F.sum("n").over(Window.partitionBy("crowd").orderBy("node").rowsBetween(Window.unboundedPreceding, -1))
+    nodes = open_.select("node", "component").distinct().join(crowd, "node").join(sized, "node")
+    nodes = materialise(nodes.withColumn("grp", F.floor(F.coalesce(before, F.lit(0)) / GROUP_TOKENS).cast("int")).select("node", "component", "crowd", "grp"), "ngram-groups")
+    last = nodes.groupBy("crowd").agg(F.max("grp").alias("last"))
+    met = nodes.join(last, "crowd").withColumn("other", F.explode(F.sequence(F.lit(0), "last")))
+    met = met.select("crowd", F.least("grp", "other").alias("lo"), F.greatest("grp", "other").alias("hi"), "grp", "node", "component")
+    rows = met.join(sets, "node")
+    return rows.groupBy("crowd", "lo", "hi").applyInPandas(lambda frame: open_pair(frame, percent), "a long, b long")
+
+
+def open_pair(frame: pd.DataFrame, percent: int) -> pd.DataFrame:
+    """Links between two groups (lo, hi) of nodes, or within one. The token-group matrix, here the columns of these groups,
+    bounds what a node can share with any member of the other one; only nodes whose bound suffices are compared with its
+    members."""
+    frame = frame.sort_values("node")
+    tokens = [np.frombuffer(x, dtype=np.uint64) for x in frame["tokens"]]
+    size = np.array([len(x) for x in tokens])
+    _, place = np.unique(np.concatenate(tokens), return_inverse=True)
+    starts = np.cumsum(size) - size
+    grp, component, node = frame["grp"].to_numpy(), frame["component"].to_numpy(), frame["node"].to_numpy()
+    ours, theirs = np.flatnonzero(grp == frame["lo"].iloc[0]), np.flatnonzero(grp == frame["hi"].iloc[0])
+    out: dict[tuple, tuple] = {}
+    if len(ours) and len(theirs):
+        rows = np.concatenate([place[starts[j] : starts[j] + size[j]] for j in theirs])
+        firsts = np.cumsum(size[theirs]) - size[theirs]
+        union = np.zeros(int(place.max()) + 1, dtype=bool)
+        union[rows] = True
+        mine = np.zeros(len(union), dtype=np.int32)
+        for i in ours:
+            own = place[starts[i] : starts[i] + size[i]]
+            if 100 * int(union[own].sum()) < percent * size[i] or (component[theirs] == component[i]).all():
+                continue
+            mine[own] = 1
+            shared = np.add.reduceat(mine[rows], firsts)
+            mine[own] = 0
+            linked = (100 * shared >= percent * (size[i] + size[theirs] - shared)) & (component[theirs] != component[i])
+            for j in theirs[linked]:
+                out.setdefault((component[i], component[j]), (node[i], node[j]))
+    return pd.DataFrame(list(out.values()), columns=["a", "b"], dtype="int64")
 
 
 def op8_token_group_join(spark, sf_dir: str) -> DataFrame:

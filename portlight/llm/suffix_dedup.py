@@ -39,8 +39,9 @@ def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
-def digest(data: bytes) -> tuple[int, int]:
-    x = xxhash.xxh3_128_intdigest(data)
+def digest(data: bytes, seed: int = 0) -> tuple[int, int]:
+    """Two signed 64-bit halves of a 128-bit hash."""
+    x = xxhash.xxh3_128_intdigest(data, seed)
     return _signed(x >> 64), _signed(x & ((1 << 64) - 1))
 
 
