@@ -24,6 +24,8 @@ from .suffix_dedup import digest
 WIDTH = 3
 #: Two sets link when 100 * shared >= PERCENT * union.
 PERCENT = 90
+#: The same of the pipeline's stage: five words, 0.8.
+STAGE_WIDTH, STAGE_PERCENT = 5, 80
 #: Sizes from one bound to the next share a number of segments; sizes near a bound use that of both sides.
 SIZE_STEP = 1.4
 #: Sets below this size link only when they differ in two shingles at most; they are named by what is left without one or two.
@@ -60,6 +62,8 @@ def segments(percent: int, size_class: int) -> int:
 
 def segment_keys(tokens: np.ndarray, percent: int = PERCENT) -> np.ndarray:
     """Hashes that name (size class, segment, its shingles). Segments without shingles are cut anew by another hash."""
+    if percent < PERCENT:
+        return _loose_keys(tokens, percent)
     out = []
     for size_class in size_classes(len(tokens), percent):
         n = segments(percent, size_class)
@@ -75,6 +79,58 @@ def segment_keys(tokens: np.ndarray, percent: int = PERCENT) -> np.ndarray:
     return np.unique(np.concatenate(out)) if out else np.zeros(0, dtype=np.uint64)
 
 
+def _most_apart(percent: int, both: int) -> int:
+    """The most shingles that two linked sets differ in whose sizes add up to both."""
+    return both * (100 - percent) // (100 + percent)
+
+
+@lru_cache
+def _loose_bounds(percent: int) -> list[int]:
+    out = [1]
+    while out[-1] < 1 << 40:
+        low = after = out[-1]
+        while after < SMALL and _most_apart(percent, 2 * after) == _most_apart(percent, 2 * low):
+            after += 1
+        out.append(max(after, low + 1, int(low * SIZE_STEP)))
+    return out
+
+
+def _loose_keys(tokens: np.ndarray, percent: int) -> np.ndarray:
+    """segment_keys for looser bounds, where segments are so small that many stay empty.
+
+    A segment counts when it holds `least` shingles. If more segments of a set count than a set it links with differs from it
+    in shingles, one that counts is equal in both. Each set is cut anew until so many count, so two sets that link share
+    all cuts up to the first one that suffices for either.
+    """
+    bounds, n, out = _loose_bounds(percent), len(tokens), []
+    biggest = 100 * n // percent
+    first, last = (int(np.searchsorted(bounds, x, side="right")) - 1 for x in (n, biggest))
+    for size_class in range(first, last + 1):
+        top = bounds[size_class + 1] - 1
+        apart = _most_apart(percent, n + min(biggest, top))
+        if not apart:
+            continue  # links with equal sets only, which are one node
+        count = (_most_apart(percent, 2 * top) + 1) * 5 // 4 + 1
+        for turn in range(1 << 20):
+            least = 2 if bounds[size_class] > SMALL and turn < 4 else 1
+            keys = _full_segments(tokens, count, least, mix64(np.array([size_class * 1_000_003 + turn], dtype=np.uint64))[0])
+            out.append(keys)
+            if len(keys) > apart:
+                break
+    return np.unique(np.concatenate(out)) if out else np.zeros(0, dtype=np.uint64)
+
+
+def _full_segments(tokens: np.ndarray, n: int, least: int, salt: np.uint64) -> np.ndarray:
+    """Hashes of the segments that hold `least` tokens at least."""
+    with np.errstate(over="ignore"):
+        place = (mix64(tokens + salt) % np.uint64(n)).astype(np.int64)
+        order = np.argsort(place, kind="stable")
+        place, value = place[order], mix64(tokens[order] ^ np.uint64(0xA5A5A5A5A5A5A5A5))
+        firsts = np.flatnonzero(np.r_[True, place[1:] != place[:-1]])
+        keys = mix64(mix64(np.add.reduceat(value, firsts)) + mix64(place[firsts].astype(np.uint64) * np.uint64(0x632BE59BD9B4E019) + salt))
+        return keys[np.diff(np.r_[firsts, len(tokens)]) >= least]
+
+
 def _left_over(tokens: np.ndarray, percent: int) -> np.ndarray:
     """Hashes of a small set whole, without each shingle and without each two, as far as a set that links may lack them."""
     n = len(tokens)
@@ -304,9 +360,9 @@ def op8_token_group_join(spark, sf_dir: str) -> DataFrame:
 
 
 def keep_representatives(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: of each component the document with the smallest doc_id, with the columns of docs. Documents without
+    """Pipeline stage: of each component of word shingles (STAGE_WIDTH, STAGE_PERCENT) the document with the smallest doc_id, with the columns of docs. Documents without
     words or without doc_id stay; of rows that repeat a doc_id one stays."""
-    found = link_components(docs)
+    found = link_components(docs, STAGE_WIDTH, STAGE_PERCENT)
     keep = found.filter("doc_id is null or component_id = doc_id").select("doc_id").filter("doc_id is not null").distinct()
     kept = docs.join(keep, "doc_id", "left_semi").select(docs.columns)
     first = Window.partitionBy("doc_id").orderBy("text")

@@ -1,7 +1,12 @@
 import zlib
 from array import array
 
+import numpy as np
+from hypothesis import given, settings
+from hypothesis import strategies as st
+
 import corpus_pipeline
+from portlight.llm import ngram_join
 from portlight.llm.common import materialise, maybe_in
 from portlight.llm.packing import default_tokenizer
 
@@ -40,3 +45,55 @@ def test_bloom_filter_loses_nothing(spark):
     kept = {r.id for r in maybe_in(rows, "id", keys, bits=8).collect()}
     assert {r.id for r in keys.collect()} <= kept and {r.id for r in maybe_in(rows, "id", keys, bits=8, wanted=False).collect()} == set(range(1000)) - kept
     assert maybe_in(rows, "id", spark.range(0)).count() == 0
+
+
+def brute_representatives(docs, width=5, percent=80):
+    sets = {}
+    for k, t in docs.items():
+        w = t.lower().split()
+        sets[k] = {tuple(w[i : i + width]) for i in range(max(1, len(w) - width + 1))} if w else set()
+    root = {k: k for k in sets}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for i in sets:
+        for j in sets:
+            shared = len(sets[i] & sets[j])
+            if i < j and shared and 100 * shared >= percent * len(sets[i] | sets[j]):
+                x, y = find(i), find(j)
+                root[max(x, y)] = min(x, y)
+    return {k for k in sets if find(k) == k}
+
+
+def test_near_duplicates_against_brute_force(spark):
+    rng = np.random.default_rng(8)
+    words = lambda n: [f"w{rng.integers(3000)}" for _ in range(n)]
+    docs = {}
+    for size in (3, 7, 12, 20, 28, 40, 70, 150, 400, 900):
+        base = words(size)
+        copies = [base, base + words(round(size * 0.15)), base + words(round(size * 0.24)), base + words(round(size * 0.4)), base[: -max(1, size // 6)]]
+        for share in (0.01, 0.02, 0.03, 0.06):
+            copies.append([w if rng.random() > share else words(1)[0] for w in base])
+        for copy in copies:
+            docs[len(docs)] = " ".join(copy)
+    docs |= {900 + i: "all rights reserved by us and others " + " ".join(words(int(rng.integers(0, 12)))) for i in range(40)} | {990: ""}
+    frame = spark.createDataFrame([(k, v, "en", "x", len(v)) for k, v in docs.items()], COLUMNS)
+    kept = {r.doc_id for r in dict(corpus_pipeline.STAGES)["near_duplicates"](spark, frame, "").collect()}
+    assert kept == brute_representatives(docs) and kept != brute_representatives(docs, 3, 90)
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.integers(1, 400), st.integers(0, 2**32))
+def test_linked_sets_share_a_segment_at_the_stage_threshold(n, seed):
+    rng = np.random.default_rng(seed)
+    a = np.unique(rng.integers(0, 2**63, n, dtype=np.uint64))
+    drop, more = rng.integers(0, len(a) // 5 + 1), rng.integers(0, len(a) // 4 + 1)
+    b = np.unique(np.concatenate([rng.permutation(a)[drop:], rng.integers(0, 2**63, more, dtype=np.uint64)]))
+    shared = len(np.intersect1d(a, b))
+    keys = [ngram_join.segment_keys(x, ngram_join.STAGE_PERCENT) for x in (a, b)]
+    if 100 * shared >= 80 * (len(a) + len(b) - shared) and not np.array_equal(a, b):
+        assert len(np.intersect1d(*keys))
+    assert len(keys[0]) <= 4 * len(a)
