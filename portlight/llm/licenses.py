@@ -18,10 +18,13 @@ SENTENCES = {
     "Licensed under the MIT License": "MITref",
     "This project is licensed under the terms of the MIT license": "MITref",
     "Permission is hereby granted, free of charge, to any person obtaining a copy of this software": "MITgrant",
+    "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the Software), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions": "MITgrant",
     "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software": "MITnotice",
     "The software is provided as is, without warranty of any kind, express or implied": "MITwarranty",
+    "The software is provided as is, without warranty of any kind, express or implied, including but not limited to the warranties of merchantability, fitness for a particular purpose and noninfringement": "MITwarranty",
     "Licensed under the Apache License, Version 2.0": "Apache2ref",
     "Licensed under the Apache License, Version 2.0 (the License)": "Apache2ref",
+    "Licensed under the Apache License, Version 2.0 (the License); you may not use this file except in compliance with the License": "Apache2grant",
     "you may not use this file except in compliance with the License": "Apache2comply",
     "You may obtain a copy of the License at": "Apache2copy",
     "See the License for the specific language governing permissions and limitations under the License": "Apache2see",
@@ -29,6 +32,7 @@ SENTENCES = {
     "Licensed under the GNU General Public License v3.0": "GPL3ref",
     "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version": "GPL3grant",
     "This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY": "GPLwarranty",
+    "This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE": "GPLwarranty",
     "You should have received a copy of the GNU General Public License along with this program": "GPLcopy",
     "Licensed under CC BY-NC 4.0": "CCBYNC4ref",
     "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License": "CCBYNC4ref",
@@ -46,6 +50,7 @@ RULES = [
     ("BSD-2-Clause", ["BSDgrant", "BSDsource", "BSDbinary"], ["BSD-3-Clause"]),
     ("MIT", ["MITgrant", "MITnotice", "MITwarranty"], []),
     ("Apache-2.0", ["Apache2ref", "Apache2comply", "Apache2copy", "Apache2see"], []),
+    ("Apache-2.0", ["Apache2grant"], []),
     ("GPL-3.0-or-later", ["GPL3grant", "GPLwarranty", "GPLcopy"], []),
     ("MIT", ["MITref"], []),
     ("Apache-2.0", ["Apache2ref"], []),
@@ -53,8 +58,10 @@ RULES = [
     ("CC-BY-NC-4.0", ["CCBYNC4ref"], []),
     ("CC-BY-4.0", ["CCBY4ref"], []),
 ]
-#: Where sentences end: a line break, or a full stop, exclamation or question mark and white space.
-SENTENCE_END = r"\n|(?<=[.!?])\s+"
+#: Where sentences end: a full stop, exclamation or question mark and white space. Blank lines end them too.
+SENTENCE_END = r"(?<=[.!?])\s+"
+#: Before the first word of a line: list marks such as a) or (2), and words that open comments.
+LINE_MARK = r"(?m)^([^a-z0-9\n]*)(?:(?:[0-9]{1,2}|[a-z])\)|rem|dnl)[^\S\n]+"
 
 
 def normalised(sentence: str) -> str:
@@ -62,19 +69,20 @@ def normalised(sentence: str) -> str:
 
 
 def sentence_ids(text: Column, sentences: dict[str, str] = SENTENCES) -> Column:
-    """Array of (at, id) of the known sentences of a text, at counting sentences from 0."""
+    """Array of the identifiers of the known sentences of a text, in order.
+
+    A known sentence begins and ends at a line's edge or a sentence's; in between it may be wrapped over lines, but holds no
+    blank line. The longest one that begins somewhere counts, and none of those within it.
+    """
     known = {normalised(k): v for k, v in sentences.items()}
     entries = [F.lit(x) for pair in known.items() for x in pair]
-    longest = max(map(len, known)) * 2 + 40
-    plain = lambda s: F.trim(F.regexp_replace(F.lower(s), "[^a-z0-9]+", " "))
-    # the first word decides cheaply for nearly all sentences that they are unknown
-    first = sorted({k.split()[0] for k in known})
-    begins = lambda s: F.lower(s).rlike(r"^[^a-z0-9]*(?:" + "|".join(first) + r")\b") & (F.length(s) <= longest)
-    found = F.transform(
-        F.split(F.coalesce(text, F.lit("")), SENTENCE_END),
-        lambda s, i: F.when(begins(s), F.struct(i.cast("long").alias("at"), F.try_element_at(F.create_map(*entries), plain(s)).alias("id"))),
-    )
-    return F.filter(found, lambda x: x.isNotNull() & x["id"].isNotNull())
+    any_of = "|".join(k.replace(" ", r"[ \n]") for k in sorted(known, key=len, reverse=True))
+    plain = F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), LINE_MARK, "$1")
+    # each sentence's end becomes a blank line, and lines keep only their words
+    plain = F.regexp_replace(F.regexp_replace(plain, SENTENCE_END, "\n\n"), r"[^a-z0-9\n]+", " ")
+    plain = F.trim(F.regexp_replace(plain, r" ?\n ?", "\n"))
+    found = F.regexp_extract_all(plain, F.lit(rf"(?<![^\n])({any_of})(?![^\n])"), F.lit(1))
+    return F.transform(found, lambda s: F.element_at(F.create_map(*entries), F.translate(s, "\n", " ")))
 
 
 def match_rules(ids: Column, rules=RULES) -> Column:
@@ -101,7 +109,7 @@ def scan(docs: DataFrame, sentences: dict[str, str] = SENTENCES, rules=RULES) ->
     but no rule matches, else 'none'. Null and empty texts have none; repeated rows stay; other columns are ignored.
     """
     rows = docs.select("doc_id", sentence_ids(F.col("text"), sentences).alias("found"))
-    rows = rows.withColumn("ids", F.array_join(F.transform("found", lambda x: x["id"]), ","))
+    rows = rows.withColumn("ids", F.array_join("found", ","))
     few = F.when(F.size("found") > 0, match_rules(F.concat(F.lit(","), F.col("ids"), F.lit(",")), rules)).otherwise(F.array().cast("array<string>"))
     rows = rows.withColumn("matched", few)
     status = F.when(F.size("matched") > 0, "licensed").when(F.size("found") > 0, "unmatched").otherwise("none")

@@ -104,6 +104,88 @@ def test_licence_rules(spark):
     assert got == [(1, "BSD-3-Clause", "licensed", 4), (2, "BSD-2-Clause", "licensed", 3), (3, "", "unmatched", 4), (4, "MIT", "licensed", 1), (4, "MIT,Apache-2.0", "licensed", 2), (5, "", "none", 0), (6, "", "none", 0), (7, "", "unmatched", 1)]
 
 
+MIT = """MIT License
+
+Copyright (c) 2020 Someone
+
+Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR
+IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY,
+FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE
+AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER
+LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM,
+OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE
+SOFTWARE.
+"""
+BSD = """Copyright (c) 2020, Someone
+All rights reserved.
+
+Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+{}Redistributions of source code must retain the above copyright notice, this
+   list of conditions and the following disclaimer.
+
+{}Redistributions in binary form must reproduce the above copyright notice,
+   this list of conditions and the following disclaimer in the documentation
+   and/or other materials provided with the distribution.
+
+{}Neither the name of the copyright holder nor the names of its
+   contributors may be used to endorse or promote products derived from
+   this software without specific prior written permission.
+
+THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS"
+AND ANY EXPRESS OR IMPLIED WARRANTIES ARE DISCLAIMED.
+"""
+APACHE = """Licensed under the Apache License, Version 2.0 (the "License"); you
+may not use this file except in compliance with the License.
+You may obtain a copy of the License at
+
+    http://www.apache.org/licenses/LICENSE-2.0
+
+Unless required by applicable law or agreed to in writing, software
+distributed under the License is distributed on an "AS IS" BASIS,
+WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.
+See the License for the specific language governing permissions and
+limitations under the License.
+"""
+GPL = """This program is free software: you can redistribute it and/or modify
+it under the terms of the GNU General Public License as published by
+the Free Software Foundation, either version 3 of the License, or
+(at your option) any later version.
+
+This program is distributed in the hope that it will be useful,
+but WITHOUT ANY WARRANTY; without even the implied warranty of
+MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the
+GNU General Public License for more details.
+
+You should have received a copy of the GNU General Public License
+along with this program.  If not, see <https://www.gnu.org/licenses/>.
+"""
+
+
+def test_wrapped_licence_texts(spark):
+    full = {"MIT": MIT, "BSD-3-Clause": BSD.format("1. ", "2. ", "3. "), "Apache-2.0": APACHE, "GPL-3.0-or-later": GPL}
+    texts = [(name, text) for name, text in full.items()] + [("BSD-3-Clause", BSD.format("(1) ", "b) ", "* "))]
+    for mark in ("# ", " * ", "// ", "REM ", "dnl "):
+        texts += [(name, "".join(f"{mark}{line}\n" for line in text.splitlines())) for name, text in full.items()]
+    texts += [(name, text.replace("\n", "\r\n")) for name, text in full.items()]
+    texts += [(name, re.sub(r"(?<!\n)\n(?!\n)\s*", " ", text)) for name, text in full.items()]  # a line for each paragraph
+    texts += [("MIT", "A heading\nReleased under the MIT License\nand more"), ("MIT", "Released under the MIT\nLicense " + "-" * 5000)]
+    texts += [("", "Released under the\n\nMIT License"), ("", "Released under the MIT License of ours"), ("", "Released under the MIT. License")]
+    got = {r.doc_id: r.licences for r in licenses.scan(spark.createDataFrame([(i, t) for i, (_, t) in enumerate(texts)], "doc_id long, text string")).collect()}
+    assert [(i, got[i]) for i in range(len(texts))] == [(i, name) for i, (name, _) in enumerate(texts)]
+
+
 # ---- decontamination ----
 
 
