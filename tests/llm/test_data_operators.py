@@ -3,11 +3,13 @@ import re
 import zlib
 from array import array
 from collections import Counter
+from types import SimpleNamespace
 
 import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from portlight.llm import boosting, ngram_join, packing, quality, suffix_dedup, suffixes, urls, warc
 
@@ -207,6 +209,39 @@ def test_url_trees_learn_the_rules(spark):
     assert sum((r.score >= 0.5) == (r.verdict == "allow") for r in rows) > 0.9 * len(rows)
 
 
+@pytest.mark.parametrize("many", [2, urls.MANY])
+def test_suffix_counts_hold_all_labelled_urls(spark, monkeypatch, many):
+    monkeypatch.setattr(urls, "TRAIN_ROWS", 50)
+    monkeypatch.setattr(urls, "MANY", many)
+    seen = []
+    rng = np.random.default_rng(6)
+    given_ = [f"http://{'wm'[i % 2]}.s{rng.integers(40)}.{rng.choice(['org', 'com', 'net'])}/{rng.choice(['fr', 'de', 'en'])}/{i}" for i in range(1500)] + ["http://org/x", "nothing", ""]
+    want = {}
+    for url in given_:
+        host, path, rule, verdict = brute_judge(url)
+        for key in {".".join(host.split(".")[-k:]) for k in (1, 2)}:
+            n = want.setdefault(key, [0, 0, 0])
+            n[0] += 1
+            n[1] += verdict == "allow"
+            n[2] += verdict is not None
+    pages = spark.createDataFrame(list(enumerate(given_)), "page_id long, url string")
+    rows = urls.with_rules(pages.withColumn("host", urls.host_of(F.col("url"))).withColumn("path", urls.path_of(F.col("url"))))
+    rows = urls.with_suffixes(rows).withColumn("half_", F.col("page_id") % 2).withColumn("allowed", F.col("rule_verdict_") == "allow")
+    counts = urls.suffix_counts(rows)
+    assert {r.suffix: [r.rows, r.allowed_0 + r.allowed_1, r.labelled_0 + r.labelled_1] for r in counts.collect()} == want
+    joined = urls.with_counts(urls.with_counts(rows, counts, "top"), counts, "site").collect()
+    assert len(joined) == len(given_)
+    for r in joined:
+        for struct, key in ((r.top, r.top_), (r.site, r.site_)):
+            assert [struct.allowed_0 + struct.allowed_1, struct.labelled_0 + struct.labelled_1] == want[key][1:]
+    # the model's inputs: the trees take a sample, the scores all counts
+    place = urls.FEATURES.index("site_seen")
+    monkeypatch.setattr(urls, "fit_trees", lambda x, y: seen.append(len(x)) or SimpleNamespace(score=lambda x: x[:, place]))
+    got = {r.page_id: r.score for r in urls.judge(pages).collect()}
+    assert seen[0] < 150
+    assert all(abs(got[r.page_id] - np.log1p(want[r.site_][2])) < 1e-9 for r in joined)
+
+
 # ---- n-gram join ----
 
 
