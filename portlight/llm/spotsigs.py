@@ -74,14 +74,23 @@ def with_next(rows: DataFrame, key: str, columns: list[str], span: int = RANGE)
 
 
 def next_ranges(keys: DataFrame, span: int) -> DataFrame:
-    """range_, next_range_: the next range that has keys, the first one after the last. Found in two levels; the upper one
-    orders a row for span * span keys."""
-    ranges = keys.select(F.floor(F.col("key_") / span).alias("range_")).distinct().withColumn("upper_", F.floor(F.col("range_") / span))
-    inner = ranges.withColumn("next_range_", F.lead("range_").over(Window.partitionBy("upper_").orderBy("range_")))
-    tops = ranges.groupBy("upper_").agg(F.min("range_").alias("top_"))
-    all_tops = Window.partitionBy(F.lit(0))
-    tops = tops.select("upper_", F.coalesce(F.lead("top_").over(all_tops.orderBy("upper_")), F.min("top_").over(all_tops)).alias("top_next_"))
-    return inner.join(tops, "upper_").select("range_", F.coalesce("next_range_", "top_next_").alias("next_range_"))
+    """range_, next_range_: the next range that has keys, the first one after the last."""
+    return following(keys.select(F.floor(F.col("key_") / span).alias("range_")).distinct(), span)
+
+
+def following(ranges: DataFrame, span: int) -> DataFrame:
+    """range_, next_range_ of distinct numbers range_: the next one, the first one after the last. They are dealt to ranges
+    of `span` in turn, level upon level, until one task orders at most `span` numbers on each."""
+    low, high = ranges.agg(F.min("range_"), F.max("range_")).first()
+    if low is None or high - low < span:
+        w = Window.partitionBy(F.lit(0))
+        return ranges.select("range_", F.coalesce(F.lead("range_").over(w.orderBy("range_")), F.min("range_").over(w)).alias("next_range_"))
+    dealt = ranges.withColumn("upper_", F.floor(F.col("range_") / span))
+    inner = dealt.withColumn("next_range_", F.lead("range_").over(Window.partitionBy("upper_").orderBy("range_")))
+    tops = dealt.groupBy("upper_").agg(F.min("range_").alias("top_"))
+    after = following(tops.select(F.col("upper_").alias("range_")), span).toDF("upper_", "next_upper_")
+    heads = after.join(tops.toDF("next_upper_", "top_next_"), "next_upper_").select("upper_", "top_next_")
+    return inner.join(heads, "upper_").select("range_", F.coalesce("next_range_", "top_next_").alias("next_range_"))
 
 
 def edited_text(text: Column, next_text: Column) -> Column:

@@ -1,4 +1,5 @@
 import hashlib
+import random
 import re
 
 import pytest
@@ -90,6 +91,18 @@ def test_similar_pairs_against_brute_force(spark):
     assert {(r.a, r.b) for r in pairs.collect()} == want != set()
 
 
+def test_ranges_follow_each_other_over_sparse_keys(spark, monkeypatch):
+    tops, plain = [], spotsigs.following
+    monkeypatch.setattr(spotsigs, "following", lambda ranges, span: tops.append(ranges.count()) or plain(ranges, span))
+    rng = random.Random(2)
+    for keys in ([rng.randrange(-(2**40), 2**40) for _ in range(300)], list(range(70)), [5], []):
+        tops.clear()
+        ranges = sorted({k // 4 for k in keys})
+        got = {r.range_: r.next_range_ for r in spotsigs.next_ranges(spark.createDataFrame([(k,) for k in keys], "key_ long"), 4).collect()}
+        assert got == dict(zip(ranges, ranges[1:] + ranges[:1], strict=True))
+        assert tops[-1] <= 4  # rows of the only window over all
+
+
 # ---- licences ----
 
 
