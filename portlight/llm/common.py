@@ -32,7 +32,16 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
     """Writes df as Parquet in the shared folder and reads it back: cuts the lineage, and a lost executor costs nothing."""
     path = fresh_dir(df.sparkSession, label)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.stored_at = path
+    return out
+
+
+def discard(df: DataFrame) -> None:
+    """Deletes the table that materialise() wrote for df. For tables that only went into others that are written by now."""
+    spark = df.sparkSession
+    path = spark._jvm.org.apache.hadoop.fs.Path(df.stored_at)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -58,8 +67,10 @@ def maybe_in(df: DataFrame, column: str, keys: DataFrame, bits: int = 24, wanted
     bit = lambda h: F.call_function("shiftleft", F.lit(1).cast("long"), h.bitwiseAND(63).cast("int"))
     words = keys.toDF("key_").withColumn("h_", place("key_")).groupBy(F.shiftright("h_", 6).alias("word_")).agg(F.bit_or(bit(F.col("h_"))).alias("set_"))
     kept = df.columns
-    rows = df.withColumn("h_", place(column)).withColumn("word_", F.shiftright("h_", 6)).join(F.broadcast(words), "word_", "left")
-    found = F.coalesce(F.col("set_"), F.lit(0)).bitwiseAND(bit(F.col("h_"))) != 0
+    h, word = free_name(df, "h_"), free_name(df, "word_")
+    words = words.withColumnsRenamed({"word_": word, "set_": (bits_ := free_name(df, "set_"))})
+    rows = df.withColumn(h, place(column)).withColumn(word, F.shiftright(h, 6)).join(F.broadcast(words), word, "left")
+    found = F.coalesce(F.col(bits_), F.lit(0)).bitwiseAND(bit(F.col(h))) != 0
     return rows.filter(found if wanted else ~found).select(kept)
 
 

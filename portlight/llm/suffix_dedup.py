@@ -1,10 +1,12 @@
 """Exact removal of repeated byte strings over all documents, by suffix arrays of shards.
 
-Windows of LENGTH bytes are dealt to shards by content: a window goes by its smallest hashed run of RUN bytes, so equal
-windows meet and nothing else need. A document thereby falls into pieces of consecutive windows with one such anchor.
-Pieces whose anchor occurs once in all documents hold no repeat. Equal pieces enter a shard once, with their number; an
-anchor that has only equal pieces needs no sorting. The rest is sorted into suffix arrays by induction, and windows whose
-common prefix with a neighbour reaches LENGTH are repeats.
+Strings of two lengths are looked for at once: LENGTH bytes, and PASSAGE bytes for passages of some fifty words. Windows of
+the shorter length are dealt to shards by content: a window goes by its smallest hashed run of RUN bytes, so equal windows
+meet and nothing else need. A document thereby falls into pieces of consecutive windows with one such anchor; a piece also
+holds what follows, as far as the longer strings reach. Pieces whose anchor occurs once in all documents hold no repeat.
+Equal pieces count once, with their number, and an anchor that has only equal pieces needs no sorting. Of the others each
+window goes by its anchor and the bytes at that side of it where the window holds more; what meets there is sorted into
+suffix arrays by induction, and windows whose common prefix with a neighbour is long enough are repeats.
 """
 
 from __future__ import annotations
@@ -17,22 +19,26 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import byte_values, materialise, mix64, table
+from .common import byte_values, discard, free_name, materialise, maybe_in, mix64, table
 from .suffixes import repeated_windows
 
 LENGTH = 400
+#: Bytes of a repeated passage: fifty words of five bytes, blanks included.
+PASSAGE = 250
 RUN = 32
 #: Bytes of text sorted into one suffix array.
 SHARD_BYTES = 2 << 20
-#: An anchor with more distinct pieces than this is settled by its windows' 128-bit digests, which spread over all tasks.
+#: Where more different pieces than this meet, their windows are counted by 128-bit digests, which spread over all tasks.
 HOT_PIECES = 2000
+#: Frames of so many keys are broadcast; larger ones are joined by shuffles.
+BROADCAST_KEYS = 1_000_000
 #: Windows of one document that are cut together: the position takes 24 bits.
 _CHUNK = 8 << 20
 
 _VALUES = byte_values(99)
 _BASE = np.uint64(0xD1342543DE82EF95)
 
-PIECES = "doc_id long, doc_key long, anchor long, d1 long, d2 long, width int, starts array<int>"
+PIECES = "doc_id long, doc_key long, anchor long, d long, width int, size int, place int, starts array<int>"
 
 
 def _signed(x: int) -> int:
@@ -45,8 +51,9 @@ def digest(data: bytes, seed: int = 0) -> tuple[int, int]:
     return _signed(x >> 64), _signed(x & ((1 << 64) - 1))
 
 
-def cut_pieces(data: bytes, length: int = LENGTH, run: int = RUN):
-    """(anchor, first window, number of windows) for each run of windows of data with one anchor. run is a power of two."""
+def cut_pieces(data: bytes, length: int = PASSAGE, run: int = RUN):
+    """(anchor, first window, number of windows, where the anchor stands behind the first window's begin) for each run of
+    windows of data with one anchor. run is a power of two."""
     for base in range(0, len(data) - length + 1, _CHUNK):  # hashes wrap around
         b = np.frombuffer(data[base : base + _CHUNK + length - 1], dtype=np.uint8)
         h, step, power = _VALUES[b], 1, np.array([_BASE])
@@ -67,32 +74,33 @@ def cut_pieces(data: bytes, length: int = LENGTH, run: int = RUN):
         at = (np.minimum(back[:n], ahead[span - 1 : span - 1 + n]) & place).astype(np.int64)
         firsts = np.r_[0, np.flatnonzero(np.diff(at)) + 1]
         widths = np.diff(np.r_[firsts, n])
-        yield from zip(h[at[firsts]].view(np.int64).tolist(), (firsts + base).tolist(), widths.tolist(), strict=True)
+        yield from zip(h[at[firsts]].view(np.int64).tolist(), (firsts + base).tolist(), widths.tolist(), (at[firsts] - firsts).tolist(), strict=True)
 
 
-def find_pieces(keyed: DataFrame, length: int, run: int) -> DataFrame:
+def find_pieces(keyed: DataFrame, short: int, long: int, run: int) -> DataFrame:
     def cut(batches):
         for batch in batches:
-            rows: list[list] = [[] for _ in range(7)]
+            rows: list[list] = [[] for _ in range(8)]
             for doc_id, key, text in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
                 data = (text or "").encode()
-                if len(data) < length:
+                if len(data) < short:
                     continue
                 found: dict[tuple, list[int]] = {}
-                for anchor, first, width in cut_pieces(data, length, run):
-                    found.setdefault((anchor, *digest(data[first : first + width + length - 1]), width), []).append(first)
-                for (anchor, d1, d2, width), starts in found.items():
-                    for column, x in zip(rows, (doc_id, key, anchor, d1, d2, width, starts), strict=True):
+                for anchor, first, width, place in cut_pieces(data, short, run):
+                    piece = data[first : first + width + long - 1]
+                    found.setdefault((anchor, _signed(xxhash.xxh3_64_intdigest(piece)), width, len(piece), place), []).append(first)
+                for kind, starts in found.items():
+                    for column, x in zip(rows, (doc_id, key, *kind, starts), strict=True):
                         column.append(x)
                 if len(rows[0]) > 50_000:
                     yield _batch(rows, PIECES)
-                    rows = [[] for _ in range(7)]
+                    rows = [[] for _ in range(8)]
             yield _batch(rows, PIECES)
 
     return keyed.select("doc_id", "doc_key", "text").mapInArrow(cut, PIECES)
 
 
-_ARROW = {"long": pa.int64(), "int": pa.int32(), "array<int>": pa.list_(pa.int32()), "string": pa.string(), "boolean": pa.bool_()}
+_ARROW = {"long": pa.int64(), "int": pa.int32(), "array<int>": pa.list_(pa.int32()), "string": pa.string(), "binary": pa.binary()}
 
 
 def _batch(columns: list[list], schema: str) -> pa.RecordBatch:
@@ -106,132 +114,184 @@ def _runs(mask: np.ndarray, length: int) -> list[int]:
     return np.stack([np.flatnonzero(edge == 1), np.flatnonzero(edge == -1) + length - 1], 1).ravel().tolist()
 
 
-def sort_shards(pieces: DataFrame, length: int) -> DataFrame:
-    """anchor, d1, d2, spans of the pieces (anchor, d1, d2, n, piece) that hold repeats; those of an anchor lie together."""
-    schema = "anchor long, d1 long, d2 long, spans array<int>"
+def split_piece(piece: bytes, width: int, place: int, short: int, long: int, run: int):
+    """(key, first window, number of windows, text) for the windows of a piece that hold at least half of their other bytes
+    left of the anchor at `place`, and for those that hold more right of it. The key hashes the anchor and that half."""
+    half = (short - run) // 2
+    left = max(0, min(width, place - half + 1))
+    if left:
+        yield _signed(xxhash.xxh3_64_intdigest(piece[place - half : place + run], 1)), 0, left, piece[: left + long - 1]
+    if left < width:
+        yield _signed(xxhash.xxh3_64_intdigest(piece[place : place + run + half], 2)), left, width - left, piece[left:]
+
+
+SPANS = "anchor long, d long, short_spans array<int>, long_spans array<int>"
+PARTS = "key long, anchor long, d long, n long, first int, width int, part binary"
+
+
+def sort_shards(parts: DataFrame, short: int, long: int) -> DataFrame:
+    """SPANS of the parts of pieces that hold repeats; those of a key lie together."""
 
     def sort(batches):
-        held: list[tuple] = []
-        size = 0
-
-        def shard():
-            rows: list[list] = [[] for _ in range(4)]
-            for (anchor, d1, d2, _, _), mask in zip(held, repeated_windows([x[4] for x in held], [x[3] for x in held], length), strict=True):
-                if mask.any():
-                    for column, x in zip(rows, (anchor, d1, d2, _runs(mask, length)), strict=True):
-                        column.append(x)
-            return _batch(rows, schema)
+        held: list[tuple] = []  # of keys with several parts
+        size, out = 0, [[] for _ in range(4)]
+
+        def add(row, masks):
+            spans = [[x + row[4] for x in _runs(m, length)] for m, length in zip(masks, (short, long), strict=True)]
+            if spans[0]:
+                for column, x in zip(out, (row[1], row[2], *spans), strict=True):
+                    column.append(x)
 
+        def settle(group):
+            nonlocal size
+            if len(group) > 1:
+                held.extend(group)
+                size += sum(len(x[6]) for x in group)
+            elif group and group[0][3] > 1:  # only copies of itself
+                width = group[0][5]
+                add(group[0], (np.ones(width, dtype=bool), np.arange(width) + long <= len(group[0][6])))
+
+        def flush():
+            nonlocal held, size, out
+            if held:
+                for row, masks in zip(held, repeated_windows([x[6] for x in held], [x[5] for x in held], [x[3] for x in held], short, long), strict=True):
+                    add(row, masks)
+            done, held, size, out = out, [], 0, [[] for _ in range(4)]
+            return _batch(done, SPANS)
+
+        group: list[tuple] = []
         for batch in batches:
-            for row in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
-                if size >= SHARD_BYTES and row[0] != held[-1][0]:
-                    yield shard()
-                    held, size = [], 0
-                held.append(row)
-                size += len(row[4])
-        if held:
-            yield shard()
+            for row in zip(*(batch.column(i).to_pylist() for i in range(7)), strict=True):
+                if group and row[0] != group[0][0]:
+                    settle(group)
+                    group = []
+                    if size >= SHARD_BYTES or len(out[0]) > 50_000:
+                        yield flush()
+                group.append(row)
+        settle(group)
+        yield flush()
 
-    return pieces.repartition("anchor").sortWithinPartitions("anchor").select("anchor", "d1", "d2", "n", "piece").mapInArrow(sort, schema)
+    columns = [x.split()[0] for x in PARTS.split(", ")]
+    return parts.repartition("key").sortWithinPartitions("key").select(columns).mapInArrow(sort, SPANS)
 
 
-def count_windows(pieces: DataFrame, length: int) -> DataFrame:
-    """As sort_shards, for anchors with very many pieces: windows are counted by digest, wherever they are."""
-    schema = "anchor long, d1 long, d2 long, n long, at int, w1 long, w2 long"
+def count_windows(parts: DataFrame, short: int, long: int) -> DataFrame:
+    """As sort_shards, for keys where very many parts meet: windows are counted by digest, wherever they are."""
+    schema = "anchor long, d long, n long, length int, at int, w1 long, w2 long"
 
     def windows(batches):
         for batch in batches:
-            for anchor, d1, d2, n, piece in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
-                found = [digest(piece[i : i + length]) for i in range(len(piece) - length + 1)]
-                k = len(found)
-                yield _batch([[anchor] * k, [d1] * k, [d2] * k, [n] * k, list(range(k)), [x[0] for x in found], [x[1] for x in found]], schema)
-
-    rows = pieces.select("anchor", "d1", "d2", "n", "piece").mapInArrow(windows, schema)
-    many = rows.groupBy("w1", "w2").agg(F.sum("n").alias("total")).filter("total > 1")
-    hit = rows.join(many, ["w1", "w2"]).groupBy("anchor", "d1", "d2").agg(F.array_sort(F.collect_list("at")).alias("at"))
-    spans = F.flatten(F.transform("at", lambda i: F.array(i, i + length)))
-    return hit.select("anchor", "d1", "d2", spans.alias("spans"))
-
-
-def repeated_spans(docs: DataFrame, length: int = LENGTH, run: int = RUN) -> tuple[DataFrame, DataFrame]:
-    """(keyed, cover): docs with doc_key, a hash of doc_id and text that tells rows of one doc_id apart, and for doc_id,
-    doc_key the covers, an array of (starts, spans): each start plus each span, from, to, is a byte range to remove."""
-    keyed = docs.withColumn("doc_key", F.xxhash64("doc_id", F.coalesce("text", F.lit(""))))
-    pieces = materialise(find_pieces(keyed, length, run), "suffix-pieces")
+            for anchor, d, n, first, width, part in zip(*(batch.column(i).to_pylist() for i in range(6)), strict=True):
+                rows = [(anchor, d, n, length, first + i, *digest(part[i : i + length])) for length in sorted({short, long}) for i in range(width) if i + length <= len(part)]
+                yield _batch([list(x) for x in zip(*rows, strict=True)], schema)
+
+    rows = parts.select("anchor", "d", "n", "first", "width", "part").mapInArrow(windows, schema)
+    many = rows.groupBy("w1", "w2", "length").agg(F.sum("n").alias("total")).filter("total > 1")
+    at = lambda length: F.array_sort(F.collect_list(F.when(F.col("length") == length, F.col("at"))))
+    hit = rows.join(many, ["w1", "w2", "length"]).groupBy("anchor", "d").agg(at(short).alias("short_at"), at(long).alias("long_at"))
+    spans = lambda c, length: F.flatten(F.transform(c, lambda i: F.array(i, i + length)))
+    return hit.select("anchor", "d", spans("short_at", short).alias("short_spans"), spans("long_at", long).alias("long_spans"))
+
+
+def repeated_spans(docs: DataFrame, short: int = PASSAGE, long: int = LENGTH, run: int = RUN) -> DataFrame:
+    """doc_id, doc_key, cover of the rows of docs (doc_id, doc_key, text) that hold repeats.
+
+    cover is an array of (starts, short_spans, long_spans): each start plus each span, from, to, is a byte range that strings
+    of that length cover which begin elsewhere too.
+    """
+    pieces = materialise(find_pieces(docs, short, long, run), "suffix-pieces")
     count = F.sum(F.size("starts"))
-    anchors = pieces.groupBy("anchor").agg(count.alias("total"), F.min("d1").alias("a1"), F.max("d1").alias("b1"), F.min("d2").alias("a2"), F.max("d2").alias("b2"))
-    anchors = materialise(anchors.filter("total > 1").select("anchor", (F.expr("a1 = b1 and a2 = b2")).alias("alike")), "suffix-anchors")
-    candidates = materialise(pieces.join(anchors, "anchor"), "suffix-candidates")
-    whole = F.array(F.lit(0), F.col("width") + length - 1)
-    alike = candidates.filter("alike").select("doc_id", "doc_key", "starts", whole.alias("spans"))
+    anchors = pieces.groupBy("anchor").agg(count.alias("total"), F.min("d").alias("least"), F.max("d").alias("most"))
+    anchors = materialise(anchors.filter("total > 1").select("anchor", (F.col("least") == F.col("most")).alias("alike")), "suffix-anchors")
+    candidates = materialise(maybe_in(pieces, "anchor", anchors.select("anchor")).join(anchors, "anchor"), "suffix-candidates")
+    discard(pieces)
+    covered = F.array(F.lit(0), F.col("width") + short - 1)
+    far = F.when(F.col("size") >= long, F.array(F.lit(0), F.col("size"))).otherwise(F.array().cast("array<int>"))
+    alike = candidates.filter("alike").select("doc_id", "doc_key", "starts", covered.alias("short_spans"), far.alias("long_spans"))
 
     mixed = candidates.filter("not alike")
-    kinds = mixed.groupBy("anchor", "d1", "d2").agg(count.alias("n"), F.min(F.struct("doc_id", "doc_key", F.col("starts")[0].alias("start"), "width")).alias("at"))
-    kinds = kinds.join(kinds.groupBy("anchor").agg(F.count("*").alias("kinds")), "anchor")
-    wanted = kinds.groupBy("at.doc_id", "at.doc_key").agg(F.collect_list(F.struct("anchor", "d1", "d2", "n", F.col("at.start").alias("start"), F.col("at.width").alias("width"), (F.col("kinds") > HOT_PIECES).alias("hot"))).alias("wanted"))
-    cut_schema = "anchor long, d1 long, d2 long, n long, hot boolean, piece binary"
+    kinds = mixed.groupBy("anchor", "d").agg(count.alias("n"), F.min(F.struct("doc_id", "doc_key", F.col("starts")[0].alias("start"), "width", "size", "place")).alias("at"))
+    wanted = kinds.groupBy("at.doc_id", "at.doc_key").agg(F.collect_list(F.struct("anchor", "d", "n", "at.start", "at.width", "at.size", "at.place")).alias("wanted"))
 
     def cut(batches):
         for batch in batches:
-            rows = []
+            rows: list[list] = [[] for _ in range(7)]
             for text, want in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 data = (text or "").encode()
                 for w in want:
-                    rows.append({k: w[k] for k in ("anchor", "d1", "d2", "n", "hot")} | {"piece": data[w["start"] : w["start"] + w["width"] + length - 1]})
-            yield pa.RecordBatch.from_pylist(rows, pa.schema([("anchor", pa.int64()), ("d1", pa.int64()), ("d2", pa.int64()), ("n", pa.int64()), ("hot", pa.bool_()), ("piece", pa.binary())]))
-
-    once = keyed.select("doc_id", "doc_key", "text").withColumnsRenamed({"doc_id": "id_", "doc_key": "key_"})
+                    piece = data[w["start"] : w["start"] + w["size"]]
+                    for key, first, width, part in split_piece(piece, w["width"], w["place"], short, long, run):
+                        for column, x in zip(rows, (key, w["anchor"], w["d"], w["n"], first, width, part), strict=True):
+                            column.append(x)
+            yield _batch(rows, PARTS)
+
+    wanted = materialise(wanted, "suffix-wanted")
+    once = maybe_in(docs, "doc_key", wanted.select("doc_key")).select(F.col("doc_id").alias("id_"), F.col("doc_key").alias("key_"), "text")
     joined = once.join(wanted, F.col("id_").eqNullSafe(F.col("doc_id")) & (F.col("key_") == F.col("doc_key"))).dropDuplicates(["doc_id", "doc_key"])
-    texts = materialise(joined.select("text", "wanted").mapInArrow(cut, cut_schema), "suffix-texts")
-    spans = sort_shards(texts.filter("not hot"), length).unionByName(count_windows(texts.filter("hot"), length))
-    sorted_ = mixed.join(spans, ["anchor", "d1", "d2"]).select("doc_id", "doc_key", "starts", "spans")
-    cover = alike.unionByName(sorted_).groupBy("doc_id", "doc_key").agg(F.collect_list(F.struct("starts", "spans")).alias("cover"))
-    return keyed, cover
-
-
-def _removed(n: int, cover) -> list[tuple[int, int]]:
+    parts = materialise(joined.select("text", "wanted").mapInArrow(cut, PARTS), "suffix-parts")
+    hot = materialise(parts.groupBy("key").agg(F.count("*").alias("kinds")).filter(F.col("kinds") > HOT_PIECES).select("key"), "suffix-hot")
+    n_hot = hot.count()
+    if n_hot:
+        some = F.broadcast(hot) if n_hot <= BROADCAST_KEYS else hot
+        spans = sort_shards(parts.join(some, "key", "left_anti"), short, long).unionByName(count_windows(parts.join(some, "key", "left_semi"), short, long))
+    else:
+        spans = sort_shards(parts, short, long)
+    spans = materialise(spans, "suffix-spans")
+    discard(parts)
+    sorted_ = maybe_in(mixed, "d", spans.select("d")).join(spans, ["anchor", "d"]).select("doc_id", "doc_key", "starts", "short_spans", "long_spans")
+    return alike.unionByName(sorted_).groupBy("doc_id", "doc_key").agg(F.collect_list(F.struct("starts", "short_spans", "long_spans")).alias("cover"))
+
+
+def _removed(n: int, cover, spans: str = "long_spans") -> list[tuple[int, int]]:
     """Maximal byte ranges of the covers, in order."""
     edge = np.zeros(n + 1, dtype=np.int64)
     for c in cover or ():
-        starts, spans = np.array(c["starts"]), np.array(c["spans"]).reshape(-1, 2)
-        np.add.at(edge, (starts[:, None] + spans[:, 0]).ravel(), 1)
-        np.add.at(edge, (starts[:, None] + spans[:, 1]).ravel(), -1)
+        starts, ranges = np.array(c["starts"]), np.array(c[spans], dtype=np.int64).reshape(-1, 2)
+        np.add.at(edge, (starts[:, None] + ranges[:, 0]).ravel(), 1)
+        np.add.at(edge, (starts[:, None] + ranges[:, 1]).ravel(), -1)
     inside = np.diff((edge.cumsum() > 0).astype(np.int8), prepend=0)
     return list(zip(np.flatnonzero(inside == 1).tolist(), np.flatnonzero(inside == -1).tolist(), strict=True))
 
 
-def _with_cover(docs: DataFrame, length: int, run: int) -> DataFrame:
-    """docs with doc_key and cover."""
-    keyed, cover = repeated_spans(docs, length, run)
-    cover = cover.withColumnsRenamed({"doc_id": "cover_id", "doc_key": "cover_key"})
-    return keyed.join(cover, (F.col("doc_key") == F.col("cover_key")) & F.col("doc_id").eqNullSafe(F.col("cover_id")), "left")
+def with_cover(docs: DataFrame, short: int, long: int, run: int, out: str) -> DataFrame:
+    """Adds `out`, the cover of repeated_spans or null, to docs with doc_id and text, whatever its other columns are called."""
+    # a hash of doc_id and text tells rows of one doc_id apart
+    key, id_, key_ = (free_name(docs, x) for x in ("doc_key", "cover_id", "cover_key"))
+    keyed = docs.withColumn(key, F.xxhash64("doc_id", F.coalesce("text", F.lit(""))))
+    cover = repeated_spans(keyed.select("doc_id", F.col(key).alias("doc_key"), "text"), short, long, run)
+    cover = materialise(cover, "suffix-cover").toDF(id_, key_, out)
+    # only texts that may have a cover are shuffled
+    some, none = (maybe_in(keyed, key, cover.select(key_), wanted=x) for x in (True, False))
+    found = some.join(cover, (F.col(key) == F.col(key_)) & F.col("doc_id").eqNullSafe(F.col(id_)), "left").select(*docs.columns, out)
+    return found.unionByName(none.select(*docs.columns, F.lit(None).cast(cover.schema[out].dataType).alias(out)))
 
 
-def remove_repeats(docs: DataFrame, length: int = LENGTH, run: int = RUN) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of every row of docs (doc_id, text).
+def remove_repeats(docs: DataFrame, length: int = LENGTH, passage: int = PASSAGE, run: int = RUN) -> DataFrame:
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256, n_passage_bytes, n_passages of every row of docs (doc_id, text).
 
     A byte goes when a string of `length` bytes that covers it begins anywhere else too, in the same document or another.
-    Null and empty texts have no bytes. Rows count as documents of their own, also with a repeated or null doc_id. Matches
-    never cross documents. Other columns are ignored.
+    n_passage_bytes and n_passages count the bytes, and the maximal runs of them, that strings of `passage` bytes (at most
+    `length`) cover in the same sense; these stay. Null and empty texts have no bytes. Rows count as documents of their own,
+    also with a repeated or null doc_id. Matches never cross documents. Other columns are ignored.
     """
-    schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
+    schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, n_passage_bytes long, n_passages long"
 
     def report(batches):
         for batch in batches:
-            rows: list[list] = [[] for _ in range(5)]
+            rows: list[list] = [[] for _ in range(7)]
             for doc_id, text, cover in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
                 data = (text or "").encode()
-                gone = _removed(len(data), cover)
+                gone, found = _removed(len(data), cover), _removed(len(data), cover, "short_spans")
                 kept, at = hashlib.sha256(), 0
                 for a, b in gone:
                     kept.update(data[at:a])
                     at = b
                 kept.update(data[at:])
-                for column, x in zip(rows, (doc_id, len(data), sum(b - a for a, b in gone), len(gone), kept.hexdigest()), strict=True):
+                for column, x in zip(rows, (doc_id, len(data), sum(b - a for a, b in gone), len(gone), kept.hexdigest(), sum(b - a for a, b in found), len(found)), strict=True):
                     column.append(x)
             yield _batch(rows, schema)
 
-    return _with_cover(docs.select("doc_id", "text"), length, run).select("doc_id", "text", "cover").mapInArrow(report, schema)
+    return with_cover(docs.select("doc_id", "text"), passage, length, run, "cover").mapInArrow(report, schema)
 
 
 def kept_text(text: str | None, cover) -> str | None:
@@ -251,19 +311,22 @@ def kept_text(text: str | None, cover) -> str | None:
 
 
 def strip_repeats(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: docs without their repeated strings, n_chars brought up to date. Documents that had words and have
-    none left go."""
+    """Pipeline stage: docs without their repeated passages (strings of PASSAGE bytes that begin elsewhere too, all of them),
+    n_chars brought up to date. Documents that had words and have none left go; null and empty texts stay; repeated rows
+    are copies of each other, so their strings repeat. Columns of any name pass through."""
     columns, at = docs.columns, docs.columns.index("text")
-    joined = _with_cover(docs, LENGTH, RUN).select(*columns, "cover")
+    cover, gone = free_name(docs, "cover"), free_name(docs, "gone")
+    joined = with_cover(docs, PASSAGE, PASSAGE, RUN, cover)
 
     def strip(batches):
         for batch in batches:
-            texts = [kept_text(t, c) for t, c in zip(batch.column(at).to_pylist(), batch.column(len(columns)).to_pylist(), strict=True)]
+            old, covers = batch.column(at).to_pylist(), batch.column(len(columns)).to_pylist()
+            texts = [kept_text(t, c) for t, c in zip(old, covers, strict=True)]
             arrays = [batch.column(i) for i in range(len(columns))]
             arrays[at] = pa.array(texts, pa.string())
-            yield pa.RecordBatch.from_arrays([*arrays, pa.array([x is not None and t is None or bool(c) and not (t or "").strip() for x, t, c in zip(texts, texts, batch.column(len(columns)).to_pylist(), strict=True)], pa.bool_())], names=[*columns, "gone_"])
+            yield pa.RecordBatch.from_arrays([*arrays, pa.array([bool(c) and not t.strip() for t, c in zip(texts, covers, strict=True)], pa.bool_())], names=[*columns, gone])
 
-    out = joined.mapInArrow(strip, ", ".join(f"`{c}` {t}" for c, t in docs.dtypes) + ", gone_ boolean").filter("not gone_").select(columns)
+    out = joined.mapInArrow(strip, ", ".join(f"`{c}` {t}" for c, t in docs.dtypes) + f", `{gone}` boolean").filter(~F.col(gone)).select(columns)
     return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in columns else out
 
 

@@ -47,12 +47,27 @@ def name_substrings(words: np.ndarray, starts: np.ndarray, lengths: np.ndarray,
 
 
 def order_names(names: np.ndarray, depth: int) -> np.ndarray:
-    """The suffixes of the string of names in order, by their first `depth` names at least."""
-    rank, width = names.astype(np.int64), 1
-    while width < depth and int(rank.max()) + 1 < len(rank):
-        behind = np.zeros(len(rank), dtype=np.int64)
-        behind[:-width] = rank[width:] + 1
-        rank = np.unique(rank * (len(rank) + 2) + behind, return_inverse=True)[1]
+    """The suffixes of the string of names in order, by their first `depth` names at least.
+
+    A rank is the number of suffixes known to be smaller; each round doubles the names compared, for suffixes of equal rank
+    alone."""
+    names = names.astype(np.int64)
+    n, width = len(names), 1
+    counts = np.bincount(names)
+    rank = (np.cumsum(counts) - counts)[names]
+    tied = np.flatnonzero(counts[names] > 1)
+    while width < depth and len(tied):
+        behind = np.where(tied + width < n, rank[np.minimum(tied + width, n - 1)] + 1, 0)
+        key = rank[tied] * (n + 1) + behind
+        order = np.argsort(key)
+        tied, key = tied[order], key[order]
+        old = rank[tied]
+        place = np.arange(len(tied))
+        first = np.maximum.accumulate(np.where(np.r_[True, key[1:] != key[:-1]], place, 0))
+        group = np.maximum.accumulate(np.where(np.r_[True, old[1:] != old[:-1]], place, 0))
+        rank[tied] = old + first - group
+        last = np.r_[key[1:] != key[:-1], True]
+        tied = tied[~(last & (first == place))]
         width *= 2
     return np.argsort(rank, kind="stable")
 
@@ -155,22 +170,25 @@ def common_prefixes(words: np.ndarray, t: np.ndarray, order: np.ndarray, most: i
     return np.minimum(out, most)
 
 
-def repeated_windows(pieces: list[bytes], counts: list[int], length: int) -> list[np.ndarray]:
-    """For each piece which of its windows of `length` bytes also begin elsewhere, in another piece or, where its count is
-    2 or more, in another copy of it."""
+def repeated_windows(pieces: list[bytes], widths: list[int], counts: list[int], short: int, long: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """For each piece, of the strings that begin at its first `width` places, which of `short` and which of `long` bytes also
+    begin elsewhere, in another piece or, where its count is 2 or more, in another copy of it. Short ones always fit into
+    their piece; a long one that doesn't is no string of its document."""
     sizes = np.array([len(p) for p in pieces], dtype=np.int64)
     t = np.zeros(int(sizes.sum()) + len(pieces), dtype=np.uint8)
     firsts = np.cumsum(sizes + 1) - sizes - 1
     window = np.zeros(len(t), dtype=bool)
-    for p, first in zip(pieces, firsts, strict=True):
+    for p, width, first in zip(pieces, widths, firsts, strict=True):
         t[first : first + len(p)] = np.frombuffer(p, dtype=np.uint8) + np.uint8(1)
-        window[first : first + len(p) - length + 1] = True
-    array = suffix_array(t, length)
+        window[first : first + width] = True
+    array = suffix_array(t, long)
     order = array[window[array]]
-    shared = common_prefixes(packed(t), t, order, 2 * int(sizes.max())) >= length
-    again = shared.copy()
-    again[order[:-1]] |= shared[order[1:]]
+    shared = common_prefixes(packed(t), t, order, 2 * int(sizes.max()))
+    most = shared.copy()
+    most[order[:-1]] = np.maximum(most[order[:-1]], shared[order[1:]])
     out = []
-    for size, first, count in zip(sizes, firsts, counts, strict=True):
-        out.append(again[first : first + size - length + 1] | (count > 1))
+    for size, width, first, count in zip(sizes, widths, firsts, counts, strict=True):
+        reach = most[first : first + width]
+        fits = np.arange(width) + long <= size
+        out.append(((reach >= short) | (count > 1), ((reach >= long) | (count > 1)) & fits))
     return out

@@ -318,13 +318,30 @@ def test_linked_sets_share_a_segment(tokens, seed):
 
 
 @settings(max_examples=150, deadline=None)
-@given(st.lists(st.text("ab", min_size=3, max_size=60) | st.text("abcdefgé", min_size=3, max_size=40), min_size=1, max_size=8), st.integers(3, 9))
-def test_repeated_windows_against_brute_force(texts, length):
-    pieces = [t.encode() for t in texts if len(t.encode()) >= length]
+@given(st.lists(st.text("ab", min_size=3, max_size=60) | st.text("abcdefgé", min_size=3, max_size=40), min_size=1, max_size=8), st.integers(3, 9), st.integers(0, 9))
+def test_repeated_windows_against_brute_force(texts, short, more):
+    pieces, long = [t.encode() for t in texts if len(t.encode()) >= short], short + more
     if pieces:
-        seen = Counter(p[i : i + length] for p in pieces for i in range(len(p) - length + 1))
-        want = [[seen[p[i : i + length]] > 1 for i in range(len(p) - length + 1)] for p in pieces]
-        assert [list(x) for x in suffixes.repeated_windows(pieces, [1] * len(pieces), length)] == want
+        seen = Counter(p[i : i + n] for p in pieces for n in {short, long} for i in range(len(p) - n + 1))
+        widths = [len(p) - short + 1 for p in pieces]
+        want = [tuple([i + n <= len(p) and seen[p[i : i + n]] > 1 for i in range(w)] for n in (short, long)) for p, w in zip(pieces, widths, strict=True)]
+        assert [tuple(list(x) for x in masks) for masks in suffixes.repeated_windows(pieces, widths, [1] * len(pieces), short, long)] == want
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.text("ab c", min_size=40, max_size=300), st.sampled_from([0, 7, 30]))
+def test_equal_windows_share_a_key(text, more):
+    """However a text is cut, each window goes to one part, and equal windows to parts of one key."""
+    data, short, run = text.encode(), 40, 8
+    keys, seen = {}, 0
+    for _, first, width, place in suffix_dedup.cut_pieces(data, short, run):
+        piece = data[first : first + width + short + more - 1]
+        for key, at, n, part in suffix_dedup.split_piece(piece, width, place, short, short + more, run):
+            for i in range(n):
+                assert part[i : i + short] == data[first + at + i : first + at + i + short]
+                assert keys.setdefault(part[i : i + short], key) == key
+                seen += 1
+    assert seen == len(data) - short + 1
 
 
 def test_suffix_array_is_sorted():
@@ -335,7 +352,8 @@ def test_suffix_array_is_sorted():
     assert [bytes(t[i:]) for i in order] == sorted(bytes(t[i:]) for i in range(len(t)))
 
 
-def brute_removed(texts, length):
+def covered(texts, length):
+    """For each text whether each byte is covered by a string of `length` bytes that begins elsewhere too."""
     data = [(t or "").encode() for t in texts]
     seen = Counter(d[i : i + length] for d in data for i in range(len(d) - length + 1))
     out = []
@@ -344,34 +362,72 @@ def brute_removed(texts, length):
         for i in range(len(d) - length + 1):
             if seen[d[i : i + length]] > 1:
                 mask[i : i + length] = b"\1" * length
+        out.append((d, mask))
+    return out
+
+
+def brute_removed(texts, length, passage):
+    runs = lambda mask: sum(1 for i, m in enumerate(mask) if m and not (i and mask[i - 1]))
+    out = []
+    for (d, mask), (_, short) in zip(covered(texts, length), covered(texts, passage), strict=True):
         kept = bytes(x for x, m in zip(d, mask, strict=True) if not m)
-        out.append((len(d), sum(mask), sum(1 for i, m in enumerate(mask) if m and not (i and mask[i - 1])), hashlib.sha256(kept).hexdigest()))
+        out.append((len(d), sum(mask), runs(mask), hashlib.sha256(kept).hexdigest(), sum(short), runs(short)))
     return out
 
 
-@pytest.mark.parametrize("hot", [suffix_dedup.HOT_PIECES, 2])
-def test_removal_against_brute_force(spark, hot, monkeypatch):
-    monkeypatch.setattr(suffix_dedup, "HOT_PIECES", hot)
+def repeating_texts():
     rng = np.random.default_rng(1)
     noise = lambda n: "".join(rng.choice(list("abcdefgh ié"), n))
     passage, line = noise(300), noise(90)
-    texts = [noise(50) + passage + noise(40) for _ in range(12)] + [noise(30) + passage[:250], "aaaa" * 100, "ab" * 150, line * 5, noise(20) + line * 3, passage, passage, "", None, "é", noise(500)]
+    return [noise(50) + passage + noise(40) for _ in range(12)] + [noise(30) + passage[:250], "aaaa" * 100, "ab" * 150, line * 5, noise(20) + line * 3, passage, passage, "", None, "é", noise(500)]
+
+
+@pytest.mark.parametrize("hot", [suffix_dedup.HOT_PIECES, 2])
+@pytest.mark.parametrize("passage", [80, 50])
+def test_removal_against_brute_force(spark, hot, passage, monkeypatch):
+    monkeypatch.setattr(suffix_dedup, "HOT_PIECES", hot)
+    texts = repeating_texts()
     ids = [*range(len(texts) - 2), 3, None]
     frame = spark.createDataFrame([(i, t, 1) for i, t in zip(ids, texts, strict=True)], "doc_id long, text string, cover int")
-    got = suffix_dedup.remove_repeats(frame, length=80, run=16).collect()
+    got = suffix_dedup.remove_repeats(frame, length=80, passage=passage, run=16).collect()
     key = lambda x: tuple(map(str, x))
-    assert sorted((tuple(r) for r in got), key=key) == sorted(((i, *x) for i, x in zip(ids, brute_removed(texts, 80), strict=True)), key=key)
+    assert sorted((tuple(r) for r in got), key=key) == sorted(((i, *x) for i, x in zip(ids, brute_removed(texts, 80, passage), strict=True)), key=key)
     assert suffix_dedup.remove_repeats(empty(spark, "doc_id long, text string")).count() == 0
 
 
 def test_removal_over_documents(spark):
     docs = {r.doc_id: r.text for r in spark.read.parquet(f"{oracle.SF}/documents.parquet").collect()}
-    want = dict(zip(docs, brute_removed(docs.values(), 400), strict=True))
+    want = dict(zip(docs, brute_removed(docs.values(), 400, suffix_dedup.PASSAGE), strict=True))
     assert {r.doc_id: tuple(r)[1:] for r in suffix_dedup.op10_suffix_dedup(spark, oracle.SF).collect()} == want
 
 
+def test_stripped_passages_against_brute_force(spark, monkeypatch):
+    """Other columns pass through whatever they are called; repeated rows repeat each other; empty texts stay."""
+    monkeypatch.setattr(suffix_dedup, "PASSAGE", 80)
+    monkeypatch.setattr(suffix_dedup, "RUN", 16)
+    texts = repeating_texts()
+    rows = [(i, t, 7, f"k{i}", None, 1.5, True) for i, t in enumerate(texts)]
+    frame = spark.createDataFrame([*rows, rows[-1]], "doc_id long, text string, n_chars int, doc_key string, cover string, cover_id double, gone boolean")
+    want = []
+    for row, (d, mask) in zip([*rows, rows[-1]], covered([*texts, texts[-1]], 80), strict=True):
+        out, whole = bytearray(), row[1] or ""
+        at = 0
+        for ch in whole:  # a character that is partly kept is kept whole
+            size = len(ch.encode())
+            if not all(mask[at : at + size]):
+                out += ch.encode()
+            at += size
+        if row[1] is None or not any(mask) or out.decode().strip():
+            text = None if row[1] is None else out.decode()
+            want.append((row[0], text, None if text is None else len(text), *row[3:]))
+    got = suffix_dedup.strip_repeats(spark, frame, "")
+    assert got.columns == frame.columns and got.dtypes == frame.dtypes
+    assert sorted(map(str, map(tuple, got.collect()))) == sorted(map(str, want))
+    assert len(want) < len(rows) and suffix_dedup.strip_repeats(spark, frame.limit(0), "").count() == 0
+
+
 def test_kept_text_keeps_characters_whole():
-    cover = [{"starts": [1], "spans": [0, 4]}]
+    cover = [{"starts": [1], "long_spans": [0, 4]}]
     assert suffix_dedup.kept_text("éabcd", cover) == "éd"
-    assert suffix_dedup.kept_text("abcdé", [{"starts": [3], "spans": [0, 2]}]) == "abcé"
+    assert suffix_dedup.kept_text("abcdé", [{"starts": [3], "long_spans": [0, 2]}]) == "abcé"
     assert suffix_dedup.kept_text(None, None) is None
