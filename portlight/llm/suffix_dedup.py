@@ -30,6 +30,8 @@ RUN = 32
 SHARD_BYTES = 2 << 20
 #: Where more different pieces than this meet, their windows are counted by 128-bit digests, which spread over all tasks.
 HOT_PIECES = 2000
+#: Windows that are counted together there, as long as their whole text repeats.
+BLOCK = 16
 #: Frames of so many keys are broadcast; larger ones are joined by shuffles.
 BROADCAST_KEYS = 1_000_000
 #: Windows of one document that are cut together: the position takes 24 bits.
@@ -100,7 +102,7 @@ def find_pieces(keyed: DataFrame, short: int, long: int, run: int) -> DataFrame:
     return keyed.select("doc_id", "doc_key", "text").mapInArrow(cut, PIECES)
 
 
-_ARROW = {"long": pa.int64(), "int": pa.int32(), "array<int>": pa.list_(pa.int32()), "string": pa.string(), "binary": pa.binary()}
+_ARROW = {"long": pa.int64(), "int": pa.int32(), "array<int>": pa.list_(pa.int32()), "string": pa.string(), "binary": pa.binary(), "boolean": pa.bool_()}
 
 
 def _batch(columns: list[list], schema: str) -> pa.RecordBatch:
@@ -115,18 +117,18 @@ def _runs(mask: np.ndarray, length: int) -> list[int]:
 
 
 def split_piece(piece: bytes, width: int, place: int, short: int, long: int, run: int):
-    """(key, first window, number of windows, text) for the windows of a piece that hold at least half of their other bytes
-    left of the anchor at `place`, and for those that hold more right of it. The key hashes the anchor and that half."""
+    """(key, first window, number of windows, place, text) for the windows of a piece that hold at least half of their other
+    bytes left of the anchor at `place`, and for those that hold more right of it. The key hashes the anchor and that half."""
     half = (short - run) // 2
     left = max(0, min(width, place - half + 1))
     if left:
-        yield _signed(xxhash.xxh3_64_intdigest(piece[place - half : place + run], 1)), 0, left, piece[: left + long - 1]
+        yield _signed(xxhash.xxh3_64_intdigest(piece[place - half : place + run], 1)), 0, left, place, piece[: left + long - 1]
     if left < width:
-        yield _signed(xxhash.xxh3_64_intdigest(piece[place : place + run + half], 2)), left, width - left, piece[left:]
+        yield _signed(xxhash.xxh3_64_intdigest(piece[place : place + run + half], 2)), left, width - left, place - left, piece[left:]
 
 
 SPANS = "anchor long, d long, short_spans array<int>, long_spans array<int>"
-PARTS = "key long, anchor long, d long, n long, first int, width int, part binary"
+PARTS = "key long, anchor long, d long, n long, first int, width int, place int, part binary"
 
 
 def sort_shards(parts: DataFrame, short: int, long: int) -> DataFrame:
@@ -146,22 +148,22 @@ def sort_shards(parts: DataFrame, short: int, long: int) -> DataFrame:
             nonlocal size
             if len(group) > 1:
                 held.extend(group)
-                size += sum(len(x[6]) for x in group)
+                size += sum(len(x[7]) for x in group)
             elif group and group[0][3] > 1:  # only copies of itself
                 width = group[0][5]
-                add(group[0], (np.ones(width, dtype=bool), np.arange(width) + long <= len(group[0][6])))
+                add(group[0], (np.ones(width, dtype=bool), np.arange(width) + long <= len(group[0][7])))
 
         def flush():
             nonlocal held, size, out
             if held:
-                for row, masks in zip(held, repeated_windows([x[6] for x in held], [x[5] for x in held], [x[3] for x in held], short, long), strict=True):
+                for row, masks in zip(held, repeated_windows([x[7] for x in held], [x[5] for x in held], [x[3] for x in held], short, long), strict=True):
                     add(row, masks)
             done, held, size, out = out, [], 0, [[] for _ in range(4)]
             return _batch(done, SPANS)
 
         group: list[tuple] = []
         for batch in batches:
-            for row in zip(*(batch.column(i).to_pylist() for i in range(7)), strict=True):
+            for row in zip(*(batch.column(i).to_pylist() for i in range(8)), strict=True):
                 if group and row[0] != group[0][0]:
                     settle(group)
                     group = []
@@ -176,20 +178,45 @@ def sort_shards(parts: DataFrame, short: int, long: int) -> DataFrame:
 
 
 def count_windows(parts: DataFrame, short: int, long: int) -> DataFrame:
-    """As sort_shards, for keys where very many parts meet: windows are counted by digest, wherever they are."""
-    schema = "anchor long, d long, n long, length int, at int, w1 long, w2 long"
+    """As sort_shards, for keys where very many parts meet: windows are counted by digest, wherever they are.
+
+    Runs of BLOCK windows at fixed distances from the anchor go first: where a run's whole text repeats, all its windows do.
+    Only runs that occur once are looked at window by window, and windows are counted over different runs, not over all.
+    """
+    blocks = "anchor long, d long, n long, length int, at int, width int, b1 long, b2 long, block binary"
+    singles = "anchor long, d long, n long, length int, at int, once boolean, w1 long, w2 long"
+
+    def cut(batches):
+        for batch in batches:
+            rows: list[tuple] = []
+            for anchor, d, n, first, width, place, part in zip(*(batch.column(i).to_pylist() for i in range(7)), strict=True):
+                for length in sorted({short, long}):
+                    a, fit = 0, min(width, len(part) - length + 1)
+                    while a < fit:
+                        b = min(fit, a + (place - a) % BLOCK + 1)
+                        text = part[a : b - 1 + length]
+                        rows.append((anchor, d, n, length, first + a, b - a, *digest(text, length), text))
+                        a = b
+            yield _batch([list(x) for x in zip(*rows, strict=True)] or [[] for _ in range(9)], blocks)
 
     def windows(batches):
         for batch in batches:
-            for anchor, d, n, first, width, part in zip(*(batch.column(i).to_pylist() for i in range(6)), strict=True):
-                rows = [(anchor, d, n, length, first + i, *digest(part[i : i + length])) for length in sorted({short, long}) for i in range(width) if i + length <= len(part)]
-                yield _batch([list(x) for x in zip(*rows, strict=True)], schema)
-
-    rows = parts.select("anchor", "d", "n", "first", "width", "part").mapInArrow(windows, schema)
-    many = rows.groupBy("w1", "w2", "length").agg(F.sum("n").alias("total")).filter("total > 1")
-    at = lambda length: F.array_sort(F.collect_list(F.when(F.col("length") == length, F.col("at"))))
-    hit = rows.join(many, ["w1", "w2", "length"]).groupBy("anchor", "d").agg(at(short).alias("short_at"), at(long).alias("long_at"))
-    spans = lambda c, length: F.flatten(F.transform(c, lambda i: F.array(i, i + length)))
+            rows: list[tuple] = []
+            for anchor, d, n, length, at, width, once, text in zip(*(batch.column(i).to_pylist() for i in range(8)), strict=True):
+                rows += [(anchor, d, n, length, at + i, once, *digest(text[i : i + length], length)) for i in range(width)]
+            yield _batch([list(x) for x in zip(*rows, strict=True)] or [[] for _ in range(8)], singles)
+
+    runs = materialise(parts.select("anchor", "d", "n", "first", "width", "place", "part").mapInArrow(cut, blocks), "suffix-runs")
+    one = F.min(F.struct("anchor", "d", "at", "length", "width", "block")).alias("x")
+    kinds = materialise(runs.groupBy("b1", "b2").agg(F.sum("n").alias("n"), one).select("b1", "b2", "n", "x.*"), "suffix-run-kinds")
+    whole = runs.drop("block", "n").join(kinds.filter("n > 1").select("b1", "b2"), ["b1", "b2"]).select("anchor", "d", "length", "at", "width")
+    single = kinds.select("anchor", "d", "n", "length", "at", "width", (F.col("n") == 1).alias("once"), "block").mapInArrow(windows, singles)
+    single = materialise(single, "suffix-windows")
+    many = single.groupBy("w1", "w2", "length").agg(F.sum("n").alias("total")).filter("total > 1").select("w1", "w2", "length")
+    rest = single.filter("once").join(many, ["w1", "w2", "length"], "left_semi").select("anchor", "d", "length", "at", F.lit(1).alias("width"))
+    at = lambda length: F.array_sort(F.collect_list(F.when(F.col("length") == length, F.struct("at", "width"))))
+    hit = whole.unionByName(rest).groupBy("anchor", "d").agg(at(short).alias("short_at"), at(long).alias("long_at"))
+    spans = lambda c, length: F.flatten(F.transform(c, lambda x: F.array(x["at"], x["at"] + x["width"] - 1 + length)))
     return hit.select("anchor", "d", spans("short_at", short).alias("short_spans"), spans("long_at", long).alias("long_spans"))
 
 
@@ -215,13 +242,13 @@ def repeated_spans(docs: DataFrame, short: int = PASSAGE, long: int = LENGTH, ru
 
     def cut(batches):
         for batch in batches:
-            rows: list[list] = [[] for _ in range(7)]
+            rows: list[list] = [[] for _ in range(8)]
             for text, want in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 data = (text or "").encode()
                 for w in want:
                     piece = data[w["start"] : w["start"] + w["size"]]
-                    for key, first, width, part in split_piece(piece, w["width"], w["place"], short, long, run):
-                        for column, x in zip(rows, (key, w["anchor"], w["d"], w["n"], first, width, part), strict=True):
+                    for key, first, width, place, part in split_piece(piece, w["width"], w["place"], short, long, run):
+                        for column, x in zip(rows, (key, w["anchor"], w["d"], w["n"], first, width, place, part), strict=True):
                             column.append(x)
             yield _batch(rows, PARTS)
 

@@ -336,7 +336,7 @@ def test_equal_windows_share_a_key(text, more):
     keys, seen = {}, 0
     for _, first, width, place in suffix_dedup.cut_pieces(data, short, run):
         piece = data[first : first + width + short + more - 1]
-        for key, at, n, part in suffix_dedup.split_piece(piece, width, place, short, short + more, run):
+        for key, at, n, _, part in suffix_dedup.split_piece(piece, width, place, short, short + more, run):
             for i in range(n):
                 assert part[i : i + short] == data[first + at + i : first + at + i + short]
                 assert keys.setdefault(part[i : i + short], key) == key
