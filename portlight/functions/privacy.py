@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import json
 import re
 import unicodedata
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -54,6 +55,7 @@ ENTITIES = [
     ("IN_PASSPORT", r"\b[A-Z]\d{7}\b"),
     ("KR_RRN", r"\b\d{2}(0[1-9]|1[0-2])(0[1-9]|[12]\d|3[01])-[1-4]\d{6}\b"),
 ]
+#: Secrets and credentials. Their patterns decide which texts are hidden, so they have to be these.
 SECRETS = [
     ("JWT", r"ey[A-Za-z0-9-_=]+\.[A-Za-z0-9-_=]+\.?[A-Za-z0-9-_.+/=]*"),
     ("AWS_ACCESS_KEY", r"(?:AKIA|AGPA|AIDA|AROA|AIPA)[A-Z0-9]{16}"),
@@ -68,12 +70,60 @@ CREDENTIALS = [
 KEPT = {"PO_NUMBER"}
 
 
+#: What a text must hold for a pattern to match; a test that fails spares the patterns behind it.
+GUARDS = {
+    "at": lambda t: F.contains(t, F.lit("@")), "colon": lambda t: F.contains(t, F.lit(":")), "http": lambda t: F.contains(t, F.lit("http")), "digits": lambda t: t.rlike("[0-9]{3}"), "dotted": lambda t: t.rlike(r"[0-9]\.[0-9]"),
+    "base58": lambda t: t.rlike("[13][a-km-zA-HJ-NP-Z1-9]{25}"), "bank": lambda t: t.rlike("[:=\\s][A-Z]{6}"), "dashes": lambda t: F.contains(t, F.lit("-----BEGIN")), "scheme": lambda t: t.rlike("(?i)bearer|basic"),
+    "ey": lambda t: F.contains(t, F.lit("ey")), "A": lambda t: t.rlike("A[KGIR][IPDO]A"),
+}
+NEEDS = {"CRYPTO": "base58", "EMAIL_ADDRESS": "at", "URL": "http", "BIC_SWIFT": "bank", "JWT": "ey", "AWS_ACCESS_KEY": "A", "PRIVATE_KEY": "dashes", "AUTH_HEADER": "scheme"}
+#: Characters without width, which would break a number up.
+ZERO_WIDTH = "\u200b\u200c\u200d\u2060\ufeff"
+
+
+def _need(name: str, pattern: str) -> str:
+    return NEEDS.get(name) or ("dotted" if pattern.startswith(r"\b(?:[0-9]{1,3}\.)") else "colon" if name == "IP_ADDRESS" else "digits")
+
+
+def plain_text(text) -> Column:
+    """Compatibility forms (NFKC) in place of full-width digits, ligatures and the like, and no characters without width."""
+
+    def run(texts: pd.Series) -> pd.Series:
+        drop = dict.fromkeys(map(ord, ZERO_WIDTH))
+        return texts.map(lambda x: x if not isinstance(x, str) or x.isascii() else unicodedata.normalize("NFKC", x).translate(drop))
+
+    return F.pandas_udf(run, "string")(F.col(text) if isinstance(text, str) else text)
+
+
+def _with(f, *more):
+    return lambda x: f(x, *more)
+
+
 def mask(text, entities=ENTITIES) -> Column:
-    """Text with each match of an entity as <ENTITY>, secrets first."""
-    out = text if isinstance(text, Column) else F.col(text)
-    for name, pattern in [*SECRETS, *entities]:
-        out = F.regexp_replace(out, pattern, f"<{name}>")
-    return out
+    """Text in its plain form with each match of an entity as <ENTITY>, in order, secrets last. Patterns with one need in a row
+    are tried together, on texts that have it."""
+    steps: list[tuple[str, list]] = []
+    for name, pattern in [*entities, *SECRETS]:
+        need = _need(name, pattern)
+        if not steps or steps[-1][0] != need:
+            steps.append((need, []))
+        steps[-1][1].append((name, pattern))
+    bind = lambda value, f: F.get(F.transform(F.array(value), f), F.lit(0))  # noqa: E731  the value is computed once
+    needs = sorted({need for need, _ in steps})
+
+    def replaced(x, needed, patterns):
+        done = x
+        for name, pattern in patterns:
+            done = F.regexp_replace(done, pattern, f"<{name}>")
+        return F.when(needed, done).otherwise(x)
+
+    def masked(row):
+        out = row["text"]
+        for need, patterns in steps:
+            out = bind(out, _with(replaced, row[need], patterns))
+        return out
+
+    return bind(plain_text(text), lambda t: bind(F.struct(t.alias("text"), *[GUARDS[n](t).alias(n) for n in needs]), masked))
 
 
 def entity_counts(text, entities=ENTITIES) -> list[Column]:
@@ -84,6 +134,14 @@ def entity_counts(text, entities=ENTITIES) -> list[Column]:
     return [c.cast("long").alias(name.lower()) for name, c in by.items()]
 
 
+def with_places(text: str) -> tuple[str, range | list[int]]:
+    """The plain form of a text, character by character, and where in the text each of its characters stands."""
+    if text.isascii():
+        return text, range(len(text))
+    forms = [(i, y) for i, x in enumerate(text) if x not in ZERO_WIDTH for y in unicodedata.normalize("NFKC", x)]
+    return "".join(y for _, y in forms), [i for i, _ in forms]
+
+
 def redact_text(text: str | None, tokens: dict[str, str]) -> str | None:
     """Replaces credentials, secrets and entities by [TYPE_n] and notes token to value in tokens; a value that has a token
     keeps it. Numbers go on after those in tokens."""
@@ -101,11 +159,12 @@ def redact_text(text: str | None, tokens: dict[str, str]) -> str | None:
         return values[value]
 
     taken: list[tuple[int, int, str]] = []
-    plain = unicodedata.normalize("NFKC", text)
-    plain = plain if len(plain) == len(text) else text
+    plain, places = with_places(text)
     for kind, pattern, group in [*[(k, p, 1) for k, p in CREDENTIALS], *[(k, p, 0) for k, p in [*SECRETS, *ENTITIES]]]:
         for m in re.finditer(pattern, plain, re.ASCII):
             a, b = m.span(group)
+            if a < b:
+                a, b = places[a], places[b - 1] + 1
             if a < b and not any(a < y and x < b for x, y, _ in taken) and not re.search(r"\[[A-Z_]+_\d+\]", text[a:b]):
                 taken.append((a, b, kind))
     for a, b, kind in sorted(taken, reverse=True):  # from the right, so that places stay
@@ -159,3 +218,63 @@ def decrypt(text, key_hex: str) -> Column:
     p = F.split(F.col(text) if isinstance(text, str) else text, ":")
     piece = lambda i: F.unbase64(F.get(p, F.lit(i)))
     return F.try_aes_decrypt(F.concat(piece(0), piece(2), piece(1)), F.unhex(F.lit(key_hex)), F.lit("GCM")).cast("string")
+
+
+def redact_json(text: str | None, tokens: dict[str, str], change=redact_text) -> str | None:
+    """JSON whose texts at any depth are redacted, keys and other values as they are; what is no JSON is one text."""
+
+    def walk(x):
+        if isinstance(x, str):
+            return change(x, tokens)
+        if isinstance(x, list):
+            return [walk(y) for y in x]
+        return {k: walk(v) for k, v in x.items()} if isinstance(x, dict) else x
+
+    try:
+        return None if text is None else json.dumps(walk(json.loads(text)), ensure_ascii=False, separators=(",", ":"))
+    except ValueError:
+        return change(text, tokens)
+
+
+def redact_deep(text) -> Column:
+    """struct(redacted, tokens) of a JSON column: its texts with tokens, and the tokens' values."""
+
+    def run(texts: pd.Series) -> pd.DataFrame:
+        rows = []
+        for x in texts:
+            tokens: dict[str, str] = {}
+            rows.append((redact_json(x if isinstance(x, str) else None, tokens), tokens))
+        return pd.DataFrame({"redacted": pd.Series([r for r, _ in rows], dtype=object), "tokens": pd.Series([t for _, t in rows], dtype=object)})
+
+    return F.pandas_udf(run, REDACTED)(F.col(text) if isinstance(text, str) else text)
+
+
+#: What a prompt says in place of a supplier's fields, and values that hide nothing.
+SURROGATES = {"supplier_email": "ap@redwood-trading.example", "supplier_address": "17 Larkspur Avenue"}
+NOTHING = ("N/A", "NO_DATA_FOUND")
+
+
+def is_maskable(c) -> Column:
+    t = F.trim(F.col(c) if isinstance(c, str) else c)
+    return F.coalesce((t != "") & ~t.isin(*NOTHING), F.lit(False))
+
+
+def with_surrogates(rows: DataFrame, fields: dict[str, str] = SURROGATES) -> DataFrame:
+    """rows with surrogates in place of the fields, and their values in a map, surrogate to value."""
+    pairs = F.filter(F.array(*[F.when(is_maskable(c), F.struct(F.lit(s).alias("k"), F.col(c).alias("v"))) for c, s in fields.items()]), lambda x: x.isNotNull())
+    rows = rows.withColumn("surrogates", F.map_from_entries(pairs))
+    return rows.withColumns({c: F.when(is_maskable(c), s).otherwise(F.col(c)) for c, s in fields.items()})
+
+
+def leaks(text, surrogates) -> Column:
+    """How many of the hidden values a text still holds; a prompt may go out only with none."""
+    values = F.map_values(F.col(surrogates) if isinstance(surrogates, str) else surrogates)
+    return F.coalesce(F.size(F.filter(values, lambda v: F.contains(F.col(text) if isinstance(text, str) else text, v))), F.lit(0))
+
+
+def without_surrogates(text, surrogates) -> Column:
+    """Surrogates back to their values, the longest first, whatever their case."""
+    pairs = F.array_sort(F.transform(F.map_entries(F.col(surrogates)), lambda e: F.struct((-F.length(e["key"])).alias("n"), e["key"].alias("k"), e["value"].alias("v"))))
+    quoted = lambda k: F.concat(F.lit("(?i)\\Q"), k, F.lit("\\E"))
+    literal = lambda v: F.replace(F.replace(v, F.lit("\\"), F.lit("\\\\")), F.lit("$"), F.lit("\\$"))
+    return F.aggregate(pairs, F.col(text) if isinstance(text, str) else text, lambda t, e: F.regexp_replace(t, quoted(e["k"]), literal(e["v"])))

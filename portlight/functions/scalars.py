@@ -40,6 +40,68 @@ def priority(c) -> Column:
     return F.upper(F.trim(col(c)))
 
 
+def is_priority(c) -> Column:
+    return F.coalesce(priority(c).isin("HIGH", "MEDIUM", "LOW"), F.lit(False))
+
+
+def composite_key(*cs) -> Column:
+    """The trimmed columns joined by |; null counts as empty."""
+    return F.concat_ws("|", *[F.coalesce(F.trim(col(c).cast("string")), F.lit("")) for c in cs])
+
+
+def distinct_list(c) -> Column:
+    """Trimmed texts of an array, the first of each, without empty ones."""
+    return F.array_distinct(F.filter(F.transform(col(c), lambda x: F.trim(x.cast("string"))), lambda x: x != ""))
+
+
+def json_list(c) -> Column:
+    """A JSON array as texts; anything else has none."""
+    return F.coalesce(F.from_json(col(c), "array<string>"), F.array().cast("array<string>"))
+
+
+def config_value(c) -> Column:
+    """struct(value, error) of a configuration text: a JSON array, its texts trimmed and distinct, or a JSON object, as JSON."""
+    text = F.trim(col(c))
+    items, fields = F.from_json(text, "array<string>"), F.try_parse_json(text)
+    array, thing = F.startswith(text, F.lit("[")) & items.isNotNull(), F.startswith(text, F.lit("{")) & fields.isNotNull()
+    value = F.when(array, F.to_json(distinct_list(items))).when(thing, F.to_json(fields))
+    error = F.when(col(c).isNotNull() & value.isNull(), F.when(fields.isNull(), "value must be valid JSON").otherwise("value must be a JSON array or object"))
+    return F.struct(value.alias("value"), error.alias("error"))
+
+
+def positive_number(c, default: int) -> Column:
+    """A whole number above 0: from a JSON number, else from the first such number of a JSON object, else from leading digits."""
+    text = col(c)
+    values = F.map_values(F.from_json(text, "map<string,string>"))
+    number = F.coalesce(text.try_cast("double"), F.get(F.filter(F.transform(values, lambda v: v.try_cast("double")), lambda v: v > 0), F.lit(0)), F.regexp_extract(text, r"^\s*(\d+)", 1).try_cast("double"))
+    return F.coalesce(F.when(number >= 1, F.floor(number).cast("long")), F.lit(default).cast("long"))
+
+
+def movement_label(c) -> Column:
+    """What the status letters of a delivery mean."""
+    code = F.upper(F.trim(col(c)))
+    return F.when(code == "A", "A (Active / ASN received)").when(code == "B", "B (In process / in transit)").when(code == "C", "C (Completed)").otherwise(first_text(c, F.lit("No ASN")))
+
+
+def token_total(total, sent, received) -> Column:
+    """The total as given, else the sum of both sides."""
+    return F.coalesce(col(total), F.coalesce(col(sent), F.lit(0)) + F.coalesce(col(received), F.lit(0)))
+
+
+def masked_secret(c) -> Column:
+    return F.when(first_text(c).isNotNull(), F.lit("*" * 16))
+
+
+def iso_text(c) -> Column:
+    """A timestamp text with T and Z; one with a T stays."""
+    t = blank_null(c)
+    return F.when(F.contains(t, F.lit("T")), t).otherwise(F.concat(F.replace(t, F.lit(" "), F.lit("T")), F.lit("Z")))
+
+
+def decimal_or_null(c, digits: int = 3) -> Column:
+    return blank_null(col(c).cast("string")).try_cast(f"decimal(23,{digits})")
+
+
 def split_list(c) -> Column:
     return F.filter(F.transform(F.split(col(c), ","), lambda x: F.trim(x)), lambda x: x != "")
 
@@ -184,20 +246,50 @@ def clock_time(c) -> Column:
     return F.coalesce(iso, plain, F.when(t.rlike(r"^\d{6}$"), F.regexp_replace(t, r"^(\d\d)(\d\d)(\d\d)$", "$1:$2:$3")))
 
 
+def date_and_time(date, time) -> Column:
+    """The day of one source text at the time of another; the date as it stands without a time."""
+    day, clock = timestamp(date), clock_time(time)
+    return F.when(clock.isNull(), day).otherwise(F.to_timestamp(F.concat(F.date_format(day, "yyyy-MM-dd"), F.lit(" "), clock), "yyyy-MM-dd HH:mm:ss"))
+
+
+def trailing_window(as_of: str, since: str | None = None, until: str | None = None, days: int = 30) -> tuple[str, str]:
+    """(first, last) day: as asked for, missing or unreadable sides from the `days` days that end with as_of, in order."""
+    from datetime import date, timedelta
+
+    def day(x):
+        try:
+            return date.fromisoformat(x) if x and len(x) == 10 else None
+        except ValueError:
+            return None
+
+    last = date.fromisoformat(as_of)
+    a, b = day(since) or last - timedelta(days=days - 1), day(until) or last
+    return min(a, b).isoformat(), max(a, b).isoformat()
+
+
 def differs(pairs) -> Column:
     """Whether any of the pairs (a, b) differs, null being a value."""
     return reduce(lambda x, y: x | y, [~col(a).eqNullSafe(col(b)) for a, b in pairs])
 
 
+def schedule_timing(pattern, value, cron) -> Column:
+    """struct(pattern, value): CRON where no pattern is given, and then the older column's expression where no value is."""
+    kind, v = first_text(pattern, F.lit("CRON")), F.coalesce(F.trim(col(value)), F.lit(""))
+    return F.struct(kind.alias("pattern"), F.when((v == "") & (kind == "CRON"), F.coalesce(F.trim(col(cron)), F.lit(""))).otherwise(v).alias("value"))
+
+
 def schedule_error(pattern, value) -> Column:
-    """What is wrong with a schedule, else null: CRON has five fields at least, REPEAT_INTERVAL a number and a unit,
-    REPEAT_AT three characters at least, ONE_TIME a date."""
-    kind, v = F.upper(F.trim(col(pattern))), F.trim(col(value))
-    empty = F.coalesce(v, F.lit("")) == ""
+    """What is wrong with a schedule, else null: CRON has five fields at least, REPEAT_INTERVAL a number from 1 and a unit from
+    minutes to weeks, REPEAT_AT three characters at least, ONE_TIME a date or at least a digit at first."""
+    kind, v = first_text(pattern, F.lit("CRON")), F.coalesce(F.trim(col(value)), F.lit(""))
+    shape, unit = r"^(\d+)\s+(\w+)$", F.lower(F.regexp_extract(v, r"^(\d+)\s+(\w+)$", 2))
+    interval = (
+        F.when(~v.rlike(shape), "interval needs a number and a unit").when(F.regexp_extract(v, shape, 1).try_cast("decimal(38,0)") < 1, "interval must be at least 1")
+        .when(~unit.isin(*[x for u in ("minute", "hour", "day", "week") for x in (u, u + "s")]), "unit must be minutes, hours, days or weeks")
+    )
     return (
-        F.when(kind.isNull() | ~kind.isin("CRON", "REPEAT_INTERVAL", "REPEAT_AT", "ONE_TIME"), "unknown pattern").when(empty, "no value")
-        .when((kind == "CRON") & (F.size(F.split(v, r"\s+")) < 5), "cron needs five fields").when((kind == "REPEAT_INTERVAL") & ~v.rlike(r"(?i)^\d+\s+(seconds?|minutes?|hours?|days?|weeks?|months?|years?)$"), "interval needs a number and a unit")
-        .when((kind == "REPEAT_AT") & (F.length(v) < 3), "time is too short").when((kind == "ONE_TIME") & timestamp(v).isNull(), "no date")
+        F.when(~kind.isin("CRON", "REPEAT_INTERVAL", "REPEAT_AT", "ONE_TIME"), "unknown pattern").when(v == "", "no value").when((kind == "CRON") & (F.size(F.split(v, r"\s+")) < 5), "cron needs five fields")
+        .when(kind == "REPEAT_INTERVAL", interval).when((kind == "REPEAT_AT") & (F.length(v) < 3), "time is too short").when((kind == "ONE_TIME") & timestamp(v).isNull() & ~v.rlike(r"^\d"), "no date")
     )
 
 

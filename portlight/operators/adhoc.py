@@ -27,6 +27,7 @@ class Query:
     linked: tuple | None = None
     order_by: str | None = None
     limit: int | None = MAX_ROWS
+    offset: int = 0
 
 
 def _known(df: DataFrame, columns, label: str) -> None:
@@ -62,8 +63,8 @@ def filtered(df: DataFrame, where: dict, like: dict | None = None) -> DataFrame:
     return df
 
 
-def query(catalogue, q: Query) -> DataFrame:
-    """The rows of a query; unknown columns in select are left out, in filters they are errors."""
+def matching(catalogue, q: Query) -> DataFrame:
+    """All rows that the filters of a query admit."""
     df = filtered(getattr(catalogue, q.from_), q.where, q.like)
     if q.linked:
         name, keys, where = q.linked
@@ -73,14 +74,36 @@ def query(catalogue, q: Query) -> DataFrame:
             one = F.col(ours) == F.col(f"linked_{ours}")
             test = one if test is None else test & one
         df = df.join(other, test, "left_semi")
+    return df
+
+
+def query(catalogue, q: Query) -> DataFrame:
+    """The rows of a query, MAX_ROWS at most where it has a limit (result() tells how many there are in all); unknown columns
+    in select are left out, in filters they are errors."""
+    df = matching(catalogue, q)
     if q.order_by:
         column, _, way = q.order_by.strip().partition(" ")
         _known(df, [column], "order")
         df = df.orderBy(F.desc_nulls_last(column) if way.strip().lower() == "desc" else F.asc_nulls_first(column), *[c for c in df.columns if c != column])
+    if q.offset:
+        df = df.offset(q.offset)
     if q.limit is not None:
         df = df.limit(max(1, min(q.limit, MAX_ROWS)))
     return df.select(*[c for c in q.select if c in df.columns] or df.columns)
 
 
 def count(catalogue, q: Query) -> DataFrame:
-    return query(catalogue, Query(q.from_, where=q.where, like=q.like, linked=q.linked, limit=None)).agg(F.count("*").alias("total"))
+    return matching(catalogue, q).agg(F.count("*").alias("total"))
+
+
+def result(catalogue, q: Query) -> DataFrame:
+    """One row: how many rows match, how many are returned, whether that is fewer, and the rows as a JSON array."""
+    rows = query(catalogue, q)
+    packed = rows.agg(F.count("*").alias("returned"), F.to_json(F.array_sort(F.collect_list(F.struct(*rows.columns)))).alias("rows"))  # MAX_ROWS at most
+    out = count(catalogue, q).crossJoin(packed)  # one row each
+    return out.select(F.lit(q.from_).alias("from"), "total", "returned", (F.col("total") > F.col("returned")).alias("truncated"), "rows")
+
+
+def catalogue_rows(spark, frames: dict[str, DataFrame]) -> DataFrame:
+    """table_name, column_name, kind of a catalogue's tables, for prompts and checks of uploads."""
+    return spark.createDataFrame([(name, c, t) for name, df in frames.items() for c, t in df.dtypes], "table_name string, column_name string, kind string")

@@ -12,8 +12,8 @@ from pyspark.sql import types as T
 from ..functions import privacy
 from ..functions import scalars as S
 
-MESSAGES = "array<struct<id:string,role:string,content:string>>"
-ROLES = ("user", "assistant", "system")
+MESSAGES = "array<struct<id:string,role:string,content:string,toolInvocations:array<struct<state:string,toolCallId:string,toolName:string,args:string,result:string>>>>"
+ROLES = ("user", "assistant", "system", "data")
 
 
 def parse_messages(rows: DataFrame, column: str) -> DataFrame:
@@ -22,6 +22,22 @@ def parse_messages(rows: DataFrame, column: str) -> DataFrame:
     return out.select(*[c for c in rows.columns if c != column], "turn", F.col("m.id").alias("message_id"), F.lower("m.role").alias("role"), F.trim("m.content").alias("text")).filter(F.col("role").isin(*ROLES) & (F.coalesce("text", F.lit("")) != ""))
 
 
+def tool_calls(rows: DataFrame, column: str) -> DataFrame:
+    """The tool calls that assistants' messages of a JSON array hold: call_id, tool_name, state (call, else result), args and
+    result as JSON; those without id or name are left out."""
+    m = F.explode(F.filter(F.coalesce(F.from_json(column, MESSAGES), F.array().cast(MESSAGES)), lambda x: F.lower(x["role"]) == "assistant"))
+    kept = [c for c in rows.columns if c != column]
+    calls = rows.select(*kept, m.alias("m")).select(*kept, F.posexplode("m.toolInvocations").alias("call_no", "t")).filter("t.toolCallId <> '' and t.toolName <> ''")
+    state = F.when(F.col("t.state") == "call", "call").otherwise("result")
+    return calls.select(*kept, "call_no", F.col("t.toolCallId").alias("call_id"), F.col("t.toolName").alias("tool_name"), state.alias("state"), F.coalesce("t.args", F.lit("{}")).alias("args"), F.when(state == "result", F.col("t.result")).alias("result"))
+
+
+def shown_text(text, tokens) -> Column:
+    """A text for display: repaired tokens, and tokens (a map, token to value) back to their values."""
+    known = F.map_keys(S.col(tokens))
+    return F.aggregate(F.map_entries(S.col(tokens)), repair_tokens(text, known), lambda t, e: F.replace(t, e["key"], e["value"]))
+
+
 def tool_states(calls: DataFrame, outputs: DataFrame) -> DataFrame:
     """Tool calls (call_id) with their state: result before error before invalid; a call without output stays a call."""
     rank = F.when(F.col("kind") == "result", 0).when(F.col("kind") == "error", 1).otherwise(2)

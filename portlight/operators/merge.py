@@ -2,15 +2,32 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
 from .relational import newest_first, stale
 
-#: Columns of an order line that come from the source and are compared, and those whose old value stays when none comes.
-COMPARED = ["material_id", "plant", "po_qty", "net_price", "supplier_id", "currency", "delivery_date"]
-KEPT_WHEN_EMPTY = ["currency"]
+#: Columns of an order line that come from the source and are compared, those whose old value stays when none
+#: comes, and those of a document error that are compared. Columns that a table lacks are left out.
+COMPARED = [
+    "material_id", "plant", "material_group", "po_qty", "po_uom", "net_price", "supplier_id", "doc_type", "currency", "doc_date", "created_on", "created_by", "company_code", "purch_group", "delivery_date", "ship_date",
+    "is_intracompany_transfer",
+]
+KEPT_WHEN_EMPTY = ["po_uom", "currency", "created_by", "ship_date"]
+DOCUMENT_COMPARED = ["status", "status_text", "error_msg", "bill_of_lading", "status_group", "status_logdat"]
+QUANTITIES = ["open_qty", "received_qty_so_far", "gr_qty"]
+#: Analysis flags of a document error and their values after a change.
+DOCUMENT_FLAGS = {"ai_processed": ("boolean", False), "ai_processed_at": ("timestamp", None), "exception_type_hint": ("string", None), "ict_exception_id": ("long", None)}
+
+
+def compared(*frames: DataFrame) -> list[str]:
+    return [c for c in COMPARED if all(c in f.columns for f in frames)]
+
+
+def comparable(c: str, kind: str):
+    """A column as it is compared: '' is null, no value of a yes-or-no column is no."""
+    return F.coalesce(F.col(c), F.lit(False)) if kind == "boolean" else S.blank_null(c) if kind == "string" else F.col(c)
 
 
 def upsert(existing: DataFrame, incoming: DataFrame, keys: list[str]) -> DataFrame:
@@ -28,52 +45,52 @@ def upsert(existing: DataFrame, incoming: DataFrame, keys: list[str]) -> DataFra
 def line_plan(existing: DataFrame, incoming: DataFrame, quantities: DataFrame) -> DataFrame:
     """What becomes of each incoming order line: op skip (no delivery date), insert, touch (no change in the source's
     columns) or update, its quantities, and whether it has to be analysed again."""
-    keys = ["po_number", "line_item"]
-    old = existing.select(*keys, *[F.col(c).alias(f"old_{c}") for c in (*COMPARED, "open_qty", "received_qty_so_far", "gr_qty", "ai_processed", "ai_processed_at")], F.lit(True).alias("known_"))
+    keys, columns = ["po_number", "line_item"], compared(existing, incoming)
+    kinds = dict(existing.dtypes)
+    old = existing.select(*keys, *[F.col(c).alias(f"old_{c}") for c in (*columns, *QUANTITIES, "ai_processed", "ai_processed_at")], F.lit(True).alias("known_"))
     rows = incoming.join(old, keys, "left").join(quantities.select(*keys, "received", "posted"), keys, "left")
     for c in KEPT_WHEN_EMPTY:
-        rows = rows.withColumn(c, F.coalesce(S.blank_null(c), F.col(f"old_{c}")))
+        if c in columns:
+            rows = rows.withColumn(c, F.coalesce(S.blank_null(c) if kinds[c] == "string" else F.col(c), F.col(f"old_{c}")))
     rows = rows.withColumn("q", S.open_quantities("po_qty", "received", "posted", "open_qty", "old_received_qty_so_far", "old_gr_qty"))
-    changed = S.differs([(c, f"old_{c}") for c in COMPARED])
+    changed = S.differs([(comparable(c, kinds[c]), comparable(f"old_{c}", kinds[c])) for c in columns])
     moved = (S.quantity("old_open_qty") != F.col("q.open")) | (S.quantity("old_received_qty_so_far") != F.col("q.received")) | (S.quantity("old_gr_qty") != F.col("q.posted"))
     known = F.coalesce("known_", F.lit(False))
     op = F.when(F.col("delivery_date").isNull(), "skip").when(~known, "insert").when(changed, "update").otherwise("touch")
     again = known & F.col("delivery_date").isNotNull() & (changed | moved) & (S.is_true("old_ai_processed") | F.col("old_ai_processed_at").isNotNull())
-    return rows.select(*keys, *COMPARED, op.alias("op"), again.alias("again"), F.col("q.open").alias("open_qty"), F.col("q.received").alias("received_qty_so_far"), F.col("q.posted").alias("gr_qty"))
+    return rows.select(*keys, *columns, op.alias("op"), again.alias("again"), F.col("q.open").alias("open_qty"), F.col("q.received").alias("received_qty_so_far"), F.col("q.posted").alias("gr_qty"))
 
 
 def apply_line_plan(existing: DataFrame, plan: DataFrame, run_time: str) -> DataFrame:
-    """existing after the plan: planned lines are OPEN and stamped; touched ones keep what the source sends."""
-    keys = ["po_number", "line_item"]
+    """existing after the plan: planned lines are OPEN and stamped with run_time, touched ones keep what the source sends,
+    others keep their stamp. The result can be planned and merged again."""
+    keys, columns = ["po_number", "line_item"], compared(existing, plan)
     p = plan.filter("op <> 'skip'").select(*keys, *[F.col(c).alias(f"new_{c}") for c in plan.columns if c not in keys])
+    if "last_synced_at" not in existing.columns:
+        existing = existing.withColumn("last_synced_at", F.lit(None).cast("timestamp"))
     both = existing.join(p, keys, "full")
     planned, inserted = F.col("new_op").isNotNull(), F.col("new_op") == "insert"
-    out = []
-    for c in existing.columns:
-        if c in keys:
-            out.append(F.col(c))
-        elif c in COMPARED:
-            out.append(F.when(F.col("new_op").isin("insert", "update"), F.col(f"new_{c}")).otherwise(F.col(c)).alias(c))
-        elif c in ("open_qty", "received_qty_so_far", "gr_qty"):
-            out.append(F.when(planned, F.col(f"new_{c}")).otherwise(F.col(c)).alias(c))
-        elif c == "po_status":
-            out.append(F.when(planned, "OPEN").otherwise(F.col(c)).alias(c))
-        elif c == "ai_processed":
-            out.append(F.when(inserted | F.col("new_again"), False).otherwise(F.col(c)).alias(c))
-        elif c == "ai_reanalysis_needed":
-            out.append(F.when(F.col("new_again"), True).otherwise(F.col(c)).alias(c))
-        else:
-            out.append(F.col(c))
-    return both.select(*out, F.when(planned, F.lit(run_time).cast("timestamp")).alias("last_synced_at"))
+    values = {c: F.when(F.col("new_op").isin("insert", "update"), F.col(f"new_{c}")).otherwise(F.col(c)) for c in columns}
+    values |= {c: F.when(planned, F.col(f"new_{c}")).otherwise(F.col(c)) for c in QUANTITIES}
+    values |= {
+        "po_status": F.when(planned, "OPEN").otherwise(F.col("po_status")), "ai_processed": F.when(inserted | F.col("new_again"), False).otherwise(F.col("ai_processed")),
+        "ai_reanalysis_needed": F.when(F.col("new_again"), True).otherwise(F.col("ai_reanalysis_needed")), "last_synced_at": F.when(planned, F.lit(run_time).cast("timestamp")).otherwise(F.col("last_synced_at")),
+    }
+    return both.select(*[values[c].alias(c) if c in values else F.col(c) for c in existing.columns])
 
 
 def document_plan(existing: DataFrame, incoming: DataFrame) -> DataFrame:
-    """insert, unchanged (analysis flags stay) or update (flags are reset) for each incoming document error."""
-    keys, compared = ["docnum", "po_number", "line_item"], ["status", "error_msg", "status_logdat"]
-    old = existing.select(*keys, *[F.col(c).alias(f"old_{c}") for c in compared], F.lit(True).alias("known_"))
-    rows = incoming.join(old, keys, "left")
-    op = F.when(F.col("known_").isNull(), "insert").when(S.differs([(c, f"old_{c}") for c in compared]), "update").otherwise("unchanged")
-    return rows.select(*keys, "status", S.document_group("status").alias("status_group"), op.alias("op"))
+    """Incoming document errors with op insert, unchanged (analysis flags stay) or update (flags are reset)."""
+    keys = ["docnum", "po_number", "line_item"]
+    rows = incoming.withColumn("status_group", S.document_group("status"))
+    old = existing.withColumn("status_group", S.document_group("status"))
+    same = [c for c in DOCUMENT_COMPARED if c in rows.columns and c in old.columns]
+    flags = [c for c in DOCUMENT_FLAGS if c in old.columns]
+    rows = rows.drop(*flags).join(old.select(*keys, *[F.col(c).alias(f"old_{c}") for c in (*same, *flags)], F.lit(True).alias("known_")), keys, "left")
+    op = F.when(F.col("known_").isNull(), "insert").when(S.differs([(c, f"old_{c}") for c in same]), "update").otherwise("unchanged")
+    rows = rows.withColumn("op", op)
+    kept = [F.when(F.col("op") == "unchanged", F.col(f"old_{c}")).otherwise(F.lit(DOCUMENT_FLAGS[c][1]).cast(DOCUMENT_FLAGS[c][0])).alias(c) for c in flags]
+    return rows.select(*[c for c in incoming.columns if c not in ("status_group", *flags)], "status_group", *kept, "op")
 
 
 def source_hash(columns: list[str]):
@@ -130,10 +147,10 @@ def delete_rows(rows: DataFrame, keys: DataFrame) -> tuple[DataFrame, DataFrame]
 def validate_upload(cells: DataFrame, kinds: dict[str, str], keys: list[str], existing: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(rows, errors) of uploaded text rows (row_idx and columns by kind: string, long, double, boolean, timestamp).
 
-    Each value is read by its kind; keys are required; of rows that are valid so far a key's second is an error, and so is
-    a key that exists.
+    Each value is read by its kind; keys are required; columns that are no kind's are errors where they hold a value; of rows
+    that are valid so far a key's second is an error, and so is a key that exists.
     """
-    typed = {}
+    typed = {c: (F.lit(None), F.when(S.blank_null(F.trim(c)).isNotNull(), F.lit(f"{c}: unknown column"))) for c in cells.columns if c != "row_idx" and c not in kinds}
     for c, kind in kinds.items():
         text = S.blank_null(F.trim(c))
         if kind == "long":
@@ -149,10 +166,61 @@ def validate_upload(cells: DataFrame, kinds: dict[str, str], keys: list[str], ex
             value = text
         bad = F.when(text.isNotNull() & value.isNull(), F.lit(f"{c}: not a {kind}")).when(F.lit(c in keys) & text.isNull(), F.lit(f"{c}: required"))
         typed[c] = (value, bad)
-    rows = cells.select("row_idx", *[v.alias(c) for c, (v, _) in typed.items()], F.array_compact(F.array(*[e for _, e in typed.values()])).alias("errors_"))
+    rows = cells.select("row_idx", *[v.alias(c) for c, (v, _) in typed.items() if c in kinds], F.array_compact(F.array(*[e for _, e in typed.values()])).alias("errors_"))
     bad = rows.filter(F.size("errors_") > 0).select("row_idx", F.explode("errors_").alias("error"))
     good = newest_first(rows.filter(F.size("errors_") == 0), keys, [F.asc("row_idx")], 1 << 30)
     twice = good.filter("rank_ > 1").select("row_idx", F.lit("key repeats in the upload").alias("error"))
     single = good.filter("rank_ = 1").drop("rank_", "errors_")
     there = single.join(existing.select(*keys), keys, "left_semi").select("row_idx", F.lit("key exists").alias("error"))
     return single.join(existing.select(*keys), keys, "left_anti"), bad.unionByName(twice).unionByName(there)
+
+
+def upload_outcome(n_rows: DataFrame, good: DataFrame, bad: DataFrame, existing: DataFrame, keys: list[str]) -> DataFrame:
+    """One row: uploaded, inserted, updated, failed rows and a label: success, partial or failed."""
+    failed = bad.select("row_idx").distinct().agg(F.count("*").alias("failed"))
+    there = good.join(existing.select(*keys, F.lit(True).alias("there_")).distinct(), keys, "left").agg(F.count("*").alias("written"), F.count("there_").alias("updated"))
+    one = n_rows.agg(F.count("*").alias("uploaded")).crossJoin(there).crossJoin(failed)  # one row each
+    label = F.when(F.col("failed") == 0, "success").when(F.col("written") == 0, "failed").otherwise("partial")
+    return one.select("uploaded", (F.col("written") - F.col("updated")).alias("inserted"), "updated", "failed", label.alias("outcome"))
+
+
+def use_alternate_key(cells: DataFrame, existing: DataFrame, key: str, alternate: str) -> DataFrame:
+    """Uploaded rows without key take that of the existing row with the same alternate key."""
+    known = existing.filter(F.col(alternate).isNotNull()).groupBy(F.col(alternate).alias("alternate_")).agg(F.min(key).cast("string").alias("known_"))
+    rows = cells.join(known, F.trim(alternate) == F.col("alternate_"), "left")
+    return rows.withColumn(key, F.coalesce(S.blank_null(F.trim(key)), F.col("known_"))).select(cells.columns)
+
+
+def merge_into(spark, folder: str, incoming: DataFrame, keys: list[str], label: str) -> DataFrame:
+    """Upserts incoming into the table at folder and returns its new version, which lies beside the old ones. A merge with a
+    label that is there already writes nothing, so it can be repeated."""
+    from ..sources.files import latest_version, read_version, write_version
+
+    newest = latest_version(spark, folder)
+    if newest and newest[1] == label:
+        return read_version(spark, folder)
+    out = upsert(read_version(spark, folder), incoming, keys) if newest else incoming
+    return spark.read.parquet(write_version(out, folder, newest[0] + 1 if newest else 1, label))
+
+
+def log_upsert(logs: DataFrame, incoming: DataFrame) -> DataFrame:
+    """Run logs (run_id, status) after incoming ones; a RUNNING that comes late never replaces a finished run."""
+    ended = logs.filter(S.run_status("status").isin("SUCCESS", "FAILURE", "ERROR")).select("run_id")
+    late = incoming.filter("status = 'RUNNING'").join(ended, "run_id", "left_semi").select("run_id")
+    return upsert(logs, incoming.join(late, "run_id", "left_anti"), ["run_id"])
+
+
+def assign_ids(rows: DataFrame, order: list[str], after: int = 0, splits: int = 63) -> DataFrame:
+    """Adds new_id, numbering rows from after + 1 in the order of the columns (distinct, not null).
+
+    Rows are dealt to ranges between a few of their own keys, chosen by hash; each range numbers its rows, and the sizes of
+    the ranges before it are added. So no task orders all rows, and the numbers don't depend on the choice.
+    """
+    key = F.struct(*order)
+    picked = rows.select(*order).orderBy(F.xxhash64(*order), *order).limit(splits).collect()
+    bounds = F.array(*[F.struct(*[F.lit(x).cast(rows.schema[c].dataType).alias(c) for c, x in zip(order, r, strict=True)]) for r in picked]) if picked else None
+    ranged = rows.withColumn("range_", F.size(F.filter(bounds, lambda b: b <= key)) if picked else F.lit(0))
+    sizes = ranged.groupBy("range_").agg(F.count("*").alias("n"))
+    before = sizes.select("range_", F.coalesce(F.sum("n").over(Window.orderBy("range_").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before_"))  # splits + 1 rows
+    numbered = ranged.withColumn("place_", F.row_number().over(Window.partitionBy("range_").orderBy(*order)))
+    return numbered.join(F.broadcast(before), "range_").withColumn("new_id", F.lit(after) + F.col("before_") + F.col("place_")).drop("range_", "before_", "place_")

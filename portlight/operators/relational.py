@@ -72,7 +72,11 @@ def dedupe_carrier_events(events: DataFrame) -> DataFrame:
 
 
 def latest_carrier_event(events: DataFrame) -> DataFrame:
-    return newest_first(events, ["po_number"], [F.desc_nulls_last("event_time"), F.asc("id")]).select(events.columns)
+    """The newest event of each order, no time last, the smallest id of ties: by aggregation, without sorting."""
+    others = [c for c in events.columns if c not in ("po_number", "id", "event_time")]
+    time = F.coalesce(F.unix_micros(F.col("event_time").cast("timestamp")), F.lit(-(1 << 63)))
+    best = F.min(F.struct((-1 - time).alias("age"), "id", "event_time", *others)).alias("e")
+    return events.groupBy("po_number").agg(best).select(*["po_number" if c == "po_number" else f"e.{c}" for c in events.columns])
 
 
 def in_transit_event(events: DataFrame) -> DataFrame:
@@ -145,11 +149,15 @@ def asn_summary(asn: DataFrame) -> DataFrame:
     return out.select("po_number", "line_item", "ibd_qty", "f.delivery", "f.goods_movement_status", "f.bill_of_lading")
 
 
+def top_errors(errors: DataFrame, n: int = 3) -> DataFrame:
+    """The n newest errors of each order, with rank_ and n_errors, their number in all: one shuffle."""
+    w = Window.partitionBy("po_number")
+    rows = errors.withColumn("rank_", F.row_number().over(w.orderBy(F.desc_nulls_last("status_logdat"), F.asc("docnum")))).withColumn("n_errors", F.count("*").over(w))
+    return rows.filter(F.col("rank_") <= n)
+
+
 def top_document_errors(errors: DataFrame, n: int = 3) -> DataFrame:
-    """The n newest errors of each order, with their number in all."""
-    counted = errors.groupBy("po_number").agg(F.count("*").alias("n_errors"))
-    best = newest_first(errors, ["po_number"], [F.desc_nulls_last("status_logdat"), F.asc("docnum")], n)
-    return best.join(counted, "po_number").select("po_number", F.col("rank_").cast("long").alias("rank"), "docnum", "error_msg", "n_errors")
+    return top_errors(errors, n).select("po_number", F.col("rank_").cast("long").alias("rank"), "docnum", "error_msg", "n_errors")
 
 
 def partner_lookup(suppliers: DataFrame, partners: DataFrame) -> DataFrame:
@@ -159,3 +167,29 @@ def partner_lookup(suppliers: DataFrame, partners: DataFrame) -> DataFrame:
     rows = suppliers.withColumn("bare", bare("supplier")).join(partners.withColumn("bare", bare("partner")), "bare", "left")
     best = F.max(F.struct((F.col("partner") == F.col("supplier")).alias("exact"), "partner", "city")).alias("best")
     return rows.groupBy("supplier").agg(best).select("supplier", F.col("best.partner").alias("partner"), F.col("best.city").alias("city"))
+
+
+def parse_selection(payload: DataFrame, column: str = "payload") -> DataFrame:
+    """po_number, line_item of a JSON array of {po_number, line_item}; incomplete ones are left out, repeated ones count once."""
+    rows = payload.select(F.explode(F.from_json(column, "array<struct<po_number:string,line_item:string>>")).alias("x"))
+    return rows.select(F.trim("x.po_number").alias("po_number"), S.line_item("x.line_item").alias("line_item")).filter("po_number <> '' and line_item is not null").distinct()
+
+
+#: The columns of an upload workbook, in order.
+WORKBOOK = ["Purchasing Document", "Item", "Supplier", "Delivery Date", "Reference", "Bill of Lading", "Delivery Quantity", "Plant", "Storage Location", "Means-of-Trans. Type", "Means of Transport"]
+
+
+def workbook_rows(template: DataFrame, lines: DataFrame) -> DataFrame:
+    """The rows of an upload workbook in its eleven columns, for complete template rows."""
+    rows = template.filter("missing is null").join(lines.select("po_number", "line_item", "plant"), ["po_number", "line_item"], "left")
+    none = F.lit("")
+    values = [F.col("po_number"), F.col("line_item"), F.col("supplier_id"), F.col("delivery_date"), F.col("reference"), none, F.col("delivery_quantity"), F.col("plant"), F.lit(None).cast("string"), none, none]
+    return rows.select(*[c.alias(name) for c, name in zip(values, WORKBOOK, strict=True)])  # names with a dot need backticks
+
+
+def expand(rows: DataFrame, other: DataFrame, keys: dict[str, str], name: str) -> DataFrame:
+    """rows with `name`, an array of the rows of other with equal keys (own column to the other's); empty where there are none."""
+    packed = other.groupBy(*[F.col(theirs).alias(f"key_{ours}") for ours, theirs in keys.items()]).agg(F.array_sort(F.collect_list(F.struct(*other.columns))).alias(name))
+    test = conjunction([F.col(ours) == F.col(f"key_{ours}") for ours in keys])
+    joined = rows.join(packed, test, "left").drop(*[f"key_{ours}" for ours in keys])
+    return joined.withColumn(name, F.coalesce(name, F.array().cast(joined.schema[name].dataType)))

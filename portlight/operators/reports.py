@@ -98,25 +98,72 @@ def root_causes(exceptions: DataFrame) -> DataFrame:
     return exceptions.groupBy(F.coalesce(S.blank_null("exception_type"), F.lit("UNKNOWN")).alias("cause")).agg(F.count("*").alias("n"))
 
 
-def dashboard(lines: DataFrame, exceptions: DataFrame, errors: DataFrame, report: DataFrame, plant: str | None = None, search: str | None = None, since: str | None = None, until: str | None = None, priority: str | None = None) -> DataFrame:
-    """One row of counts under the filters. The inbound count takes plant and search only, document errors follow the
-    orders that are left, and a priority is compared as it stands."""
+def _filtered(lines: DataFrame, exceptions: DataFrame, plant, search, since, until, priority, kind=None) -> tuple[DataFrame, DataFrame]:
+    """(active lines, exceptions on them) under the filters; a priority is compared as it stands."""
     kept = lines.filter(F.col("po_status").isin(*ACTIVE)).filter(equals_unless_all({"plant": plant})).filter(date_range("delivery_date", since, until))
     kept = kept.filter(contains_any(["po_number", "material_id", "supplier_id"], search))
-    left = exceptions.filter(equals_unless_all({"plant": plant, "priority": priority})).filter(date_range("delivery_date", since, until)).join(kept.select("po_number", "line_item"), ["po_number", "line_item"], "left_semi")
+    left = exceptions.filter(equals_unless_all({"plant": plant, "priority": priority, "exception_type": kind})).filter(date_range("delivery_date", since, until))
+    return kept, left.join(kept.select("po_number", "line_item"), ["po_number", "line_item"], "left_semi")
+
+
+def _line_counts(kept: DataFrame) -> DataFrame:
+    return kept.agg(F.count("*").alias("active_lines"), F.count_if(~F.col("ai_processed")).alias("pending_lines"), F.countDistinct("plant").alias("plants"))
+
+
+def _exception_counts(left: DataFrame) -> DataFrame:
     p = S.priority("priority")
-    parts = [
-        kept.agg(F.count("*").alias("active_lines"), F.count_if(~F.col("ai_processed")).alias("pending_lines"), F.countDistinct("plant").alias("plants")),
-        left.agg(F.count("*").alias("exceptions"), F.count_if(F.col("panel") == "ACTION_REQUIRED").alias("action_required"), F.count_if(p == "HIGH").alias("high"), F.count_if(p == "MEDIUM").alias("medium"), F.count_if(p == "LOW").alias("low")),
-        errors.join(kept.select("po_number").distinct(), "po_number", "left_semi").agg(F.count("*").alias("document_errors")),
-        report.filter(equals_unless_all({"plant": plant})).filter(contains_any(["po_number", "line_item", "material_id", "supplier_id", "supplier_name", "reference", "carrier_status", "plant_name", "plant"], search)).agg(F.count("*").alias("inbound_to_create")),
-    ]
+    return left.agg(F.count("*").alias("exceptions"), *[F.count_if(F.col("panel") == x).alias(x.lower()) for x in ("ACTION_REQUIRED",)], F.count_if(p == "HIGH").alias("high"), F.count_if(p == "MEDIUM").alias("medium"), F.count_if(p == "LOW").alias("low"))
+
+
+def _side_by_side(parts: list[DataFrame]) -> DataFrame:
     out = parts[0]
     for part in parts[1:]:
         out = out.crossJoin(part)  # one row each
     return out
 
 
+def dashboard(lines: DataFrame, exceptions: DataFrame, errors: DataFrame, report: DataFrame, plant: str | None = None, search: str | None = None, since: str | None = None, until: str | None = None, priority: str | None = None) -> DataFrame:
+    """One row of counts under the filters. The inbound count takes plant and search only, document errors follow the
+    orders that are left."""
+    kept, left = _filtered(lines, exceptions, plant, search, since, until, priority)
+    found = report.filter(equals_unless_all({"plant": plant})).filter(contains_any(["po_number", "line_item", "material_id", "supplier_id", "supplier_name", "reference", "carrier_status", "plant_name", "plant"], search))
+    of_orders = errors.join(kept.select("po_number"), "po_number", "left_semi").agg(F.count("*").alias("document_errors"))
+    return _side_by_side([_line_counts(kept), _exception_counts(left), of_orders, found.agg(F.count("*").alias("inbound_to_create"))])
+
+
+def dashboard_summary(t, as_of: str, plant: str | None = None, since: str | None = None, until: str | None = None, priority: str | None = None, kind: str | None = None) -> DataFrame:
+    """One row for an assistant: counts of all tables, delivery buckets of active lines. Filters apply unevenly: lines of any
+    status are all counted, deliveries only by plant, exceptions once alone and once on active lines, and carrier events
+    only where a plant is asked for by its orders."""
+    kept, left = _filtered(t.po_lines, t.exceptions, plant, None, since, until, priority, kind)
+    n = lambda df, c: df.agg(F.count("*").alias(c))
+    everywhere = plant in (None, "", "ALL")
+    asn = t.asn_ibd if everywhere else t.asn_ibd.filter(F.col("plant") == plant)
+    events = t.carrier_events if everywhere else t.carrier_events.join(kept.select("po_number"), "po_number", "left_semi")
+    records = t.exceptions.filter(equals_unless_all({"plant": plant, "priority": priority, "exception_type": kind})).filter(date_range("delivery_date", since, until))
+    bucket = S.delivery_bucket("delivery_date", as_of)
+    buckets = kept.agg(*[F.count_if(bucket == b).alias(b.lower()) for b in BUCKETS])
+    status = left.agg(F.count_if(F.col("panel") == "STATUS_REPORT").alias("status_report"))
+    errors = n(t.idoc_errors.join(kept.select("po_number"), "po_number", "left_semi"), "document_errors")
+    return _side_by_side([n(t.po_lines, "all_lines"), _line_counts(kept), n(asn, "deliveries"), n(events, "carrier_events"), errors, n(records, "exception_records"), _exception_counts(left), status, buckets])
+
+
+def by_count(rows: DataFrame, count: str, label: str) -> DataFrame:
+    """The largest counts first, ties by label."""
+    return rows.orderBy(F.desc(count), label)
+
+
+def by_usage(rows: DataFrame) -> DataFrame:
+    """Usage rows: the total, then providers and models by tokens, then days in order."""
+    place = F.when(F.col("kind") == "total", 0).when(F.col("kind") == "provider", 1).when(F.col("kind") == "model", 2).otherwise(3)
+    return rows.orderBy(place, F.when(F.col("kind") != "day", -F.col("tokens")), "label")
+
+
+def by_arrival(report: DataFrame) -> DataFrame:
+    """Lines of the creation report by arrival, those without one last."""
+    return report.orderBy(F.asc_nulls_last("eta"), "po_number", "line_item")
+
+
 def truncation_profile(rows: DataFrame, limits: dict[str, int]) -> DataFrame:
     """For each column how many values its limit cuts, and the longest value."""
     long = rows.select(*limits).unpivot([], list(limits), "field", "value")

@@ -24,6 +24,8 @@ TABLES = {
         lpad(cast(l_partkey as string), 18, '0') as material_id, lpad(cast(l_suppkey as string), 10, '0') as supplier_id, lpad(cast(s_nationkey as string), 2, '0') as plant,
         cast(qty as decimal(13,3)) as po_qty, cast(qty as decimal(13,3)) as open_qty, cast(0 as decimal(13,3)) as received_qty_so_far, cast(0 as decimal(13,3)) as gr_qty,
         cast(price as decimal(12,2)) as net_price, 'USD' as currency, ship as delivery_date, o_orderdate as created_at,
+        concat('G', cast(l_partkey % 20 as string)) as material_group, case when l_partkey % 5 = 0 then '' else 'EA' end as po_uom, case when l_orderkey % 9 = 0 then 'UB' else 'NB' end as doc_type, o_orderdate as doc_date,
+        case when l_suppkey % 4 = 0 then null else concat('U', cast(l_suppkey % 10 as string)) end as created_by, '1000' as company_code, concat('P', cast(l_suppkey % 3 as string)) as purch_group, ship - interval 2 day as ship_date, l_orderkey % 9 = 0 as is_intracompany_transfer,
         case o_orderstatus when 'O' then 'OPEN' when 'P' then 'GR_POSTED' else 'CLOSED' end as po_status, l_orderkey % 3 = 0 as ai_processed,
         case when l_orderkey % 3 = 0 or l_orderkey % 7 = 0 then o_orderdate + interval 1 day end as ai_processed_at, l_orderkey % 6 = 0 as ai_reanalysis_needed, l_orderkey as order_key, l_linenumber as line_number
         from (select l_orderkey, l_linenumber, min(l_partkey) as l_partkey, min(l_suppkey) as l_suppkey, sum(cast(l_quantity as decimal(13,3))) as qty, min(cast(l_extendedprice as decimal(12,2))) as price,
@@ -31,7 +33,7 @@ TABLES = {
         join {orders} on l_orderkey = o_orderkey join {supplier} on l_suppkey = s_suppkey""",
     "asn_ibd": """select cast(180000000 + l_orderkey as string) as delivery, lpad(cast(10 * row_number() over (partition by l_orderkey order by l_linenumber, l_partkey, l_suppkey, l_shipdate, l_extendedprice, l_quantity) as string), 6, '0') as item,
         cast(4500000000 + l_orderkey as string) as reference_document, lpad(cast(l_linenumber * 10 as string), 5, '0') as reference_item, cast(l_quantity as decimal(13,3)) as actual_delivery_qty,
-        case l_returnflag when 'R' then 'C' when 'A' then 'B' else 'A' end as goods_movement_status, concat('BOL', cast(l_suppkey as string)) as bill_of_lading, l_shipdate as delivery_date
+        case l_returnflag when 'R' then 'C' when 'A' then 'B' else 'A' end as goods_movement_status, concat('BOL', cast(l_suppkey as string)) as bill_of_lading, l_shipdate as delivery_date, lpad(cast(l_suppkey % 25 as string), 2, '0') as plant
         from {lineitem} where l_linestatus = 'F' and l_orderkey % 4 <> 0""",
     "po_partners": """select cast(4500000000 + o_orderkey as string) as po_number, case o_custkey % 3 when 0 then 'FS' when 1 then 'LF' else 'fs ' end as partner_function, '001' as partner_counter,
         case when o_orderkey % 2 = 0 then '1000122' else '2000000' end as supplier from {orders}""",
@@ -46,7 +48,7 @@ TABLES = {
         case when event_id % 5 = 0 then '' else lpad(cast((event_id % 7 + 1) * 10 as string), 5, '0') end as line_item,
         case event_id % 5 when 0 then '51' when 1 then '53' when 2 then '56' when 3 then '60' else '68' end as status, concat('E', cast(user_id % 9 as string)) as error_msg, ts as status_logdat, event_id as event_key
         from {events} where event_type = 'error'""",
-    "exceptions": """select cast(row_number() over (order by po_number, line_item) as bigint) as exception_id, po_number, line_item, supplier_id, plant, po_qty, delivery_date,
+    "exceptions": """select cast(order_key * 10 + line_number as bigint) as exception_id, po_number, line_item, supplier_id, plant, po_qty, delivery_date,
         case order_key % 5 when 0 then 'LATE_DELIVERY' when 1 then 'QTY_MISMATCH' when 2 then 'NO_ASN' when 3 then '' else null end as exception_type,
         case order_key % 4 when 0 then 'High' when 1 then ' medium' when 2 then 'LOW' else 'n/a' end as priority, case when line_number % 2 = 0 then 'ACTION_REQUIRED' else 'STATUS_REPORT' end as panel, order_key
         from {po_lines} where order_key % 2 = 1""",
@@ -58,10 +60,6 @@ TABLES = {
 }
 
 
-def tables(spark: SparkSession, sf_dir: str) -> Tables:
-    return Tables(spark, sf_dir)
-
-
 class Tables:
     """Domain tables by attribute, built lazily: only what a query reads is in its plan."""
 

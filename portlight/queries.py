@@ -2,40 +2,20 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .functions import privacy, scalars as S
-from .operators import adhoc, classify, conversations, merge, relational, reports, runlogs
+from . import queries_scalars, queries_sync  # noqa: F401  they register theirs
+from .functions import privacy
+from .functions import scalars as S
+from .operators import adhoc, classify, conversations, feedback, merge, relational, reports, runlogs
 from .operators.adhoc import Query
-from .plans.bridge import AS_OF_EVENTS, AS_OF_ORDERS, Tables, oracle_prefix
+from .plans.bridge import AS_OF_EVENTS, AS_OF_ORDERS
+from .registry import ORACLE_SQL, QUERIES, query  # noqa: F401
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
 RUN_TIME = "1998-01-01 00:00:00"
 FUNCTIONS, SUPPLIERS = ["FS"], ["1000122"]
 
 
-def query(sql: str | None = None):
-    """Registers a function of the domain tables under its name."""
-
-    def add(f: Callable[[Tables], DataFrame]):
-        QUERIES[f.__name__] = lambda spark, sf_dir: _plain(f(Tables(spark, sf_dir)))
-        if sql:
-            ORACLE_SQL[f.__name__] = oracle_prefix() + sql
-        return f
-
-    return add
-
-
-def _plain(df: DataFrame) -> DataFrame:
-    """Decimals as doubles and times as text, as engines write those in different ways."""
-    kinds = {"decimal": lambda c: F.col(c).cast("double"), "timestamp": lambda c: F.date_format(c, "yyyy-MM-dd HH:mm:ss"), "date": lambda c: F.date_format(c, "yyyy-MM-dd")}
-    return df.select(*[next((f(c).alias(c) for k, f in kinds.items() if t.startswith(k)), F.col(c)) for c, t in df.dtypes])
-
-
 ACTIVE = "po_status in ('OPEN', 'GR_POSTED')"
 
 
@@ -60,7 +40,7 @@ def supply_chain_metrics(t):
 cast(sum(coalesce(ai_calls, 0)) as bigint) as calls, cast(sum(coalesce(total_tokens, 0)) as bigint) as tokens from (select coalesce(nullif(provider, ''), 'Unknown') as p, coalesce(nullif(model_id, ''), 'Unknown') as m, strftime(started_at, '%Y-%m-%d') as d, *
 from execution_logs where started_at between timestamp '2024-01-01' and timestamp '2024-01-20 23:59:59.999' and (coalesce(total_tokens, 0) > 0 or coalesce(ai_calls, 0) > 0)) group by grouping sets ((), (p), (m), (d))""")
 def usage_grouping_sets(t):
-    return reports.usage(t.execution_logs, "2024-01-01", "2024-01-20")
+    return reports.by_usage(reports.usage(t.execution_logs, "2024-01-01", "2024-01-20"))
 
 
 def _feedback(t):
@@ -79,7 +59,7 @@ def feedback_totals(t):
 
 @query(f"select coalesce(nullif(exception_type, ''), 'Unknown') as label, count(*) as total, {RATED} from {FEEDBACK} group by 1")
 def feedback_by_type(t):
-    return reports.feedback_by_type(_feedback(t))
+    return reports.by_count(reports.feedback_by_type(_feedback(t)), "total", "label")
 
 
 @query(f"select r as rating, coalesce(n, 0) as n from (values ('HELPFUL'), ('NOT_HELPFUL')) v(r) left join (select rating, count(*) as n from {FEEDBACK} group by rating) on r = rating")
@@ -89,7 +69,7 @@ def feedback_by_rating(t):
 
 @query(f"select strftime(created_at, '%Y-%m-%d') as day, count(*) as total, {RATED} from {FEEDBACK} group by 1")
 def feedback_daily(t):
-    return reports.feedback_daily(_feedback(t))
+    return reports.feedback_daily(_feedback(t)).orderBy("day")
 
 
 @query(f"""select b as bucket, coalesce(n, 0) as n from (values ('overdue'), ('next7'), ('next14'), ('next30'), ('beyond30'), ('noDate')) v(b) left join (select case when k is null then 'noDate' when k < 0 then 'overdue' when k <= 7 then 'next7' when k <= 14 then 'next14' when k <= 30 then 'next30' else 'beyond30' end as bucket, count(*) as n
@@ -100,12 +80,12 @@ def delivery_timeline(t):
 
 @query(f"select coalesce(nullif(plant, ''), '—') as plant, coalesce(max(plant_name), '') as plant_name, count(*) as n from po_lines left join plants on plant = plant_code where {ACTIVE} group by 1")
 def plant_counts(t):
-    return reports.plant_counts(t.po_lines, t.plants)
+    return reports.by_count(reports.plant_counts(t.po_lines, t.plants), "n", "plant")
 
 
 @query(f"select coalesce(nullif(exception_type, ''), 'UNKNOWN') as cause, count(*) as n from exceptions e where exists (select 1 from po_lines l where l.po_number = e.po_number and l.line_item = e.line_item and {ACTIVE}) group by 1")
 def root_causes(t):
-    return reports.root_causes(reports.on_active_lines(t.exceptions, t.po_lines))
+    return reports.by_count(reports.root_causes(reports.on_active_lines(t.exceptions, t.po_lines)), "n", "cause")
 
 
 def _report(t):
@@ -127,20 +107,20 @@ def with_report(sql: str) -> str:
 
 @query(with_report("select po_number, line_item, material_id, supplier_id, supplier_name, plant, plant_name, cast(po_qty as double) as po_qty, strftime(delivery_date, '%Y-%m-%d %H:%M:%S') as delivery_date, strftime(eta, '%Y-%m-%d %H:%M:%S') as eta, reference, carrier_status from report"))
 def inbound_creation_report(t):
-    return _report(t)
+    return reports.by_arrival(_report(t))
 
 
 def _selection(t):
-    return t.po_lines.filter("order_key % 5 = 0").select("po_number", "line_item")
+    return t.po_lines.select("po_number", "line_item")
 
 
 @query(with_report("""select l.po_number, l.line_item, cast(date_diff('day', date '1899-12-30', cast(eta as date)) as bigint) as delivery_date, cast(r.po_qty as double) as delivery_quantity, r.supplier_id, r.reference, cast(null as varchar) as missing
-from po_lines l join report r on r.po_number = l.po_number and r.line_item = l.line_item where order_key % 5 = 0 and reference <> ''"""))
+from po_lines l join report r on r.po_number = l.po_number and r.line_item = l.line_item where reference <> ''"""))
 def inbound_template_rows(t):
     return relational.template_rows(_selection(t), _report(t)).filter("missing is null")
 
 
-@query(with_report("select l.po_number, l.line_item, case when r.po_number is null then 'line' else 'reference' end as missing from po_lines l left join report r on r.po_number = l.po_number and r.line_item = l.line_item where order_key % 5 = 0 and (r.po_number is null or reference = '')"))
+@query(with_report("select l.po_number, l.line_item, case when r.po_number is null then 'line' else 'reference' end as missing from po_lines l left join report r on r.po_number = l.po_number and r.line_item = l.line_item where r.po_number is null or reference = ''"))
 def inbound_template_warnings(t):
     return relational.template_rows(_selection(t), _report(t)).filter("missing is not null").select("po_number", "line_item", "missing")
 
@@ -162,6 +142,16 @@ def dashboard_search(t):
     return reports.dashboard(t.po_lines, t.exceptions, t.idoc_errors, _report(t), search="07", since="1999-12-31", until="1996-01-01", priority="High")
 
 
+@query(f"""select * from (select count(*) as all_lines from po_lines), (select count(*) as active_lines, count(*) filter (where not ai_processed) as pending_lines, count(distinct plant) as plants from po_lines where {ACTIVE} and plant = '03'), (select count(*) as deliveries from asn_ibd where plant = '03'),
+(select count(*) as carrier_events from carrier_events where po_number in (select po_number from po_lines where {ACTIVE} and plant = '03')), (select count(*) as document_errors from idoc_errors where po_number in (select po_number from po_lines where {ACTIVE} and plant = '03')), (select count(*) as exception_records from exceptions where plant = '03'),
+(select count(*) as exceptions, count(*) filter (where panel = 'ACTION_REQUIRED') as action_required, count(*) filter (where panel = 'STATUS_REPORT') as status_report, count(*) filter (where upper(trim(priority)) = 'HIGH') as high, count(*) filter (where upper(trim(priority)) = 'MEDIUM') as medium, count(*) filter (where upper(trim(priority)) = 'LOW') as low
+ from exceptions e where plant = '03' and exists (select 1 from po_lines l where l.po_number = e.po_number and l.line_item = e.line_item and l.plant = '03' and {ACTIVE})),
+(select count(*) filter (where k < 0) as overdue, count(*) filter (where k between 0 and 7) as next7, count(*) filter (where k between 8 and 14) as next14, count(*) filter (where k between 15 and 30) as next30, count(*) filter (where k > 30) as beyond30, count(*) filter (where k is null) as nodate
+ from (select date_diff('day', date '{AS_OF_ORDERS}', cast(delivery_date as date)) as k from po_lines where {ACTIVE} and plant = '03'))""")
+def dashboard_assistant(t):
+    return reports.dashboard_summary(t, AS_OF_ORDERS, plant="03")
+
+
 DEDUPED = """select id, po_number from (select *, row_number() over (partition by po_number, tracking_number, order_number, load_number, upper(trim(coalesce(nullif(status, ''), event_type))) order by event_time desc, id) as rn from carrier_events) where rn = 1"""
 
 
@@ -228,7 +218,8 @@ def _star(t):
 
 
 def _noted(t):
-    return classify.with_outcome(classify.with_notes(_star(t).filter(F.col("po_status").isin(*relational.ACTIVE)), AS_OF_ORDERS))
+    active = t.po_lines.filter(F.col("po_status").isin(*relational.ACTIVE))
+    return classify.with_outcome(classify.with_notes(classify.enriched_lines(active, t, FUNCTIONS, SUPPLIERS), AS_OF_ORDERS))
 
 
 @query("," + ENRICHED + "select po_number, line_item, cast(ibd_qty as double) as ibd_qty, delivery, supplier_name, material_description, plant_name, carrier_status, n_errors, eligible, coalesce(exception_id, 0) as exception_id from star")
@@ -251,14 +242,95 @@ def classification_queue(t):
     return classify.queue(t.po_lines, 20).select("po_number", "line_item")
 
 
-@query("," + ENRICHED + NOTED + "select coalesce(exception_id, 0) as exception_id, po_number, line_item, supplier_name, case when list_contains(notes, 'Awaiting shipment signals') then 'ACTION_REQUIRED' else 'STATUS_REPORT' end as panel, cast(po_qty - gr_qty as double) as open_qty, cast(coalesce(ibd_qty, 0) as double) as ibd_qty from noted where len(notes) > 0")
+NEXT_ID = "coalesce(exception_id, (select max(exception_id) from exceptions) + row_number() over (partition by exception_id is null order by po_number, line_item))"
+
+
+@query("," + ENRICHED + NOTED + f"select {NEXT_ID} as exception_id, exception_id is null as is_new, po_number, line_item, supplier_name, case when list_contains(notes, 'Awaiting shipment signals') then 'ACTION_REQUIRED' else 'STATUS_REPORT' end as panel, cast(po_qty - gr_qty as double) as open_qty, cast(coalesce(ibd_qty, 0) as double) as ibd_qty from noted where len(notes) > 0")
 def classification_records(t):
-    return classify.records(_noted(t)).select(F.coalesce("exception_id", F.lit(0)).alias("exception_id"), "po_number", "line_item", "supplier_name", "panel", "open_qty", "ibd_qty")
+    return classify.records(_noted(t), classify.max_exception_id(t.exceptions)).select("exception_id", "is_new", "po_number", "line_item", "supplier_name", "panel", "open_qty", "ibd_qty")
+
+
+@query(f"""select coalesce(e.po_number, l.po_number) as po_number, coalesce(e.line_item, l.line_item) as line_item, coalesce(e.exception_id, (select max(exception_id) from exceptions) + row_number() over (partition by e.exception_id is null order by l.po_number, l.line_item)) as exception_id
+from exceptions e full join (select * from po_lines where {ACTIVE}) l on e.po_number = l.po_number and e.line_item = l.line_item""")
+def exception_ids_assigned(t):
+    new = t.po_lines.filter(F.col("po_status").isin(*relational.ACTIVE)).join(t.exceptions, ["po_number", "line_item"], "left_anti").select("po_number", "line_item")
+    numbered = merge.assign_ids(new, ["po_number", "line_item"], classify.max_exception_id(t.exceptions))
+    return t.exceptions.select("po_number", "line_item", "exception_id").unionByName(numbered.withColumnRenamed("new_id", "exception_id"))
+
+
+def _made(t):
+    """Exceptions for all active lines, as a model might make them."""
+    rows = t.po_lines.filter(F.col("po_status").isin(*relational.ACTIVE))
+    return rows.select((F.col("order_key") * 10 + F.col("line_number")).cast("long").alias("exception_id"), "po_number", "line_item", F.lit("DELAY").alias("exception_type"), F.lit("HIGH").alias("priority"), F.lit("ACTION_REQUIRED").alias("panel"))
+
+
+def _persisted(t):
+    return classify.persist(t.exceptions, t.po_lines, t.idoc_errors, _made(t), RUN_TIME, True)
+
+
+@query(f"""select coalesce(m.id, e.exception_id) as exception_id, coalesce(m.po_number, e.po_number) as po_number, case when m.id is null then e.exception_type else 'DELAY' end as exception_type, case when m.id is null then e.priority else 'HIGH' end as priority, e.supplier_id
+from exceptions e full join (select order_key * 10 + line_number as id, po_number from po_lines where {ACTIVE}) m on m.id = e.exception_id""")
+def classification_persisted(t):
+    return _persisted(t)[0].select("exception_id", "po_number", "exception_type", "priority", "supplier_id")
+
+
+@query(f"""select po_number, line_item, ai_processed or {ACTIVE} as ai_processed, case when {ACTIVE} then '{RUN_TIME}' else strftime(ai_processed_at, '%Y-%m-%d %H:%M:%S') end as ai_processed_at, ai_reanalysis_needed and not ({ACTIVE}) as ai_reanalysis_needed from po_lines""")
+def classification_lines_marked(t):
+    return _persisted(t)[1].select("po_number", "line_item", "ai_processed", "ai_processed_at", "ai_reanalysis_needed")
+
+
+@query(f"""select e.docnum, e.po_number, e.line_item, coalesce(x.id, 0) as ict_exception_id, x.id is not null as ai_processed from idoc_errors e left join (select docnum, max(order_key * 10 + line_number) as id
+from idoc_errors i join (select * from po_lines where {ACTIVE}) l on l.po_number = i.po_number and (i.line_item = '' or i.line_item = l.line_item) group by docnum) x on x.docnum = e.docnum""")
+def classification_errors_linked(t):
+    return _persisted(t)[2].select("docnum", "po_number", "line_item", F.coalesce("ict_exception_id", F.lit(0).cast("long")).alias("ict_exception_id"), "ai_processed")
+
+
+@query("," + ENRICHED + NOTED + """select count(*) as total, count(*) filter (where len(notes) > 0 and (ai_reanalysis_needed or order_key % 2 = 1)) as processed, count(*) filter (where len(notes) > 0 and order_key % 2 = 1) as created,
+count(*) filter (where len(notes) > 0 and ai_reanalysis_needed and order_key % 2 = 0) as updated, count(*) filter (where len(notes) > 0 and not ai_reanalysis_needed and order_key % 2 = 0) as skipped, count(*) filter (where len(notes) = 0) as for_review from noted""")
+def classification_outcome(t):
+    rows = _noted(t).withColumn("exception_id", F.when(F.col("order_key") % 2 == 0, F.col("order_key") * 10 + F.col("line_number")))
+    before = rows.filter("exception_id is not null").select("exception_id", *classify.SAME)
+    return classify.outcome_counts(classify.unchanged(rows, before))
+
+
+@query("," + ENRICHED + NOTED + "select po_number, line_item, len(notes) = 0 as ready from noted")
+def classification_ready_first(t):
+    return classify.ready_first(_noted(t)).select("po_number", "line_item", (F.size("notes") == 0).alias("ready"))
+
+
+@query(f"select po_number, line_item from po_lines where {ACTIVE} and po_number in (select po_number from po_partners where supplier = '1000122') order by ai_processed_at asc nulls first, po_number, line_item limit 50")
+def classification_queue_by_order(t):
+    return classify.queue(t.po_lines, 50, orders=t.po_partners.filter("supplier = '1000122'")).select("po_number", "line_item")
+
+
+@query(f"""select 'Classification context (use to match exception rule triggers):' || chr(10) || '- ASN on file: ' || case when a.st is null then 'no' else 'yes' end || ' | Status: ' || case a.st when 'A' then 'A (Active / ASN received)' when 'B' then 'B (In process / in transit)' when 'C' then 'C (Completed)' else 'No ASN' end
+|| chr(10) || '- CHR tracking: ' || case when c.po_number is null then 'no' else 'yes | Latest event: "' || c.event_type || '"' || coalesce(' | Est delivery: ' || strftime(c.delivery_by_date, '%Y-%m-%d'), '') end
+|| chr(10) || '- IDoc errors (blocking): ' || case when coalesce(b.n, 0) > 0 then 'yes' else 'no' end || chr(10) || '- Days to PO delivery date: ' || date_diff('day', date '{AS_OF_ORDERS}', cast(l.delivery_date as date))
+|| case when coalesce(b.n, 0) > 0 then chr(10) || '- Note: IDoc errors take priority — resolve before classifying as healthy/in-transit.' when a.st is not null and c.po_number is not null and regexp_matches(lower(c.event_type), 'in\\s*transit|picked\\s*up|load\\s*picked|departed|en\\s*route')
+  then chr(10) || '- Shipment signal: ASN on file and carrier event indicates in-transit or picked-up.' when a.st is not null and c.po_number is null and a.q > 0 then chr(10) || '- Shipment signal: ASN/IBD on file but no CHR carrier event.'
+  when c.po_number is null and date_diff('day', date '{AS_OF_ORDERS}', cast(l.delivery_date as date)) < 0 then chr(10) || '- Shipment signal: past PO delivery date with no CHR tracking.' else '' end as facts
+from po_lines l left join (select reference_document as d, reference_item as i, sum(actual_delivery_qty) as q, arg_min(goods_movement_status, (delivery, item)) as st from asn_ibd group by 1, 2) a on a.d = l.po_number and a.i = l.line_item
+left join (select * from (select *, row_number() over (partition by po_number order by event_time desc, id) as rn from carrier_events) where rn = 1) c on c.po_number = l.po_number
+left join (select po_number, count(*) as n from idoc_errors where status <> '53' group by 1) b on b.po_number = l.po_number""")
+def prompt_facts(t):
+    asn = relational.asn_summary(t.asn_ibd).select("po_number", "line_item", "ibd_qty", F.col("goods_movement_status").alias("overall_status"))
+    events = relational.latest_carrier_event(t.carrier_events).select("po_number", S.first_text("event_type", "status").alias("carrier_status"), "delivery_by_date")
+    blocking = t.idoc_errors.filter(S.document_group("status") != "POSTED").groupBy("po_number").agg(F.count("*").alias("n_blocking"))
+    rows = t.po_lines.join(asn, ["po_number", "line_item"], "left").join(events, "po_number", "left").join(blocking, "po_number", "left").na.fill(0, ["n_blocking"])
+    return rows.select(classify.facts(rows, AS_OF_ORDERS).alias("facts"))
+
+
+@query("""select po_number, case when n > 3 then 'EDI856 IDoc Errors (3 most recent of ' || n || '):' else 'EDI856 IDoc Errors (' || n || '):' end || chr(10) || string_agg(line, chr(10) order by r) as section from (
+select po_number, count(*) over (partition by po_number) as n, row_number() over (partition by po_number order by status_logdat desc, docnum) as r, '  - IDoc ' || docnum || ' [status ' || status || ' | ' || case when status in ('53', '57') then 'POSTED' when status in ('50', '52', '55', '56', '62', '63') then 'PENDING' when status in ('59', '60', '61') then 'RETRYING' else 'ERROR' end
+|| '] ' || strftime(status_logdat, '%Y-%m-%dT%H:%M:%S.%gZ') || ': ' || error_msg as line from idoc_errors) where r <= 3 group by po_number, n""")
+def prompt_error_sections(t):
+    return classify.error_section(t.idoc_errors)
 
 
 @query("," + ENRICHED + "select 'Order: ' || po_number || '/' || line_item || chr(10) || 'Supplier: ' || supplier_name || chr(10) || 'Material: ' || coalesce(material_description, 'n/a') || chr(10) || 'Plant: ' || coalesce(plant_name, 'n/a') || chr(10) || 'Delivery: ' || strftime(delivery_date, '%Y-%m-%d') || chr(10) || 'Carrier: ' || coalesce(carrier_status, 'n/a') || chr(10) || 'Delivery document: ' || coalesce(delivery, 'n/a') || chr(10) || 'Document errors: ' || n_errors as prompt from star")
 def prompt_context(t):
-    return _star(t).select(classify.context(_star(t)).alias("prompt"))
+    rows = _star(t)
+    return rows.select(classify.context(rows).alias("prompt"))
 
 
 @query("select po_number, line_item, max(exception_id) as exception_id from exceptions group by 1, 2")
@@ -291,7 +363,37 @@ def adhoc_topk(t):
     return adhoc.query(t, Query("exceptions", ["exception_id", "po_number"], order_by="exception_id desc", limit=10))
 
 
+@query("select 'plants' as \"from\", count(*) as total, least(count(*), 25) as returned, count(*) > 25 as truncated from plants where plant_name like '%A%'")
+def adhoc_result(t):
+    return adhoc.result(t, Query("plants", like={"plant_name": "a"})).drop("rows")
+
+
+@query("select exception_id, po_number from exceptions order by exception_id offset 30 limit 10")
+def adhoc_page(t):
+    return adhoc.query(t, Query("exceptions", ["exception_id", "po_number"], order_by="exception_id", limit=10, offset=30))
+
+
+@query("select plant_code, plant_name from plants where plant_code = '07'")
+def adhoc_single_row(t):
+    return adhoc.query(t, Query("plants", ["plant_code", "plant_name"], {"plant_code": "07"}, limit=1))
+
+
+@query("select p.plant_code, coalesce(x.n, 0) as n, coalesce(x.names, '') as names from plants p left join (select plant, cast(count(*) as integer) as n, string_agg(po_number || '/' || line_item, ' ' order by po_number, line_item) as names from po_lines where po_status = 'GR_POSTED' group by plant) x on x.plant = p.plant_code")
+def plants_expanded(t):
+    lines = t.po_lines.filter("po_status = 'GR_POSTED'").select("po_number", "line_item", "plant")
+    rows = relational.expand(t.plants.select("plant_code"), lines, {"plant_code": "plant"}, "lines")
+    return rows.select("plant_code", F.size("lines").alias("n"), F.array_join(F.transform("lines", lambda x: F.concat(x["po_number"], F.lit("/"), x["line_item"])), " ").alias("names"))
+
+
+@query("select distinct po_number from po_lines where po_status = 'OPEN'")
+def open_orders(t):
+    from .plans.sync import open_orders
+
+    return open_orders(t.po_lines)
+
+
 def _incoming_lines(t):
+    """A run's order lines: some orders are missing, some new, some changed, undated or without currency."""
     rows = t.po_lines.filter("order_key % 5 <> 0")
     return rows.select(
         F.when(F.col("order_key") % 11 == 0, F.concat(F.lit("9"), "po_number")).otherwise(F.col("po_number")).alias("po_number"), "line_item", "material_id", "plant", F.when(F.col("order_key") % 7 == 0, F.col("po_qty") + 1).otherwise(F.col("po_qty")).cast("decimal(13,3)").alias("po_qty"),
@@ -323,11 +425,20 @@ def line_merge_result(t):
     return out.select("po_number", "line_item", "po_qty", "po_status", "ai_processed", "ai_reanalysis_needed", "open_qty", "last_synced_at")
 
 
+@query("," + PLAN + f"""select coalesce(l.po_number, p.po_number) as po_number, coalesce(l.line_item, p.line_item) as line_item, case when p.op is not null then '1998-02-02 00:00:00' end as last_synced_at, cast(case when p.op in ('insert', 'update') then p.po_qty else l.po_qty end as double) as po_qty
+from po_lines l full join (select * from plan where op <> 'skip') p on p.po_number = l.po_number and p.line_item = l.line_item""")
+def line_merged_twice(t):
+    once = merge.apply_line_plan(t.po_lines, _line_plan(t), RUN_TIME)
+    plan = merge.line_plan(once, _incoming_lines(t), relational.asn_quantities(t.asn_ibd))
+    return merge.apply_line_plan(once, plan, "1998-02-02 00:00:00").select("po_number", "line_item", "last_synced_at", "po_qty")
+
+
 @query("""select docnum, po_number, line_item, case when event_key % 3 = 0 then '53' else status end as status, case when event_key % 3 = 0 or status = '53' then 'POSTED' when status = '56' then 'PENDING' when status = '60' then 'RETRYING' else 'ERROR' end as status_group,
-case when event_key % 4 = 0 then 'insert' when event_key % 3 = 0 and status <> '53' then 'update' else 'unchanged' end as op from idoc_errors""")
+event_key % 4 <> 0 and not (event_key % 3 = 0 and status <> '53') and event_key % 2 = 0 as ai_processed, case when event_key % 4 = 0 then 'insert' when event_key % 3 = 0 and status <> '53' then 'update' else 'unchanged' end as op from idoc_errors""")
 def document_merge_plan(t):
     changed = t.idoc_errors.withColumn("status", F.when(F.col("event_key") % 3 == 0, "53").otherwise(F.col("status")))
-    return merge.document_plan(t.idoc_errors.filter("event_key % 4 <> 0"), changed)
+    before = t.idoc_errors.filter("event_key % 4 <> 0").withColumn("ai_processed", F.col("event_key") % 2 == 0)
+    return merge.document_plan(before, changed).select("docnum", "po_number", "line_item", "status", "status_group", F.coalesce("ai_processed", F.lit(False)).alias("ai_processed"), "op")
 
 
 @query("""select coalesce(known_id, id) as id, po_number, sha2 as source_hash, known_id is null as is_new, po_number in (select po_number from po_lines where po_status = 'OPEN') as po_linked from (
@@ -342,9 +453,9 @@ def _upserted(t):
     return merge.event_upsert(hashed.filter("event_key % 2 = 0"), hashed, t.po_lines.filter("po_status = 'OPEN'").select("po_number").distinct())
 
 
-@query("""select po_number, line_item, case when due then false else ai_processed end as ai_processed, case when due then true else ai_reanalysis_needed end as ai_reanalysis_needed from (select l.*, po_status = 'OPEN' and (ai_processed or ai_processed_at is not null) and exists (select 1 from carrier_events c where c.po_number = l.po_number and event_key % 7 = 0) as due from po_lines l)""")
+@query("""select po_number, line_item, case when due then false else ai_processed end as ai_processed, case when due then true else ai_reanalysis_needed end as ai_reanalysis_needed from (select l.*, po_status = 'OPEN' and (ai_processed or ai_processed_at is not null) and exists (select 1 from carrier_events c where c.po_number = l.po_number and event_type = 'Delayed') as due from po_lines l)""")
 def carrier_reanalysis_flags(t):
-    return merge.flag_for_analysis(t.po_lines, t.carrier_events.filter("event_key % 7 = 0").select("po_number")).select("po_number", "line_item", "ai_processed", "ai_reanalysis_needed")
+    return merge.flag_for_analysis(t.po_lines, t.carrier_events.filter("event_type = 'Delayed'").select("po_number")).select("po_number", "line_item", "ai_processed", "ai_reanalysis_needed")
 
 
 @query(f"""select l.po_number, l.line_item, cast(greatest(0, po_qty - posted) as double) as open_qty, cast(received as double) as received_qty_so_far, cast(posted as double) as gr_qty, ai_processed or ai_processed_at is not null as again
@@ -404,6 +515,19 @@ def upload_rows(t):
     return _checked(t)[0]
 
 
+@query("," + UPLOAD + """select (select count(*) from cells) as uploaded, (select count(*) from ok where rn = 1 and id not in (select id from known)) as inserted, cast(0 as bigint) as updated, (select count(*) from cells) - (select count(*) from ok where rn = 1 and id not in (select id from known)) as failed, 'partial' as outcome""")
+def upload_outcome(t):
+    good, bad = _checked(t)
+    return merge.upload_outcome(_cells(t), good, bad, t.execution_logs.select(F.lit(-1).alias("id")), ["id"])
+
+
+@query("select event_key as row_idx, case when event_key % 2 = 0 then id when known then id end as id from (select *, event_key % 3 = 0 as known from carrier_events)")
+def upload_alternate_keys(t):
+    rows = t.carrier_events.select(F.col("event_key").alias("row_idx"), F.when(F.col("event_key") % 2 == 0, F.col("id")).otherwise("").alias("id"), F.concat(F.lit("h"), "id").alias("source_hash"))
+    known = t.carrier_events.filter("event_key % 3 = 0").select("id", F.concat(F.lit("h"), "id").alias("source_hash"))
+    return merge.use_alternate_key(rows, known, "id", "source_hash").select("row_idx", "id")
+
+
 @query("select 'deleted' as outcome, count(*) as n from plants where plant_code in ('01', '02', '77') union all select 'not found', 1")
 def delete_outcome(t):
     keys = reports.domain(t._spark, "plant_code", ["01", "02", "77"])
@@ -425,8 +549,8 @@ def supplier_partner_lookup(t):
 case when event_key % 5 <> 0 and completed_at is not null then '1m 15s' end as duration, case when event_key % 5 = 0 then 0 else coalesce(total_tokens, 0) end as total_tokens from (select run_id as r, started_at as s, * from execution_logs)""")
 def run_log_view(t):
     runs = t.execution_logs.select("run_id", F.concat(F.lit("job "), (F.col("run_id") % 3).cast("string")).alias("job_name"), F.lit("executing").alias("run_status"), "started_at")
-    runs = runs.unionByName(runs.withColumn("job_name", F.lit("later")))
-    return runlogs.view(runs, t.execution_logs.filter("event_key % 5 <> 0"))
+    runs = runs.withColumn("place", F.lit(1)).unionByName(runs.withColumns({"job_name": F.lit("a later one"), "place": F.lit(2)}))
+    return runlogs.newest_first(runlogs.view(runs, t.execution_logs.filter("event_key % 5 <> 0")))
 
 
 @query("""select run_id, strftime(started_at, '%Y-%m-%dT%H:%M:%S') as at, 'error' as level, 'Run ' || run_id as message from execution_logs union all
@@ -437,7 +561,7 @@ def run_timeline(t):
     entry = lambda level, when, message: F.struct(F.lit(level).alias("level"), when.alias("timestamp"), message.alias("message"))
     pages = F.transform(F.sequence(F.lit(0), F.when(F.col("event_key") % 2 == 0, 1).otherwise(4)), lambda k: entry("info", F.concat(at, F.lit("."), k.cast("string")), F.concat(F.lit("Page "), k.cast("string"), F.lit(": ok"))))
     entries = F.to_json(F.concat(F.array(entry("error", at, F.concat(F.lit("Run "), F.col("run_id").cast("string")))), pages))
-    return runlogs.timeline(t.execution_logs.select("run_id", entries.alias("log_entries")))
+    return runlogs.timeline(t.execution_logs.select("run_id", entries.alias("log_entries"))).orderBy("run_id", "at")
 
 
 @query(f"select id from carrier_events where event_time >= timestamp '{AS_OF_EVENTS}' - interval 1440 minute and (customer_reference_number = '' or customer_reference_number = 'R7')")
@@ -452,7 +576,16 @@ def truncation_profile(t):
     return reports.truncation_profile(t.materials, {"material_description": 8, "material_type": 4})
 
 
-@query()
+def _mask_sql(text: str) -> str:
+    """The patterns in order; the one that looks behind keeps what it sees there instead."""
+    out = f"regexp_replace({text}, '[{privacy.ZERO_WIDTH}]', '', 'g')"
+    for name, pattern in [*privacy.ENTITIES, *privacy.SECRETS]:
+        new, put = (pattern.replace("(?<=[?&=/])", "([?&=/])"), f"\\1<{name}>") if "(?<=" in pattern else (pattern, f"<{name}>")
+        out = f"regexp_replace({out}, '{new}', '{put}', 'g')"
+    return out
+
+
+@query(f"select doc_id, {_mask_sql('text')} as masked from documents")
 def pii_mask_documents(t):
     return t.documents.select("doc_id", privacy.mask("text").alias("masked"))
 
@@ -481,13 +614,6 @@ def secrets_roundtrip(t):
     return sealed.select("supplier", privacy.decrypt("sealed", "00" * 32).alias("opened"), privacy.decrypt("sealed", "11" * 32).alias("wrong_key"))
 
 
-@query("select mapped_id as id, event_key as parts from (select id as mapped_id, 2 as event_key from carrier_events)")
-def carrier_documents_flattened(t):
-    from .sources.documents import flatten_events, nested_events
-
-    return flatten_events(nested_events(t.carrier_events)).groupBy("source_id").agg(F.count("*").cast("int").alias("parts")).select(F.col("source_id").alias("id"), "parts")
-
-
 @query("select conv_id, turn, true as same from (select distinct conv_id, turn, text from conversations)")
 def conversation_roundtrip(t):
     rows, tokens = conversations.redact_conversations(t.conversations.select("conv_id", "turn", "text").distinct())
@@ -498,3 +624,158 @@ def conversation_roundtrip(t):
 @query("""select coalesce(entity, 'all') as entity, cast(sum(added) as bigint) as added, cast(sum(failed) as bigint) as failed from (select coalesce(nullif(provider, ''), 'none') as entity, ai_calls as added, case when status = 'failed' then 1 else 0 end as failed from execution_logs) group by rollup (entity)""")
 def sync_totals(t):
     return reports.rollup_counters(t.execution_logs.select(F.coalesce(S.blank_null("provider"), F.lit("none")).alias("entity"), F.col("ai_calls").alias("added"), F.when(F.col("status") == "failed", 1).otherwise(0).alias("failed")), ["added", "failed"])
+
+
+# ---- feedback and changes that people enter ----
+
+
+def _sent(t):
+    return t.feedback.select("id", "exception_id", "rating", F.when(F.col("id") % 3 == 0, "   ").otherwise(F.concat(F.lit(" note "), F.col("id").cast("string"), F.lit(" "))).alias("comment"))
+
+
+def _rated(t):
+    return t.exceptions.withColumn("exception_id", F.pmod(F.col("order_key") * 10 + 1, F.lit(500))).groupBy("exception_id").agg(F.min("po_number").alias("po_number"), F.min("line_item").alias("line_item"), F.min("exception_type").alias("exception_type"))
+
+
+RATED_SQL = "x as (select (order_key * 10 + 1) % 500 as exception_id, min(po_number) as po_number, min(line_item) as line_item, min(exception_type) as exception_type from exceptions group by 1)"
+
+
+@query(f", {RATED_SQL} select f.id, f.exception_id, f.rating, case when f.id % 3 <> 0 then 'note ' || f.id end as comment, x.po_number, x.line_item, x.exception_type from feedback f join x on x.exception_id = f.exception_id where rating in ('HELPFUL', 'NOT_HELPFUL')")
+def feedback_taken(t):
+    return feedback.take_feedback(_sent(t), _rated(t), "2024-02-01 00:00:00")[0].drop("created_at")
+
+
+@query(f", {RATED_SQL} select f.id, case when rating = 'OTHER' then 'rating must be one of: HELPFUL, NOT_HELPFUL' else 'Exception ' || f.exception_id || ' not found' end as error from feedback f left join x on x.exception_id = f.exception_id where rating = 'OTHER' or x.exception_id is null")
+def feedback_rejected(t):
+    return feedback.take_feedback(_sent(t), _rated(t), "2024-02-01 00:00:00")[1].select("id", "error")
+
+
+@query("select exception_id, arg_max(id, (created_at, id)) as id, arg_max(rating, (created_at, id)) as rating from feedback group by 1")
+def feedback_current(t):
+    return feedback.current(t.feedback).select("exception_id", "id", "rating")
+
+
+@query("""select exception_id, case when coalesce(exception_type, '') = '' then 'Exception Type required' when upper(trim(priority)) not in ('HIGH', 'MEDIUM', 'LOW') then 'Priority must be HIGH, MEDIUM, or LOW' when order_key % 150 > 100 then 'Priority Score must be 0-100' end as error from exceptions
+where coalesce(exception_type, '') = '' or upper(trim(priority)) not in ('HIGH', 'MEDIUM', 'LOW') or order_key % 150 > 100""")
+def exceptions_rejected(t):
+    rows = t.exceptions.withColumn("priority_score", F.col("order_key") % 150)
+    return feedback.checked(rows, feedback.exception_error())[1].select("exception_id", "error")
+
+
+@query("select exception_id, 'Resolution note required when resolving exception' as error from exceptions where order_key % 3 = 0 and line_number % 2 = 0".replace("from exceptions", "from (select *, cast(line_item as integer) // 10 as line_number from exceptions)"))
+def resolutions_rejected(t):
+    rows = t.exceptions.withColumns({"resolved_at": F.when(F.col("order_key") % 3 == 0, F.lit(RUN_TIME).cast("timestamp")), "resolution_note": F.when((F.col("line_item").cast("int") / 10) % 2 == 1, "done")})
+    return feedback.checked(rows, feedback.resolution_error())[1].select("exception_id", "error")
+
+
+@query("select run_id as id, case when run_id % 4 = 0 then '1998-01-01 00:00:00' else strftime(started_at, '%Y-%m-%d %H:%M:%S') end as last_run_at from execution_logs")
+def schedules_stamped(t):
+    rows = t.execution_logs.select(F.col("run_id").alias("id"), F.col("started_at").alias("last_run_at"))
+    return feedback.stamp_schedule(rows, rows.filter("id % 4 = 0"), RUN_TIME)
+
+
+# ---- run logs that are written ----
+
+
+@query("""select run_id, case when run_id % 2 = 0 and not (status in ('failed', 'COMPLETED', 'success') and run_id % 4 = 0) then case when run_id % 4 = 0 then 'RUNNING' else 'SUCCESS' end else status end as status,
+case when run_id % 2 = 0 and not (status in ('failed', 'COMPLETED', 'success') and run_id % 4 = 0) then 'new' else 'old' end as source from execution_logs""")
+def run_log_upsert(t):
+    logs = t.execution_logs.select("run_id", "status", F.lit("old").alias("source"))
+    come = t.execution_logs.filter("run_id % 2 = 0").select("run_id", F.when(F.col("run_id") % 4 == 0, "RUNNING").otherwise("SUCCESS").alias("status"), F.lit("new").alias("source"))
+    return merge.log_upsert(logs, come)
+
+
+@query("select user_id as run_id, count(*) as ai_calls, cast(sum(event_id % 50) as bigint) as input_tokens, cast(sum(event_id % 30) as bigint) as output_tokens, cast(sum(case when event_id % 3 = 0 then 7 else event_id % 50 + event_id % 30 end) as bigint) as total_tokens from events group by 1")
+def run_token_usage(t):
+    e = F.col("event_id")
+    return runlogs.token_usage(t.events.select(F.col("user_id").alias("run_id"), (e % 50).alias("input_tokens"), (e % 30).alias("output_tokens"), F.when(e % 3 == 0, 7).cast("long").alias("total_tokens")))
+
+
+@query("""select run_id, case status when 'failed' then 'FAILURE' when 'in_progress' then 'RUNNING' else 'SUCCESS' end as status, case when status <> 'in_progress' then strftime(completed_at, '%Y-%m-%d %H:%M:%S') end as completed_at, case when run_id % 2 = 0 then repeat('x', 249) || '…' else 'short' end as error_message,
+'[{"timestamp":"1","level":"info","message":"a"},{"timestamp":"2","level":"info","message":"b"}]' as log_entries, case when run_id % 3 = 0 then 5 else 0 end as total_tokens from execution_logs""")
+def run_log_closed(t):
+    runs = t.execution_logs.select("run_id", "status", "started_at", "completed_at", F.when(F.col("run_id") % 2 == 0, F.repeat(F.lit("x"), 300)).otherwise("short").alias("error_message"))
+    entry = lambda at, text: t.execution_logs.select("run_id", F.lit(at).alias("at"), F.lit("info").alias("level"), F.lit(text).alias("message"))
+    usage = t.execution_logs.filter("run_id % 3 = 0").select("run_id", F.lit(5).alias("total_tokens"))
+    return runlogs.close_run(runs, usage, entry("2", "b").unionByName(entry("1", "a"))).drop("started_at")
+
+
+COUNTS = {"total_batch_size": 700, "processed_count": 5, "created_count": 3, "updated_count": 4, "skipped_count": 2, "error_count": 6}
+
+
+def _counted(t):
+    rows = t.execution_logs.withColumns({c: F.col("run_id") % n * (1000 if c == "skipped_count" else 1) for c, n in COUNTS.items()})
+    name = F.when(F.col("run_id") % 2 == 0, "Nightly master").otherwise("sync")
+    provider = F.when(F.col("run_id") % 3 == 0, "sap").when(F.col("run_id") % 3 == 1, "chr").otherwise(F.col("provider"))
+    return rows.withColumns({"job_name": name, "provider": provider, "error_message": F.when(F.col("run_id") % 5 == 0, F.repeat(F.lit("e"), 200))})
+
+
+COUNTED = "counted as (select run_id, status, completed_at, " + ", ".join(f"run_id % {n} * {1000 if c == 'skipped_count' else 1} as {c}" for c, n in COUNTS.items()) + """, case when run_id % 3 = 0 then case when run_id % 2 = 0 then 'S4_MASTER_SYNC' else 'S4_TRANSACTIONAL_SYNC' end when run_id % 3 = 1 then 'S4_CHR_SYNC' else 'AI_ANALYSIS' end as kind,
+case when run_id % 5 = 0 then repeat('e', 200) else 'Job failed' end as err, case when completed_at is null then '' else ' · 1m 15s' end as dur from execution_logs)"""
+
+
+@query(f""", {COUNTED} select run_id, kind as job_type, case when kind = 'AI_ANALYSIS' then case when status = 'failed' then err when status = 'in_progress' then case when total_batch_size > 0 then 'Running… ' || processed_count || '/' || total_batch_size || ' processed' else 'Running…' end
+else 'Processed: ' || processed_count || ', Created: ' || created_count || ', Updated: ' || updated_count || ', Skipped: ' || skipped_count || case when error_count > 0 then ', Failed: ' || error_count else '' end end
+when status = 'failed' then case when length(err) > 140 then err[1:137] || '…' else err end || dur when status = 'in_progress' then case when total_batch_size > 0 then 'Running… ' || processed_count || '/' || total_batch_size || ' processed' else 'Running…' end
+when kind = 'S4_CHR_SYNC' then u || case when u = 1 then ' event synced' else ' events synced' end || case when created_count > 0 then ' · ' || created_count || ' new' else '' end || case when error_count > 0 then ' · ' || error_count || ' failed' else '' end || dur
+else u || ' upserted' || case when created_count > 0 then ' · ' || created_count || ' new' else '' end || case when updated_count > 0 then ' · ' || updated_count || ' updated' else '' end || case when skipped_count > 0 then ' · ' || format('{{:,}}', skipped_count) || ' skipped' else '' end || case when error_count > 0 then ' · ' || error_count || ' failed' else '' end || dur end as summary
+from (select *, case when processed_count > 0 then processed_count else created_count + updated_count end as u from counted)""")
+def run_summaries(t):
+    rows = _counted(t).withColumn("job_type", runlogs.job_type(F.lit(None).cast("string"), "provider", "job_name"))
+    return rows.select("run_id", "job_type", runlogs.run_summary(F.col("job_type")).alias("summary"))
+
+
+@query(f""", {COUNTED} select run_id, 'Analysis ' || case when status in ('failed', 'in_progress') then 'finished with errors' else 'completed' end || ' — ' || processed_count || '/' || total_batch_size || ' processed (Created: ' || created_count || ', Updated: ' || updated_count || ', Skipped: ' || skipped_count || ', Failed: ' || error_count || ') in ' || case when completed_at is null then 0 else 75 end || 's' as summary from counted""")
+def run_analysis_summaries(t):
+    return _counted(t).select("run_id", runlogs.analysis_summary().alias("summary"))
+
+
+@query("select run_id, case run_id % 4 when 0 then 'ok ' || run_id when 1 then 'plain' else '' end as message from execution_logs")
+def run_text_messages(t):
+    n = F.col("run_id")
+    inner = F.concat(F.lit('[{"type":"INFO","text":"x"},{"type":"SUCCESS","text":"{\\"message\\":\\"ok '), n.cast("string"), F.lit('\\"}"}]'))
+    text = F.when(n % 4 == 0, inner).when(n % 4 == 1, '[{"type":"FAILURE","text":"plain"}]').when(n % 4 == 2, "no json")
+    return t.execution_logs.select("run_id", runlogs.run_text_message(text).alias("message"))
+
+
+# ---- conversations ----
+
+
+@query("select conv_id, turn, role, trim(text) as text from conversations where role in ('user', 'assistant', 'system') and trim(coalesce(text, '')) <> ''")
+def messages_parsed(t):
+    rows = t.conversations.select("conv_id", F.col("turn").alias("at"), F.to_json(F.array(F.struct(F.col("turn").cast("string").alias("id"), F.col("role").alias("role"), F.col("text").alias("content")))).alias("j"))
+    return conversations.parse_messages(rows, "j").select("conv_id", F.col("at").alias("turn"), "role", "text")
+
+
+@query("""select cast(conv_id as varchar) || '-' || turn as call_id, case when turn % 4 = 0 then 'result' when turn % 4 = 1 then 'error' when turn % 4 = 2 then 'invalid' else 'call' end as state, count(*) as n from (select distinct conv_id, turn from conversations) group by 1, 2""")
+def tool_call_states(t):
+    calls = t.conversations.select(F.concat(F.col("conv_id").cast("string"), F.lit("-"), F.col("turn").cast("string")).alias("call_id"), "turn").distinct()
+    kind = F.when(F.col("turn") % 4 == 0, "result").when(F.col("turn") % 4 == 1, "error").when(F.col("turn") % 4 == 2, "odd")
+    outputs = calls.select("call_id", kind.alias("kind"), F.lit("o").alias("output")).filter("kind is not null")
+    outputs = outputs.unionByName(outputs.filter("kind = 'result'").withColumn("kind", F.lit("error")))
+    return conversations.tool_states(calls.select("call_id"), outputs).groupBy("call_id", "state").agg(F.count("*").alias("n"))
+
+
+@query("select supplier, 'write to clerk of ' || supplier || ' at [EMAIL_ADDRESS_1]' as redacted, 'Mail ' || supplier || '@x.org now' as shown from suppliers")
+def tokens_shown(t):
+    mail = F.concat("supplier", F.lit("@x.org"))
+    text = F.concat(F.lit("write to clerk of "), "supplier", F.lit(" at [EMAIL_ADDRESS_1]"))
+    tokens = F.create_map(F.lit("[EMAIL_ADDRESS_1]"), mail)
+    return t.suppliers.withColumns({"answer": F.lit("Mail [NAME_1] now"), "tokens": tokens}).select("supplier", text.alias("redacted"), conversations.shown_text("answer", "tokens").alias("shown"))
+
+
+@query("""select supplier, case when clerk_internet_address is null then 'NO_DATA_FOUND' else 'ap@redwood-trading.example' end as supplier_email, '17 Larkspur Avenue' as supplier_address, cast(0 as integer) as leaks, cast(case when clerk_internet_address is null then 1 else 2 end as integer) as leaks_before,
+'to ' || coalesce(clerk_internet_address, 'ap@redwood-trading.example') || ' or ' || coalesce(clerk_internet_address, 'AP@REDWOOD-trading.example') || ' at ' || supplier || ' Main $1' as restored from suppliers""")
+def surrogates_masked(t):
+    rows = t.suppliers.select("supplier", F.coalesce("clerk_internet_address", F.lit("NO_DATA_FOUND")).alias("supplier_email"), F.concat("supplier", F.lit(" Main $1")).alias("supplier_address"))
+    before = F.concat_ws(" ", "supplier_email", "supplier_address").alias("before")
+    hidden = privacy.with_surrogates(rows.select("*", before)).withColumn("prompt", F.concat_ws(" ", "supplier_email", "supplier_address"))
+    answer = F.lit("to ap@redwood-trading.example or AP@REDWOOD-trading.example at 17 Larkspur Avenue")
+    hidden = hidden.withColumn("answer", answer)
+    return hidden.select("supplier", "supplier_email", "supplier_address", privacy.leaks("prompt", "surrogates").alias("leaks"), privacy.leaks("before", "surrogates").alias("leaks_before"), privacy.without_surrogates("answer", "surrogates").alias("restored"))
+
+
+@query("""select supplier, '{"a":["to [EMAIL_ADDRESS_1]",{"b":"' || supplier || '"}],"n":1}' as redacted, cast(1 as integer) as n from suppliers""")
+def json_redacted(t):
+    text = F.concat(F.lit('{"a": ["to c'), F.col("supplier").cast("long").cast("string"), F.lit('@x.org", {"b": "'), "supplier", F.lit('"}], "n": 1}'))
+    return t.suppliers.select("supplier", privacy.redact_deep(text).alias("r")).select("supplier", "r.redacted", F.size("r.tokens").alias("n"))

@@ -2,14 +2,23 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
 def read_pages(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """Landed pages, each {"value": [...]} or {"d": {"results": [...]}}, one document a line, as rows."""
-    pages = spark.read.schema(f"value array<struct<{_fields(schema)}>>, d struct<results:array<struct<{_fields(schema)}>>>").json(path)
-    return pages.select(F.explode(F.coalesce("value", "d.results")).alias("x")).select("x.*")
+    """Landed pages, each {"value": [...]}, {"d": {"results": [...]}}, {"d": [...]} or a single {"d": {...}}, one document a
+    line, as rows."""
+    one = f"struct<{_fields(schema)}>"
+    pages = spark.read.schema("value string, d string").json(path)
+    return pages.select(F.explode(F.coalesce(collection("value", one), collection("d", one))).alias("x")).select("x.*")
+
+
+def collection(text, element: str) -> Column:
+    """The elements of a JSON text: an array, {"results": array} or a single object; null or '' is null."""
+    c = F.col(text) if isinstance(text, str) else text
+    results = F.get_json_object(c, "$.results")
+    return F.when(F.startswith(F.trim(c), F.lit("[")), F.from_json(c, f"array<{element}>")).when(results.isNotNull(), F.from_json(results, f"array<{element}>")).when(F.coalesce(c, F.lit("")) != "", F.array(F.from_json(c, element)))
 
 
 def _fields(schema: str) -> str:
@@ -29,8 +38,47 @@ def upload_cells(spark: SparkSession, payload: str, columns: list[str]) -> DataF
     return rows.select(F.col("row_idx").cast("long").alias("row_idx"), *[F.col("m")[c].alias(c) for c in columns])
 
 
-def write_version(df: DataFrame, folder: str, version: int) -> str:
-    """A new version of a table beside the old ones: plain Parquet has no merge in place, and readers keep theirs."""
-    path = f"{folder}/v{version:06d}"
+def write_version(df: DataFrame, folder: str, version: int, label: str = "") -> str:
+    """A new version of a table beside the old ones: plain Parquet has no merge in place, and readers keep theirs. label says
+    what made it, in the folder's name."""
+    path = f"{folder}/v{version:06d}" + (f"-{label}" if label else "")
     df.write.parquet(path)
     return path
+
+
+def latest_version(spark: SparkSession, folder: str) -> tuple[int, str, str] | None:
+    """(number, label, path) of the newest version that was written in full."""
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path
+    root = hadoop(folder)
+    store = root.getFileSystem(spark._jsc.hadoopConfiguration())
+    found = []
+    for x in store.listStatus(root) if store.exists(root) else []:
+        name = x.getPath().getName()
+        if name.startswith("v") and name[1:7].isdigit() and store.exists(hadoop(f"{folder}/{name}/_SUCCESS")):
+            found.append((int(name[1:7]), name[8:], f"{folder}/{name}"))
+    return max(found, default=None)
+
+
+def read_version(spark: SparkSession, folder: str) -> DataFrame:
+    return spark.read.parquet(latest_version(spark, folder)[2])
+
+
+def read_or_empty(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """The JSON documents at path, none where the source isn't there."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    there = at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
+    return spark.read.schema(schema).json(path) if there else spark.createDataFrame([], schema)
+
+
+def read_guarded(spark: SparkSession, path: str, schema: str) -> tuple[DataFrame, DataFrame]:
+    """(documents, corrupt lines): only declared fields are read, and lines that are no JSON object are set apart."""
+    read = F.from_json("value", schema + ", corrupt_ string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "corrupt_"})
+    rows = spark.read.text(path).filter("trim(value) <> ''").select("value", read.alias("x"))
+    return rows.filter("x.corrupt_ is null").select("x.*").drop("corrupt_"), rows.filter("x.corrupt_ is not null").select(F.col("value").alias("line"))
+
+
+def parse_count(text) -> Column:
+    """A row count from an answer that is a number or JSON (value, d.__count, d.results or @odata.count); else null."""
+    c = F.col(text) if isinstance(text, str) else text
+    plain = F.regexp_extract(F.trim(c), r"^(\d+)$", 1).try_cast("long")
+    return F.coalesce(plain, *[F.get_json_object(c, path).try_cast("long") for path in ("$['@odata.count']", "$.count", "$.value", "$.d.__count", "$.d")])

@@ -149,3 +149,78 @@ def test_messages_and_tools(spark):
     calls = spark.createDataFrame([("1",), ("2",), ("3",), ("4",)], "call_id string")
     outputs = spark.createDataFrame([("1", "error", "e"), ("1", "result", "r"), ("2", "error", "e"), ("3", "odd", None)], "call_id string, kind string, output string")
     assert {r.call_id: (r.state, r.output) for r in conversations.tool_states(calls, outputs).collect()} == {"1": ("result", "r"), "2": ("error", "e"), "3": ("invalid", None), "4": ("call", None)}
+
+
+def test_ids_go_on_in_order(spark):
+    rows = spark.createDataFrame([(f"{k * 7 % 101:03d}", k % 2) for k in range(101)], "a string, b int")
+    for splits in (0, 3, 63):
+        got = [(r.new_id, r.a) for r in merge.assign_ids(rows, ["a"], 10, splits).orderBy("new_id").collect()]
+        assert got == [(11 + i, f"{i:03d}") for i in range(101)]
+    assert merge.assign_ids(rows.limit(0), ["a"]).count() == 0
+
+
+def test_merge_twice_and_comparisons(spark):
+    columns = "po_number string, line_item string, material_id string, po_qty decimal(13,3), currency string, created_by string, delivery_date timestamp, open_qty decimal(13,3), received_qty_so_far decimal(13,3), gr_qty decimal(13,3), po_status string, ai_processed boolean, ai_processed_at timestamp, ai_reanalysis_needed boolean"
+    row = lambda po, **x: {"po_number": po, "line_item": "00010", "material_id": "M", "po_qty": 5, "currency": "EUR", "created_by": None, "delivery_date": "2024-01-01", "open_qty": 5, "received_qty_so_far": 0, "gr_qty": 0, "po_status": "OPEN", "ai_processed": True, "ai_processed_at": None, "ai_reanalysis_needed": False} | x
+    frame = lambda rows: spark.createDataFrame([json.dumps(r) for r in rows], "string").select(F.from_json("value", columns).alias("r")).select("r.*")
+    old = frame([row("1"), row("2"), row("3", po_status="CLOSED"), row("4")])
+    come = frame([row("1", currency="", created_by=""), row("2", created_by="U"), row("3", delivery_date=None), row("5", po_status=None)]).withColumn("open_qty", F.lit(None).cast("decimal(13,3)"))
+    none = spark.createDataFrame([], "po_number string, line_item string, received decimal(13,3), posted decimal(13,3)")
+    once = merge.apply_line_plan(old, merge.line_plan(old, come, none), "2024-02-01 00:00:00")
+    plan = merge.line_plan(old, come, none)
+    assert {r.po_number: (r.op, r.again) for r in plan.collect()} == {"1": ("touch", False), "2": ("update", True), "3": ("skip", False), "5": ("insert", False)}
+    twice = merge.apply_line_plan(once, merge.line_plan(once, come.filter("po_number <> '5'"), none), "2024-03-01 00:00:00")
+    assert {r.po_number: (r.po_status, str(r.last_synced_at)[:7], r.currency, r.created_by) for r in twice.collect()} == {
+        "1": ("OPEN", "2024-03", "EUR", None), "2": ("OPEN", "2024-03", "EUR", "U"), "3": ("CLOSED", "None", "EUR", None), "4": ("OPEN", "None", "EUR", None), "5": ("OPEN", "2024-02", "EUR", None),
+    }
+    assert twice.columns == once.columns
+
+
+def test_document_flags(spark):
+    old = spark.createDataFrame([("a", "1", "", "51", True, "x", 7), ("b", "1", "", "51", True, "x", 7)], "docnum string, po_number string, line_item string, status string, ai_processed boolean, exception_type_hint string, ict_exception_id long")
+    come = old.withColumn("status", F.when(F.col("docnum") == "b", "53").otherwise(F.col("status"))).unionByName(old.limit(1).withColumn("docnum", F.lit("c"))).drop("ai_processed", "exception_type_hint", "ict_exception_id")
+    got = {r.docnum: (r.op, r.status_group, r.ai_processed, r.exception_type_hint, r.ict_exception_id) for r in merge.document_plan(old, come).collect()}
+    assert got == {"a": ("unchanged", "ERROR", True, "x", 7), "b": ("update", "POSTED", False, None, None), "c": ("insert", "ERROR", False, None, None)}
+
+
+def test_versions_merge_once(spark, tmp_path):
+    folder = str(tmp_path / "t")
+    one = spark.createDataFrame([(1, "a"), (2, "b")], "k int, v string")
+    assert merge.merge_into(spark, folder, one, ["k"], "run-1").count() == 2
+    two = spark.createDataFrame([(2, "c"), (3, "d")], "k int, v string")
+    for _ in range(2):  # a repeated batch changes nothing
+        assert {tuple(r) for r in merge.merge_into(spark, folder, two, ["k"], "run-2").collect()} == {(1, "a"), (2, "c"), (3, "d")}
+    assert files.latest_version(spark, folder)[:2] == (2, "run-2")
+
+
+def test_sources_that_are_missing_or_broken(spark, tmp_path):
+    assert files.read_or_empty(spark, str(tmp_path / "none"), "a string").count() == 0
+    (tmp_path / "x.json").write_text('{"a":"1","more":2}\nnot json\n')
+    good, bad = files.read_guarded(spark, str(tmp_path / "x.json"), "a string")
+    assert [r.a for r in good.collect()] == ["1"] and good.columns == ["a"]
+    assert [r.line for r in bad.collect()] == ["not json"]
+    (tmp_path / "y.json").write_text('{"d":{"a":"1"}}\n{"d":[{"a":"2"}]}\n{"d":{"results":[{"a":"3"}]}}\n{"value":[{"a":"4"}]}\n{"value":null}\n')
+    assert sorted(r.a for r in files.read_pages(spark, str(tmp_path / "y.json"), "a string").collect()) == ["1", "2", "3", "4"]
+
+
+def test_masking_sees_through_other_forms(spark):
+    texts = ["card 4111\u200b1111 1111 1111 end", "card \uff14111 1111 1111 1111 \ufb01n", "pin 1234 a@x.org", None, "", "swift: DEUTDEFF500 and bearer abc.def=", "it's 10.0.0.1"]
+    rows = spark.createDataFrame([(i, x) for i, x in enumerate(texts)], "i int, t string")
+    got = [r.m for r in rows.select("i", privacy.mask("t").alias("m")).orderBy("i").collect()]
+    assert got == ["card <CREDIT_CARD> end", "card <CREDIT_CARD> fin", "pin 1234 <EMAIL_ADDRESS>", None, "", "<BIC_SWIFT> and <AUTH_HEADER>", "it's <IP_ADDRESS>"]
+    plain = rows.filter("t is not null")
+    slow = F.col("t")
+    for name, pattern in [*privacy.ENTITIES, *privacy.SECRETS]:
+        slow = F.regexp_replace(slow, pattern, f"<{name}>")
+    same = plain.filter("i > 1").select((privacy.mask("t") == slow).alias("s")).collect()
+    assert all(r.s for r in same)  # the tests before patterns change nothing
+    for text in texts[:2]:
+        tokens = {}
+        hidden = privacy.redact_text(text, tokens)
+        assert "1111" not in hidden and privacy.restore_text(hidden, tokens) == text
+
+
+def test_tool_calls(spark):
+    call = {"toolCallId": "1", "toolName": "t", "state": "call", "args": {"a": 1}}
+    rows = spark.createDataFrame([(1, json.dumps([{"role": "assistant", "content": "x", "toolInvocations": [call, call | {"toolCallId": "2", "state": "done", "result": [2]}, {"toolName": "t"}]}, {"role": "user", "content": "y", "toolInvocations": [call]}]))], "k int, j string")
+    assert [(r.call_id, r.state, r.args, r.result) for r in conversations.tool_calls(rows, "j").collect()] == [("1", "call", '{"a":1}', None), ("2", "result", '{"a":1}', "[2]")]

@@ -72,8 +72,8 @@ def test_delivery_bucket(spark, days, want):
 
 @pytest.mark.parametrize(
     "pattern, v, want",
-    [("cron", "* * * * *", None), ("CRON", "* *", "cron needs five fields"), ("REPEAT_INTERVAL", "30 minutes", None), ("REPEAT_INTERVAL", "often", "interval needs a number and a unit"), ("REPEAT_AT", "5", "time is too short"), ("ONE_TIME", "2024-01-01", None), ("ONE_TIME", "x", "no date"), ("X", "1", "unknown pattern"), ("CRON", None, "no value")],
+    [("CRON", "* * * * *", None), ("", "* * * * *", None), ("cron", "* * * * *", "unknown pattern"), ("CRON", "* *", "cron needs five fields"), ("REPEAT_INTERVAL", "30 minutes", None), ("REPEAT_INTERVAL", "often", "interval needs a number and a unit"), ("REPEAT_AT", "5", "time is too short"), ("ONE_TIME", "2024-01-01", None), ("ONE_TIME", "x", "no date"), ("X", "1", "unknown pattern"), ("CRON", None, "no value"), ("REPEAT_INTERVAL", "0 days", "interval must be at least 1"), ("REPEAT_INTERVAL", "3 years", "unit must be minutes, hours, days or weeks")],
 )
 def test_schedules(spark, pattern, v, want):
     row = spark.createDataFrame([(pattern, v)], "p string, v string").select(S.schedule_error("p", "v").alias("e"), S.name_error("p").alias("n")).first()
-    assert row.e == want and (row.n is None) == ("_" not in pattern)
+    assert row.e == want and (row.n is None) == (pattern != "" and "_" not in pattern)
