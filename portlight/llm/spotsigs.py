@@ -58,16 +58,17 @@ def with_next(rows: DataFrame, key: str, columns: list[str], span: int = RANGE)
 
     Rows are ordered within ranges of `span` keys; the successor of a range's last row is the first row of the next range
     that has one. So rows are shuffled once, and no task orders more than `span` keys together. Only rows at a place in
-    their range where some range begins can be first rows: with keys without gaps that is one in `span`.
+    their range where some range begins can be first rows: with keys without gaps that is one in `span`. Rows of one key
+    follow each other in the order of `columns`, so every row has one successor.
     """
-    w = Window.partitionBy("range_").orderBy(key)
+    w = Window.partitionBy("range_").orderBy(key, *columns)
     value = F.struct(*columns)
     ranged = rows.withColumn("range_", F.floor(F.col(key) / span))
     inner = ranged.withColumn("next_", F.lead(value).over(w))
     keys = rows.select(F.col(key).alias("key_"))
     firsts = keys.groupBy(F.floor(F.col("key_") / span).alias("next_range_")).agg(F.min("key_").alias("first_"))
     places = [r[0] for r in firsts.select(F.pmod("first_", F.lit(span))).distinct().collect()]  # at most span
-    heads = ranged.filter(F.pmod(F.col(key), F.lit(span)).isin(places)).join(firsts, F.col(key) == F.col("first_")).select("next_range_", value.alias("head_"))
+    heads = ranged.filter(F.pmod(F.col(key), F.lit(span)).isin(places)).join(firsts, F.col(key) == F.col("first_")).groupBy("next_range_").agg(F.min(value).alias("head_"))
     heads = heads.join(next_ranges(keys, span), "next_range_").select("range_", "head_")
     out = inner.join(heads, "range_", "left").withColumn("next_", F.coalesce("next_", "head_"))
     return out.select(*rows.columns, *[F.col(f"next_.{c}").alias(f"next_{c}") for c in columns])
@@ -103,9 +104,10 @@ def edited_text(text: Column, next_text: Column) -> Column:
 def fingerprint_report(docs: DataFrame) -> DataFrame:
     """One row for each document (doc_id, text): its fingerprint, that of its edited text, and how alike they are.
 
-    A null text is empty; rows without doc_id are left out (they have no place in the order); repeated doc_ids follow each
-    other in an undefined order; the next document of a single one is itself; an empty table gives no rows; other columns
-    are ignored.
+    A null text is empty; rows without doc_id are left out (they have no place in the order); rows of one doc_id follow each
+    other by text; the next document of a single one is itself; an empty table gives no rows; other columns are ignored.
+    The fingerprints of equal texts are equal. Only the two likenesses asked for are computed here; similar_pairs() compares
+    documents with each other.
     """
     rows = docs.filter("doc_id is not null").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     rows = with_next(rows, "doc_id", ["text"])
