@@ -72,11 +72,13 @@ def is_held_out(doc_id: Column) -> Column:
 
 
 def fit(docs: DataFrame, labels: DataFrame, bound: int = TRAIN_ROWS) -> AdditiveModel:
-    """The model from labelled rows that aren't held out, about `bound` at most, chosen by a hash of doc_id."""
+    """The model from labelled rows that aren't held out, `bound` at most, chosen by a hash of doc_id."""
     known = labels.filter("doc_id is not null and quality is not null").filter(~is_held_out(F.col("doc_id")))
     known = known.groupBy("doc_id").agg(F.max("quality").alias("quality_"))
     known = bounded_sample(known, "doc_id", bound)
     joined = docs.select("doc_id", "text").join(F.broadcast(known), "doc_id")  # bounded by `bound`
+    # of rows of one doc_id the smallest text counts, so that repeated ones can't outgrow the bound either
+    joined = joined.groupBy("doc_id").agg(F.min(F.struct("text", "quality_")).alias("r")).select("doc_id", "r.text", "r.quality_")
 
     def measured(batches):
         for batch in batches:

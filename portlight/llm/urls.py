@@ -82,7 +82,7 @@ def features(urls: list[str], hosts: list[str], paths: list[str], seen: np.ndarr
 
 
 def fit(labelled: DataFrame, counts: DataFrame, rate: float) -> Trees:
-    """Trees from url, host, path, allowed, top_, site_, half_: at most about TRAIN_ROWS of them."""
+    """Trees from url, host, path, allowed, top_, site_, half_: at most TRAIN_ROWS different urls."""
     sample = bounded_sample(labelled, "url", TRAIN_ROWS).select("url", "host", "path", "allowed", "top_", "site_", "half_")
     sample = with_counts(with_counts(sample, counts, "top"), counts, "site")
     # a url's own label must not be in the counts that it learns from: each half takes the other's, twice for the size of both
