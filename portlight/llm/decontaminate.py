@@ -68,7 +68,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHO
     columns are ignored.
     """
     items = add_shingles(benchmark.filter("item_id is not null").select("item_id", "text"), "text").select("item_id", F.col("sh_").alias("item_sh"), F.size("sh_").alias("len_"))
-    items = materialise(items.withColumn("item_fp", simhash("item_sh")), "decontaminate-items").filter("len_ > 0")
+    items = materialise(items.filter("len_ > 0").distinct().withColumn("item_fp", simhash("item_sh")), "decontaminate-items")
     places = items.select("len_", F.posexplode("item_sh").alias("off_", "s_")).distinct()
     n = places.count()
     whole = docs.filter("doc_id is not null").select("doc_id", "text")
@@ -82,10 +82,12 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHO
     cut = cut.select("doc_id", F.col("w_.start").alias("first_word"), F.col("w_.len").alias("len_"), F.slice("sh_", F.col("w_.start") + 1, F.col("w_.len")).alias("win_sh"))
     cut = cut.withColumn("win_fp", simhash("win_sh"))
     ours = cut.withColumn("win_blocks", blocks("win_fp", radius)).select("*", F.posexplode_outer("win_blocks").alias("j_", "v_"))
-    theirs = items.withColumn("item_blocks", blocks("item_fp", radius)).select("*", F.posexplode_outer("item_blocks").alias("j_", "v_"))
-    pairs = ours.join(_small(theirs, n), ["len_", "j_", "v_"])
+    marks = items.select("len_", "item_fp").distinct()  # one for all items with this fingerprint; arrays come after the Hamming test
+    theirs = marks.withColumn("item_blocks", blocks("item_fp", radius)).select("*", F.posexplode_outer("item_blocks").alias("j_", "v_"))
+    pairs = ours.join(_small(theirs, marks.count() * (radius + 1)), ["len_", "j_", "v_"])
     first = F.expr("array_position(transform(win_blocks, (x, i) -> x = item_blocks[i]), true) - 1")  # one of the blocks in common
     pairs = pairs.filter((F.col("j_") == first) & (F.expr("bit_count(win_fp ^ item_fp)") <= radius))
+    pairs = pairs.select("doc_id", "first_word", "len_", "win_sh", "item_fp").join(_small(items, n), ["len_", "item_fp"])
     pairs = pairs.withColumn("similarity", weighted_jaccard("win_sh", "item_sh")).filter(F.col("similarity") >= threshold)
     best = F.max(F.struct("similarity", (-F.col("first_word")).alias("m"))).alias("best")
     return pairs.groupBy("doc_id", "item_id").agg(best).select("doc_id", "item_id", F.col("best.similarity").alias("similarity"), (-F.col("best.m")).cast("long").alias("first_word"))
