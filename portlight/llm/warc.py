@@ -22,6 +22,10 @@ from .common import fresh_dir, materialise
 #: Compressed bytes after which a writer starts another archive. One archive is read by one task, whole.
 ARCHIVE_BYTES = 32 << 20
 
+#: Rows that are broadcast at most (100 bytes each): first pages of the payloads with the most pages, names of archives. What
+#: goes beyond is joined by shuffles.
+MANY = 50_000
+
 _END = b"\r\n\r\n"
 _MAGIC = b"\x1f\x8b\x08"
 _VERSION = re.compile(rb"WARC/\d\.\d\r\n")
@@ -164,8 +168,13 @@ def mark_revisits(pages: DataFrame) -> DataFrame:
     rows = pages.select("page_id", "url", F.encode(F.coalesce("html", F.lit("")), "UTF-8").alias("payload"))
     rows = rows.withColumn("sha", F.sha1("payload")).withColumn("size", F.length("payload"))
     first = rows.groupBy("sha", "size").agg(F.min("page_id").alias("first_id"), F.count("*").alias("n"))
-    first = materialise(first.filter("n > 1").drop("n"), "warc-first")
-    rows = rows.join(first, ["sha", "size"], "left")
+    first = materialise(first.filter("n > 1"), "warc-first")
+    if first.count() <= MANY:
+        rows = rows.join(F.broadcast(first.drop("n")), ["sha", "size"], "left")
+    else:
+        many = F.broadcast(first.orderBy(F.desc("n"), "sha").limit(MANY).drop("n"))  # payloads that could fill a task are here
+        rest = rows.join(many.select("sha", "size"), ["sha", "size"], "left_anti").join(first.drop("n"), ["sha", "size"], "left")
+        rows = rows.join(many, ["sha", "size"]).unionByName(rest)
     other = F.col("first_id").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first_id"))
     return rows.select("page_id", "url", "payload", F.when(other, F.col("first_id")).alias("refers_to"))
 
@@ -209,8 +218,12 @@ def write_archives(rows: DataFrame, target: str, archive_bytes: int = ARCHIVE_BY
     return materialise(rows.mapInArrow(write, "archive string, records long, bytes long"), "warc-manifest")
 
 
-def read_archives(spark, archives: list[str], with_payload: bool = True) -> DataFrame:
-    """Records and gaps (kind) of WARC archives, plain or of gzip members, damaged or not. Every byte is in a record or a gap."""
+def read_archives(spark, archives: str | list[str], with_payload: bool = True, only: DataFrame | None = None) -> DataFrame:
+    """Records and gaps (kind) of WARC archives, plain or of gzip members, damaged or not. Every byte is in a record or a gap.
+
+    archives is a folder, or a list of a few paths. `only` (archive) tells which of the folder's files count; it is a table, and
+    no list of files goes through the driver's Python.
+    """
 
     if not archives:
         return spark.createDataFrame([], SALVAGE_SCHEMA)
@@ -233,6 +246,11 @@ def read_archives(spark, archives: list[str], with_payload: bool = True) -> Data
                     yield pa.RecordBatch.from_pylist(rows, schema)
 
     files = spark.read.format("binaryFile").load(archives).select("path", "content")
+    if only is not None:  # by name: ways to write a path differ
+        name = lambda c: F.substring_index(c, "/", -1).alias("name")
+        named = only.select(name("archive"))
+        named = F.broadcast(named) if only.count() <= MANY else named
+        files = files.select("path", "content", name("path")).join(named, "name", "left_semi").select("path", "content")
     return files.mapInArrow(read, SALVAGE_SCHEMA)
 
 
@@ -244,8 +262,11 @@ def archive_pages(pages: DataFrame) -> DataFrame:
     one payload are both responses. An empty table gives no archive and no rows. Other columns are ignored.
     """
     spark = pages.sparkSession
-    manifest = write_archives(mark_revisits(pages), fresh_dir(spark, "warc"))
-    return read_archives(spark, [r.archive for r in manifest.select("archive").toLocalIterator()], with_payload=False)
+    target = fresh_dir(spark, "warc")
+    manifest = write_archives(mark_revisits(pages), target)
+    if manifest.isEmpty():
+        return spark.createDataFrame([], SALVAGE_SCHEMA)
+    return read_archives(spark, target, with_payload=False, only=manifest)
 
 
 def op1_warc_salvage(spark, sf_dir: str) -> DataFrame:
