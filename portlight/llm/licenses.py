@@ -43,6 +43,28 @@ SENTENCES = {
     "Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution": "BSDbinary",
     "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission": "BSDendorse",
     "All rights reserved": "AllRights",
+    "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies": "ISCgrant",
+    "The software is provided as is and the author disclaims all warranties with regard to this software including all implied warranties of merchantability and fitness": "ISCwarranty",
+    "This is free and unencumbered software released into the public domain": "UNLdomain",
+    "Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means": "UNLfree",
+    "This Source Code Form is subject to the terms of the Mozilla Public License, v": "MPL2form",
+    "If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0": "MPL2copy",
+    "If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0": "MPL2copy",
+    "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version": "GPL2grant",
+    "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version": "LGPL21grant",
+    "This library is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE": "GPLwarranty",
+    "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version": "LGPL3grant",
+    "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version": "AGPL3grant",
+    "Licensed under CC BY-SA 4.0": "CCBYSA4ref",
+    "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License": "CCBYSA4ref",
+    "Licensed under CC0 1.0": "CC0ref",
+    "To the extent possible under law, the author has dedicated all copyright and related and neighboring rights to this software to the public domain worldwide": "CC0ref",
+    "SPDX-License-Identifier: MIT": "MITref",
+    "SPDX-License-Identifier: Apache-2.0": "Apache2ref",
+    "SPDX-License-Identifier: GPL-3.0-only": "GPL3ref",
+    "SPDX-License-Identifier: BSD-3-Clause": "SPDXBSD3",
+    "SPDX-License-Identifier: ISC": "ISCref",
+    "SPDX-License-Identifier: MPL-2.0": "MPL2ref",
 }
 #: Fixed values: (licence, identifiers in order, licences that a match of this rule needs to be absent).
 RULES = [
@@ -57,6 +79,18 @@ RULES = [
     ("GPL-3.0-only", ["GPL3ref"], ["GPL-3.0-or-later"]),
     ("CC-BY-NC-4.0", ["CCBYNC4ref"], []),
     ("CC-BY-4.0", ["CCBY4ref"], []),
+    ("ISC", ["ISCgrant", "ISCwarranty"], []),
+    ("Unlicense", ["UNLdomain", "UNLfree"], []),
+    ("MPL-2.0", ["MPL2form", "MPL2copy"], []),
+    ("GPL-2.0-or-later", ["GPL2grant", "GPLwarranty"], []),
+    ("LGPL-2.1-or-later", ["LGPL21grant", "GPLwarranty"], []),
+    ("LGPL-3.0-or-later", ["LGPL3grant", "GPLwarranty"], []),
+    ("AGPL-3.0-or-later", ["AGPL3grant", "GPLwarranty"], []),
+    ("CC-BY-SA-4.0", ["CCBYSA4ref"], []),
+    ("CC0-1.0", ["CC0ref"], []),
+    ("BSD-3-Clause", ["SPDXBSD3"], []),
+    ("ISC", ["ISCref"], []),
+    ("MPL-2.0", ["MPL2ref"], []),
 ]
 #: Where sentences end: a full stop, exclamation or question mark and white space. Blank lines end them too.
 SENTENCE_END = r"(?<=[.!?])\s+"
@@ -68,6 +102,26 @@ def normalised(sentence: str) -> str:
     return re.sub(r"[^a-z0-9]+", " ", sentence.lower()).strip()
 
 
+def any_sentence(sentences: list[str]) -> str:
+    """A pattern of all the normalised sentences, whose words may be parted by line breaks, the longest that fits first.
+    Sentences with equal beginnings share them, so that a text is not compared with each one."""
+    tree: dict = {}
+    for sentence in sentences:
+        node = tree
+        for word in sentence.split():
+            node = node.setdefault(word, {})
+        node[""] = {}
+
+    def pattern(node: dict) -> str:
+        more = [word + pattern(rest) for word, rest in node.items() if word]
+        if not more:
+            return ""
+        longer = r"[ \n](?:" + "|".join(more) + ")" if len(more) > 1 else r"[ \n]" + more[0]
+        return f"(?:{longer})?" if "" in node else longer
+
+    return "(?:" + "|".join(word + pattern(rest) for word, rest in tree.items()) + ")"
+
+
 def sentence_ids(text: Column, sentences: dict[str, str] = SENTENCES) -> Column:
     """Array of the identifiers of the known sentences of a text, in order.
 
@@ -76,7 +130,7 @@ def sentence_ids(text: Column, sentences: dict[str, str] = SENTENCES) -> Column:
     """
     known = {normalised(k): v for k, v in sentences.items()}
     entries = [F.lit(x) for pair in known.items() for x in pair]
-    any_of = "|".join(k.replace(" ", r"[ \n]") for k in sorted(known, key=len, reverse=True))
+    any_of = any_sentence(list(known))
     plain = F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), LINE_MARK, "$1")
     # each sentence's end becomes a blank line, and lines keep only their words
     plain = F.regexp_replace(F.regexp_replace(plain, SENTENCE_END, "\n\n"), r"[^a-z0-9\n]+", " ")
@@ -121,18 +175,19 @@ def op7_sentence_licences(spark, sf_dir: str) -> DataFrame:
 
 
 def oracle_sql() -> str:
-    """DuckDB SQL for the single-identifier rules, which are all that documents hold; longer rules would need all of theirs."""
+    """DuckDB SQL for texts whose sentences aren't wrapped over lines, as those of the test tables: all rules, by the order of identifiers."""
     quote = lambda x: "'" + x.replace("'", "''") + "'"
     known = {normalised(k): v for k, v in SENTENCES.items()}
     values = ", ".join(f"({quote(k)}, {quote(v)})" for k, v in known.items())
-    rules = ", ".join(f"({i}, {quote(x)}, [{', '.join(map(quote, ids))}])" for i, (x, ids, _) in enumerate(RULES))
+    rules = ", ".join(f"({i}, {quote(x)}, {quote(','+',(?:.*,)?'.join(ids)+',')}, [{', '.join(map(quote, absent))}]::varchar[])" for i, (x, ids, absent) in enumerate(RULES))
     return f"""
-with known(sentence, id) as (values {values}), rules(n, licence, ids) as (values {rules}),
+with known(sentence, id) as (values {values}), rules(n, licence, pattern, absent) as (values {rules}),
 parts as (select doc_id, unnest(regexp_split_to_array(regexp_replace(coalesce(text, ''), '([.!?])\\s+', '\\1' || chr(10), 'g'), chr(10))) as s from documents),
 found as (select doc_id, id, row_number() over () as place from (select doc_id, trim(regexp_replace(lower(s), '[^a-z0-9]+', ' ', 'g')) as t from parts) x join known on t = sentence),
 perdoc as (select doc_id, list(id order by place) as ids from found group by doc_id),
-hits as (select doc_id, n, licence from perdoc, rules where len(rules.ids) = 1 and list_contains(perdoc.ids, rules.ids[1])),
-per as (select doc_id, string_agg(licence, ',' order by n) as licences from (select doc_id, licence, min(n) as n from hits group by doc_id, licence) y group by doc_id)
+hits as (select doc_id, n, licence, absent from perdoc, rules where regexp_matches(',' || array_to_string(perdoc.ids, ',') || ',', rules.pattern)),
+kept as (select doc_id, n, licence from hits h where not exists (select 1 from hits o where o.doc_id = h.doc_id and list_contains(h.absent, o.licence))),
+per as (select doc_id, string_agg(licence, ',' order by n) as licences from (select doc_id, licence, min(n) as n from kept group by doc_id, licence) y group by doc_id)
 select d.doc_id, coalesce(array_to_string(perdoc.ids, ','), '') as sentence_ids, coalesce(per.licences, '') as licences,
   case when per.licences is not null then 'licensed' when perdoc.ids is not null then 'unmatched' else 'none' end as status,
   cast(coalesce(len(perdoc.ids), 0) as bigint) as n_sentences

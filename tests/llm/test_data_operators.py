@@ -27,7 +27,9 @@ def test_warc_sql(spark):
     oracle.compare(spark, warc.op1_warc_salvage, warc.OP1_SQL)
 
 
-def test_warc_pages(spark):
+@pytest.mark.parametrize("many", [warc.MANY, 1])
+def test_warc_pages(spark, many, monkeypatch):
+    monkeypatch.setattr(warc, "MANY", many)
     pages = [(3, "http://a", "x"), (1, None, "x"), (2, "http://b", None), (5, "u\r\nEvil: 1", ""), (7, "http://c", "WARC/1.1\r\nContent-Length: 5\r\n\r\n é"), (7, "http://c", "twice"), (7, "http://c", "twice"), (None, "n", "x"), (None, "n", "alone")]
     got = sorted(((r.page_id or 0, r.payload_bytes, r.warc_type, r.refers_to) for r in warc.archive_pages(spark.createDataFrame([(*p, 0, 0) for p in pages], "page_id long, url string, html string, payload int, n int")).collect()), key=str)
     assert got == sorted([(3, 1, "revisit", 1), (1, 1, "response", None), (2, 0, "response", None), (5, 0, "revisit", 2), (7, len(pages[4][2].encode()), "response", None), (7, 5, "response", None), (7, 5, "response", None), (0, 1, "revisit", 1), (0, 5, "response", None)], key=str)
@@ -431,3 +433,55 @@ def test_kept_text_keeps_characters_whole():
     assert suffix_dedup.kept_text("éabcd", cover) == "éd"
     assert suffix_dedup.kept_text("abcdé", [{"starts": [3], "long_spans": [0, 2]}]) == "abcé"
     assert suffix_dedup.kept_text(None, None) is None
+
+
+# ---- bounded samples ----
+
+
+@pytest.mark.parametrize("bound", [50, 5000])
+def test_sample_has_a_hard_bound(spark, bound):
+    rows = spark.range(20_000).select(F.when(F.col("id") % 10 < 9, 7).otherwise(F.col("id")).alias("k"), "id")
+    got = [r.k for r in boosting.bounded_sample(rows, "k", bound).collect()]
+    assert len(got) == len(set(got)) == min(bound, 2001)
+    assert sorted(got) == sorted(r.k for r in boosting.bounded_sample(rows.repartition(3), "k", bound).collect())
+
+
+def test_additive_tables_against_brute_force():
+    """The vectorised score is the prior plus one entry of each table, looked up feature by feature and pair by pair."""
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(400, 5))
+    y = ((x[:, 0] > 0) ^ (x[:, 1] > 0.5)).astype(float)
+    model = boosting.fit_additive(x, y, rounds=20, pair_rounds=30, n_pairs=3)
+    new = rng.normal(size=(50, 5))
+    for row, score in zip(new, model.score(new), strict=True):
+        total = model.prior
+        place = lambda edges, v: sum(e <= v for e in edges)
+        for j, table in enumerate(model.single):
+            total += table[place(model.binned.edges[j], row[j])]
+        for (a, b), table in zip(model.pairs, model.double, strict=True):
+            total += table[place(model.coarse.edges[a], row[a])][place(model.coarse.edges[b], row[b])]
+        assert abs(1 / (1 + np.exp(-total)) - score) < 1e-9
+    assert ((model.score(x) > 0.5) == y).mean() > 0.9 and (0, 1) in model.pairs
+
+
+def brute_features(text):
+    """Some of quality.FEATURES by plain Python."""
+    data, words = text.encode(), re.findall(rb"[^\x20\x09-\x0d]+", text.encode())
+    if not words:
+        return dict.fromkeys(quality.FEATURES, 0.0)
+    low = [re.sub(rb"[A-Z]", lambda m: m[0].lower(), w) for w in words]
+    lines = [x for x in data.split(b"\n") if x.strip()]
+    share = [n / len(data) for n in Counter(data).values()]
+    return {
+        "log_bytes": np.log(len(data)), "upper": sum(65 <= b <= 90 for b in data) / len(data), "digits": sum(48 <= b <= 57 for b in data) / len(data), "entropy": -sum(p * np.log2(p) for p in share), "log_words": np.log(len(words)),
+        "word_length": np.mean([len(w) for w in words]), "distinct": len(set(low)) / len(words) ** 0.8, "repeats_last": sum(a == b for a, b in zip(low, low[1:])) / len(words), "most_common": Counter(low).most_common(1)[0][1] / len(words),
+        "distinct_pairs": len(set(zip(low, low[1:]))) / max(1, len(words) - 1), "line_repeats": 1 - len(set(lines)) / len(lines), "short_words": np.mean([len(w) <= 2 for w in words]), "bars": data.count(b"|") / len(words),
+    }
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.text("aAbB1| .\n\tçé", max_size=120))
+def test_quality_features_against_brute_force(text):
+    got = dict(zip(quality.FEATURES, quality.features(text), strict=True))
+    for name, value in brute_features(text).items():
+        assert abs(got[name] - value) < 1e-9, name

@@ -75,6 +75,19 @@ def test_fingerprints_against_brute_force(spark):
     assert [r.near_next for r in spotsigs.fingerprint_report(spark.createDataFrame([(1, "the dog ran"), (None, "x")], "doc_id long, text string")).collect()] == [1.0]
 
 
+def test_repeated_ids_keep_their_rows(spark):
+    """Rows of one doc_id follow each other by text, at the edges of ranges too."""
+    texts = {k: f"the house of {WORDS[k % 400]} and the {WORDS[k % 300]}" for k in range(250, 262)}
+    rows = [*texts.items(), (255, "a first"), (255, None), (256, "zz the last"), (256, "zz the last"), (256, ""), (511, "the end"), (511, "an end")]
+    got = spotsigs.fingerprint_report(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    order = sorted((k, t or "") for k, t in rows)
+    want = []
+    for (k, text), (_, nxt) in zip(order, order[1:] + order[:1], strict=True):
+        q = len(text) // 4
+        want.append((k, len(text), hashlib.sha256((text[: len(text) - q] + nxt[:q]).encode()).hexdigest()))
+    assert sorted((r.doc_id, r.n_chars, r.edited_sha256) for r in got) == sorted(want)
+
+
 def test_similar_pairs_against_brute_force(spark):
     base = " ".join(("the " if i % 4 == 0 else "") + WORDS[i % 97] + WORDS[i] for i in range(200))
     docs = {1: base, 2: base, 3: base + " the end of words here", 4: base.replace(WORDS[5], "other"), 5: "the quick brown fox jumps", 6: "", 7: None, 8: " ".join(base.split()[:150])}
@@ -199,6 +212,60 @@ def test_wrapped_licence_texts(spark):
     assert [(i, got[i]) for i in range(len(texts))] == [(i, name) for i, (name, _) in enumerate(texts)]
 
 
+ISC = """Copyright (c) 2020, A. Author
+
+Permission to use, copy, modify, and/or distribute this software for any
+purpose with or without fee is hereby granted, provided that the above
+copyright notice and this permission notice appear in all copies.
+
+THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH
+REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY
+AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY DAMAGES."""
+UNLICENSE = """This is free and unencumbered software released into the public domain.
+
+Anyone is free to copy, modify, publish, use, compile, sell, or
+distribute this software, either in source code form or as a compiled
+binary, for any purpose, commercial or non-commercial, and by any
+means."""
+MPL = """This Source Code Form is subject to the terms of the Mozilla Public
+License, v. 2.0. If a copy of the MPL was not distributed with this
+file, You can obtain one at https://mozilla.org/MPL/2.0/."""
+LGPL = """This library is free software; you can redistribute it and/or
+modify it under the terms of the GNU Lesser General Public
+License as published by the Free Software Foundation; either
+version 2.1 of the License, or (at your option) any later version.
+
+This library is distributed in the hope that it will be useful,
+but WITHOUT ANY WARRANTY; without even the implied warranty of
+MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the GNU
+Lesser General Public License for more details."""
+GPL2 = """This program is free software; you can redistribute it and/or modify
+it under the terms of the GNU General Public License as published by
+the Free Software Foundation; either version 2 of the License, or
+(at your option) any later version.
+
+This program is distributed in the hope that it will be useful,
+but WITHOUT ANY WARRANTY; without even the implied warranty of
+MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the
+GNU General Public License for more details."""
+
+
+def test_more_licence_texts(spark):
+    agpl = GPL2.replace("software; you", "software: you").replace("GNU General Public License as", "GNU Affero General Public License as").replace("Foundation; either version 2", "Foundation, either version 3")
+    full = {"ISC": ISC, "Unlicense": UNLICENSE, "MPL-2.0": MPL, "LGPL-2.1-or-later": LGPL, "GPL-2.0-or-later": GPL2, "AGPL-3.0-or-later": agpl, "LGPL-3.0-or-later": agpl.replace("Affero", "Lesser")}
+    texts = [(name, "".join(f"{mark}{line}\n" for line in text.splitlines())) for name, text in full.items() for mark in ("", "# ", " * ", "// ")]
+    texts += [("MIT", "// SPDX-License-Identifier: MIT\nint x;"), ("CC-BY-SA-4.0", "Licensed under CC BY-SA 4.0"), ("", "Licensed under CC BY-SA"), ("", ISC.replace("fee", "money")), ("ISC", ISC + "\nAll rights reserved.")]
+    got = {r.doc_id: r.licences for r in licenses.scan(spark.createDataFrame([(i, t) for i, (_, t) in enumerate(texts)], "doc_id long, text string")).collect()}
+    assert [(i, got[i]) for i in range(len(texts))] == [(i, name) for i, (name, _) in enumerate(texts)]
+
+
+def test_pattern_finds_each_sentence_whole():
+    known = [licenses.normalised(x) for x in licenses.SENTENCES]
+    pattern = re.compile(rf"(?<![^\n])({licenses.any_sentence(known)})(?![^\n])")
+    for x in known:
+        assert pattern.findall(f"before\n{x}\nafter") == [x] and not pattern.findall(f"before {x}\nafter") and not pattern.findall(f"{x} after")
+
+
 # ---- decontamination ----
 
 
