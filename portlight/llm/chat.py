@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import materialise, table
 
+TURN = "struct<role:string,text:string>"
 SEGMENT_COLUMNS = ["pair_id", "part", "turn", "role", "content", "loss_mask", "n_prompt_turns"]
 
 
@@ -15,12 +16,6 @@ def rendered(role, text):
     return F.concat(F.lit("<|"), F.coalesce(role, F.lit("")), F.lit("|>\n"), F.coalesce(text, F.lit("")), F.lit("<|end|>\n"))
 
 
-def _turns(df: DataFrame, prefix: str) -> DataFrame:
-    one = df.filter(F.col("pair_id").isNotNull() & F.col("turn").isNotNull())
-    one = one.groupBy("pair_id", "turn").agg(F.min(F.struct("role", "text")).alias(prefix))
-    return one
-
-
 def preference_segments(chosen: DataFrame, rejected: DataFrame) -> DataFrame:
     """pair_id, turn, role, text of both sides to one row for each rendered turn.
 
@@ -29,22 +24,25 @@ def preference_segments(chosen: DataFrame, rejected: DataFrame) -> DataFrame:
     ones appear for each side, part 'chosen' or 'rejected', loss_mask 1 for the assistant's and 0 for others'.
     n_prompt_turns is the number of turns in the prefix. Rows without pair or turn are left out; of repeated turns the
     smallest (role, text) counts; a side without turns is an empty completion. A conversation is never gathered in one
-    row: all work is keyed by pair and turn, so one of any length spreads over the tasks.
+    row: turns meet by pair and turn, so one of any length spreads over the tasks; only the last join is by pair, where Spark can
+    split what is skewed. Other columns are ignored.
     """
-    both = _turns(chosen, "c").join(_turns(rejected, "r"), ["pair_id", "turn"], "full")
+    sides = chosen.select("pair_id", "turn", F.struct("role", "text").alias("c"), F.lit(None).cast(TURN).alias("r"))
+    sides = sides.unionByName(rejected.select("pair_id", "turn", F.lit(None).cast(TURN).alias("c"), F.struct("role", "text").alias("r")))
+    # one shuffle brings both sides of a turn together; what follows reads turn numbers alone, and whole texts once more
+    both = sides.filter("pair_id is not null and turn is not null").groupBy("pair_id", "turn").agg(F.min("c").alias("c"), F.min("r").alias("r"))
     same = F.col("c").isNotNull() & F.col("r").isNotNull() & F.col("c.role").eqNullSafe(F.col("r.role")) & F.col("c.text").eqNullSafe(F.col("r.text"))
-    both = both.select("pair_id", "turn", "c", "r", same.alias("same"))
-    parted = both.groupBy("pair_id").agg(F.min(F.when(~F.col("same"), F.col("turn"))).alias("split_turn"))
-    rows = both.join(parted, "pair_id")
-    shared = F.col("split_turn").isNull() | (F.col("turn") < F.col("split_turn"))
-    rows = rows.withColumn("shared", shared)
-    prompts = rows.filter("shared").groupBy("pair_id").agg(F.count("*").alias("n_prompt_turns"))
-    rows = rows.join(prompts, "pair_id", "left")
+    both = materialise(both.withColumn("same", same), "preference-turns")
+    turns = both.select("pair_id", "turn", "same")
+    ends = turns.groupBy("pair_id").agg(F.min(F.when(~F.col("same"), F.col("turn"))).alias("split_turn"))
+    before = F.col("split_turn").isNull() | (F.col("turn") < F.col("split_turn"))
+    ends = turns.join(ends, "pair_id").groupBy("pair_id", "split_turn").agg(F.count_if(before).alias("n_prompt_turns"))
+    rows = both.join(ends, "pair_id").withColumn("shared", before)
     piece = lambda side, part: F.struct(F.lit(part).alias("part"), F.col(f"{side}.role").alias("role"), F.col(f"{side}.text").alias("text"))
     pieces = F.when(F.col("shared"), F.array(piece("c", "prompt"))).otherwise(
         F.filter(F.array(F.when(F.col("c").isNotNull(), piece("c", "chosen")), F.when(F.col("r").isNotNull(), piece("r", "rejected"))), lambda x: x.isNotNull())
     )
-    rows = rows.select("pair_id", "turn", F.coalesce("n_prompt_turns", F.lit(0)).cast("long").alias("n_prompt_turns"), F.explode(pieces).alias("p"))
+    rows = rows.select("pair_id", "turn", "n_prompt_turns", F.explode(pieces).alias("p"))
     masked = (F.col("p.part") != "prompt") & (F.coalesce(F.col("p.role"), F.lit("")) == "assistant")
     return rows.select(
         "pair_id", F.col("p.part").alias("part"), F.col("turn").cast("long").alias("turn"), F.col("p.role").alias("role"),

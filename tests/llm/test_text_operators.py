@@ -54,6 +54,18 @@ def brute_signatures(text):
     return chains or ({tuple(words)} if words else set())
 
 
+def test_preference_of_long_and_tied_turns(spark):
+    """Long texts, a turn that stands twice (the smallest role and text counts), other columns with the operator's own names."""
+    long = "word " * 60_000
+    rows = [(1, 0, "user", long, 9), (1, 1, "assistant", "b", 9), (1, 1, "assistant", "a", 9), (1, 2, "user", None, 9), (2, 0, None, "x", 9), (None, 0, "user", "x", 9), (3, None, "user", "x", 9)]
+    other = [(1, 0, "user", long, 9), (1, 1, "assistant", "a", 9), (1, 2, "user", "", 9), (2, 0, None, "x", 9)]
+    schema = "pair_id long, turn int, role string, text string, same int"
+    got = sorted((r.pair_id, r.turn, r.part, len(r.content), r.loss_mask, r.n_prompt_turns) for r in chat.preference_segments(spark.createDataFrame(rows, schema), spark.createDataFrame(other, schema)).collect())
+    size = lambda role, text: len(f"<|{role}|>\n{text}<|end|>\n")
+    assert got == [(1, 0, "prompt", size("user", long), 0, 2), (1, 1, "prompt", size("assistant", "a"), 0, 2), (1, 2, "chosen", size("user", ""), 0, 2), (1, 2, "rejected", size("user", ""), 0, 2), (2, 0, "prompt", size("", "x"), 0, 1)]
+    assert chat.preference_segments(spark.createDataFrame([], schema), spark.createDataFrame([], schema)).count() == 0
+
+
 def test_fingerprints_against_brute_force(spark):
     docs = {r.doc_id: r.text for r in spark.read.parquet(f"{oracle.SF}/documents.parquet").limit(60).collect()}
     docs |= {900: "", 901: None, 905: "no-common words", 10_000: "the", 10_001: "the", 5_000_000: "a b c the d"}
