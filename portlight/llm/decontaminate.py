@@ -98,6 +98,7 @@ def op3_simhash_decontamination(spark, sf_dir: str) -> DataFrame:
 
 
 def drop_leaks(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: documents without a benchmark item, with the columns of docs."""
+    """Pipeline stage: documents without a benchmark item, with the columns of docs, whatever they are called. Rows without
+    doc_id or words stay; all rows of a doc_id go when one of them holds an item; an empty table stays empty."""
     found = find_leaks(docs, table(spark, sf_dir, "benchmark")).select("doc_id").distinct()
     return docs.join(found, "doc_id", "left_anti").select(docs.columns)

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialise, maybe_in, mix64, release, shingle_hashes, table, word_hashes
+from .common import free_name, materialise, maybe_in, mix64, release, shingle_hashes, table, word_hashes
 from .suffix_dedup import digest
 
 WIDTH = 3
@@ -360,11 +360,12 @@ def op8_token_group_join(spark, sf_dir: str) -> DataFrame:
 
 
 def keep_representatives(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: of each component of word shingles (STAGE_WIDTH, STAGE_PERCENT) the document with the smallest doc_id, with the columns of docs. Documents without
-    words or without doc_id stay; of rows that repeat a doc_id one stays."""
+    """Pipeline stage: of each component of word shingles (STAGE_WIDTH, STAGE_PERCENT) the document with the smallest doc_id,
+    with the columns of docs, whatever they are called. Documents without words or without doc_id stay; of rows that repeat
+    a doc_id that with the smallest text stays; an empty table stays empty."""
     found = link_components(docs, STAGE_WIDTH, STAGE_PERCENT)
     keep = found.filter("doc_id is null or component_id = doc_id").select("doc_id").filter("doc_id is not null").distinct()
     kept = docs.join(keep, "doc_id", "left_semi").select(docs.columns)
-    first = Window.partitionBy("doc_id").orderBy("text")
-    kept = kept.withColumn("turn_", F.row_number().over(first)).filter("turn_ = 1").select(docs.columns)
+    place = free_name(docs, "place")
+    kept = kept.withColumn(place, F.row_number().over(Window.partitionBy("doc_id").orderBy("text"))).filter(F.col(place) == 1).select(docs.columns)
     return kept.unionByName(docs.filter("doc_id is null"))

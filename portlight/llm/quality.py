@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .boosting import AdditiveModel, bounded_sample, fit_additive
-from .common import mix64, table, word_hashes
+from .common import free_name, mix64, table, word_hashes
 
 #: Labelled rows that the model is fitted on at most.
 TRAIN_ROWS = 20_000
@@ -93,8 +93,8 @@ def fit(docs: DataFrame, labels: DataFrame, bound: int = TRAIN_ROWS) -> Additive
     return fit_additive(np.stack(pdf["x"].to_numpy()), pdf["y"].to_numpy())
 
 
-def score_documents(docs: DataFrame, model: AdditiveModel) -> DataFrame:
-    """Adds quality_score_ (0 to 1) to docs, from the whole text alone. A null text counts as empty."""
+def score_documents(docs: DataFrame, model: AdditiveModel, out: str) -> DataFrame:
+    """Adds the column `out`, the score (0 to 1), to docs, from the whole text alone. A null text counts as empty."""
     at, columns = docs.columns.index("text"), docs.columns
 
     def scored(batches):
@@ -102,9 +102,9 @@ def score_documents(docs: DataFrame, model: AdditiveModel) -> DataFrame:
             if not batch.num_rows:
                 continue
             x = np.stack([features(t) for t in batch.column(at).to_pylist()])
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(model.score(x))], names=[*columns, "quality_score_"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(model.score(x))], names=[*columns, out])
 
-    schema = ", ".join(f"`{c}` {t}" for c, t in docs.dtypes) + ", quality_score_ double"
+    schema = ", ".join(f"`{c}` {t}" for c, t in docs.dtypes) + f", `{out}` double"
     return docs.mapInArrow(scored, schema)
 
 
@@ -114,10 +114,10 @@ def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
     Labels of held-out documents are never read. Without labels, or with labels of one kind, the score is the smoothed share
     of label 1. Empty and null texts get the score of an all-zero row; repeated rows stay; other columns are ignored.
     """
-    scored = score_documents(docs.select("doc_id", "text"), fit(docs, labels))
+    scored = score_documents(docs.select("doc_id", "text"), fit(docs, labels), "score")
     return scored.select(
-        "doc_id", is_held_out(F.col("doc_id")).alias("held_out"), F.col("quality_score_").alias("score"),
-        (F.col("quality_score_") >= THRESHOLD).cast("int").alias("predicted"),
+        "doc_id", is_held_out(F.col("doc_id")).alias("held_out"), "score",
+        (F.col("score") >= THRESHOLD).cast("int").alias("predicted"),
     )
 
 
@@ -126,6 +126,7 @@ def op6_additive_quality(spark, sf_dir: str) -> DataFrame:
 
 
 def keep_good(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: documents that the classifier predicts as good, with the columns of docs."""
-    model = fit(docs, table(spark, sf_dir, "labels"))
-    return score_documents(docs, model).filter(F.col("quality_score_") >= THRESHOLD).select(docs.columns)
+    """Pipeline stage: documents that the classifier predicts as good, with the columns of docs, whatever they are called. Empty
+    and null texts are judged by the score of an all-zero row; repeated rows stay or go together; an empty table stays empty."""
+    score = free_name(docs, "score")
+    return score_documents(docs, fit(docs, table(spark, sf_dir, "labels")), score).filter(F.col(score) >= THRESHOLD).select(docs.columns)

@@ -2,6 +2,7 @@ import zlib
 from array import array
 
 import numpy as np
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -40,6 +41,38 @@ def test_stages_take_effect(spark):
     assert total == sum(len(plain.encode(t, add_special_tokens=False).ids) + 1 for t in kept.values())
 
 
+CLASHING = "place int, turn_ int, gone boolean, cover string, doc_key long, score double, quality_score_ double, words_ string, sh_ int, h_ long, word_ string, set_ long, rep long, node long, n int, component_id long"
+
+
+@pytest.mark.parametrize("name", [name for name, _ in corpus_pipeline.STAGES])
+def test_stages_bear_any_table(spark, name):
+    """Other columns with the operators' own names, nulls, empty and repeated rows, an empty table."""
+    stage = dict(corpus_pipeline.STAGES)[name]
+    item = spark.read.parquet(f"{oracle.SF}/benchmark.parquet").first().text
+    docs = spark.read.parquet(f"{oracle.SF}/documents.parquet").limit(40).collect()
+    fixed = [tuple(None if i % 2 else (i if t != "boolean" else True) if t in ("int", "long", "boolean") else 0.5 if t == "double" else "x" for t in (c.split()[1] for c in CLASHING.split(", "))) for i in range(2)]
+    texts = [(r.doc_id, r.text) for r in docs] + [(docs[0].doc_id, docs[0].text), (9001, None), (9002, ""), (9003, " "), (None, "no number " * 30), (None, None), (9004, "é"), (9005, item), (9006, "long text " * 40_000)]
+    rows = [(k, t, "en", None, None if t is None else len(t), *fixed[i % 2]) for i, (k, t) in enumerate(texts)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars int, " + CLASHING)
+    out = stage(spark, frame, oracle.SF)
+    got = out.collect()
+    assert stage(spark, frame.limit(0), oracle.SF).count() == 0
+    if name == "packing":
+        assert {r.doc_id for r in got} == {k for k, _ in texts}
+        return
+    assert out.dtypes == frame.dtypes
+    plain = {(r.doc_id, r.text) for r in stage(spark, frame.select("doc_id", "text", "lang", "source", "n_chars"), oracle.SF).collect()}
+    assert {(r.doc_id, r.text) for r in got} == plain
+    assert all(tuple(r)[5:] in fixed for r in got)
+    ids = {r.doc_id for r in got}
+    if name != "quality":
+        assert {9001, 9002, 9004, None} <= ids
+    if name == "decontamination":
+        assert 9005 not in ids
+    if name == "near_duplicates":
+        assert sum(r.doc_id == docs[0].doc_id for r in got) <= 1
+
+
 def test_bloom_filter_loses_nothing(spark):
     rows, keys = spark.range(1000), spark.range(0, 1000, 7)
     kept = {r.id for r in maybe_in(rows, "id", keys, bits=8).collect()}
