@@ -12,13 +12,16 @@ from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share: spark.checkpoint.dir, or one of our own where that is unset (tests)."""
+    """The folder that the driver and all executors share: spark.checkpoint.dir, or one of our own where that is unset
+    and all run in one process (tests)."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if base:
         return base.rstrip("/")
     context = spark.sparkContext
     now = context._jsc.sc().getCheckpointDir()
     if now.isEmpty():
+        if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         context.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="portlight-"))
         now = context._jsc.sc().getCheckpointDir()
     return now.get().rstrip("/")

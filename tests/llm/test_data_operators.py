@@ -485,3 +485,12 @@ def test_quality_features_against_brute_force(text):
     got = dict(zip(quality.FEATURES, quality.features(text), strict=True))
     for name, value in brute_features(text).items():
         assert abs(got[name] - value) < 1e-9, name
+
+
+def test_ranks_serve_plain_byte_level_files_alone():
+    import json
+
+    spec = json.loads(packing.tokenizer(packing.default_tokenizer()).exact.to_str())
+    assert packing.ranks_serve(spec)
+    for change in ({"normalizer": {"type": "NFC"}}, {"pre_tokenizer": None}, {"pre_tokenizer": spec["pre_tokenizer"] | {"add_prefix_space": True}}, {"model": spec["model"] | {"ignore_merges": True}}):
+        assert not packing.ranks_serve(spec | change)
