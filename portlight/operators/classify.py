@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scalars as S
 from .merge import DOCUMENT_FLAGS, assign_ids, upsert
-from .relational import ACTIVE, asn_summary, eligible_orders, latest_carrier_event, newest_first, top_errors
+from .relational import ACTIVE, asn_summary, dedupe_carrier_events, eligible_orders, latest_carrier_event, newest_first, top_errors
 
 #: Notes of the decision tree and the outcomes (panel, priority, score, type).
 NOT_ELIGIBLE, AWAITING = "Partner not eligible for AI review", "Awaiting shipment signals"
@@ -205,3 +205,20 @@ def error_section(errors: DataFrame, shown: int = 3, longest: int = 250) -> Data
     rows = best.groupBy("po_number").agg(F.array_sort(F.collect_list(F.struct("rank_", line.alias("line")))).alias("lines"), F.first("n_errors").alias("n"))
     head = F.when(F.col("n") > shown, F.concat(F.lit(f"EDI856 IDoc Errors ({shown} most recent of "), F.col("n").cast("string"), F.lit("):"))).otherwise(F.concat(F.lit("EDI856 IDoc Errors ("), F.col("n").cast("string"), F.lit("):")))
     return rows.select("po_number", F.concat_ws("\n", head, F.transform("lines", lambda x: x["line"])).alias("section"))
+
+
+def carrier_section(events: DataFrame) -> DataFrame:
+    """po_number, section: the carrier events of each order, one of each kind and the newest first, as text for a prompt."""
+    or_none = lambda c: S.first_text(F.col(c).cast("string"), F.lit("N/A"))
+    line = F.concat(
+        F.lit("- "), F.coalesce(S.first_text("status", "event_type"), F.lit("N/A")), F.lit(" | Event: "), F.coalesce(F.date_format("event_time", "yyyy-MM-dd HH:mm 'UTC'"), F.lit("N/A")), F.lit(" | Qty: "), or_none("actual_quantity"),
+        F.lit(" | Tracking #: "), or_none("tracking_number"), F.lit(" | Load #: "), or_none("load_number"),
+    )
+    time = F.coalesce(F.unix_micros(F.col("event_time").cast("timestamp")), F.lit(0))
+    rows = dedupe_carrier_events(events).groupBy("po_number").agg(F.array_sort(F.collect_list(F.struct((-time).alias("age"), "id", line.alias("line")))).alias("lines"))
+    return rows.select("po_number", F.concat_ws("\n", F.lit("CHR (carrier) events (deduped, newest first):"), F.transform("lines", lambda x: x["line"])).alias("section"))
+
+
+def rules_in_order(rules: DataFrame) -> DataFrame:
+    """Exception rules by their score as a number, those without one last."""
+    return rules.orderBy(F.asc_nulls_last(F.col("score").try_cast("int")), "exception_type")

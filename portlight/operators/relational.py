@@ -94,8 +94,10 @@ def creation_report(lines: DataFrame, asn: DataFrame, events: DataFrame, supplie
     """Active lines without a delivery whose order is in transit, with the event's arrival time and reference."""
     rows = lines.filter(F.col("po_status").isin(*ACTIVE)).withColumn("line_key", S.line_item("line_item"))
     rows = rows.join(delivered_line_keys(asn), ["po_number", "line_key"], "left_anti")
+    there = lambda *cs: [c for c in cs if c in events.columns]
     moving = in_transit_event(events).select(
-        "po_number", F.coalesce("delivery_by_date", "event_time").alias("eta"), F.coalesce(S.first_text("customer_reference_number", "order_number", "tracking_number"), F.lit("")).alias("reference"),
+        "po_number", F.coalesce(*there("delivery_by_date", "delivery_available_by_date", "event_time")).alias("eta"),
+        F.coalesce(S.first_text(*there("customer_reference_number", "customer_order_reference", "order_number", "navisphere_tracking_number", "tracking_number")), F.lit("")).alias("reference"),
         carrier_text().alias("carrier_status"),
     )
     rows = rows.join(moving, "po_number")

@@ -42,7 +42,8 @@ TABLES = {
         case when event_id % 5 = 0 then '' else case event_type when 'click' then 'In Transit' when 'view' then 'Delivered' when 'purchase' then 'LOAD PICKED UP' when 'signup' then 'Booked' else 'Delayed' end end as status,
         concat('T', cast(user_id % 3 as string)) as tracking_number, concat('L', cast(user_id % 2 as string)) as load_number, cast(user_id % 5 as string) as order_number,
         case when event_id % 3 = 0 then '' else concat('R', cast(event_id % 100 as string)) end as customer_reference_number, cast(value as decimal(13,3)) as actual_quantity,
-        case when event_id % 11 = 0 then null else ts + interval 2 day end as delivery_by_date, event_id as event_key
+        case when event_id % 11 = 0 then null else ts + interval 2 day end as delivery_by_date, case when event_id % 2 = 0 then ts + interval 1 day end as delivery_available_by_date,
+        case when event_id % 6 = 0 then concat('CO', cast(event_id % 50 as string)) end as customer_order_reference, event_id as event_key
         from {events} cross join (select cast(count(*) as bigint) as total, cast(floor(count(*)) as bigint) as n_orders from {orders}) o""",
     "idoc_errors": """select lpad(cast(event_id as string), 16, '0') as docnum, cast(4500000000 + event_id % 750 as string) as po_number,
         case when event_id % 5 = 0 then '' else lpad(cast((event_id % 7 + 1) * 10 as string), 5, '0') end as line_item,

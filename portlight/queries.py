@@ -94,8 +94,8 @@ def _report(t):
 
 REPORT = f"""moving as (select * from (select *, trim(coalesce(nullif(status, ''), event_type)) as txt, row_number() over (partition by po_number order by event_time desc, id) as rn from carrier_events
   where regexp_matches(trim(coalesce(nullif(status, ''), event_type)), 'in\\s*transit|picked\\s*up|load\\s*picked|departed|en\\s*route|pickedup|intransit', 'i')) where rn = 1),
-report as (select l.po_number, l.line_item, l.material_id, l.supplier_id, coalesce(s.name, '') as supplier_name, l.plant, coalesce(p.plant_name, '') as plant_name, l.po_qty, l.delivery_date, coalesce(m.delivery_by_date, m.event_time) as eta,
-  coalesce(nullif(m.customer_reference_number, ''), nullif(m.order_number, ''), nullif(m.tracking_number, ''), '') as reference, m.txt as carrier_status
+report as (select l.po_number, l.line_item, l.material_id, l.supplier_id, coalesce(s.name, '') as supplier_name, l.plant, coalesce(p.plant_name, '') as plant_name, l.po_qty, l.delivery_date, coalesce(m.delivery_by_date, m.delivery_available_by_date, m.event_time) as eta,
+  coalesce(nullif(m.customer_reference_number, ''), nullif(m.customer_order_reference, ''), nullif(m.order_number, ''), nullif(m.tracking_number, ''), '') as reference, m.txt as carrier_status
   from po_lines l join moving m on l.po_number = m.po_number left join suppliers s on s.supplier = l.supplier_id left join plants p on p.plant_code = l.plant
   where {ACTIVE} and not exists (select 1 from asn_ibd a where a.reference_document = l.po_number and a.reference_item = l.line_item)),
 """
@@ -626,6 +626,26 @@ def sync_totals(t):
     return reports.rollup_counters(t.execution_logs.select(F.coalesce(S.blank_null("provider"), F.lit("none")).alias("entity"), F.col("ai_calls").alias("added"), F.when(F.col("status") == "failed", 1).otherwise(0).alias("failed")), ["added", "failed"])
 
 
+@query("""select po_number, 'CHR (carrier) events (deduped, newest first):' || chr(10) || string_agg('- ' || coalesce(nullif(status, ''), event_type) || ' | Event: ' || strftime(event_time, '%Y-%m-%d %H:%M') || ' UTC | Qty: ' || coalesce(cast(actual_quantity as varchar), 'N/A') || ' | Tracking #: ' || tracking_number || ' | Load #: ' || load_number, chr(10) order by event_time desc, id) as section
+from (select *, row_number() over (partition by po_number, tracking_number, order_number, load_number, upper(trim(coalesce(nullif(status, ''), event_type))) order by event_time desc, id) as rn from carrier_events) where rn = 1 group by po_number""")
+def prompt_carrier_sections(t):
+    return classify.carrier_section(t.carrier_events)
+
+
+@query("select exception_type, score from (select coalesce(exception_type, 'none') as exception_type, case when count(*) % 2 = 0 then '7' else 'x' end as score from exceptions group by 1)")
+def rules_by_score(t):
+    rules = t.exceptions.groupBy(F.coalesce("exception_type", F.lit("none")).alias("exception_type")).agg(F.when(F.count("*") % 2 == 0, "7").otherwise("x").alias("score"))
+    return classify.rules_in_order(rules)
+
+
+@query("select supplier, case when cast(supplier as bigint) % 3 = 0 then 'NO_DATA_FOUND' when cast(supplier as bigint) % 3 = 1 then 'Main 1, Bern, 3000' else 'Bern, BE, 3000' end as address from suppliers")
+def supplier_addresses(t):
+    n = F.col("supplier").cast("long") % 3
+    some = lambda test, text: F.when(test, text).otherwise(" ")
+    rows = t.suppliers.withColumns({"street": some(n == 1, "Main 1"), "city": some(n != 0, " Bern"), "region": some(n == 2, "BE"), "postal_code": some(n != 0, "3000")})
+    return rows.select("supplier", classify.supplier_address().alias("address"))
+
+
 # ---- feedback and changes that people enter ----
 
 

@@ -6,6 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..operators.merge import merge_into
+
 
 def read_stream(spark: SparkSession, folder: str, schema, files: int = 10) -> DataFrame:
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files).json(folder)
@@ -19,3 +21,12 @@ def deduplicated(events: DataFrame, time: str = "event_time", key: str = "source
 def run(events: DataFrame, sink: Callable[[DataFrame, int], None], checkpoint: str):
     """Starts the stream over what is there now; sink gets (batch, number) and must bear a batch twice."""
     return events.writeStream.foreachBatch(sink).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def table_sink(folder: str, keys: list[str]) -> Callable[[DataFrame, int], None]:
+    """A sink that upserts each batch into the table at folder; a batch that comes twice is written once, by its number."""
+
+    def write(batch: DataFrame, number: int) -> None:
+        merge_into(batch.sparkSession, folder, batch, keys, f"batch-{number}")
+
+    return write

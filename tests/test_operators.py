@@ -224,3 +224,30 @@ def test_tool_calls(spark):
     call = {"toolCallId": "1", "toolName": "t", "state": "call", "args": {"a": 1}}
     rows = spark.createDataFrame([(1, json.dumps([{"role": "assistant", "content": "x", "toolInvocations": [call, call | {"toolCallId": "2", "state": "done", "result": [2]}, {"toolName": "t"}]}, {"role": "user", "content": "y", "toolInvocations": [call]}]))], "k int, j string")
     assert [(r.call_id, r.state, r.args, r.result) for r in conversations.tool_calls(rows, "j").collect()] == [("1", "call", '{"a":1}', None), ("2", "result", '{"a":1}', "[2]")]
+
+
+def test_stream_into_a_table(spark, tmp_path):
+    """Batches are upserted by hash; a batch that comes again, as after a crash, changes nothing."""
+    source, folder = tmp_path / "in", str(tmp_path / "table")
+    source.mkdir()
+    for i in range(2):
+        lines = [{"source_hash": f"h{k}", "event_time": f"2024-01-0{1 + k}T00:00:00Z"} for k in range(i, i + 3)]
+        (source / f"{i}.json").write_text("\n".join(map(json.dumps, lines)))
+    sink = streaming.table_sink(folder, ["source_hash"])
+    stream = streaming.deduplicated(streaming.read_stream(spark, str(source), "source_hash string, event_time timestamp", files=1), late="10 days")
+    streaming.run(stream, sink, str(tmp_path / "ck")).awaitTermination(90)
+    assert sorted(r.source_hash for r in files.read_version(spark, folder).collect()) == ["h0", "h1", "h2", "h3"]
+    newest = files.latest_version(spark, folder)
+    sink(spark.createDataFrame([("other", None)], "source_hash string, event_time timestamp"), int(newest[1].removeprefix("batch-")))
+    assert files.latest_version(spark, folder) == newest
+
+
+def test_late_events_are_dropped(spark, tmp_path):
+    """An event older than the look-back behind the newest one comes too late; one within it doesn't."""
+    source, seen = tmp_path / "in", []
+    source.mkdir()
+    for i, (key, day) in enumerate([("new", 20), ("late", 1), ("near", 19)]):
+        (source / f"{i}.json").write_text(json.dumps({"source_hash": key, "event_time": f"2024-01-{day:02d}T00:00:00Z"}))
+        stream = streaming.deduplicated(streaming.read_stream(spark, str(source), "source_hash string, event_time timestamp", files=1), late="2 days")
+        streaming.run(stream, lambda batch, n: seen.extend(r.source_hash for r in batch.collect()), str(tmp_path / "ck")).awaitTermination(90)
+    assert seen == ["new", "near"]
