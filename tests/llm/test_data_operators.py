@@ -494,3 +494,31 @@ def test_ranks_serve_plain_byte_level_files_alone():
     assert packing.ranks_serve(spec)
     for change in ({"normalizer": {"type": "NFC"}}, {"pre_tokenizer": None}, {"pre_tokenizer": spec["pre_tokenizer"] | {"add_prefix_space": True}}, {"model": spec["model"] | {"ignore_merges": True}}):
         assert not packing.ranks_serve(spec | change)
+
+
+def test_trees_against_brute_force():
+    """The vectorised margin is the prior plus the leaf that each tree, walked node by node, ends in."""
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(300, 4))
+    y = ((x[:, 0] > 0.2) & (x[:, 2] < 0.5)).astype(float)
+    model = boosting.fit_trees(x, y, rounds=15)
+    new = rng.normal(size=(60, 4))
+    for row, margin in zip(new, model.margin(new), strict=True):
+        total = model.prior
+        for feature, cut, value in model.trees:
+            node = 0
+            for _ in range(model.depth):
+                right = sum(e <= row[feature[node]] for e in model.binned.edges[feature[node]]) > cut[node]
+                node = 2 * node + 1 + right
+            total += value[node - (2**model.depth - 1)]
+        assert abs(total - margin) < 1e-9
+    assert ((model.score(x) > 0.5) == y).mean() > 0.97
+
+
+def test_url_features_by_hand():
+    (row,) = urls.features(["http://a-b.x.org/p1/q?k=1&m#f"], ["a-b.x.org"], ["/p1/q"], np.array([[3.0, 4.0, 1.0, 2.0]]), 0.5)
+    got = dict(zip(urls.FEATURES, row, strict=True))
+    url = "http://a-b.x.org/p1/q?k=1&m#f"
+    share = [url.count(c) / len(url) for c in set(url)]
+    want = {"length": 29, "host_length": 9, "path_length": 5, "depth": 2, "digit_ratio": 2 / 29, "entropy": -sum(p * np.log2(p) for p in share), "parameters": 2, "hyphens": 1, "labels": 3, "label_length": 3, "odd_ratio": 4 / 29, "fragment": 1, "top_rate": 5 / 8, "site_rate": 3 / 6, "site_seen": np.log(3)}
+    assert all(abs(got[k] - v) < 1e-9 for k, v in want.items()) and set(want) == set(got)
