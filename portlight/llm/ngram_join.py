@@ -308,17 +308,17 @@ def _open_buckets(members: DataFrame, links: DataFrame) -> DataFrame:
 def _open_groups(open_: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Links (a, b) between nodes of open buckets in different components, one for each two components at least.
 
-    Nodes that buckets connect are similar. They are dealt to groups of GROUP_TOKENS shingles, and groups that buckets
-    connect meet in pairs, each pair in a task of its own.
+    Nodes that buckets connect are similar. By a hash of their names they are dealt to groups of about GROUP_TOKENS
+    shingles, and groups that buckets connect meet in pairs, each pair in a task of its own.
     """
     pivot = open_.groupBy("key").agg(F.min("node").alias("pivot"))
     crowd = components(open_.join(pivot, "key").select(F.col("node").alias("a"), F.col("pivot").alias("b"))).withColumnRenamed("component", "crowd")
     sized = sets.select("node", (F.octet_length("tokens") / 8).cast("long").alias("n"))
-    before = F.sum("n").over(Window.partitionBy("crowd").orderBy("node").rowsBetween(Window.unboundedPreceding, -1))
     nodes = open_.select("node", "component").distinct().join(crowd, "node").join(sized, "node")
-    nodes = materialise(nodes.withColumn("grp", F.floor(F.coalesce(before, F.lit(0)) / GROUP_TOKENS).cast("int")).select("node", "component", "crowd", "grp"), "ngram-groups")
-    last = nodes.groupBy("crowd").agg(F.max("grp").alias("last"))
-    met = nodes.join(last, "crowd").withColumn("other", F.explode(F.sequence(F.lit(0), "last")))
+    nodes = materialise(nodes.select("node", "component", "crowd", "n"), "ngram-groups")
+    last = nodes.groupBy("crowd").agg((F.ceil(F.sum("n") / GROUP_TOKENS) - 1).cast("int").alias("last"))
+    met = nodes.drop("n").join(last, "crowd").withColumn("grp", F.pmod(F.xxhash64("node"), F.col("last") + 1).cast("int"))
+    met = met.withColumn("other", F.explode(F.sequence(F.lit(0), "last")))
     met = met.select("crowd", F.least("grp", "other").alias("lo"), F.greatest("grp", "other").alias("hi"), "grp", "node", "component")
     rows = met.join(sets, "node")
     return rows.groupBy("crowd", "lo", "hi").applyInPandas(lambda frame: open_pair(frame, percent), "a long, b long")
