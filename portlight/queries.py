@@ -597,9 +597,13 @@ def pii_entity_counts(t):
     return t.documents.select("doc_id", *privacy.entity_counts("text", some))
 
 
-@query()
+@query("""select doc_id, cast(coalesce(len(list_distinct(regexp_extract_all(text, '\\b[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\\.[A-Za-z]{2,}\\b'))), 0) as integer) as n_emails, cast(coalesce(len(list_distinct(regexp_extract_all(text, '\\b(?:[0-9]{1,3}\\.){3}[0-9]{1,3}\\b'))), 0) as integer) as n_addresses, false as leaks from documents""")
 def pii_tokenise(t):
-    return t.documents.select("doc_id", privacy.redact("text").alias("r")).select("doc_id", "r.redacted", F.size("r.tokens").alias("n_tokens"))
+    """Each value once, with a token of its own; no value that has one is left in the text."""
+    rows = t.documents.select("doc_id", privacy.redact("text").alias("r"))
+    of = lambda kind: F.size(F.filter(F.map_keys("r.tokens"), lambda k: F.startswith(k, F.lit(f"[{kind}_"))))
+    left = F.exists(F.filter(F.map_entries("r.tokens"), lambda e: e["key"].rlike("EMAIL|IP_ADDRESS")), lambda e: F.contains(F.col("r.redacted"), e["value"]))
+    return rows.select("doc_id", of("EMAIL_ADDRESS").alias("n_emails"), of("IP_ADDRESS").alias("n_addresses"), left.alias("leaks"))
 
 
 @query("select doc_id, true as same from documents")
