@@ -30,6 +30,12 @@ SHARD_TOKENS = 16 << 20
 #: The pre-tokenizer's pattern, a fixed value of this kind of tokenizer.
 WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
+#: White space runs from this length on are cut out before the pattern sees them: its look-ahead goes back over a whole run, and
+#: overflows the stack of the regular expression engine somewhere above 500,000 characters.
+LONG_RUN = 4096
+#: What `\s` stands for in the pattern (Python's takes in U+001C to U+001F too).
+_RUN = re.compile(r"[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]{%d,}" % LONG_RUN)
+
 PIECE_SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 _tokenizers: dict = {}
@@ -72,10 +78,21 @@ class FastEncoder:
             if not self.alike or self.special.search(text):
                 ids = self.exact.encode(text, add_special_tokens=False).ids
             else:
-                ids = self.fast.encode_ordinary(text)
+                ids = self._by_ranks(text)
             out.append(array("I", ids).tobytes())
         return out
 
+    def _by_ranks(self, text: str) -> list[int]:
+        """The pattern makes one piece of a run of white space, but leaves its last character to a word that follows: so
+        cutting there changes no id."""
+        ids, at = [], 0
+        for run in _RUN.finditer(text):
+            stop = run.end() - (run.end() < len(text))
+            ids += self.fast.encode_ordinary(text[at : run.start()])
+            ids += self.fast._core_bpe.encode_single_piece(text[run.start() : stop].encode())
+            at = stop
+        return ids + self.fast.encode_ordinary(text[at:]) if at else self.fast.encode_ordinary(text)
+
 
 def tokenizer(path: str) -> FastEncoder:
     """One for each worker and file, kept between tasks."""

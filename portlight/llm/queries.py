@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, decontaminate, licenses, ngram_join, packing, quality, spotsigs, suffix_dedup, urls, warc
+from . import chat, decontaminate, infill, licenses, ngram_join, packing, quality, spotsigs, suffix_dedup, token_files, urls, warc
 
 QUERIES = {
     "op1_warc_salvage": warc.op1_warc_salvage,
@@ -15,10 +15,13 @@ QUERIES = {
     "op8_token_group_join": ngram_join.op8_token_group_join,
     "op9_url_trees": urls.op9_url_trees,
     "op10_suffix_dedup": suffix_dedup.op10_suffix_dedup,
+    "op12_patched_ids": token_files.op12_patched_ids,
+    "op13_learned_infill": infill.op13_learned_infill,
 }
 
 ORACLE_SQL = {
     "op1_warc_salvage": warc.OP1_SQL,
     "op2_preference_format": chat.OP2_SQL,
     "op7_sentence_licences": licenses.ORACLE,
+    "op13_learned_infill": infill.OP13_SQL,
 }
