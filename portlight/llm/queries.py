@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, decontaminate, infill, licenses, ngram_join, packing, quality, spotsigs, suffix_dedup, token_files, urls, warc
+from . import chat, decontaminate, infill, licenses, ngram_join, packing, quality, repair, spotsigs, suffix_dedup, token_files, urls, warc
 
 QUERIES = {
     "op1_warc_salvage": warc.op1_warc_salvage,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_token_group_join": ngram_join.op8_token_group_join,
     "op9_url_trees": urls.op9_url_trees,
     "op10_suffix_dedup": suffix_dedup.op10_suffix_dedup,
+    "op11_agenda_repair": repair.op11_agenda_repair,
     "op12_patched_ids": token_files.op12_patched_ids,
     "op13_learned_infill": infill.op13_learned_infill,
 }
@@ -23,5 +24,6 @@ ORACLE_SQL = {
     "op1_warc_salvage": warc.OP1_SQL,
     "op2_preference_format": chat.OP2_SQL,
     "op7_sentence_licences": licenses.ORACLE,
+    "op11_agenda_repair": repair.OP11_SQL,
     "op13_learned_infill": infill.OP13_SQL,
 }

@@ -8,7 +8,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from portlight.llm import infill, packing, token_files
+from portlight.llm import infill, packing, repair, token_files
 
 from .. import oracle
 
@@ -191,3 +191,147 @@ def test_boundaries(texts):
         want += [at + m.end() for m in UNITS.finditer(t)]
         at += len(t)
     assert offsets.tolist() == want
+
+
+# ---- conversation repair ----
+
+
+def every_repair(rows):
+    """Least (cost, audit) by trying all edits, with up to two insertions in each place; and what it gives."""
+    best, good = None, re.compile(r"(s?(ua)+)?")
+    inserts = [()] + [(a,) for a in "ua"] + [(a, b) for a in "ua" for b in "ua"]
+
+    def tried(i, cost, audit, out):
+        nonlocal best
+        if best and cost > best[0]:
+            return
+        for more in inserts:
+            c, a, o = cost + 3 * len(more), audit + "I" * len(more), out + [(x, {"u": "user", "a": "assistant"}[x], "") for x in more]
+            if i == len(rows):
+                if good.fullmatch("".join(x for x, _, _ in o)) and (best is None or (c, a) < best[:2]):
+                    best = (c, a, "\n".join(f"{r}:{t}" for _, r, t in o))
+                continue
+            role, text, fault = rows[i]
+            tried(i + 1, c + 4, a + "D", o)
+            if fault not in ("blank", "duplicate"):
+                extra = 3 * (fault == "truncated")
+                if role[:1] in ("s", "u", "a"):
+                    tried(i + 1, c + extra, a + "K", o + [(role[:1], role, text)])
+                for x, new in (("u", "user"), ("a", "assistant")):
+                    tried(i + 1, c + extra + 3, a + "R", o + [(x, new, text)])
+
+    tried(0, 0, "", [])
+    return best
+
+
+def faults_of(rows):
+    seen, out = set(), []
+    for role, text in rows:
+        body = text.rstrip(" \t\n\v\f\r")
+        out.append((role, text, "blank" if not body else "duplicate" if (role, text) in seen else "truncated" if body[-1] not in ".!?" else ""))
+        seen.add((role, text))
+    return out
+
+
+def reported(rows):
+    """rows: (turn, role, text) in order."""
+    marks = faults_of([(r, t) for _, r, t in rows])
+    turns = [t for t, _, _ in rows if t is not None]
+    cost, audit, text = every_repair(marks)
+    initials = [r[:1] for _, r, _ in rows]
+    count = lambda f: sum(m[2] == f for m in marks)
+    return (
+        max(turns) - min(turns) + 1 - len(set(turns)) if turns else 0, count("blank"), count("duplicate"), count("truncated"),
+        sum(a + b not in ("su", "ua", "au") for a, b in zip(initials, initials[1:])), cost, audit, hashlib.sha256(text.encode()).hexdigest(),
+    )
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.tuples(st.sampled_from(["system", "user", "assistant", "tool", ""]), st.sampled_from(["", "blank", "duplicate", "truncated"])), max_size=3), st.integers(1, 3))
+def test_agenda_finds_the_least_audit(rows, cut):
+    pairs = [(role[:1] or "?", fault) for role, fault in rows]
+    best = every_repair([(role, "", fault) for role, fault in rows])
+    assert repair.whole_repair(pairs) == best[:2]
+    values = {q: (0, 0, "") for q in repair.ENDS}
+    blocks = [pairs[i : i + cut] for i in range(0, len(pairs), cut)]
+    for block in reversed(blocks):
+        values = repair.chain(repair.block_spans(block), len(block), values)
+    if blocks:
+        assert (values[0][0], values[0][2]) == best[:2]
+
+
+def test_values_are_popped_in_order_and_the_goal_stops():
+    popped = []
+    rows = [("u", ""), ("a", "truncated"), ("t", "")] * 20
+
+    def deduce(item, inner=repair.edits(rows)):
+        popped.append(item)
+        return inner(item)
+
+    final = repair.lightest({(len(rows), q): (0, 0, "") for q in repair.ENDS}, deduce, [(0, 0)])
+    values = [final[item] for item in popped]
+    assert [v[:2] for v in values] == sorted(v[:2] for v in values) and len(set(popped)) == len(popped)
+    assert popped == [item for item in final if item != (0, 0)] or (0, 0) in final
+
+
+def plain_rows(rows):
+    return sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1], r[2].encode()))
+
+
+@pytest.mark.parametrize("block", [repair.BLOCK_ROWS, 2])
+def test_repair_of_odd_conversations(spark, block, monkeypatch):
+    monkeypatch.setattr(repair, "BLOCK_ROWS", block)
+    rng = np.random.default_rng(1)
+    rows = []
+    for conv in [None, *range(40)]:
+        for _ in range(int(rng.integers(0, 5))):
+            turn = [None, 0, 1, 2, 5, -3][rng.integers(6)]
+            rows.append((conv, turn, ["system", "user", "assistant", "tool", "", None][rng.integers(6)], ["Hi.", "cut", "", " \n", None, "é?\t", "Hi."][rng.integers(7)]))
+    frame = spark.createDataFrame([(*r, 1, "x") for r in rows], "conv_id long, turn long, role string, text string, cost int, audit string")
+    reports, turns = repair.repair(frame)
+    shas = {r.conv_id: r.repaired_sha256 for r in repair.digests(turns).collect()}
+    got = {r.conv_id: (*r[1:], shas.get(r.conv_id, hashlib.sha256().hexdigest())) for r in reports.collect()}
+    conversations = {}
+    for conv, turn, role, text in rows:
+        conversations.setdefault(conv, []).append((turn, " " if role is None else role, " " if text is None else text))
+    assert got == {conv: reported(plain_rows(some)) for conv, some in conversations.items()}
+    places = {}
+    for r in turns.collect():
+        places.setdefault(r.conv_id, []).append(r.place)
+        assert (r.edit == "I") <= (r.turn is None and r.text == "")
+    assert all(sorted(p) == list(range(len(p))) for p in places.values())
+    empty, none = repair.repair(frame.limit(0))
+    assert empty.count() == 0 and none.count() == 0
+
+
+def test_hot_conversation_spreads_and_comes_back(spark, monkeypatch):
+    rng = np.random.default_rng(2)
+    rows = [(7, int(t), "user" if t % 2 else "assistant", "same text." if rng.random() < 0.3 else f"text {t}" + "." * int(rng.random() < 0.8)) for t in range(900)]
+    frame = spark.createDataFrame(rows + [(7, 900, "user", "again.")] * 300 + [(i, 0, "user", "x.") for i in (1, 9)], "conv_id long, turn long, role string, text string")
+    want = {r.conv_id: r for r in repair.repair(frame)[0].collect()}
+    monkeypatch.setattr(repair, "BLOCK_ROWS", 37)
+    reports, turns = repair.repair(frame)
+    assert {r.conv_id: r for r in reports.collect()} == want
+    marks = faults_of([(r, t) for _, _, r, t in rows] + [("user", "again.")] * 300)
+    assert (want[7].cost, want[7].audit) == repair.whole_repair([(r[:1], f) for r, _, f in marks])
+    last = turns.filter("conv_id = 7").orderBy("place").collect()
+    assert re.fullmatch(r"(s?(ua)+)?", "".join(r.role[0] for r in last))
+
+
+def test_op11_sql(spark):
+    got = repair.op11_agenda_repair(spark, oracle.SF)
+    want = oracle.connect().sql(repair.OP11_SQL)
+    assert sorted(map(repr, map(tuple, got.select(sorted(got.columns)).collect()))) == sorted(map(repr, want.select(", ".join(sorted(want.columns))).fetchall()))
+
+
+def test_op11_of_damaged_rows(spark):
+    """The damage by zlib, the repair by trying everything, over the conversations of at most four rows."""
+    got = {r.conv_id: tuple(r)[1:] for r in repair.op11_agenda_repair(spark, oracle.SF).collect()}
+    kept = {}
+    for r in spark.read.parquet(f"{oracle.SF}/conversations.parquet").collect():
+        kind = zlib.crc32(f"{r.conv_id}:{r.turn}".encode()) % 20
+        row = (r.turn, "user" if kind == 4 else r.role, "" if kind == 1 else re.sub("[.!?]", "", r.text) if kind == 2 else r.text)
+        kept.setdefault(r.conv_id, []).extend([row] * {0: 0, 3: 2}.get(kind, 1))
+    assert set(got) == set(kept)
+    tried = {conv: rows for conv, rows in kept.items() if len(rows) <= 4}
+    assert len(tried) > 5 and all(got[conv] == reported(plain_rows(rows)) for conv, rows in tried.items())
