@@ -411,8 +411,8 @@ kinds as (select *, xor(list_reduce(list_prepend(4294967295, bytes), lambda a, b
   list_reduce([xor(a, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda c, z: xor(c >> 1, 3988292384 * (c & 1)))), 4294967295) % 20 as kind from keyed),
 damaged as (select conv_id, turn, case when kind = 4 then 'user' else role end as role,
   case kind when 1 then '' when 2 then translate(text, '.!?', '') else text end as text, unnest(range(case when kind = 3 then 2 else 1 end)) as copy from kinds where kind <> 0),
-placed as (select *, row_number() over (partition by conv_id order by turn nulls first, role, text) as i, row_number() over (partition by conv_id, role, text order by turn nulls first) as times,
-  rtrim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) as body from damaged),
+numbered as (select *, row_number() over (partition by conv_id order by turn nulls first, role, text) as i from damaged),
+placed as (select *, row_number() over (partition by conv_id, role, text order by i) as times, rtrim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) as body from numbered),
 o as (select conv_id, i, turn, role, text, left(role, 1) as x, case when body = '' then 'blank' when times > 1 then 'duplicate' when right(body, 1) not in ('.', '!', '?') then 'truncated' else '' end as fault,
   lag(left(role, 1)) over (partition by conv_id order by i) as x0 from placed),
 counts as (select conv_id, count(*) as n, coalesce(max(turn) - min(turn) + 1 - count(distinct turn), 0) as gaps, count(*) filter (where fault = 'blank') as blank, count(*) filter (where fault = 'duplicate') as duplicate,
