@@ -26,14 +26,23 @@ ARCHIVE_BYTES = 32 << 20
 #: goes beyond is joined by shuffles.
 MANY = 50_000
 
+#: A gzip member that unpacks to more than this is set apart as a gap: a record's payload has to fit a row.
+MEMBER_BYTES = 1 << 30
+
+#: A record's header is no longer than this; so a place where none ends costs no more than that.
+HEADER_BYTES = 64 << 10
+
 _END = b"\r\n\r\n"
 _MAGIC = b"\x1f\x8b\x08"
 _VERSION = re.compile(rb"WARC/\d\.\d\r\n")
+_OWN_URN = re.compile(r"<?urn:page:(-?\d+)>?")
 _DATE = "2024-01-01T00:00:00Z"
+#: Digest algorithms by the label in front of a digest. A digest by another one isn't checked.
+_ALGORITHMS = {"sha1": "sha1", "sha-1": "sha1", "sha256": "sha256", "sha-256": "sha256", "sha384": "sha384", "sha-384": "sha384", "sha512": "sha512", "sha-512": "sha512", "md5": "md5"}
 
 SALVAGE_SCHEMA = (
     "archive string, kind string, start long, length long, reason string, warc_type string, page_id long, "
-    "target_uri string, payload_bytes long, payload_digest string, refers_to long, payload binary"
+    "target_uri string, payload_bytes long, payload_digest string, refers_to long, record_id string, refers_to_id string, http_head string, payload binary"
 )
 
 
@@ -66,19 +75,94 @@ def gzip_member(data: bytes, level: int = 5) -> bytes:
     return packer.compress(data) + packer.flush()
 
 
-def _parse(data, at: int) -> tuple[dict, int] | str:
-    """The record that begins at `at` and where it ends, or why there is none."""
+def digest_holds(digest: str, *datas: bytes) -> bool:
+    """Whether a digest `algorithm:value`, its value in base 32, hexadecimal or base 64, is that of one of the datas; so is one by an
+    algorithm that isn't known."""
+    label, colon, value = digest.partition(":")
+    name = _ALGORITHMS.get(label.strip().lower())
+    if not colon or name is None:
+        return True
+    value = value.strip()
+    for data in datas:
+        raw = hashlib.new(name, data).digest()
+        if value.rstrip("=").upper() == base64.b32encode(raw).decode().rstrip("=") or value.lower() == raw.hex() or value.rstrip("=") in (base64.b64encode(raw).decode().rstrip("="), base64.urlsafe_b64encode(raw).decode().rstrip("=")):
+            return True
+    return False
+
+
+def _unchunked(body: bytes) -> bytes | None:
+    """An HTTP body without its chunks' lengths; None if it isn't in chunks."""
+    out, at = [], 0
+    while True:
+        stop = body.find(b"\r\n", at, at + 1024)
+        try:
+            size = int(body[at:stop].split(b";")[0], 16) if stop >= 0 else -1
+        except ValueError:
+            size = -1
+        if size < 0 or len(body) < stop + 2 + size:
+            return None
+        if not size:
+            return b"".join(out)
+        out.append(body[stop + 2 : stop + 2 + size])
+        at = stop + 2 + size + 2
+
+
+def _header(data: bytes, at: int, stop: int) -> dict[bytes, str] | None:
+    """Fields by lower-case name, of the lines between two places; a line that begins with white space goes on with the field before
+    it. None as soon as one is malformed, as another record's version line is."""
+    head, last = {}, None
+    while at < stop:
+        end = data.find(b"\r\n", at, stop)
+        end = stop if end < 0 else end
+        line, at = data[at:end], end + 2
+        if line[:1] in (b" ", b"\t") and last is not None:
+            head[last] += " " + line.strip().decode("utf-8", "replace")
+            continue
+        name, colon, value = line.partition(b":")
+        if not colon or not name.strip():
+            return None
+        last = name.strip().lower()
+        head[last] = value.strip().decode("utf-8", "replace")
+    return head
+
+
+class _Next:
+    """The next place of a pattern in data, remembered: asked with places that only rise, it reads the data once."""
+
+    def __init__(self, data, find):
+        self.data, self.find, self.at, self.asked = data, find, -1, -1
+
+    def __call__(self, at: int) -> int:
+        if self.asked < 0 or 0 <= self.at < at or at < self.asked:
+            self.at, self.asked = self.find(self.data, at), at
+        return self.at
+
+
+def _next_version(data) -> _Next:
+    return _Next(data, lambda d, at: m.start() if (m := _VERSION.search(d, at)) else -1)
+
+
+def _next_end(data) -> _Next:
+    return _Next(data, lambda d, at: d.find(_END, at))
+
+
+def _next_magic(data) -> _Next:
+    return _Next(data, lambda d, at: d.find(_MAGIC, at))
+
+
+def _parse(data, at: int, next_end: _Next) -> tuple[dict, int] | str:
+    """The record that begins at `at` and where it ends, or why there is none.
+
+    The payload of an HTTP message is its body; digests of payload and block are checked by the algorithm that they name.
+    """
     if not _VERSION.match(data, at):
         return "no version line"
-    stop = data.find(_END, at)
-    if stop < 0:
+    stop = next_end(at)
+    if stop < 0 or stop - at > HEADER_BYTES:
         return "header without end"
-    head = {}
-    for line in data[at:stop].split(b"\r\n")[1:]:
-        name, colon, value = line.partition(b":")
-        if not colon:
-            return "malformed header line"
-        head[name.strip().lower()] = value.strip().decode("utf-8", "replace")
+    head = _header(data, at + len(b"WARC/1.1\r\n"), stop)
+    if head is None:
+        return "malformed header line"
     try:
         size = int(head[b"content-length"])
     except (KeyError, ValueError):
@@ -86,63 +170,99 @@ def _parse(data, at: int) -> tuple[dict, int] | str:
     body = stop + len(_END)
     if size < 0 or data[body + size : body + size + 4] != _END:
         return "block of another length"
-    payload = data[body : body + size]
-    kind, digest = head.get(b"warc-type", ""), head.get(b"warc-payload-digest", "").removeprefix("sha1:")
-    if kind != "revisit" and digest and digest != sha1_base32(payload):
-        return "digest differs"
-    number = lambda x: int(m[1]) if (m := re.search(r"(-?\d+)>?$", x or "")) else None
+    block = data[body : body + size]
+    kind, said = head.get(b"warc-type", ""), head.get(b"warc-payload-digest", "")
+    if not digest_holds(head.get(b"warc-block-digest", ""), block):
+        return "block digest differs"
+    payload, http = block, None
+    if head.get(b"content-type", "").lower().startswith("application/http"):
+        first, parted, rest = block.partition(_END)
+        http, payload = first.decode("utf-8", "replace"), rest if parted else b""
+    if kind != "revisit" and said:
+        whole = _unchunked(payload) if http is not None and re.search(r"(?im)^transfer-encoding:.*chunked", http) else None
+        if not digest_holds(said, payload, *([whole] if whole is not None else [])):
+            return "digest differs"
+    own = lambda x: int(m[1]) if (m := _OWN_URN.fullmatch(x or "")) else None
+    full = head.get(b"x-payload-length", "")
     row = {
-        "warc_type": kind, "page_id": number(head.get(b"warc-record-id")), "target_uri": head.get(b"warc-target-uri"),
-        "payload_bytes": number(head.get(b"x-payload-length")) if kind == "revisit" else size, "payload_digest": digest or sha1_base32(payload),
-        "refers_to": number(head.get(b"warc-refers-to")), "payload": payload,
+        "warc_type": kind, "page_id": own(head.get(b"warc-record-id")), "target_uri": head.get(b"warc-target-uri"),
+        "payload_bytes": (int(full) if full.isdigit() else None) if kind == "revisit" else len(payload), "payload_digest": said.partition(":")[2] if kind == "revisit" else sha1_base32(payload),
+        "refers_to": own(head.get(b"warc-refers-to")), "record_id": head.get(b"warc-record-id"), "refers_to_id": head.get(b"warc-refers-to"), "http_head": http, "payload": payload,
     }
     return row, body + size + len(_END)
 
 
-def _member(data: bytes, at: int) -> tuple[bytes, int] | None:
-    """The bytes of the gzip member at `at` and where it ends; None if its check fails."""
+def _header_holds(data: bytes, at: int, longest: int = 4096) -> bool:
+    """Whether a gzip header at `at` comes to its end: no reserved flags, and name and comment of at most so many bytes."""
+    flags = data[at + 3] if at + 10 <= len(data) else 0xFF
+    place = at + 10
+    if flags & 0xE0:
+        return False
+    if flags & 4:
+        place += 2 + int.from_bytes(data[place : place + 2], "little")
+    for bit in (8, 16):
+        if flags & bit:
+            place = data.find(b"\0", place, place + longest) + 1
+            if not place:
+                return False
+    return place < len(data)
+
+
+def _member(data: bytes, at: int) -> tuple[bytes, int] | str:
+    """The bytes of the gzip member at `at` and where it ends, or why its check fails."""
+    if not _header_holds(data, at):
+        return "gzip check failed"
     unpacker = zlib.decompressobj(31)
-    out, view, step = [], memoryview(data), 1 << 16
+    out, size, view, step = [], 0, memoryview(data), 1 << 16
     try:
         while not unpacker.eof:
             if at >= len(data):
-                return None
-            out.append(unpacker.decompress(view[at : at + step]))
+                return "gzip check failed"
+            out.append(unpacker.decompress(view[at : at + step], MEMBER_BYTES - size + 1))
+            size += len(out[-1])
+            if size > MEMBER_BYTES:
+                return "member of too many bytes"
             at += step
     except zlib.error:
-        return None
+        return "gzip check failed"
     return b"".join(out), min(at, len(data)) - len(unpacker.unused_data)
 
 
+def _records(inner: bytes, start: int, length: int) -> tuple[list[dict], str]:
+    """Records and gaps of a whole member, and why the last bad record failed; records behind a bad one count from the next
+    version line on."""
+    found, failed, place = [], "member without records", 0
+    next_version, next_end = _next_version(inner), _next_end(inner)
+    while place < len(inner):
+        got = _parse(inner, place, next_end)
+        if isinstance(got, str):
+            failed = got
+            found.append({"kind": "gap", "start": start, "length": length, "reason": got})
+            place = next_version(place + 1)
+            if place < 0:
+                break
+        else:
+            found.append(got[0] | {"kind": "record", "start": start, "length": length})
+            place = got[1]
+    return found if any(x["kind"] == "record" for x in found) else [], failed
+
+
 def salvage(data: bytes) -> Iterator[dict]:
-    """Records and gaps of one archive, in order. start and length count bytes of the archive as stored."""
+    """Records and gaps of one archive, in order. start and length count bytes of the archive as stored. After a failed check the
+    search goes on at the next member or version line; both are remembered, so damage of any length is read once."""
     at, bad, why = 0, None, ""
+    next_version, next_end, next_magic = _next_version(data), _next_end(data), _next_magic(data)
     while at < len(data):
         found, failed = [], "neither a member nor a version line"
         if data.startswith(_MAGIC, at):
             member = _member(data, at)
-            if member is None:
-                failed = "gzip check failed"
+            if isinstance(member, str):
+                failed = member
             else:
                 inner, end = member
-                place = 0
-                while place < len(inner):
-                    got = _parse(inner, place)
-                    if isinstance(got, str):
-                        failed = got
-                        # a whole member with a bad record: keep what is good behind the next version line
-                        nxt = _VERSION.search(inner, place + 1)
-                        found.append({"kind": "gap", "start": at, "length": end - at, "reason": got})
-                        if nxt is None:
-                            break
-                        place = nxt.start()
-                    else:
-                        found.append(got[0] | {"kind": "record", "start": at, "length": end - at})
-                        place = got[1]
-                if not any(x["kind"] == "record" for x in found):
-                    found = []
+                found, failed = _records(inner, at, end - at)
         else:
-            got = _parse(data, at)
+            got = _parse(data, at, next_end)
             if isinstance(got, str):
                 failed = got
             else:
@@ -156,8 +276,7 @@ def salvage(data: bytes) -> Iterator[dict]:
             continue
         if bad is None:
             bad, why = at, failed
-        line, member = _VERSION.search(data, at + 1), data.find(_MAGIC, at + 1)
-        steps = [x for x in (line.start() if line else -1, member) if x >= 0]
+        steps = [x for x in (next_version(at + 1), next_magic(at + 1)) if x >= 0]
         at = min(steps, default=len(data))
     if bad is not None:
         yield {"kind": "gap", "start": bad, "length": len(data) - bad, "reason": why}
