@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import queries_scalars, queries_sync  # noqa: F401  they register theirs
+from . import queries_scalars, queries_surface, queries_sync  # noqa: F401  they register theirs
 from .functions import privacy
 from .functions import scalars as S
 from .operators import adhoc, classify, conversations, feedback, merge, relational, reports, runlogs
