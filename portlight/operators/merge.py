@@ -191,16 +191,40 @@ def use_alternate_key(cells: DataFrame, existing: DataFrame, key: str, alternate
     return rows.withColumn(key, F.coalesce(S.blank_null(F.trim(key)), F.col("known_"))).select(cells.columns)
 
 
-def merge_into(spark, folder: str, incoming: DataFrame, keys: list[str], label: str) -> DataFrame:
-    """Upserts incoming into the table at folder and returns its new version, which lies beside the old ones. A merge with a
-    label that is there already writes nothing, so it can be repeated."""
-    from ..sources.files import latest_version, read_version, write_version
-
-    newest = latest_version(spark, folder)
-    if newest and newest[1] == label:
-        return read_version(spark, folder)
-    out = upsert(read_version(spark, folder), incoming, keys) if newest else incoming
-    return spark.read.parquet(write_version(out, folder, newest[0] + 1 if newest else 1, label))
+def one_a_key(rows: DataFrame, keys: list[str], latest: str | None = None) -> DataFrame:
+    """One row for each key: of repeated ones that with the latest value of a column, else the smallest by all columns."""
+    rest = [c for c in rows.columns if c not in keys]
+    row = F.struct(*rest)
+    best = F.min(row) if latest is None else F.max_by(row, F.struct(F.col(latest), F.hash(*rest)))
+    return rows.groupBy(*keys).agg(best.alias("r_")).select(*keys, "r_.*").select(rows.columns)
+
+
+def widened(existing: DataFrame, incoming: DataFrame) -> DataFrame:
+    """existing with the columns that incoming brings for the first time."""
+    return existing.withColumns({c: F.lit(None).cast(t) for c, t in incoming.dtypes if c not in existing.columns})
+
+
+def merge_into(spark, folder: str, incoming: DataFrame, keys: list[str], label: str, latest: str | None = None, info=None, attempts: int = 20) -> DataFrame:
+    """Upserts incoming into the table at folder and returns its newest version, which lies beside the old ones.
+
+    A label that any version has was merged before, so a repeated run or batch writes nothing. Of rows with one key in incoming one
+    counts (one_a_key). Columns that are new with incoming are null in other rows. Where another writer commits first, the merge is
+    made anew on that writer's version: no commit is lost. info (a dict, or a function of the last version's info) goes to the log.
+    """
+    from ..sources.files import LostRace, read_version, versions, write_version
+
+    rows = one_a_key(incoming, keys, latest)
+    for _ in range(attempts):
+        log = versions(spark, folder)
+        if any(x["label"] == label for x in log):
+            return read_version(spark, folder)
+        newest = log[-1] if log else {"version": 0, "info": {}}
+        out = upsert(widened(spark.read.parquet(newest["path"]), rows), rows, keys) if log else rows
+        try:
+            return spark.read.parquet(write_version(out, folder, newest["version"] + 1, label, info(newest["info"]) if callable(info) else info))
+        except LostRace:
+            continue
+    raise LostRace(f"{attempts} other writers were first at {folder}")
 
 
 def log_upsert(logs: DataFrame, incoming: DataFrame) -> DataFrame:

@@ -17,19 +17,9 @@ def stamped(rows: DataFrame, run_time: str) -> DataFrame:
     return rows.withColumn("last_synced_at", F.lit(run_time).cast("timestamp"))
 
 
-def _one_a_key(rows: DataFrame, keys: list[str]) -> DataFrame:
-    """One row for each key: of repeated ones the smallest by all columns."""
-    return rows.groupBy(*keys).agg(F.min(F.struct(*[c for c in rows.columns if c not in keys])).alias("r")).select(*keys, "r.*")
-
-
-def widened(existing: DataFrame, incoming: DataFrame) -> DataFrame:
-    """existing with the columns that incoming brings for the first time."""
-    return existing.withColumns({c: F.lit(None).cast(t) for c, t in incoming.dtypes if c not in existing.columns})
-
-
 def _master(existing: DataFrame, mapped: DataFrame, key: str, run_time: str, reconcile: bool) -> DataFrame:
-    incoming = stamped(_one_a_key(mapped, [key]), run_time)
-    out = merge.upsert(widened(existing, incoming), incoming, [key])
+    incoming = stamped(merge.one_a_key(mapped, [key]), run_time)
+    out = merge.upsert(merge.widened(existing, incoming), incoming, [key])
     return merge.deactivate_stale(out, run_time) if reconcile else out
 
 
@@ -52,7 +42,7 @@ def changed_since(source: DataFrame, since: str | None, column: str = "LastChang
 
 def order_lines(lines: DataFrame, exceptions: DataFrame, source: DataFrame, asn: DataFrame, run_time: str, reconcile: bool = True, since: str | None = None, until: str | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(lines, exceptions, plan) after a run over order items."""
-    incoming = _one_a_key(documents.map_order_items(source, since, until), ["po_number", "line_item"])
+    incoming = merge.one_a_key(documents.map_order_items(source, since, until), ["po_number", "line_item"])
     plan = merge.line_plan(lines, incoming, relational.asn_quantities(asn))
     out = merge.apply_line_plan(lines, plan, run_time)
     if reconcile:
@@ -68,8 +58,8 @@ def open_orders(lines: DataFrame) -> DataFrame:
 def _scoped(existing: DataFrame, mapped: DataFrame, keys: list[str], order: str, lines: DataFrame, run_time: str, reconcile: bool) -> DataFrame:
     scope = open_orders(lines)
     mine = mapped.join(scope.toDF(order), order, "left_semi")
-    incoming = stamped(_one_a_key(mine, keys), run_time)
-    out = merge.upsert(widened(existing, incoming), incoming, keys)
+    incoming = stamped(merge.one_a_key(mine, keys), run_time)
+    out = merge.upsert(merge.widened(existing, incoming), incoming, keys)
     return merge.delete_stale_in_scope(out, order, scope, run_time) if reconcile else out
 
 
@@ -91,11 +81,11 @@ def deliveries(existing: DataFrame, items: DataFrame, headers: DataFrame, lines:
 def document_errors(existing: DataFrame, source: DataFrame, lines: DataFrame, run_time: str, reconcile: bool = True) -> DataFrame:
     scope = open_orders(lines)
     keys = ["docnum", "po_number", "line_item"]
-    incoming = _one_a_key(documents.map_document_errors(source).join(scope, "po_number", "left_semi"), keys)
-    existing = widened(existing, incoming)
+    incoming = merge.one_a_key(documents.map_document_errors(source).join(scope, "po_number", "left_semi"), keys)
+    existing = merge.widened(existing, incoming)
     existing = existing.withColumns({c: F.lit(v).cast(t) for c, (t, v) in merge.DOCUMENT_FLAGS.items() if c not in existing.columns})
     plan = stamped(merge.document_plan(existing, incoming).drop("op"), run_time)
-    out = merge.upsert(widened(existing, plan), plan, keys)
+    out = merge.upsert(merge.widened(existing, plan), plan, keys)
     return merge.delete_stale_in_scope(out, "po_number", scope, run_time) if reconcile else out
 
 
@@ -110,7 +100,7 @@ def carrier_events(existing: DataFrame, source: DataFrame, lines: DataFrame, as_
     known = existing.groupBy("source_hash").agg(F.min("id").alias("known_id"))
     incoming = incoming.join(known, "source_hash", "left").withColumn("id", F.coalesce("known_id", "id")).drop("known_id")
     new = incoming.filter("po_linked").join(existing.select("source_hash"), "source_hash", "left_anti").select("po_number").distinct()
-    out = merge.upsert(widened(existing, incoming), incoming, ["source_hash"])
+    out = merge.upsert(merge.widened(existing, incoming), incoming, ["source_hash"])
     from ..operators.reports import truncation_profile
 
     return out, merge.flag_for_analysis(lines, new), truncation_profile(whole, documents.LIMITS)

@@ -2,6 +2,13 @@
 
 from __future__ import annotations
 
+import contextlib
+import json
+import re
+import time
+import uuid
+
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -38,29 +45,117 @@ def upload_cells(spark: SparkSession, payload: str, columns: list[str]) -> DataF
     return rows.select(F.col("row_idx").cast("long").alias("row_idx"), *[F.col("m")[c].alias(c) for c in columns])
 
 
-def write_version(df: DataFrame, folder: str, version: int, label: str = "") -> str:
-    """A new version of a table beside the old ones: plain Parquet has no merge in place, and readers keep theirs. label says
-    what made it, in the folder's name."""
-    path = f"{folder}/v{version:06d}" + (f"-{label}" if label else "")
+def _hadoop(spark: SparkSession, path: str):
+    """(file system, path) of Hadoop, which reaches every store that Spark does."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()), at
+
+
+def create_once(spark: SparkSession, path: str, text: str) -> bool:
+    """Makes a file with a text in full, or not at all where it is there already: of several writers one is told True.
+
+    The text goes to a name of its own first; then a hard link (local disks) or a rename (other stores) gives it the name, which
+    both refuse where the name is taken.
+    """
+    store, final = _hadoop(spark, path)
+    own = spark._jvm.org.apache.hadoop.fs.Path(f"{path}.{uuid.uuid4().hex}")
+    out = store.create(own, True)
+    out.write(bytearray(text.encode()))
+    out.close()
+    local = final.toUri().getScheme() in (None, "file") and store.getScheme() == "file"
+    try:
+        if local:
+            paths = [spark._jvm.java.io.File(x.toUri().getPath()).toPath() for x in (final, own)]
+            try:
+                spark._jvm.java.nio.file.Files.createLink(*paths)
+                return True
+            except Py4JJavaError as e:
+                if e.java_exception.getClass().getSimpleName() != "FileAlreadyExistsException":
+                    raise
+                return False
+        return not store.exists(final) and store.rename(own, final)
+    finally:
+        store.delete(own, False)
+
+
+def read_text(spark: SparkSession, path: str) -> str:
+    store, at = _hadoop(spark, path)
+    stream = store.open(at)
+    try:
+        return spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+    finally:
+        stream.close()
+
+
+def versions(spark: SparkSession, folder: str) -> list[dict]:
+    """The log of a table: version, label, path and info of each commit, the oldest first."""
+    store, root = _hadoop(spark, f"{folder}/_log")
+    names = sorted(x.getPath().getName() for x in store.listStatus(root)) if store.exists(root) else []
+    return [json.loads(read_text(spark, f"{folder}/_log/{n}")) for n in names if re.fullmatch(r"\d{9}\.json", n)]
+
+
+def commit(spark: SparkSession, folder: str, version: int, path: str, label: str = "", info: dict | None = None) -> bool:
+    """Makes what is at path the version of the table at folder; False where another writer was first."""
+    entry = {"version": version, "label": label, "path": path, "info": info or {}}
+    return create_once(spark, f"{folder}/_log/{version:09d}.json", json.dumps(entry))
+
+
+def write_version(df: DataFrame, folder: str, version: int, label: str = "", info: dict | None = None) -> str:
+    """A new version of a table beside the old ones: plain Parquet has no merge in place, and readers keep theirs. It counts
+    once it is in the log; where that version is another writer's by then, it is an error."""
+    path = f"{folder}/data-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    if not commit(df.sparkSession, folder, version, path, label, info):
+        raise LostRace(f"version {version} of {folder} is another writer's")
     return path
 
 
+class LostRace(RuntimeError):
+    """Another writer has made the version that this one was about to make."""
+
+
 def latest_version(spark: SparkSession, folder: str) -> tuple[int, str, str] | None:
-    """(number, label, path) of the newest version that was written in full."""
-    hadoop = spark._jvm.org.apache.hadoop.fs.Path
-    root = hadoop(folder)
-    store = root.getFileSystem(spark._jsc.hadoopConfiguration())
-    found = []
-    for x in store.listStatus(root) if store.exists(root) else []:
-        name = x.getPath().getName()
-        if name.startswith("v") and name[1:7].isdigit() and store.exists(hadoop(f"{folder}/{name}/_SUCCESS")):
-            found.append((int(name[1:7]), name[8:], f"{folder}/{name}"))
-    return max(found, default=None)
-
-
-def read_version(spark: SparkSession, folder: str) -> DataFrame:
-    return spark.read.parquet(latest_version(spark, folder)[2])
+    """(number, label, path) of the newest version."""
+    found = versions(spark, folder)
+    return (found[-1]["version"], found[-1]["label"], found[-1]["path"]) if found else None
+
+
+def read_version(spark: SparkSession, folder: str, version: int | None = None) -> DataFrame:
+    """The newest version of a table, or one by its number."""
+    found = [x for x in versions(spark, folder) if version in (None, x["version"])]
+    if not found:
+        raise ValueError(f"{folder} has no version{'' if version is None else f' {version}'}")
+    return spark.read.parquet(found[-1]["path"])
+
+
+@contextlib.contextmanager
+def single_flight(spark: SparkSession, folder: str, name: str, seconds: float = 4 * 3600):
+    """Holds the lock of a job: of two runs at once the second is an AlreadyRunning error. A lock that is older than `seconds` belongs to
+    a run that died, and is taken over by one run."""
+    path, now = f"{folder}/_locks/{name}", time.time()
+    mine = json.dumps({"owner": uuid.uuid4().hex, "since": now})
+    if not create_once(spark, path, mine):
+        try:
+            held = json.loads(read_text(spark, path))
+        except Py4JJavaError:  # given back meanwhile
+            held = {"owner": "", "since": now}
+        # whoever takes a dead run's lock over says so once, under that owner's name
+        if now - held["since"] < seconds or not create_once(spark, f"{path}.after-{held['owner']}", mine):
+            raise AlreadyRunning(f"{name} has been running for {now - held['since']:.0f} seconds")
+        store, at = _hadoop(spark, path)
+        store.delete(at, False)
+        if not create_once(spark, path, mine):
+            raise AlreadyRunning(f"{name} has just been started")
+    try:
+        yield
+    finally:
+        store, at = _hadoop(spark, path)
+        if store.exists(at) and read_text(spark, path) == mine:
+            store.delete(at, False)
+
+
+class AlreadyRunning(RuntimeError):
+    """A job's lock is held by another run."""
 
 
 def read_or_empty(spark: SparkSession, path: str, schema: str) -> DataFrame:
