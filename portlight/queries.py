@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import queries_scalars, queries_surface, queries_sync  # noqa: F401  they register theirs
+from . import queries_runs, queries_scalars, queries_surface, queries_sync  # noqa: F401  they register theirs
 from .functions import privacy
 from .functions import scalars as S
 from .operators import adhoc, classify, conversations, feedback, merge, relational, reports, runlogs
@@ -803,3 +803,6 @@ def surrogates_masked(t):
 def json_redacted(t):
     text = F.concat(F.lit('{"a": ["to c'), F.col("supplier").cast("long").cast("string"), F.lit('@x.org", {"b": "'), "supplier", F.lit('"}], "n": 1}'))
     return t.suppliers.select("supplier", privacy.redact_deep(text).alias("r")).select("supplier", "r.redacted", F.size("r.tokens").alias("n"))
+
+
+queries_runs.register_offline()

@@ -22,12 +22,14 @@ from pyspark.sql.types import StructType
 from .paged import _READ, _store
 
 LOOKBACK_MINUTES = 1440
+#: Bytes of files that a task reads one after the other; a larger file is a task of its own.
+TASK_BYTES = 32 << 20
 _HOUR = "%Y-%m-%d-%H"
 
 
 @dataclass
-class FeedFile(InputPartition):
-    path: str
+class FeedFiles(InputPartition):
+    paths: list[str]
 
 
 class EventFeed(DataSource):
@@ -62,8 +64,8 @@ class FeedReader(DataSourceStreamReader):
         hours = self._hours()
         return {"until": (datetime.strptime(hours[-1], _HOUR) + timedelta(hours=1)).strftime(_HOUR)} if hours else self.initialOffset()
 
-    def partitions(self, start: dict, end: dict) -> list[FeedFile]:
-        """A task for each file of an hour in reach; none where nothing is new."""
+    def partitions(self, start: dict, end: dict) -> list[FeedFiles]:
+        """A task for each few files of the hours in reach; none where nothing is new."""
         from pyarrow import fs
 
         if start["until"] == end["until"]:
@@ -71,21 +73,28 @@ class FeedReader(DataSourceStreamReader):
         begin = datetime.strptime(start["until"], _HOUR)
         first = (begin - min(self.lookback, begin - datetime.min)).strftime(_HOUR)
         store, root = _store(self.path)
-        out = []
+        out, size = [], 0
         for hour in (h for h in self._hours() if first <= h < end["until"]):
             files = store.get_file_info(fs.FileSelector(f"{root}/hour={hour}"))
-            out += [FeedFile(x.path) for x in sorted(files, key=lambda x: x.path) if x.type == fs.FileType.File and not x.base_name.startswith(("_", "."))]
+            for x in sorted(files, key=lambda x: x.path):
+                if x.type == fs.FileType.File and not x.base_name.startswith(("_", ".")):
+                    if not out or size + x.size > TASK_BYTES:
+                        out.append(FeedFiles([]))
+                        size = 0
+                    out[-1].paths.append(x.path)
+                    size += x.size
         return out
 
-    def read(self, partition: FeedFile) -> Iterator[tuple]:
+    def read(self, partition: FeedFiles) -> Iterator[tuple]:
         store, _ = _store(self.path)
         readers = [(f.name, _READ.get(f.dataType.typeName(), lambda x: x)) for f in self.schema]
-        with store.open_input_stream(partition.path) as f:
-            rest = b""
-            while data := f.read(1 << 20):
-                *lines, rest = (rest + data).split(b"\n")
-                yield from self._parsed(lines, readers)
-            yield from self._parsed([rest], readers)
+        for path in partition.paths:
+            with store.open_input_stream(path) as f:
+                rest = b""
+                while data := f.read(1 << 20):
+                    *lines, rest = (rest + data).split(b"\n")
+                    yield from self._parsed(lines, readers)
+                yield from self._parsed([rest], readers)
 
     @staticmethod
     def _parsed(lines: list[bytes], readers) -> Iterator[tuple]:
@@ -99,7 +108,7 @@ def land_hours(events: DataFrame, path: str, time: str = "event_time") -> None:
     """Adds events to the hours of a feed, as lines of JSON; those without a time are left out."""
     hour = F.date_format(time, "yyyy-MM-dd-HH").alias("hour")
     row = F.to_json(F.struct(*[(F.date_format(c, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS" + "XXX" * (t == "timestamp")) if t.startswith("timestamp") else F.col(c).cast("string") if t.startswith("decimal") else F.col(c)).alias(c) for c, t in events.dtypes]))
-    events.filter(F.col(time).isNotNull()).select(hour, row.alias("text")).write.mode("append").partitionBy("hour").text(path)
+    events.filter(F.col(time).isNotNull()).select(hour, row.alias("text")).repartition("hour").write.mode("append").partitionBy("hour").text(path)
 
 
 def read_feed(spark: SparkSession, path: str, schema, lookback_minutes: int = LOOKBACK_MINUTES) -> DataFrame:
