@@ -15,12 +15,13 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import byte_values, discard, free_name, materialise, maybe_in, mix64, table
-from .suffixes import repeated_windows
+from .suffixes import repeated_runs
 
 LENGTH = 400
 #: Bytes of a repeated passage: fifty words of five bytes, blanks included.
@@ -110,12 +111,6 @@ def _batch(columns: list[list], schema: str) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, _ARROW[kind]) for c, (_, kind) in zip(columns, fields, strict=True)], names=[name for name, _ in fields])
 
 
-def _runs(mask: np.ndarray, length: int) -> list[int]:
-    """Bytes covered by the windows of mask, as from, to, from, to ..."""
-    edge = np.diff(mask.astype(np.int8), prepend=0, append=0)
-    return np.stack([np.flatnonzero(edge == 1), np.flatnonzero(edge == -1) + length - 1], 1).ravel().tolist()
-
-
 def split_piece(piece: bytes, width: int, place: int, short: int, long: int, run: int):
     """(key, first window, number of windows, place, text) for the windows of a piece that hold at least half of their other
     bytes left of the anchor at `place`, and for those that hold more right of it. The key hashes the anchor and that half."""
@@ -136,13 +131,7 @@ def sort_shards(parts: DataFrame, short: int, long: int) -> DataFrame:
 
     def sort(batches):
         held: list[tuple] = []  # of keys with several parts
-        size, out = 0, [[] for _ in range(4)]
-
-        def add(row, masks):
-            spans = [[x + row[4] for x in _runs(m, length)] for m, length in zip(masks, (short, long), strict=True)]
-            if spans[0]:
-                for column, x in zip(out, (row[1], row[2], *spans), strict=True):
-                    column.append(x)
+        size, out = 0, [[] for _ in range(4)]  # of keys with one
 
         def settle(group):
             nonlocal size
@@ -150,16 +139,28 @@ def sort_shards(parts: DataFrame, short: int, long: int) -> DataFrame:
                 held.extend(group)
                 size += sum(len(x[7]) for x in group)
             elif group and group[0][3] > 1:  # only copies of itself
-                width = group[0][5]
-                add(group[0], (np.ones(width, dtype=bool), np.arange(width) + long <= len(group[0][7])))
+                _, anchor, d, _, first, width, _, part = group[0]
+                fit = min(width, len(part) - long + 1)
+                for column, x in zip(out, (anchor, d, [first, first + width - 1 + short], [first, first + fit - 1 + long] if fit > 0 else []), strict=True):
+                    column.append(x)
+
+        def shard():
+            firsts = np.array([x[4] for x in held], dtype=np.int64)
+            runs = repeated_runs([x[7] for x in held], [x[5] for x in held], [x[3] for x in held], short, long)
+            some = np.flatnonzero(runs[0][0])  # a long repeat is a short one too
+            columns = [pa.array([held[i][k] for i in some], pa.int64()) for k in (1, 2)]
+            for counts, values in runs:
+                values = (values + np.repeat(firsts, counts)).astype(np.int32)
+                columns.append(pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(counts[some])].astype(np.int32)), pa.array(values)))
+            return pa.RecordBatch.from_arrays(columns, names=[x.split()[0] for x in SPANS.split(", ")])
 
         def flush():
             nonlocal held, size, out
             if held:
-                for row, masks in zip(held, repeated_windows([x[7] for x in held], [x[5] for x in held], [x[3] for x in held], short, long), strict=True):
-                    add(row, masks)
-            done, held, size, out = out, [], 0, [[] for _ in range(4)]
-            return _batch(done, SPANS)
+                yield shard()
+            if out[0]:
+                yield _batch(out, SPANS)
+            held, size, out = [], 0, [[] for _ in range(4)]
 
         group: list[tuple] = []
         for batch in batches:
@@ -168,10 +169,10 @@ def sort_shards(parts: DataFrame, short: int, long: int) -> DataFrame:
                     settle(group)
                     group = []
                     if size >= SHARD_BYTES or len(out[0]) > 50_000:
-                        yield flush()
+                        yield from flush()
                 group.append(row)
         settle(group)
-        yield flush()
+        yield from flush()
 
     columns = [x.split()[0] for x in PARTS.split(", ")]
     return parts.repartition("key").sortWithinPartitions("key").select(columns).mapInArrow(sort, SPANS)
@@ -223,8 +224,8 @@ def count_windows(parts: DataFrame, short: int, long: int) -> DataFrame:
 def repeated_spans(docs: DataFrame, short: int = PASSAGE, long: int = LENGTH, run: int = RUN) -> DataFrame:
     """doc_id, doc_key, cover of the rows of docs (doc_id, doc_key, text) that hold repeats.
 
-    cover is an array of (starts, short_spans, long_spans): each start plus each span, from, to, is a byte range that strings
-    of that length cover which begin elsewhere too.
+    cover has short and long, arrays of from, to, from, to ...: byte ranges, in no order and overlapping, that strings of that
+    length cover which begin elsewhere too.
     """
     pieces = materialise(find_pieces(docs, short, long, run), "suffix-pieces")
     count = F.sum(F.size("starts"))
@@ -266,18 +267,23 @@ def repeated_spans(docs: DataFrame, short: int = PASSAGE, long: int = LENGTH, ru
     spans = materialise(spans, "suffix-spans")
     discard(parts)
     sorted_ = maybe_in(mixed, "d", spans.select("d")).join(spans, ["anchor", "d"]).select("doc_id", "doc_key", "starts", "short_spans", "long_spans")
-    return alike.unionByName(sorted_).groupBy("doc_id", "doc_key").agg(F.collect_list(F.struct("starts", "short_spans", "long_spans")).alias("cover"))
+    moved = lambda c: F.flatten(F.transform("starts", lambda s: F.transform(c, lambda x: x + s)))
+    ranges = alike.unionByName(sorted_).select("doc_id", "doc_key", moved("short_spans").alias("short"), moved("long_spans").alias("long"))
+    return ranges.groupBy("doc_id", "doc_key").agg(F.struct(F.flatten(F.collect_list("short")).alias("short"), F.flatten(F.collect_list("long")).alias("long")).alias("cover"))
 
 
-def _removed(n: int, cover, spans: str = "long_spans") -> list[tuple[int, int]]:
-    """Maximal byte ranges of the covers, in order."""
-    edge = np.zeros(n + 1, dtype=np.int64)
-    for c in cover or ():
-        starts, ranges = np.array(c["starts"]), np.array(c[spans], dtype=np.int64).reshape(-1, 2)
-        np.add.at(edge, (starts[:, None] + ranges[:, 0]).ravel(), 1)
-        np.add.at(edge, (starts[:, None] + ranges[:, 1]).ravel(), -1)
-    inside = np.diff((edge.cumsum() > 0).astype(np.int8), prepend=0)
-    return list(zip(np.flatnonzero(inside == 1).tolist(), np.flatnonzero(inside == -1).tolist(), strict=True))
+def _merged(ranges: pa.ListArray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The maximal byte ranges of each row of a column of covers, in order: where each row's begin (and, last, their number), from, to."""
+    counts = pc.fill_null(pc.list_value_length(ranges), 0).to_numpy(zero_copy_only=False).astype(np.int64) // 2
+    ends = pc.list_flatten(ranges).to_numpy(zero_copy_only=False).astype(np.int64).reshape(-1, 2)
+    row = np.repeat(np.arange(len(counts)), counts) << 40  # a row's ranges lie behind all those of the row before
+    order = np.argsort(row + ends[:, 0], kind="stable")
+    start, stop = (row + ends[:, 0])[order], np.maximum.accumulate((row + ends[:, 1])[order])
+    first = np.r_[True, start[1:] > stop[:-1]][: len(start)]
+    last = np.r_[first[1:], True][: len(start)]
+    start, stop = start[first], stop[last]
+    low = (1 << 40) - 1
+    return np.searchsorted(start >> 40, np.arange(len(counts) + 1)), start & low, stop & low
 
 
 def with_cover(docs: DataFrame, short: int, long: int, run: int, out: str) -> DataFrame:
@@ -305,28 +311,40 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, passage: int = PASSAGE
 
     def report(batches):
         for batch in batches:
-            rows: list[list] = [[] for _ in range(7)]
-            for doc_id, text, cover in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+            (at, start, stop), (near, near_start, near_stop) = (_merged(batch.column(i)) for i in (2, 3))
+            rows: list[list] = [[] for _ in range(3)]
+            for i, text in enumerate(batch.column(1).to_pylist()):
                 data = (text or "").encode()
-                gone, found = _removed(len(data), cover), _removed(len(data), cover, "short_spans")
-                kept, at = hashlib.sha256(), 0
-                for a, b in gone:
-                    kept.update(data[at:a])
-                    at = b
-                kept.update(data[at:])
-                for column, x in zip(rows, (doc_id, len(data), sum(b - a for a, b in gone), len(gone), kept.hexdigest(), sum(b - a for a, b in found), len(found)), strict=True):
+                kept, done = hashlib.sha256(), 0
+                for k in range(at[i], at[i + 1]):
+                    kept.update(data[done : start[k]])
+                    done = stop[k]
+                kept.update(data[done:])
+                for column, x in zip(rows, (len(data), at[i + 1] - at[i], kept.hexdigest()), strict=True):
                     column.append(x)
-            yield _batch(rows, schema)
+            total = lambda at, start, stop: np.diff(np.r_[0, np.cumsum(stop - start)][at])
+            columns = [rows[0], total(at, start, stop), rows[1], rows[2], total(near, near_start, near_stop), np.diff(near)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(c, pa.string() if c is rows[2] else pa.int64()) for c in columns]], names=[x.split()[0] for x in schema.split(", ")])
+
+    found = with_cover(docs.select("doc_id", "text"), passage, length, run, "cover")
+    return found.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "cover.long", "cover.short").mapInArrow(report, schema)
 
-    return with_cover(docs.select("doc_id", "text"), passage, length, run, "cover").mapInArrow(report, schema)
+
+def kept_text(text: str | None, cover: list[dict] | None) -> str | None:
+    """text without what a cover says, each of its starts plus each of its long_spans."""
+    spans = [[s + x for s in c["starts"] for x in c["long_spans"]] for c in cover or ()]
+    if not spans:
+        return text
+    _, start, stop = _merged(pa.array([[x for y in spans for x in y]], pa.list_(pa.int32())))
+    return without_ranges(text, list(zip(start.tolist(), stop.tolist(), strict=True)))
 
 
-def kept_text(text: str | None, cover) -> str | None:
-    """text without the covered bytes; a character that is only partly covered stays whole."""
-    if not cover:
+def without_ranges(text: str | None, gone: list[tuple[int, int]]) -> str | None:
+    """text without byte ranges, which are in order and apart; a character that is only partly covered stays whole."""
+    if not gone:
         return text
     data, out, at = text.encode(), [], 0
-    for a, b in _removed(len(data), cover):
+    for a, b in gone:
         while a < b and data[a] & 0xC0 == 0x80:
             a += 1
         while b > a and b < len(data) and data[b] & 0xC0 == 0x80:
@@ -343,12 +361,13 @@ def strip_repeats(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     are copies of each other, so their strings repeat. Columns of any name pass through."""
     columns, at = docs.columns, docs.columns.index("text")
     cover, gone = free_name(docs, "cover"), free_name(docs, "gone")
-    joined = with_cover(docs, PASSAGE, PASSAGE, RUN, cover)
+    joined = with_cover(docs, PASSAGE, PASSAGE, RUN, cover).withColumn(cover, F.col(f"`{cover}`.long"))
 
     def strip(batches):
         for batch in batches:
-            old, covers = batch.column(at).to_pylist(), batch.column(len(columns)).to_pylist()
-            texts = [kept_text(t, c) for t, c in zip(old, covers, strict=True)]
+            old, (places, start, stop) = batch.column(at).to_pylist(), _merged(batch.column(len(columns)))
+            covers = [list(zip(start[a:b].tolist(), stop[a:b].tolist(), strict=True)) for a, b in zip(places[:-1].tolist(), places[1:].tolist(), strict=True)]
+            texts = [without_ranges(t, c) for t, c in zip(old, covers, strict=True)]
             arrays = [batch.column(i) for i in range(len(columns))]
             arrays[at] = pa.array(texts, pa.string())
             yield pa.RecordBatch.from_arrays([*arrays, pa.array([bool(c) and not t.strip() for t, c in zip(texts, covers, strict=True)], pa.bool_())], names=[*columns, gone])

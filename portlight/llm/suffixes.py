@@ -46,17 +46,20 @@ def name_substrings(words: np.ndarray, starts: np.ndarray, lengths: np.ndarray,
     return names
 
 
-def order_names(names: np.ndarray, depth: int) -> np.ndarray:
-    """The suffixes of the string of names in order, by their first `depth` names at least.
+def order_names(names: np.ndarray, depth: int, starts: np.ndarray | None = None, symbols: int = 0) -> np.ndarray:
+    """The suffixes of the string of names in order, by their first `depth` names at least; or, where it is told where in the text
+    each name starts, by names that hold `symbols` symbols.
 
     A rank is the number of suffixes known to be smaller; each round doubles the names compared, for suffixes of equal rank
-    alone."""
+    alone, and only while what they have compared is too short."""
     names = names.astype(np.int64)
     n, width = len(names), 1
     counts = np.bincount(names)
     rank = (np.cumsum(counts) - counts)[names]
     tied = np.flatnonzero(counts[names] > 1)
     while width < depth and len(tied):
+        if starts is not None:
+            tied = tied[(tied + width >= n) | (starts[np.minimum(tied + width, n - 1)] - starts[tied] < symbols)]
         behind = np.where(tied + width < n, rank[np.minimum(tied + width, n - 1)] + 1, 0)
         key = rank[tied] * (n + 1) + behind
         order = np.argsort(key)
@@ -92,7 +95,7 @@ def suffix_array(t: np.ndarray, depth: int) -> np.ndarray:
         return np.argsort(t, kind="stable")
     lengths = np.diff(np.r_[starts, len(t) - 1]) + 1
     names = name_substrings(packed(t), starts, lengths, depth + 8)
-    seeds = starts[order_names(names, depth // 2 + 1)]  # a substring has two symbols of its own at least
+    seeds = starts[order_names(names, depth // 2 + 1, starts, depth)]  # a substring has two symbols of its own at least
     sizes = int(t.max()) + 1
     seeded: list[list[np.ndarray]] = [[] for _ in range(sizes)]
     _deal(seeded, t, seeds)
@@ -170,25 +173,49 @@ def common_prefixes(words: np.ndarray, t: np.ndarray, order: np.ndarray, most: i
     return np.minimum(out, most)
 
 
-def repeated_windows(pieces: list[bytes], widths: list[int], counts: list[int], short: int, long: int) -> list[tuple[np.ndarray, np.ndarray]]:
-    """For each piece, of the strings that begin at its first `width` places, which of `short` and which of `long` bytes also
-    begin elsewhere, in another piece or, where its count is 2 or more, in another copy of it. Short ones always fit into
-    their piece; a long one that doesn't is no string of its document."""
+def _reaches(pieces: list[bytes], widths: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For the first `width` places of all pieces, one after the other: the piece, the place in it, and how many symbols the string
+    there shares with one that begins elsewhere, up to 2 * most at least where it is more than most."""
     sizes = np.array([len(p) for p in pieces], dtype=np.int64)
-    t = np.zeros(int(sizes.sum()) + len(pieces), dtype=np.uint8)
+    t = np.frombuffer(b"\xff".join(pieces) + b"\xff", dtype=np.uint8) + np.uint8(1)  # UTF-8 has no byte 255, so it separates as 0
     firsts = np.cumsum(sizes + 1) - sizes - 1
+    owner = np.repeat(np.arange(len(pieces)), widths)
+    place = np.arange(len(owner)) - np.repeat(np.cumsum(widths) - widths, widths)
+    at = firsts[owner] + place
     window = np.zeros(len(t), dtype=bool)
-    for p, width, first in zip(pieces, widths, firsts, strict=True):
-        t[first : first + len(p)] = np.frombuffer(p, dtype=np.uint8) + np.uint8(1)
-        window[first : first + width] = True
-    array = suffix_array(t, long)
+    window[at] = True
+    array = suffix_array(t, most)
     order = array[window[array]]
-    shared = common_prefixes(packed(t), t, order, 2 * int(sizes.max()))
-    most = shared.copy()
-    most[order[:-1]] = np.maximum(most[order[:-1]], shared[order[1:]])
+    reach = common_prefixes(packed(t), t, order, 2 * int(sizes.max()))
+    shared = reach[order[1:]]
+    reach[order[:-1]] = np.maximum(reach[order[:-1]], shared)
+    return owner, place, reach[at]
+
+
+def repeated_windows(pieces: list[bytes], widths: list[int], counts: list[int], short: int, long: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """For each piece, of the strings that begin at its first `width` places, which of `short` and which of `long` bytes also
+    begin elsewhere, in another piece or, where its count is 2 or more, in another copy of it. Short ones always fit into
+    their piece; a long one that doesn't is no string of its document."""
+    owner, place, reach = _reaches(pieces, np.array(widths, dtype=np.int64), long)
+    cuts = np.cumsum(widths)[:-1]
+    out = []
+    for piece, where, got, count in zip(pieces, np.split(place, cuts), np.split(reach, cuts), counts, strict=True):
+        out.append(((got >= short) | (count > 1), ((got >= long) | (count > 1)) & (where + long <= len(piece))))
+    return out
+
+
+def repeated_runs(pieces: list[bytes], widths: list[int], counts: list[int], short: int, long: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """The bytes that the strings of repeated_windows cover, of `short` and of `long` bytes: how many numbers each piece has, and
+    from, to, from, to ... of all pieces."""
+    widths, sizes = np.array(widths, dtype=np.int64), np.array([len(p) for p in pieces], dtype=np.int64)
+    owner, place, reach = _reaches(pieces, widths, long)
+    copied = np.array(counts, dtype=np.int64)[owner] > 1
+    edge = owner[1:] != owner[:-1]
     out = []
-    for size, width, first, count in zip(sizes, widths, firsts, counts, strict=True):
-        reach = most[first : first + width]
-        fits = np.arange(width) + long <= size
-        out.append(((reach >= short) | (count > 1), ((reach >= long) | (count > 1)) & fits))
+    for length in (short, long):
+        hit = (reach >= length) | copied
+        if length == long:
+            hit &= place + long <= sizes[owner]
+        first, last = hit & np.r_[True, ~hit[:-1] | edge], hit & np.r_[~hit[1:] | edge, True]
+        out.append((2 * np.bincount(owner[first], minlength=len(pieces)), np.stack([place[first], place[last] + length], 1).ravel()))
     return out
