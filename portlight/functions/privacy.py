@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import bisect
+import hashlib
 import json
 import re
 import unicodedata
@@ -70,10 +72,19 @@ CREDENTIALS = [
 KEPT = {"PO_NUMBER"}
 
 
+#: The same matches in linear time, where a pattern as it stands reads a long run anew from each of its places: (pattern, group of
+#: the match, group of what is hidden). A run that no full stop follows is left at once; white space is taken by one class alone.
+LINEAR = {
+    "JWT": (r"(?<![A-Za-z0-9\-_=])(?=[A-Za-z0-9\-_=]++\.[A-Za-z0-9\-_=])([A-Za-z0-9\-_=]*?)(ey[A-Za-z0-9\-_=]++\.[A-Za-z0-9\-_=]++\.?[A-Za-z0-9\-_.+/=]*)", 2, 2),
+    "PRIVATE_KEY": (r"(?=-----BEGIN [A-Z ]+ PRIVATE KEY-----)(-----BEGIN [A-Z ]+ PRIVATE KEY-----[\s\S]+?-----END [A-Z ]+ PRIVATE KEY-----)", 1, 1),
+    "PIN": (r"(?i)\b(?:pin|code|atm|passcode|passphrase|key)\b(?:\s+[a-zA-Z]{2,}){0,2}[:\-=\s]*\b([0-9]{4,6})\b", 0, 1),
+    "PASSWORD": (r"(?i)\b(?:password|pwd|pass)\b(?:\s+(?:is|for|are|was|code|word))?[\s:\-=.]*([^\s]{4,32})", 0, 1),
+}
+
 #: What a text must hold for a pattern to match; a test that fails spares the patterns behind it.
 GUARDS = {
     "at": lambda t: F.contains(t, F.lit("@")), "colon": lambda t: F.contains(t, F.lit(":")), "http": lambda t: F.contains(t, F.lit("http")), "digits": lambda t: t.rlike("[0-9]{3}"), "dotted": lambda t: t.rlike(r"[0-9]\.[0-9]"),
-    "base58": lambda t: t.rlike("[13][a-km-zA-HJ-NP-Z1-9]{25}"), "bank": lambda t: t.rlike("[:=\\s][A-Z]{6}"), "dashes": lambda t: F.contains(t, F.lit("-----BEGIN")), "scheme": lambda t: t.rlike("(?i)bearer|basic"),
+    "base58": lambda t: t.rlike("[13][a-km-zA-HJ-NP-Z1-9]{25}"), "bank": lambda t: t.rlike("[:=\\s][A-Z]{6}"), "dashes": lambda t: F.contains(t, F.lit("-----BEGIN")) & F.contains(t, F.lit(" PRIVATE KEY-----")) & F.contains(t, F.lit("-----END")), "scheme": lambda t: t.rlike("(?i)bearer|basic"),
     "ey": lambda t: F.contains(t, F.lit("ey")), "A": lambda t: t.rlike("A[KGIR][IPDO]A"),
 }
 NEEDS = {"CRYPTO": "base58", "EMAIL_ADDRESS": "at", "URL": "http", "BIC_SWIFT": "bank", "JWT": "ey", "AWS_ACCESS_KEY": "A", "PRIVATE_KEY": "dashes", "AUTH_HEADER": "scheme"}
@@ -86,22 +97,25 @@ def _need(name: str, pattern: str) -> str:
 
 
 def plain_text(text) -> Column:
-    """Compatibility forms (NFKC) in place of full-width digits, ligatures and the like, and no characters without width."""
+    """Compatibility forms (NFKC) in place of full-width digits, ligatures and the like, and no characters without width. Only
+    texts that aren't ASCII alone go through Python."""
 
     def run(texts: pd.Series) -> pd.Series:
         drop = dict.fromkeys(map(ord, ZERO_WIDTH))
         return texts.map(lambda x: x if not isinstance(x, str) or x.isascii() else unicodedata.normalize("NFKC", x).translate(drop))
 
-    return F.pandas_udf(run, "string")(F.col(text) if isinstance(text, str) else text)
+    t = F.col(text) if isinstance(text, str) else text
+    plain = F.length(t) == F.octet_length(t)
+    return F.when(plain, t).otherwise(F.pandas_udf(run, "string")(F.when(~plain, t)))
 
 
 def _with(f, *more):
     return lambda x: f(x, *more)
 
 
-def mask(text, entities=ENTITIES) -> Column:
-    """Text in its plain form with each match of an entity as <ENTITY>, in order, secrets last. Patterns with one need in a row
-    are tried together, on texts that have it."""
+def mask(text, entities=ENTITIES, rules: list[tuple[str, str]] = ()) -> Column:
+    """Text in its plain form with each match of an entity as <ENTITY>, in order, secrets last, and then each match of the
+    caller's rules (pattern, name) as <name>. Patterns with one need in a row are tried together, on texts that have it."""
     steps: list[tuple[str, list]] = []
     for name, pattern in [*entities, *SECRETS]:
         need = _need(name, pattern)
@@ -114,13 +128,16 @@ def mask(text, entities=ENTITIES) -> Column:
     def replaced(x, needed, patterns):
         done = x
         for name, pattern in patterns:
-            done = F.regexp_replace(done, pattern, f"<{name}>")
+            fast, whole, _ = LINEAR.get(name, (pattern, 0, 0))
+            done = F.regexp_replace(done, fast, (f"$1<{name}>" if whole == 2 else f"<{name}>"))
         return F.when(needed, done).otherwise(x)
 
     def masked(row):
         out = row["text"]
         for need, patterns in steps:
             out = bind(out, _with(replaced, row[need], patterns))
+        for pattern, name in rules:
+            out = F.regexp_replace(out, pattern, "<" + name.replace("\\", "\\\\").replace("$", "\\$") + ">")
         return out
 
     return bind(plain_text(text), lambda t: bind(F.struct(t.alias("text"), *[GUARDS[n](t).alias(n) for n in needs]), masked))
@@ -158,19 +175,28 @@ def redact_text(text: str | None, tokens: dict[str, str]) -> str | None:
             tokens[values[value]] = value
         return values[value]
 
+    starts: list[int] = []  # of what is taken, in order
     taken: list[tuple[int, int, str]] = []
     plain, places = with_places(text)
     for kind, pattern, group in [*[(k, p, 1) for k, p in CREDENTIALS], *[(k, p, 0) for k, p in [*SECRETS, *ENTITIES]]]:
-        for m in re.finditer(pattern, plain, re.ASCII):
+        if kind == "PRIVATE_KEY" and "-----END" not in plain:
+            continue
+        fast, _, group = LINEAR.get(kind, (pattern, 0, group))
+        for m in re.finditer(fast, plain, re.ASCII):
             a, b = m.span(group)
             if a < b:
                 a, b = places[a], places[b - 1] + 1
-            if a < b and not any(a < y and x < b for x, y, _ in taken) and not re.search(r"\[[A-Z_]+_\d+\]", text[a:b]):
-                taken.append((a, b, kind))
-    for a, b, kind in sorted(taken, reverse=True):  # from the right, so that places stay
+            at = bisect.bisect_right(starts, a)
+            free = (not at or taken[at - 1][1] <= a) and (at == len(taken) or b <= taken[at][0])
+            if a < b and free and not re.search(r"\[[A-Z_]+_\d+\]", text[a:b]):
+                starts.insert(at, a)
+                taken.insert(at, (a, b, kind))
+    out, end = [], len(text)
+    for a, b, kind in reversed(taken):  # tokens are numbered from the right
         if kind not in KEPT:
-            text = text[:a] + token(kind, text[a:b]) + text[b:]
-    return text
+            out += [text[b:end], token(kind, text[a:b])]
+            end = a
+    return "".join([text[:end], *reversed(out)])
 
 
 def restore_text(text: str | None, tokens: dict[str, str]) -> str | None:
@@ -205,19 +231,27 @@ def restore(redacted, tokens) -> Column:
     return F.aggregate(pairs, F.col(redacted) if isinstance(redacted, str) else redacted, lambda t, e: F.replace(t, e["key"], e["value"]))
 
 
-def encrypt(text, key_hex: str) -> Column:
-    """AES-GCM as base64 iv:tag:ciphertext."""
-    raw = F.aes_encrypt(F.col(text) if isinstance(text, str) else text, F.unhex(F.lit(key_hex)), F.lit("GCM"))
+def sealing_key(secret: str) -> str:
+    """The key of a secret in hex: 64 hex digits are the key itself, any other text is hashed."""
+    if not secret:
+        raise ValueError("a secret is needed")
+    return secret if re.fullmatch(r"[0-9a-fA-F]{64}", secret) else hashlib.sha256(secret.encode()).hexdigest()
+
+
+def encrypt(text, secret: str) -> Column:
+    """AES-GCM as base64 iv:tag:ciphertext; null and empty texts are null."""
+    t = F.col(text) if isinstance(text, str) else text
+    raw = F.aes_encrypt(F.when(t != "", t), F.unhex(F.lit(sealing_key(secret))), F.lit("GCM"))
     n = F.octet_length(raw)
     part = lambda a, k: F.base64(F.substring(raw, a, k))
     return F.concat_ws(":", part(F.lit(1), F.lit(12)), part(n - 15, F.lit(16)), part(F.lit(13), n - 28))
 
 
-def decrypt(text, key_hex: str) -> Column:
+def decrypt(text, secret: str) -> Column:
     """The text, or null where key or text are wrong."""
     p = F.split(F.col(text) if isinstance(text, str) else text, ":")
     piece = lambda i: F.unbase64(F.get(p, F.lit(i)))
-    return F.try_aes_decrypt(F.concat(piece(0), piece(2), piece(1)), F.unhex(F.lit(key_hex)), F.lit("GCM")).cast("string")
+    return F.try_aes_decrypt(F.concat(piece(0), piece(2), piece(1)), F.unhex(F.lit(sealing_key(secret))), F.lit("GCM")).cast("string")
 
 
 def redact_json(text: str | None, tokens: dict[str, str], change=redact_text) -> str | None:

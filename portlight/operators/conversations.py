@@ -59,34 +59,42 @@ def _find(texts: pd.Series) -> pd.Series:
 
 
 def redact_conversations(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(rows with redacted, tokens) of rows (conv_id, turn, text). A value has the same token in all turns of a conversation;
-    tokens count from its first value on.
+    """(rows with redacted and token_key, tokens) of rows (conv_id, turn, text). A value has the same token in all turns of a
+    conversation; tokens count from its first value on. tokens: conv_id, token_key, token, value.
 
-    Only the values found are gathered by conversation, never its turns, so a conversation of any length spreads out.
+    token_key names whose tokens a row has: its conversation's or, without conv_id, those of its own text. Null turns, and rows that
+    repeat, are redacted like others and none is lost. Only the values found are gathered by conversation, never its turns, so a
+    conversation of any length spreads out.
     """
 
     def find(texts: pd.Series) -> pd.Series:
         return _find(texts)
 
-    found = rows.filter("conv_id is not null").select("conv_id", "turn", F.explode(F.pandas_udf(find, FOUND)("text")).alias("f"))
-    values = found.groupBy("conv_id", "f.value").agg(F.min(F.struct("turn", "f.at", "f.kind")).alias("first"))
-    number = F.row_number().over(Window.partitionBy("conv_id").orderBy("first", "value"))
-    tokens = values.withColumn("token", F.concat(F.lit("["), "first.kind", F.lit("_"), number.cast("string"), F.lit("]"))).select("conv_id", "token", "value")
-    used = found.select("conv_id", "turn", F.col("f.value").alias("value")).distinct().join(tokens, ["conv_id", "value"])
+    own = F.coalesce(F.col("conv_id").cast("string"), F.concat(F.lit("text-"), F.sha2(F.coalesce("text", F.lit("")), 256)))
+    keyed = rows.withColumn("token_key", own)
+    turn = F.struct(F.col("turn").isNotNull().alias("known"), F.col("turn").alias("turn"))
+    found = keyed.select("token_key", "conv_id", turn.alias("turn_"), F.explode(F.pandas_udf(find, FOUND)("text")).alias("f"))
+    values = found.groupBy("token_key", "conv_id", "f.value").agg(F.min(F.struct("turn_", "f.at", "f.kind")).alias("first"))
+    number = F.row_number().over(Window.partitionBy("token_key").orderBy("first", "value"))
+    tokens = values.withColumn("token", F.concat(F.lit("["), "first.kind", F.lit("_"), number.cast("string"), F.lit("]"))).select("conv_id", "token_key", "token", "value")
+    used = found.select("token_key", "turn_", F.col("f.value").alias("value")).distinct().join(tokens.drop("conv_id"), ["token_key", "value"])
     # longest first, so that a value inside another one doesn't break it
-    of_turn = used.groupBy("conv_id", "turn").agg(F.array_sort(F.collect_list(F.struct((-F.length("value")).alias("n"), "value", "token"))).alias("used"))
+    of_turn = used.groupBy("token_key", "turn_").agg(F.array_sort(F.collect_list(F.struct((-F.length("value")).alias("n"), "value", "token"))).alias("used"))
     text = F.aggregate(F.coalesce("used", F.array().cast("array<struct<n:int,value:string,token:string>>")), F.col("text"), lambda t, u: F.replace(t, u["value"], u["token"]))
-    return rows.join(of_turn, ["conv_id", "turn"], "left").withColumn("redacted", text).select(*rows.columns, "redacted"), tokens
+    joined = keyed.withColumn("turn_", turn).join(of_turn, ["token_key", "turn_"], "left")
+    return joined.withColumn("redacted", text).select(*rows.columns, "redacted", "token_key"), tokens
 
 
 def restore_conversations(rows: DataFrame, tokens: DataFrame, column: str = "redacted") -> DataFrame:
-    """Adds restored: the tokens of a conversation back to their values."""
-    mine = F.regexp_extract_all(F.col(column), F.lit(r"(\[[A-Z_]+_\d+\])"), F.lit(1))
-    named = rows.withColumn("token", F.explode_outer(F.array_distinct(mine))).join(tokens, ["conv_id", "token"], "left")
-    pairs = F.filter(F.collect_list(F.struct("token", "value")), lambda x: x["value"].isNotNull())
-    keys = rows.columns
-    packed = named.groupBy(*keys).agg(pairs.alias("pairs"))
-    return packed.select(*keys, F.aggregate("pairs", F.col(column), lambda t, p: F.replace(t, p["token"], p["value"])).alias("restored"))
+    """Adds restored: the tokens of a row's token_key back to their values. Different texts are restored once and given to all
+    rows that have them, so rows that repeat stay as many as they are."""
+    mine = F.regexp_extract_all("text_", F.lit(r"(\[[A-Z_]+_\d+\])"), F.lit(1))
+    texts = rows.select("token_key", F.col(column).alias("text_")).filter(F.size(F.regexp_extract_all(F.col(column), F.lit(r"(\[[A-Z_]+_\d+\])"), F.lit(1))) > 0).distinct()
+    named = texts.withColumn("token", F.explode(F.array_distinct(mine))).join(tokens.select("token_key", "token", "value"), ["token_key", "token"])
+    packed = named.groupBy("token_key", "text_").agg(F.collect_list(F.struct("token", "value")).alias("pairs"))
+    back = packed.select(F.col("token_key").alias("key_"), "text_", F.aggregate("pairs", F.col("text_"), lambda t, p: F.replace(t, p["token"], p["value"])).alias("back_"))
+    joined = rows.join(back, (F.col("token_key") == F.col("key_")) & (F.col(column) == F.col("text_")), "left")
+    return joined.select(*rows.columns, F.coalesce("back_", column).alias("restored"))
 
 
 def repair_tokens(text, known) -> Column:

@@ -606,23 +606,35 @@ def pii_tokenise(t):
     return rows.select("doc_id", of("EMAIL_ADDRESS").alias("n_emails"), of("IP_ADDRESS").alias("n_addresses"), left.alias("leaks"))
 
 
-@query("select doc_id, true as same from documents")
+MAILS = "cast(coalesce(len(regexp_extract_all(text, '\\b[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\\.[A-Za-z]{2,}\\b')), 0) as bigint)"
+
+
+def _mails_hidden(before: str, after: str):
+    """How many addresses the first text has more than the second."""
+    n = lambda c: F.coalesce(F.regexp_count(c, F.lit(privacy.ENTITIES[3][1])), F.lit(0)).cast("long")
+    return n(before) - n(after)
+
+
+@query(f"select doc_id, text as restored, {MAILS} as hidden from documents")
 def pii_roundtrip(t):
     rows = t.documents.select("doc_id", "text", privacy.redact("text").alias("r"))
-    return rows.select("doc_id", (privacy.restore("r.redacted", "r.tokens") == F.col("text")).alias("same"))
+    return rows.select("doc_id", privacy.restore("r.redacted", "r.tokens").alias("restored"), _mails_hidden("text", "r.redacted").alias("hidden"))
 
 
 @query("select supplier, name as opened, cast(null as varchar) as wrong_key from suppliers")
 def secrets_roundtrip(t):
-    sealed = t.suppliers.select("supplier", privacy.encrypt("name", "00" * 32).alias("sealed"))
-    return sealed.select("supplier", privacy.decrypt("sealed", "00" * 32).alias("opened"), privacy.decrypt("sealed", "11" * 32).alias("wrong_key"))
+    sealed = t.suppliers.select("supplier", privacy.encrypt("name", "a secret of any length").alias("sealed"))
+    return sealed.select("supplier", privacy.decrypt("sealed", privacy.sealing_key("a secret of any length")).alias("opened"), privacy.decrypt("sealed", "11" * 32).alias("wrong_key"))
 
 
-@query("select conv_id, turn, true as same from (select distinct conv_id, turn, text from conversations)")
+@query(f"select conv_id, turn, text as restored, {MAILS} as hidden from (select conv_id, turn, text from conversations union all select null, null, text from documents union all select doc_id % 3, null, text from documents where doc_id % 2 = 0)")
 def conversation_roundtrip(t):
-    rows, tokens = conversations.redact_conversations(t.conversations.select("conv_id", "turn", "text").distinct())
+    """All turns, and documents as turns without a conversation or without a number."""
+    of = lambda conv: t.documents.select(conv.cast("long").alias("conv_id"), F.lit(None).cast("long").alias("turn"), "text")
+    turns = t.conversations.select("conv_id", "turn", "text").unionByName(of(F.lit(None))).unionByName(of(F.when(F.col("doc_id") % 2 == 0, F.col("doc_id") % 3)).filter("conv_id is not null"))
+    rows, tokens = conversations.redact_conversations(turns)
     back = conversations.restore_conversations(rows, tokens)
-    return back.select("conv_id", "turn", F.col("restored").eqNullSafe(F.col("text")).alias("same"))
+    return back.select("conv_id", "turn", "restored", _mails_hidden("text", "redacted").alias("hidden"))
 
 
 @query("""select coalesce(entity, 'all') as entity, cast(sum(added) as bigint) as added, cast(sum(failed) as bigint) as failed from (select coalesce(nullif(provider, ''), 'none') as entity, ai_calls as added, case when status = 'failed' then 1 else 0 end as failed from execution_logs) group by rollup (entity)""")
