@@ -210,9 +210,10 @@ def error_section(errors: DataFrame, shown: int = 3, longest: int = 250) -> Data
 def carrier_section(events: DataFrame) -> DataFrame:
     """po_number, section: the carrier events of each order, one of each kind and the newest first, as text for a prompt."""
     or_none = lambda c: S.first_text(F.col(c).cast("string"), F.lit("N/A"))
+    # fixed values: the parts of a line
     line = F.concat(
         F.lit("- "), F.coalesce(S.first_text("status", "event_type"), F.lit("N/A")), F.lit(" | Event: "), F.coalesce(F.date_format("event_time", "yyyy-MM-dd HH:mm 'UTC'"), F.lit("N/A")), F.lit(" | Qty: "), or_none("actual_quantity"),
-        F.lit(" | Tracking #: "), or_none("tracking_number"), F.lit(" | Load #: "), or_none("load_number"),
+        F.lit(" | SKU: "), or_none("sku_number") if "sku_number" in events.columns else F.lit("N/A"), F.lit(" | Tracking #: "), or_none("navisphere_tracking_number" if "navisphere_tracking_number" in events.columns else "tracking_number"), F.lit(" | Load #: "), or_none("load_number"),
     )
     time = F.coalesce(F.unix_micros(F.col("event_time").cast("timestamp")), F.lit(0))
     rows = dedupe_carrier_events(events).groupBy("po_number").agg(F.array_sort(F.collect_list(F.struct((-time).alias("age"), "id", line.alias("line")))).alias("lines"))

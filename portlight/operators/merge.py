@@ -144,11 +144,13 @@ def delete_rows(rows: DataFrame, keys: DataFrame) -> tuple[DataFrame, DataFrame]
     return rows.join(keys, on, "left_anti"), keys.join(rows, on, "left_anti")
 
 
-def validate_upload(cells: DataFrame, kinds: dict[str, str], keys: list[str], existing: DataFrame) -> tuple[DataFrame, DataFrame]:
+def validate_upload(cells: DataFrame, kinds: dict[str, str], keys: list[str], existing: DataFrame, update: bool = False, alternate: str | None = None) -> tuple[DataFrame, DataFrame]:
     """(rows, errors) of uploaded text rows (row_idx and columns by kind: string, long, double, boolean, timestamp).
 
     Each value is read by its kind; keys are required; columns that are no kind's are errors where they hold a value; of rows
-    that are valid so far a key's second is an error, and so is a key that exists.
+    that are valid so far a key's second is an error. A key that exists is an error too, and so is a value of the column `alternate`
+    that an existing row has, unless update is set: then both are updates, the second under the existing row's key, and rows tell by
+    is_update.
     """
     typed = {c: (F.lit(None), F.when(S.blank_null(F.trim(c)).isNotNull(), F.lit(f"{c}: unknown column"))) for c in cells.columns if c != "row_idx" and c not in kinds}
     for c, kind in kinds.items():
@@ -171,10 +173,29 @@ def validate_upload(cells: DataFrame, kinds: dict[str, str], keys: list[str], ex
     good = newest_first(rows.filter(F.size("errors_") == 0), keys, [F.asc("row_idx")], 1 << 30)
     twice = good.filter("rank_ > 1").select("row_idx", F.lit("key repeats in the upload").alias("error"))
     single = good.filter("rank_ = 1").drop("rank_", "errors_")
+    if alternate or update:
+        return _placed(single, bad.unionByName(twice), keys, existing, update, alternate)
     there = single.join(existing.select(*keys), keys, "left_semi").select("row_idx", F.lit("key exists").alias("error"))
     return single.join(existing.select(*keys), keys, "left_anti"), bad.unionByName(twice).unionByName(there)
 
 
+def _placed(rows: DataFrame, errors: DataFrame, keys: list[str], existing: DataFrame, update: bool, alternate: str | None) -> tuple[DataFrame, DataFrame]:
+    """(rows, errors) by what exists under a row's key, or under its alternate value."""
+    columns = rows.columns
+    rows = rows.join(existing.select(*keys, F.lit(True).alias("there_")).distinct(), keys, "left")
+    if alternate:
+        other = existing.filter(F.col(alternate).isNotNull()).groupBy(F.col(alternate).alias("alternate_")).agg(F.min(F.struct(*keys)).alias("other_"))
+        rows = rows.join(other, F.col(alternate) == F.col("alternate_"), "left").drop("alternate_")
+    else:
+        rows = rows.withColumn("other_", F.lit(None).cast("struct<" + ",".join(f"{k}:string" for k in keys) + ">"))
+    there, other = F.col("there_").isNotNull(), F.col("other_").isNotNull()
+    if update:
+        values = {k: F.when(other, F.col("other_")[k].cast(rows.schema[k].dataType)).otherwise(F.col(k)).alias(k) for k in keys}
+        return rows.select(*[values.get(c, F.col(c)) for c in columns], (there | other).alias("is_update")), errors
+    why = F.when(there, F.lit("key exists")).when(other, F.lit(f"{alternate} exists"))
+    return rows.filter(~there & ~other).select(columns), errors.unionByName(rows.filter(there | other).select("row_idx", why.alias("error")))
+
+
 def upload_outcome(n_rows: DataFrame, good: DataFrame, bad: DataFrame, existing: DataFrame, keys: list[str]) -> DataFrame:
     """One row: uploaded, inserted, updated, failed rows and a label: success, partial or failed."""
     failed = bad.select("row_idx").distinct().agg(F.count("*").alias("failed"))

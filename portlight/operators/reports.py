@@ -148,6 +148,13 @@ def dashboard_summary(t, as_of: str, plant: str | None = None, since: str | None
     return _side_by_side([n(t.po_lines, "all_lines"), _line_counts(kept), n(asn, "deliveries"), n(events, "carrier_events"), errors, n(records, "exception_records"), _exception_counts(left), status, buckets])
 
 
+def dashboard_lists(t, plant: str | None = None, since: str | None = None, until: str | None = None, priority: str | None = None, kind: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """(plants, types) beside dashboard_summary's row: plants with active lines and how many each has, and the types of the exceptions
+    on these lines, the most frequent first."""
+    kept, left = _filtered(t.po_lines, t.exceptions, plant, None, since, until, priority, kind)
+    return by_count(plant_counts(kept, t.plants), "n", "plant"), by_count(root_causes(left), "n", "cause")
+
+
 def by_count(rows: DataFrame, count: str, label: str) -> DataFrame:
     """The largest counts first, ties by label."""
     return rows.orderBy(F.desc(count), label)

@@ -521,6 +521,56 @@ def upload_outcome(t):
     return merge.upload_outcome(_cells(t), good, bad, t.execution_logs.select(F.lit(-1).alias("id")), ["id"])
 
 
+def _checked_updates(t):
+    known = t.carrier_events.filter("event_key % 4000 between 100 and 150").select((F.col("event_key") % 4000).alias("id")).distinct()
+    return (*merge.validate_upload(_cells(t), {"id": "long", "quantity": "long", "active": "boolean"}, ["id"], known, update=True), known)
+
+
+@query("," + UPLOAD + "select row_idx, id, q as quantity, id in (select id from known) as is_update from ok where rn = 1")
+def upload_rows_with_updates(t):
+    return _checked_updates(t)[0].select("row_idx", "id", "quantity", "is_update")
+
+
+@query("," + UPLOAD + """select (select count(*) from cells) as uploaded, count(*) filter (where id not in (select id from known)) as inserted, count(*) filter (where id in (select id from known)) as updated, (select count(*) from cells) - count(*) as failed,
+case when count(*) = (select count(*) from cells) then 'success' when count(*) = 0 then 'failed' else 'partial' end as outcome from ok where rn = 1""")
+def upload_outcome_with_updates(t):
+    good, bad, known = _checked_updates(t)
+    return merge.upload_outcome(_cells(t), good, bad, known, ["id"])
+
+
+def _by_code(t, update):
+    cells = t.carrier_events.select(F.col("event_key").alias("row_idx"), (F.col("event_key") + 1000000).cast("string").alias("id"), F.concat(F.lit("c"), "id").alias("code"))
+    known = t.carrier_events.filter("event_key % 3 = 0").select(F.col("event_key").alias("id"), F.concat(F.lit("c"), "id").alias("code"))
+    return merge.validate_upload(cells, {"id": "long", "code": "string"}, ["id"], known, update, "code")
+
+
+@query("select event_key as row_idx, case when event_key % 3 = 0 then event_key else event_key + 1000000 end as id, 'c' || id as code, event_key % 3 = 0 as is_update from carrier_events")
+def upload_rows_by_alternate(t):
+    return _by_code(t, True)[0].select("row_idx", "id", "code", "is_update")
+
+
+@query("select event_key as row_idx, 'code exists' as error from carrier_events where event_key % 3 = 0")
+def upload_errors_by_alternate(t):
+    return _by_code(t, False)[1]
+
+
+@query(f"select coalesce(nullif(plant, ''), '—') as plant, coalesce(max(plant_name), '') as plant_name, count(*) as n from po_lines left join plants on plant = plant_code where {ACTIVE} and delivery_date between timestamp '1996-01-01' and timestamp '1997-12-31 23:59:59.999' group by 1")
+def dashboard_assistant_plants(t):
+    return reports.dashboard_lists(t, since="1996-01-01", until="1997-12-31")[0]
+
+
+@query(f"select coalesce(nullif(exception_type, ''), 'UNKNOWN') as cause, count(*) as n from exceptions e where priority = ' medium' and exists (select 1 from po_lines l where l.po_number = e.po_number and l.line_item = e.line_item and {ACTIVE}) group by 1")
+def dashboard_assistant_types(t):
+    return reports.dashboard_lists(t, priority=" medium")[1]
+
+
+@query("select po_number, docnum, rank from (select *, row_number() over (partition by po_number order by coalesce(logdat, made) desc nulls last, docnum) as rank from (select *, case when event_key % 2 = 0 then status_logdat end as logdat, case when event_key % 3 <> 0 then status_logdat + interval 40 day end as made from idoc_errors)) where rank <= 3")
+def document_errors_by_either_time(t):
+    some = F.when(F.col("event_key") % 2 == 0, F.col("status_logdat"))
+    rows = t.idoc_errors.withColumns({"idoc_credat": F.when(F.col("event_key") % 3 != 0, F.col("status_logdat") + F.expr("interval 40 day")), "status_logdat": some})
+    return relational.top_document_errors(rows).select("po_number", "docnum", "rank")
+
+
 @query("select event_key as row_idx, case when event_key % 2 = 0 then id when known then id end as id from (select *, event_key % 3 = 0 as known from carrier_events)")
 def upload_alternate_keys(t):
     rows = t.carrier_events.select(F.col("event_key").alias("row_idx"), F.when(F.col("event_key") % 2 == 0, F.col("id")).otherwise("").alias("id"), F.concat(F.lit("h"), "id").alias("source_hash"))
@@ -642,7 +692,7 @@ def sync_totals(t):
     return reports.rollup_counters(t.execution_logs.select(F.coalesce(S.blank_null("provider"), F.lit("none")).alias("entity"), F.col("ai_calls").alias("added"), F.when(F.col("status") == "failed", 1).otherwise(0).alias("failed")), ["added", "failed"])
 
 
-@query("""select po_number, 'CHR (carrier) events (deduped, newest first):' || chr(10) || string_agg('- ' || coalesce(nullif(status, ''), event_type) || ' | Event: ' || strftime(event_time, '%Y-%m-%d %H:%M') || ' UTC | Qty: ' || coalesce(cast(actual_quantity as varchar), 'N/A') || ' | Tracking #: ' || tracking_number || ' | Load #: ' || load_number, chr(10) order by event_time desc, id) as section
+@query("""select po_number, 'CHR (carrier) events (deduped, newest first):' || chr(10) || string_agg('- ' || coalesce(nullif(status, ''), event_type) || ' | Event: ' || strftime(event_time, '%Y-%m-%d %H:%M') || ' UTC | Qty: ' || coalesce(cast(actual_quantity as varchar), 'N/A') || ' | SKU: N/A' || ' | Tracking #: ' || tracking_number || ' | Load #: ' || load_number, chr(10) order by event_time desc, id) as section
 from (select *, row_number() over (partition by po_number, tracking_number, order_number, load_number, upper(trim(coalesce(nullif(status, ''), event_type))) order by event_time desc, id) as rn from carrier_events) where rn = 1 group by po_number""")
 def prompt_carrier_sections(t):
     return classify.carrier_section(t.carrier_events)
