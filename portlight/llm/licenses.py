@@ -183,10 +183,10 @@ def sentence_ids(text: Column, sentences: dict[str, str] = SENTENCES) -> Column:
     plain = F.regexp_replace(F.regexp_replace(plain, SENTENCE_END, "\n\n"), r"[^a-z0-9\n]+", " ")
     plain = F.trim(F.regexp_replace(plain, r" ?\n ?", "\n"))
     whole = {i: k for k, i in reversed(known.items())}
-    for sentence, i in HOLED if sentences is SENTENCES else ():
-        before, after = (normalised(x).replace(" ", r"[ \n]") for x in sentence.split("{}"))
-        hole = rf"[a-z0-9]+(?:[ \n]{{1,2}}[a-z0-9]+){{0,{HOLE_WORDS - 1}}}?"  # an abbreviation's full stop looks like a sentence's end
-        plain = F.when(F.contains(plain, F.lit("endorse")), F.regexp_replace(plain, rf"(?<![^\n]){before}[ \n]{{1,2}}{hole}[ \n]{{1,2}}{after}(?![^\n])", whole[i])).otherwise(plain)
+    hole = rf"[ \n]{{1,2}}[a-z0-9]+(?:[ \n]{{1,2}}[a-z0-9]+){{0,{HOLE_WORDS - 1}}}?[ \n]{{1,2}}"  # an abbreviation's full stop looks like a sentence's end
+    for i in dict.fromkeys(i for _, i in HOLED) if sentences is SENTENCES else ():
+        shapes = [hole.join(normalised(x).replace(" ", r"[ \n]") for x in sentence.split("{}")) for sentence, j in HOLED if j == i]
+        plain = F.regexp_replace(plain, rf"(?<![^\n])(?:{'|'.join(shapes)})(?![^\n])", whole[i])
     found = F.regexp_extract_all(plain, F.lit(rf"(?<![^\n])({any_of})(?![^\n])"), F.lit(1))
     return F.transform(found, lambda s: F.element_at(F.create_map(*entries), F.translate(s, "\n", " ")))
 
