@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from datetime import datetime, timedelta
+
 from pyspark.sql import functions as F
 
-from .operators import changes, merge, offline
-from .plans.bridge import AS_OF_ORDERS
+from .operators import changes, classify, merge, offline
+from .plans import layout
+from .plans.bridge import AS_OF_EVENTS, AS_OF_ORDERS
 from .registry import query
 from .sources import feed, files
 from .sources.shared import shared_folder
@@ -75,10 +78,20 @@ case r when 1 then 'Correct ' || n_errors || ' document errors with **' || suppl
 when 4 then '**' || coalesce(material_description, 'NO_DATA_FOUND') || '** is on its way to ' || coalesce(plant_name, 'NO_DATA_FOUND') || ' (' || carrier_status || ').' else po_number || '/' || line_item || ' is on track.' end as recommendation from ruled"""
 
 
+STAR_TABLES = ["po_lines", "asn_ibd", "carrier_events", "idoc_errors", "po_partners", "exceptions", "suppliers", "materials", "plants"]
+
+
 def register_offline() -> None:
     """Queries whose SQL builds on that of the enriched lines."""
     from .queries import ENRICHED, FUNCTIONS, NOTED, RUN_TIME, SUPPLIERS, _star
 
+    @query("," + ENRICHED + "select po_number, line_item, cast(ibd_qty as double) as ibd_qty, delivery, supplier_name, carrier_status, n_errors, eligible, coalesce(exception_id, 0) as exception_id from star")
+    def star_co_located(t):
+        """The enriched lines from tables in buckets of their orders."""
+        b = layout.co_located(t, STAR_TABLES, 8)
+        rows = classify.enriched_lines(b.po_lines, b, FUNCTIONS, SUPPLIERS)
+        return rows.select("po_number", "line_item", "ibd_qty", "delivery", "supplier_name", "carrier_status", "n_errors", "eligible", F.coalesce("exception_id", F.lit(0)).alias("exception_id"))
+
     @query(_by_rules())
     def classification_by_rules(t):
         return offline.first_match(_star(t), _rules(t)).select("po_number", "line_item", "exception_type", "priority", F.coalesce("priority_score", F.lit(0)).alias("priority_score"), "recommendation")
@@ -96,6 +109,15 @@ count(*) filter (where len(notes) > 0 and exception_id is not null) as updated,
         return out.drop("message")
 
 
+@query(f"select id from carrier_events where event_time >= timestamp '{AS_OF_EVENTS}' - interval 1440 minute and event_time <= timestamp '{AS_OF_EVENTS}'")
+def event_lookback_by_day(t):
+    """A look-back over events by day, which reads the folders of two days."""
+    path = shared_folder(t._spark, "events-by-day")
+    layout.write_by_day(t.carrier_events.select("id", F.col("event_time").cast("timestamp").alias("event_time")), path, "event_time")
+    since = (datetime.fromisoformat(AS_OF_EVENTS) - timedelta(minutes=1440)).isoformat(sep=" ")
+    return layout.read_days(t._spark, path, "event_time", since, AS_OF_EVENTS).select("id")
+
+
 HASHED = ["po_number", "event_type", "tracking_number", "load_number", "order_number"]
 
 
