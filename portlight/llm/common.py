@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import gc
 import tempfile
 import uuid
@@ -77,6 +78,20 @@ def maybe_in(df: DataFrame, column: str, keys: DataFrame, bits: int = 24, wanted
     return rows.filter(found if wanted else ~found).select(kept)
 
 
+@contextlib.contextmanager
+def small_batches(spark: SparkSession, rows: int = 1000):
+    """Batches to and from Python of so many rows at most, for jobs that run inside: rows with whole texts or sets take several kB, and
+    a batch stands in the executor's and in the worker's memory at once."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    if not 0 < int(before) <= rows:
+        spark.conf.set(name, rows)
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def release(spark: SparkSession) -> None:
     """Lets Spark drop shuffle files of plans that nothing refers to any more; else they wait for the driver's next full
     garbage collection."""

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import free_name, materialise, maybe_in, mix64, release, shingle_hashes, table, word_hashes
+from .common import free_name, materialise, maybe_in, mix64, release, shingle_hashes, small_batches, table, word_hashes
 from .suffix_dedup import digest
 
 WIDTH = 3
@@ -224,7 +224,15 @@ def link_components(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT)
     not with each other. Rows without doc_id stay, without a component, and link with nothing. Each row counts by its own
     text, also where a doc_id repeats. Other columns are ignored.
     """
-    spark, seed = docs.sparkSession, 0
+    with small_batches(docs.sparkSession):
+        described, found = _described_and_found(docs, width, percent)
+    out = described.select("doc_id", "n", F.when((F.col("n") > 0) & F.col("doc_id").isNotNull(), F.col("node")).alias("node")).join(found, "node", "left")
+    return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
+
+
+def _described_and_found(docs: DataFrame, width: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """(_SETS of each document; node, component_id), both written."""
+    seed = 0
     while True:
         described = materialise(describe(docs, width, percent, seed), "ngram-sets")
         whole = described.filter("n > 0 and doc_id is not null")
@@ -237,9 +245,7 @@ def link_components(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT)
     reached = components(links)
     named = classes.select("node", "rep").join(reached, "node", "left").select("node", "rep", F.coalesce("component", "node").alias("component"))
     least = named.groupBy("component").agg(F.min("rep").alias("component_id"))
-    found = materialise(named.join(least, "component").select("node", "component_id"), "ngram-found")
-    out = described.select("doc_id", "n", F.when((F.col("n") > 0) & F.col("doc_id").isNotNull(), F.col("node")).alias("node")).join(found, "node", "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
+    return described, materialise(named.join(least, "component").select("node", "component_id"), "ngram-found")
 
 
 def _one_each(whole: DataFrame, classes: DataFrame) -> DataFrame:
