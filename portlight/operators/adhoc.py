@@ -107,3 +107,16 @@ def result(catalogue, q: Query) -> DataFrame:
 def catalogue_rows(spark, frames: dict[str, DataFrame]) -> DataFrame:
     """table_name, column_name, kind of a catalogue's tables, for prompts and checks of uploads."""
     return spark.createDataFrame([(name, c, t) for name, df in frames.items() for c, t in df.dtypes], "table_name string, column_name string, kind string")
+
+
+def upload_meta(frames: dict[str, DataFrame], keys: dict[str, list[str]], read_only: bool = True) -> DataFrame:
+    """table_name, column_name, kind, is_key, read_only, filled, rows of each column of a catalogue's tables, for forms that upload
+    into them: tables are read-only unless told otherwise. filled counts the rows that have a value; a table is read once."""
+    out = None
+    for name, df in frames.items():
+        counts = df.agg(F.count("*").alias("rows_"), *[F.count(F.col(c)).alias(c) for c in df.columns])
+        one = lambda c, kind: F.struct(F.lit(c).alias("column_name"), F.lit(kind).alias("kind"), F.lit(c in keys.get(name, [])).alias("is_key"), F.col(c).alias("filled"))  # noqa: B023, E731
+        rows = counts.select(F.lit(name).alias("table_name"), F.col("rows_").alias("rows"), F.explode(F.array(*[one(c, t) for c, t in df.dtypes])).alias("x"))
+        rows = rows.select("table_name", "x.column_name", "x.kind", "x.is_key", F.lit(read_only).alias("read_only"), "x.filled", "rows")
+        out = rows if out is None else out.unionByName(rows)
+    return out

@@ -219,11 +219,15 @@ def template_workbook(t):
     return relational.workbook_rows(rows, t.po_lines)
 
 
-@query("select 'plants' as table_name, x as column_name from (values ('plant_code'), ('plant_name'), ('region'), ('is_active'), ('last_synced_at')) v(x)")
+CATALOGUE = {"plants": ["plant_code", "plant_name", "region", "is_active", "last_synced_at"], "suppliers": ["supplier", "name", "name_2", "country_region_key", "clerk_internet_address"], "materials": ["material", "material_type", "material_group", "material_description"]}
+
+
+@query(" union all ".join(f"select '{t}' as table_name, '{c}' as column_name, {str(c == columns[0]).lower()} as is_key, true as read_only, count({c}) as filled, count(*) as rows from {t}" for t, columns in CATALOGUE.items() for c in columns))
 def schema_catalogue(t):
-    from .operators.adhoc import catalogue_rows
+    """Each column with its key mark and how many rows have a value."""
+    from .operators.adhoc import upload_meta
 
-    return catalogue_rows(t._spark, {"plants": t.plants}).select("table_name", "column_name")
+    return upload_meta({name: getattr(t, name) for name in CATALOGUE}, {name: columns[:1] for name, columns in CATALOGUE.items()}).drop("kind")
 
 
 @query("select 'plants' as source, count(*) as n from plants union all select 'po_lines', count(*) from po_lines union all select 'carrier_events', count(*) from carrier_events")
