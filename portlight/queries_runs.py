@@ -1,4 +1,4 @@
-"""Queries of runs: versions of tables, their differences, classification by rules, streams into tables."""
+"""Queries of runs: versions of tables, their differences, classification by rules, tables by day and by order."""
 
 from __future__ import annotations
 
@@ -10,9 +10,8 @@ from .operators import changes, classify, merge, offline
 from .plans import layout
 from .plans.bridge import AS_OF_EVENTS, AS_OF_ORDERS
 from .registry import query
-from .sources import feed, files
+from .sources import files
 from .sources.shared import shared_folder
-from .streaming import events as streaming
 
 
 @query("""select coalesce(a.po_number, b.po_number) as po_number, coalesce(a.line_item, b.line_item) as line_item, cast(coalesce(b.qty, a.po_qty) as double) as po_qty, b.remark
@@ -116,23 +115,3 @@ def event_lookback_by_day(t):
     layout.write_by_day(t.carrier_events.select("id", F.col("event_time").cast("timestamp").alias("event_time")), path, "event_time")
     since = (datetime.fromisoformat(AS_OF_EVENTS) - timedelta(minutes=1440)).isoformat(sep=" ")
     return layout.read_days(t._spark, path, "event_time", since, AS_OF_EVENTS).select("id")
-
-
-HASHED = ["po_number", "event_type", "tracking_number", "load_number", "order_number"]
-
-
-@query("""select source_hash, source_hash[1:32] as id, po_number, po_number in (select po_number from po_lines where po_status = 'OPEN') as po_linked from (select distinct po_number, sha256(po_number || '|' || event_type || '|' || tracking_number || '|' || load_number || '|' || order_number) as source_hash from carrier_events)""")
-def carrier_events_streamed(t):
-    """The event feed, landed in two halves and read by a stream in overlapping batches, with ids and links of its state."""
-    from .plans.sync import open_orders
-
-    spark, folders = t._spark, {k: shared_folder(t._spark, f"stream-{k}") for k in ("feed", "events", "lines", "checkpoint")}
-    rows = t.carrier_events.withColumn("source_hash", merge.source_hash(HASHED)).select("source_hash", F.col("event_time").cast("timestamp").alias("event_time"), "po_number", "event_type")
-    files.write_version(t.po_lines.select("po_number", "line_item", "po_status", "ai_processed", "ai_processed_at", "ai_reanalysis_needed"), folders["lines"], 1)
-    sink = streaming.events_sink(folders["events"], folders["lines"], open_orders(t.po_lines))
-    middle = rows.agg(F.percentile_approx("event_time", 0.5)).first()[0]
-    for half in (F.col("event_time") < F.lit(middle), F.col("event_time") >= F.lit(middle)):
-        feed.land_hours(rows.filter(half), folders["feed"])
-        known = streaming.with_known_ids(feed.read_feed(spark, folders["feed"], rows.schema), keep_minutes=60 * 24 * 365)
-        streaming.run(known, sink, folders["checkpoint"]).awaitTermination()
-    return files.read_version(spark, folders["events"]).select("source_hash", "id", "po_number", "po_linked")

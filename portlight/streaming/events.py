@@ -78,8 +78,12 @@ def events_sink(folder: str, lines: str, open_orders: DataFrame) -> Callable[[Da
     from ..sources.files import read_version
 
     def write(batch: DataFrame, number: int) -> None:
+        from ..sources.shared import written
+
         spark = batch.sparkSession
+        # written once: what follows reads it several times, and none of them runs the stateful operator anew
         linked = batch.join(open_orders.withColumn("linked_", F.lit(True)), "po_number", "left").withColumn("po_linked", F.coalesce("linked_", F.lit(False))).drop("linked_")
+        linked = written(linked, "stream-batch")
         new = linked.filter("is_new and po_linked").select("po_number").distinct()
         merge_into(spark, folder, linked.drop("is_new"), ["source_hash"], f"batch-{number}")
         now = read_version(spark, lines)
