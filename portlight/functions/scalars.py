@@ -73,7 +73,7 @@ def positive_number(c, default: int) -> Column:
     """A whole number above 0: from a JSON number, else from the first such number of a JSON object, else from leading digits."""
     text = col(c)
     values = F.map_values(F.from_json(text, "map<string,string>"))
-    number = F.coalesce(text.try_cast("double"), F.get(F.filter(F.transform(values, lambda v: v.try_cast("double")), lambda v: v > 0), F.lit(0)), F.regexp_extract(text, r"^\s*(\d+)", 1).try_cast("double"))
+    number = F.coalesce(text.try_cast("double"), F.get(F.filter(F.transform(values, lambda v: v.try_cast("double")), lambda v: v > 0), F.lit(0)), blank_null(F.regexp_extract(text, r"^\s*(\d+)", 1)).try_cast("double"))
     return F.coalesce(F.when(number >= 1, F.floor(number).cast("long")), F.lit(default).cast("long"))
 
 
@@ -99,7 +99,8 @@ def iso_text(c) -> Column:
 
 
 def decimal_or_null(c, digits: int = 3) -> Column:
-    return blank_null(col(c).cast("string")).try_cast(f"decimal(23,{digits})")
+    text = col(c).cast("string")
+    return F.when(text.rlike(r"\d"), text.try_cast(f"decimal(23,{digits})"))  # a failed cast makes an exception, which takes longer than the pattern
 
 
 def split_list(c) -> Column:
@@ -153,7 +154,7 @@ def quantity(c, digits: int = 3) -> Column:
 
 def leading_number(c) -> Column:
     """The number a text begins with ('12abc' is 12), else null."""
-    return F.regexp_extract(col(c), r"^\s*([+-]?\d+(?:\.\d+)?)", 1).try_cast("double")
+    return blank_null(F.regexp_extract(col(c), r"^\s*([+-]?\d+(?:\.\d+)?)", 1)).try_cast("double")
 
 
 def confidence(c) -> Column:
@@ -194,7 +195,36 @@ def delivery_bucket(c, as_of: str) -> Column:
     return F.when(days.isNull(), "noDate").when(days < 0, "overdue").when(days <= 7, "next7").when(days <= 14, "next14").when(days <= 30, "next30").otherwise("beyond30")
 
 
-MONTHS = {m: i + 1 for i, m in enumerate(("jan", "feb", "mar", "apr", "may", "jun", "jul", "aug", "sep", "oct", "nov", "dec"))}
+MONTHS = ("jan", "feb", "mar", "apr", "may", "jun", "jul", "aug", "sep", "oct", "nov", "dec")
+
+
+def let(value, body) -> Column:
+    """body of a value that is worked out once, however often body names it; a column alone would be copied to every place."""
+    return F.get(F.transform(F.array(col(value)), body), F.lit(0))
+
+
+def _dated() -> tuple[str, str]:
+    """One pattern for all written dates, of which at most one form fits a text, and the replacement that brings any of them to
+    year|month|day|hour|minute|second| (empty where there is none)."""
+    clock = r"[ T,]+(\d{1,2}):(\d{2})(?::(\d{2}))?(?:\.\d+)?"
+    # each form with the places of year, month and day among its groups; a clock's three follow them
+    forms = [
+        (r"(\d{4})-(\d{2})-(\d{2})", (0, 1, 2), clock), (r"(\d{1,2}) ([A-Za-z]{3,9})\.? (\d{4})", (2, 1, 0), clock), (r"([A-Za-z]{3,9})\.? (\d{1,2}), ?(\d{4})", (2, 0, 1), clock), (r"(\d{1,2})\.(\d{1,2})\.(\d{4})", (2, 1, 0), clock),
+        (r"(\d{4})(\d{2})(\d{2})", (0, 1, 2), ""), (r"(\d{4})-(\d{1,2})-(\d{1,2})", (0, 1, 2), ""), (r"(\d{1,2})\.(\d{1,2})\.(\d{4})", (2, 1, 0), ""), (r"(\d{4})/(\d{1,2})/(\d{1,2})", (0, 1, 2), ""),
+        (r"(\d{1,2}) ([A-Za-z]{3,9})\.? (\d{4})", (2, 1, 0), ""), (r"([A-Za-z]{3,9})\.? (\d{1,2}), ?(\d{4})", (2, 0, 1), ""), (r"(\d{1,2})-([A-Za-z]{3,9})-(\d{4})", (2, 1, 0), ""),
+    ]
+    parts, patterns, at = [""] * 6, [], 1
+    for date, places, time in forms:
+        patterns.append(date + time)
+        for i, place in enumerate(places):
+            parts[i] += f"${at + place}"
+        for i in range(3 if time else 0):
+            parts[3 + i] += f"${at + 3 + i}"
+        at += 6 if time else 3
+    return "^(?:" + "|".join(patterns) + ")$", "|".join(parts) + "|"
+
+
+DATED, DATE_PARTS = _dated()
 
 
 def timestamp(c) -> Column:
@@ -203,38 +233,23 @@ def timestamp(c) -> Column:
     /Date(ms)/ and epoch milliseconds, ISO with and without offset, yyyymmdd, yyyy-mm-dd, yyyy/m/d, d.m.yyyy [h:m[:s]],
     d Mon yyyy [h:m[:s]], Mon d, yyyy [h:m] and d-Mon-yyyy. A day beyond the month's end runs on into the next month.
     """
-    t = F.trim(col(c).cast("string"))
-
-    def group(pattern: str, i: int) -> Column:
-        return F.regexp_extract(t, pattern, i)
-
-    def at(pattern: str, y: int, m: int, d: int, h: int = 0, named: bool = False) -> Column:
-        """The time in the groups y, m, d and h, h + 1, h + 2 of pattern."""
-        number = lambda i: F.coalesce(group(pattern, i).try_cast("int"), F.lit(0))
-        month = F.try_element_at(F.create_map(*[F.lit(x) for kv in MONTHS.items() for x in kv]), F.lower(F.substring(group(pattern, m), 1, 3))) if named else number(m)
-        first = F.make_date(number(y), F.when(month.between(1, 12), month), F.lit(1))
-        seconds = (number(h) * 3600 + number(h + 1) * 60 + number(h + 2)) if h else F.lit(0)
-        day = F.date_add(first, number(d) - 1)
-        return F.when(t.rlike(pattern) & month.between(1, 12), F.timestamp_seconds(F.unix_date(day).cast("long") * 86400 + seconds))
-
-    clock = r"[ T,]+(\d{1,2}):(\d{2})(?::(\d{2}))?(?:\.\d+)?"
-    millis = F.coalesce(F.regexp_extract(t, r"^/Date\((-?\d+)", 1).try_cast("long"), F.when(t.rlike(r"^-?\d{11,14}$"), t.try_cast("long")))
-    forms = [
-        F.timestamp_millis(millis),
-        F.when(t.rlike(r"^\d{4}-\d{2}-\d{2}T.*(Z|[+-]\d{2}:?\d{2})$"), t.try_cast("timestamp")),
-        at(r"^(\d{4})-(\d{2})-(\d{2})" + clock + "$", 1, 2, 3, 4),
-        at(r"^(\d{1,2}) ([A-Za-z]{3,9})\.? (\d{4})" + clock + "$", 3, 2, 1, 4, True),
-        at(r"^([A-Za-z]{3,9})\.? (\d{1,2}), ?(\d{4})" + clock + "$", 3, 1, 2, 4, True),
-        at(r"^(\d{1,2})\.(\d{1,2})\.(\d{4})" + clock + "$", 3, 2, 1, 4),
-        at(r"^(\d{4})(\d{2})(\d{2})$", 1, 2, 3),
-        at(r"^(\d{4})-(\d{1,2})-(\d{1,2})$", 1, 2, 3),
-        at(r"^(\d{1,2})\.(\d{1,2})\.(\d{4})$", 3, 2, 1),
-        at(r"^(\d{4})/(\d{1,2})/(\d{1,2})$", 1, 2, 3),
-        at(r"^(\d{1,2}) ([A-Za-z]{3,9})\.? (\d{4})$", 3, 2, 1, named=True),
-        at(r"^([A-Za-z]{3,9})\.? (\d{1,2}), ?(\d{4})$", 3, 1, 2, named=True),
-        at(r"^(\d{1,2})-([A-Za-z]{3,9})-(\d{4})$", 3, 2, 1, named=True),
-    ]
-    return F.coalesce(*forms)
+    months = F.array(*map(F.lit, MONTHS))
+
+    def written(p: Column) -> Column:
+        number = lambda i: F.coalesce(blank_null(F.get(p, F.lit(i))).try_cast("int"), F.lit(0))
+        month = F.get(p, F.lit(1))
+        month = F.when(month.rlike(r"^\d"), month.try_cast("int")).otherwise(F.array_position(months, F.lower(F.substring(month, 1, 3))).cast("int"))
+        seconds = number(3) * 3600 + number(4) * 60 + number(5)
+        return let(F.make_date(number(0), let(month, lambda m: F.when(m.between(1, 12), m)), F.lit(1)), lambda first: F.timestamp_seconds(F.unix_date(F.date_add(first, number(2) - 1)).cast("long") * 86400 + seconds))
+
+    def read(t: Column) -> Column:
+        return F.coalesce(
+            F.when(t.rlike(DATED), let(F.split(F.regexp_replace(t, DATED, DATE_PARTS), r"\|"), written)),
+            F.when(t.rlike(r"^\d{4}-\d{2}-\d{2}T.*(Z|[+-]\d{2}:?\d{2})$"), t.try_cast("timestamp")),
+            F.timestamp_millis(F.coalesce(blank_null(F.regexp_extract(t, r"^/Date\((-?\d+)", 1)).try_cast("long"), F.when(t.rlike(r"^-?\d{11,14}$"), t.try_cast("long")))),
+        )
+
+    return let(F.trim(col(c).cast("string")), read)
 
 
 def clock_time(c) -> Column:

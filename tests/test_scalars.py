@@ -77,3 +77,18 @@ def test_delivery_bucket(spark, days, want):
 def test_schedules(spark, pattern, v, want):
     row = spark.createDataFrame([(pattern, v)], "p string, v string").select(S.schedule_error("p", "v").alias("e"), S.name_error("p").alias("n")).first()
     assert row.e == want and (row.n is None) == (pattern != "" and "_" not in pattern)
+
+
+def test_timestamp_stays_small(spark):
+    """A column of twelve forms once named its text several hundred times, and plans of many of them filled the driver."""
+    plan = spark.range(1).selectExpr("cast(id as string) as text_").select(S.timestamp("text_"))._jdf.queryExecution().analyzed().toString()
+    assert plan.splitlines()[0].count("text_#") == 1
+
+
+def test_documents_are_parsed_once(spark):
+    from portlight import queries as core
+
+    from . import oracle
+
+    plan = core.QUERIES["order_items_mapped"](spark, oracle.SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("from_json(") == 1
