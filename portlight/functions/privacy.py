@@ -9,7 +9,7 @@ import re
 import unicodedata
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -92,6 +92,17 @@ NEEDS = {"CRYPTO": "base58", "EMAIL_ADDRESS": "at", "URL": "http", "BIC_SWIFT":
 ZERO_WIDTH = "\u200b\u200c\u200d\u2060\ufeff"
 
 
+#: Whole texts that go to Python at once, at most; they stand in a worker's memory with their copies.
+BATCH_ROWS = 500
+
+
+def small_batches() -> None:
+    """Lets the session send whole texts to Python in batches of BATCH_ROWS at most; as it stands, its plans take 10,000 rows."""
+    spark, name = SparkSession.active(), "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= BATCH_ROWS:
+        spark.conf.set(name, BATCH_ROWS)
+
+
 def _need(name: str, pattern: str) -> str:
     return NEEDS.get(name) or ("dotted" if pattern.startswith(r"\b(?:[0-9]{1,3}\.)") else "colon" if name == "IP_ADDRESS" else "digits")
 
@@ -104,6 +115,7 @@ def plain_text(text) -> Column:
         drop = dict.fromkeys(map(ord, ZERO_WIDTH))
         return texts.map(lambda x: x if not isinstance(x, str) or x.isascii() else unicodedata.normalize("NFKC", x).translate(drop))
 
+    small_batches()
     t = F.col(text) if isinstance(text, str) else text
     plain = F.length(t) == F.octet_length(t)
     return F.when(plain, t).otherwise(F.pandas_udf(run, "string")(F.when(~plain, t)))
@@ -222,6 +234,7 @@ def redact(text) -> Column:
     def run(texts: pd.Series) -> pd.DataFrame:
         return _redact(texts)
 
+    small_batches()
     return F.pandas_udf(run, REDACTED)(F.col(text) if isinstance(text, str) else text)
 
 
@@ -280,6 +293,7 @@ def redact_deep(text) -> Column:
             rows.append((redact_json(x if isinstance(x, str) else None, tokens), tokens))
         return pd.DataFrame({"redacted": pd.Series([r for r, _ in rows], dtype=object), "tokens": pd.Series([t for _, t in rows], dtype=object)})
 
+    small_batches()
     return F.pandas_udf(run, REDACTED)(F.col(text) if isinstance(text, str) else text)
 
 

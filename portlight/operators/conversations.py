@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 
 from ..functions import privacy
 from ..functions import scalars as S
+from ..sources.shared import written
 
 MESSAGES = "array<struct<id:string,role:string,content:string,toolInvocations:array<struct<state:string,toolCallId:string,toolName:string,args:string,result:string>>>>"
 ROLES = ("user", "assistant", "system", "data")
@@ -64,37 +65,57 @@ def redact_conversations(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
 
     token_key names whose tokens a row has: its conversation's or, without conv_id, those of its own text. Null turns, and rows that
     repeat, are redacted like others and none is lost. Only the values found are gathered by conversation, never its turns, so a
-    conversation of any length spreads out.
+    conversation of any length spreads out; each text meets its own values alone, also where many rows share a turn or have none.
+    Values are looked for once: those found are written, and read for the tokens and for the texts.
     """
+    privacy.small_batches()
 
     def find(texts: pd.Series) -> pd.Series:
         return _find(texts)
 
+    def replace(texts: pd.Series, values: pd.Series, tokens: pd.Series) -> pd.Series:
+        return pd.Series([x if v is None else _replaced(x, zip(v, k, strict=True)) for x, v, k in zip(texts, values, tokens, strict=True)], dtype=object)
+
     own = F.coalesce(F.col("conv_id").cast("string"), F.concat(F.lit("text-"), F.sha2(F.coalesce("text", F.lit("")), 256)))
-    keyed = rows.withColumn("token_key", own)
+    keyed = rows.withColumn("token_key", own).withColumn("text_key_", F.sha2(F.coalesce("text", F.lit("")), 256))
     turn = F.struct(F.col("turn").isNotNull().alias("known"), F.col("turn").alias("turn"))
-    found = keyed.select("token_key", "conv_id", turn.alias("turn_"), F.explode(F.pandas_udf(find, FOUND)("text")).alias("f"))
-    values = found.groupBy("token_key", "conv_id", "f.value").agg(F.min(F.struct("turn_", "f.at", "f.kind")).alias("first"))
+    found = keyed.select("token_key", "conv_id", "text_key_", turn.alias("turn_"), F.explode(F.pandas_udf(find, FOUND)("text")).alias("f"))
+    found = written(found.select("token_key", "conv_id", "text_key_", "turn_", "f.*"), "values-found")
+    values = found.groupBy("token_key", "conv_id", "value").agg(F.min(F.struct("turn_", "at", "kind")).alias("first"))
     number = F.row_number().over(Window.partitionBy("token_key").orderBy("first", "value"))
     tokens = values.withColumn("token", F.concat(F.lit("["), "first.kind", F.lit("_"), number.cast("string"), F.lit("]"))).select("conv_id", "token_key", "token", "value")
-    used = found.select("token_key", "turn_", F.col("f.value").alias("value")).distinct().join(tokens.drop("conv_id"), ["token_key", "value"])
+    used = found.select("token_key", "text_key_", "value").distinct().join(tokens.drop("conv_id"), ["token_key", "value"])
     # longest first, so that a value inside another one doesn't break it
-    of_turn = used.groupBy("token_key", "turn_").agg(F.array_sort(F.collect_list(F.struct((-F.length("value")).alias("n"), "value", "token"))).alias("used"))
-    text = F.aggregate(F.coalesce("used", F.array().cast("array<struct<n:int,value:string,token:string>>")), F.col("text"), lambda t, u: F.replace(t, u["value"], u["token"]))
-    joined = keyed.withColumn("turn_", turn).join(of_turn, ["token_key", "turn_"], "left")
+    of_text = used.groupBy("token_key", "text_key_").agg(F.array_sort(F.collect_list(F.struct((-F.length("value")).alias("n"), "value", "token"))).alias("used"))
+    joined = keyed.join(of_text, ["token_key", "text_key_"], "left")
+    text = F.when(F.col("used").isNull(), F.col("text")).otherwise(F.pandas_udf(replace, "string")(F.when(F.col("used").isNotNull(), F.col("text")), F.col("used.value"), F.col("used.token")))
     return joined.withColumn("redacted", text).select(*rows.columns, "redacted", "token_key"), tokens
 
 
+def _replaced(text: str, pairs) -> str:
+    """text with each value's token in its place, one value after the other; what has become a token isn't searched again."""
+    parts = [text]  # texts at even places, tokens at odd ones
+    for value, token in pairs:
+        out = []
+        for i, part in enumerate(parts):
+            pieces = part.split(value) if i % 2 == 0 else [part]
+            out.append(pieces[0])
+            for piece in pieces[1:]:
+                out += [token, piece]
+        parts = out
+    return "".join(parts)
+
+
 def restore_conversations(rows: DataFrame, tokens: DataFrame, column: str = "redacted") -> DataFrame:
-    """Adds restored: the tokens of a row's token_key back to their values. Different texts are restored once and given to all
-    rows that have them, so rows that repeat stay as many as they are."""
-    mine = F.regexp_extract_all("text_", F.lit(r"(\[[A-Z_]+_\d+\])"), F.lit(1))
-    texts = rows.select("token_key", F.col(column).alias("text_")).filter(F.size(F.regexp_extract_all(F.col(column), F.lit(r"(\[[A-Z_]+_\d+\])"), F.lit(1))) > 0).distinct()
-    named = texts.withColumn("token", F.explode(F.array_distinct(mine))).join(tokens.select("token_key", "token", "value"), ["token_key", "token"])
-    packed = named.groupBy("token_key", "text_").agg(F.collect_list(F.struct("token", "value")).alias("pairs"))
-    back = packed.select(F.col("token_key").alias("key_"), "text_", F.aggregate("pairs", F.col("text_"), lambda t, p: F.replace(t, p["token"], p["value"])).alias("back_"))
-    joined = rows.join(back, (F.col("token_key") == F.col("key_")) & (F.col(column) == F.col("text_")), "left")
-    return joined.select(*rows.columns, F.coalesce("back_", column).alias("restored"))
+    """Adds restored: the tokens of a row's token_key back to their values. Different texts find their values once, by the texts'
+    digests, so rows that repeat stay as many as they are."""
+    key = F.sha2(F.col(column), 256)
+    mine = F.explode(F.array_distinct(F.regexp_extract_all(F.col(column), F.lit(r"(\[[A-Z_]+_\d+\])"), F.lit(1)))).alias("token")
+    named = rows.select("token_key", key.alias("text_key_"), mine).distinct().join(tokens.select("token_key", "token", "value"), ["token_key", "token"])
+    packed = named.groupBy("token_key", "text_key_").agg(F.collect_list(F.struct("token", "value")).alias("pairs_"))
+    joined = rows.withColumn("text_key_", key).join(packed, ["token_key", "text_key_"], "left")
+    back = F.aggregate("pairs_", F.col(column), lambda t, p: F.replace(t, p["token"], p["value"]))
+    return joined.select(*rows.columns, F.coalesce(back, F.col(column)).alias("restored"))
 
 
 def repair_tokens(text, known) -> Column:

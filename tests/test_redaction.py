@@ -72,3 +72,29 @@ def test_rows_without_keys_and_repeated_rows(spark):
     back = conversations.restore_conversations(out, tokens)
     key = lambda r: repr((r[0], r[1], r[2]))
     assert sorted(map(key, back.select("conv_id", "turn", "restored").collect())) == sorted(map(key, rows.collect()))
+
+
+def test_rows_without_a_turn_meet_their_own_values_alone(spark):
+    """Rows of one conversation without a turn number once met each other's values, so a text was rewritten for all of them."""
+    from portlight.operators import conversations
+
+    rows = spark.createDataFrame([(1, None, "pin: 4711 of a@x.org"), (1, None, "order 4711 from b@x.org"), (1, 2, None)], "conv_id long, turn long, text string")
+    out, tokens = conversations.redact_conversations(rows)
+    back = {r.text: (r.redacted, r.restored) for r in conversations.restore_conversations(out, tokens).collect()}
+    assert all(text == restored for text, (_, restored) in back.items())
+    assert back["order 4711 from b@x.org"][0].startswith("order 4711 from [EMAIL_ADDRESS_")
+
+
+def test_a_value_is_not_found_in_tokens(spark):
+    from portlight.operators.conversations import _replaced
+
+    assert _replaced("ab ADDRESS ab", [("ab", "[EMAIL_ADDRESS_1]"), ("ADDRESS", "[PASSWORD_2]")]) == "[EMAIL_ADDRESS_1] [PASSWORD_2] [EMAIL_ADDRESS_1]"
+
+
+def test_texts_go_to_python_in_small_batches(spark):
+    from portlight.functions import privacy
+
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    spark.conf.set(name, 10000)
+    privacy.redact("text")
+    assert int(spark.conf.get(name)) <= privacy.BATCH_ROWS
