@@ -30,6 +30,16 @@ def read_days(spark: SparkSession, path: str, time: str, since: str | None = Non
     return df.drop("day")
 
 
+#: Bytes of a stored table for each bucket: what a task reads stays the same however large the tables are.
+BUCKET_BYTES = 4 << 20
+
+
+def buckets_for(df: DataFrame, least: int = 8) -> int:
+    """How many buckets for tables that grow with df, a stored table: a power of two, so that twice the rows don't mix buckets anew."""
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return max(least, 1 << (-(-size // BUCKET_BYTES) - 1).bit_length())
+
+
 def co_located(t, names: list[str], buckets: int = 64) -> SimpleNamespace:
     """The order-keyed tables of a catalogue in buckets of their order's number, for all of which `buckets` is the same; other
     tables of `names` as they are. A task then reads one bucket of each and joins them where they lie."""

@@ -87,7 +87,7 @@ def register_offline() -> None:
     @query("," + ENRICHED + "select po_number, line_item, cast(ibd_qty as double) as ibd_qty, delivery, supplier_name, carrier_status, n_errors, eligible, coalesce(exception_id, 0) as exception_id from star")
     def star_co_located(t):
         """The enriched lines from tables in buckets of their orders."""
-        b = layout.co_located(t, STAR_TABLES, 8)
+        b = layout.co_located(t, STAR_TABLES, layout.buckets_for(t.lineitem))
         rows = classify.enriched_lines(b.po_lines, b, FUNCTIONS, SUPPLIERS)
         return rows.select("po_number", "line_item", "ibd_qty", "delivery", "supplier_name", "carrier_status", "n_errors", "eligible", F.coalesce("exception_id", F.lit(0)).alias("exception_id"))
 

@@ -36,3 +36,10 @@ def test_star_of_co_located_tables_has_no_exchange_by_order(spark):
     plain = classify.enriched_lines(t.po_lines, t, ["FS"], ["1000122"])
     assert len([x for x in re.findall(r"Exchange hashpartitioning\(([^)]*)\)", plan_of(plain)) if "po_number" in x]) > 3
     assert star.count() == plain.count() == t.po_lines.count()
+
+
+def test_buckets_grow_with_the_table(spark, tmp_path):
+    path = str(tmp_path / "t")
+    spark.range(1 << 21).selectExpr("id", "xxhash64(id) as x", "xxhash64(id, 1) as y").write.parquet(path)
+    assert layout.buckets_for(spark.read.parquet(path)) > 8
+    assert layout.buckets_for(spark.read.parquet(path).limit(0)) == 8
