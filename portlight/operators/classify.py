@@ -21,22 +21,27 @@ REPORT = ("STATUS_REPORT", "LOW", 9, "PENDING_ELIGIBILITY")
 
 def enriched_lines(lines: DataFrame, t, functions: list[str], suppliers: list[str]) -> DataFrame:
     """Lines with their delivery summary, supplier, material, plant, latest carrier event, number of document errors that
-    concern the line, partner eligibility and latest exception. Each many-side is reduced before it is joined."""
-    rows = lines.join(asn_summary(t.asn_ibd), ["po_number", "line_item"], "left")
-    rows = rows.join(t.suppliers.select(F.col("supplier").alias("supplier_id"), supplier_name().alias("supplier_name")), "supplier_id", "left")
-    rows = rows.join(t.materials.select(F.col("material").alias("material_id"), "material_description"), "material_id", "left")
-    rows = rows.join(t.plants.select(F.col("plant_code").alias("plant"), "plant_name"), "plant", "left")
-    latest = latest_carrier_event(t.carrier_events).select("po_number", S.first_text("event_type", "status").alias("carrier_status"))
-    rows = rows.join(latest, "po_number", "left")
+    concern the line, partner eligibility and latest exception. Each many-side is reduced before it is joined.
+
+    Names come first, as they take the place of keys. Then everything is dealt by order, and lines once only: what belongs to
+    a line is joined before what belongs to its order, so that one sort serves all.
+    """
+    # keys of a join may be more than those by which its sides are dealt
+    lines.sparkSession.conf.set("spark.sql.requireAllClusterKeysForCoPartition", "false")
+    rows = lines.join(t.suppliers.select(F.col("supplier").alias("supplier_id"), supplier_name().alias("supplier_name")), "supplier_id", "left")
+    rows = rows.join(t.materials.select(F.col("material").alias("material_id"), "material_description"), "material_id", "left").repartition("po_number")
+    rows = rows.join(asn_summary(t.asn_ibd.repartition("reference_document")), ["po_number", "line_item"], "left")
     # an error without a line concerns every line of its order
-    errors = t.idoc_errors.groupBy("po_number", F.coalesce(S.line_item("line_item"), F.lit("")).alias("error_line")).agg(F.count("*").alias("n"))
+    errors = t.idoc_errors.select("po_number", F.coalesce(S.line_item("line_item"), F.lit("")).alias("error_line")).repartition("po_number").groupBy("po_number", "error_line").agg(F.count("*").alias("n"))
     of_order = errors.filter("error_line = ''").select("po_number", F.col("n").alias("n_order"))
     of_line = errors.filter("error_line <> ''").select("po_number", F.col("error_line").alias("line_item"), F.col("n").alias("n_line"))
-    rows = rows.join(of_order, "po_number", "left").join(of_line, ["po_number", "line_item"], "left")
+    last = newest_first(t.exceptions.select("po_number", "line_item", "exception_id").repartition("po_number"), ["po_number", "line_item"], [F.desc("exception_id")]).drop("rank_")
+    rows = rows.join(of_line, ["po_number", "line_item"], "left").join(last, ["po_number", "line_item"], "left").join(of_order, "po_number", "left")
     rows = rows.withColumn("n_errors", F.coalesce("n_order", F.lit(0)) + F.coalesce("n_line", F.lit(0))).drop("n_order", "n_line")
+    latest = latest_carrier_event(t.carrier_events).select("po_number", S.first_text("event_type", "status").alias("carrier_status"))
+    rows = rows.join(latest, "po_number", "left")
     rows = rows.join(eligible_orders(t.po_partners, functions, suppliers).withColumn("eligible", F.lit(True)), "po_number", "left").withColumn("eligible", F.coalesce("eligible", F.lit(False)))
-    last = newest_first(t.exceptions, ["po_number", "line_item"], [F.desc("exception_id")]).select("po_number", "line_item", "exception_id")
-    return rows.join(last, ["po_number", "line_item"], "left")
+    return rows.join(t.plants.select(F.col("plant_code").alias("plant"), "plant_name"), "plant", "left")
 
 
 def supplier_name() -> Column:
@@ -95,8 +100,10 @@ SAME = ["recommendation", "panel", "exception_type", "priority", "priority_score
 def unchanged(rows: DataFrame, exceptions: DataFrame) -> DataFrame:
     """Adds unchanged: whether a rule's outcome is that of the line's latest exception and nobody asked for a new look."""
     have = [c for c in SAME if c in exceptions.columns]
-    last = exceptions.select("exception_id", *[F.col(c).alias(f"old_{c}") for c in have])
-    joined = rows.join(last, "exception_id", "left")
+    # lines without an exception are many and match nothing: they are dealt by themselves, not to one task as a null key
+    apart = F.when(F.col("exception_id").isNull(), F.xxhash64("po_number", "line_item")).otherwise(F.lit(0)).cast("long")
+    last = exceptions.select("exception_id", F.lit(0).cast("long").alias("apart_"), *[F.col(c).alias(f"old_{c}") for c in have])
+    joined = rows.withColumn("apart_", apart).join(last, ["exception_id", "apart_"], "left")
     same = F.col("exception_id").isNotNull() & F.col("panel").isNotNull() & ~F.coalesce("ai_reanalysis_needed", F.lit(False))
     for c in have:
         a, b = (S.priority(c), S.priority(f"old_{c}")) if c == "priority" else (F.col(c), F.col(f"old_{c}"))
@@ -104,9 +111,13 @@ def unchanged(rows: DataFrame, exceptions: DataFrame) -> DataFrame:
     return joined.withColumn("unchanged", F.coalesce(same, F.lit(False))).select(*rows.columns, "unchanged")
 
 
+#: What records() reads of classified lines.
+RECORDED = ["exception_id", "po_number", "line_item", "supplier_name", "panel", "priority", "priority_score", "exception_type", "po_qty", "gr_qty", "ibd_qty", "recommendation", "evidence"]
+
+
 def records(rows: DataFrame, max_id: int) -> DataFrame:
     """Exception records of classified lines. A line with an exception keeps its id; the others are numbered after max_id by
-    order and line. is_new tells them apart."""
+    order and line. is_new tells them apart. rows are read several times: what takes long to derive is better written before (RECORDED)."""
     done = rows.filter("panel is not null")
     made = lambda df, key, new: df.select(
         F.col(key).cast("long").alias("exception_id"), "po_number", "line_item", "supplier_name", "panel", "priority", "priority_score", "exception_type",
