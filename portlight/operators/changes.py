@@ -5,39 +5,33 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .merge import upsert, widened
-
-
-def _digest(rows: DataFrame, columns: list[str], name: str):
-    """128 bits of a row's values; a null and an empty text differ."""
-    values = [x for c in columns for x in (F.col(c), F.col(c).isNull())]
-    return F.struct(F.xxhash64(*values), F.xxhash64(F.lit(1), *values)).alias(name)
+from .merge import widened
 
 
 def difference(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
     """keys, op (insert, update, delete), changed (the columns whose values differ, in order) and new's values (null where deleted).
 
-    Each version has one row a key, without null keys. Keys and digests of all rows meet first; whole rows are fetched only for keys whose
-    digests differ, so a small change of a large table moves little. A column that one version lacks counts as null in it.
+    Each version has one row a key, without null keys. The versions meet in one join, so each is dealt once. A column that one version
+    lacks counts as null in it.
     """
     old, new = widened(old, new), widened(new, old)
     columns = [c for c in new.columns if c not in keys]
-    before, after = old.select(*keys, _digest(old, columns, "before_")), new.select(*keys, _digest(new, columns, "after_"))
-    moved = before.join(after, keys, "full").filter("before_ is null or after_ is null or before_ != after_")
-    op = F.when(F.col("before_").isNull(), "insert").when(F.col("after_").isNull(), "delete").otherwise("update")
-    moved = moved.select(*keys, op.alias("op"))
-    was = old.join(moved.filter("op = 'update'").select(keys), keys, "left_semi").select(*keys, F.struct(*[F.col(c) for c in columns]).alias("was_"))
-    now = new.join(moved.filter("op <> 'delete'").select(keys), keys, "left_semi").select(*keys, F.struct(*[F.col(c) for c in columns]).alias("now_"))
-    rows = moved.join(now, keys, "left").join(was, keys, "left")
+    side = lambda df, name: df.select(*keys, F.struct(F.lit(True).alias("there_"), *[F.col(c) for c in columns]).alias(name))
+    rows = side(old, "was_").join(side(new, "now_"), keys, "full")
     differ = F.array_compact(F.array(*[F.when(~F.col("was_")[c].eqNullSafe(F.col("now_")[c]), F.lit(c)) for c in columns])) if columns else F.array().cast("array<string>")
-    return rows.select(*keys, "op", F.when(F.col("op") == "update", differ).otherwise(F.array().cast("array<string>")).alias("changed"), *[F.col("now_")[c].alias(c) for c in columns])
+    op = F.when(F.col("was_").isNull(), "insert").when(F.col("now_").isNull(), "delete").when(F.size(differ) > 0, "update")
+    changed = F.when(op == "update", differ).otherwise(F.array().cast("array<string>"))
+    return rows.filter(op.isNotNull()).select(*keys, op.alias("op"), changed.alias("changed"), *[F.col("now_")[c].alias(c) for c in columns])
 
 
 def apply_difference(old: DataFrame, feed: DataFrame, keys: list[str]) -> DataFrame:
-    """The version that a feed of difference() leads to."""
-    kept = old.join(feed.filter("op = 'delete'").select(keys), keys, "left_anti")
-    come = feed.filter("op <> 'delete'").drop("op", "changed")
-    return upsert(widened(kept, come), come, keys)
+    """The version that a feed of difference() leads to: one join, in which the feed's values replace, add or drop rows."""
+    come = feed.drop("op", "changed")
+    new = [c for c in come.columns if c not in keys]
+    old = widened(old, come)
+    both = old.join(feed.select(*keys, F.col("op").alias("op_"), *[F.col(c).alias(f"new_{c}") for c in new]), keys, "full")
+    kept = both.filter("op_ is null or op_ <> 'delete'")
+    return kept.select(*[F.when(F.col("op_").isNotNull(), F.col(f"new_{c}")).otherwise(F.col(c)).alias(c) if c in new else F.col(c) for c in old.columns])
 
 
 def outcome(feed: DataFrame) -> DataFrame:

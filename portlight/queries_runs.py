@@ -11,7 +11,7 @@ from .plans import layout
 from .plans.bridge import AS_OF_EVENTS, AS_OF_ORDERS
 from .registry import query
 from .sources import files
-from .sources.shared import shared_folder
+from .sources.shared import shared_folder, written
 
 
 @query("""select coalesce(a.po_number, b.po_number) as po_number, coalesce(a.line_item, b.line_item) as line_item, cast(coalesce(b.qty, a.po_qty) as double) as po_qty, b.remark
@@ -30,9 +30,10 @@ def versions_merged(t):
 
 def _two_versions(t):
     keys = ["po_number", "line_item"]
-    old = t.po_lines.filter("order_key % 7 <> 0").select(*keys, "po_qty", "plant", "po_uom", "delivery_date")
+    lines = written(t.po_lines.select(*keys, "po_qty", "plant", "po_uom", "delivery_date", "order_key"), "two-versions")
+    old = lines.filter("order_key % 7 <> 0").select(*keys, "po_qty", "plant", "po_uom", "delivery_date")
     moved = F.col("order_key") % 10 == 0
-    new = t.po_lines.filter("order_key % 5 <> 0 or order_key % 10 = 0").select(
+    new = lines.filter("order_key % 5 <> 0 or order_key % 10 = 0").select(
         *keys, F.when(moved, F.col("po_qty") + 1).otherwise(F.col("po_qty")).cast("decimal(13,3)").alias("po_qty"), "plant", F.when(moved, F.when(F.col("po_uom") != "", F.col("po_uom"))).otherwise(F.col("po_uom")).alias("po_uom"), "delivery_date",
     )
     return old, new, keys
