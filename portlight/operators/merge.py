@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
@@ -17,6 +17,8 @@ COMPARED = [
 KEPT_WHEN_EMPTY = ["po_uom", "currency", "created_by", "ship_date"]
 DOCUMENT_COMPARED = ["status", "status_text", "error_msg", "bill_of_lading", "status_group", "status_logdat"]
 QUANTITIES = ["open_qty", "received_qty_so_far", "gr_qty"]
+#: A plan's quantities and their names in S.open_quantities.
+PLANNED = {"open_qty": "open", "received_qty_so_far": "received", "gr_qty": "posted"}
 #: Analysis flags of a document error and their values after a change.
 DOCUMENT_FLAGS = {"ai_processed": ("boolean", False), "ai_processed_at": ("timestamp", None), "exception_type_hint": ("string", None), "ict_exception_id": ("long", None)}
 
@@ -46,9 +48,13 @@ def line_plan(existing: DataFrame, incoming: DataFrame, quantities: DataFrame) -
     """What becomes of each incoming order line: op skip (no delivery date), insert, touch (no change in the source's
     columns) or update, its quantities, and whether it has to be analysed again."""
     keys, columns = ["po_number", "line_item"], compared(existing, incoming)
-    kinds = dict(existing.dtypes)
     old = existing.select(*keys, *[F.col(c).alias(f"old_{c}") for c in (*columns, *QUANTITIES, "ai_processed", "ai_processed_at")], F.lit(True).alias("known_"))
     rows = incoming.join(old, keys, "left").join(quantities.select(*keys, "received", "posted"), keys, "left")
+    return _decided(rows, columns, dict(existing.dtypes)).select(*keys, *columns, "op", "again", *[F.col(f"q.{q}").alias(c) for c, q in PLANNED.items()])
+
+
+def _decided(rows: DataFrame, columns: list[str], kinds: dict[str, str]) -> DataFrame:
+    """Incoming rows beside old_ columns, known_, received and posted, with kept values filled in, q, op and again."""
     for c in KEPT_WHEN_EMPTY:
         if c in columns:
             rows = rows.withColumn(c, F.coalesce(S.blank_null(c) if kinds[c] == "string" else F.col(c), F.col(f"old_{c}")))
@@ -58,7 +64,7 @@ def line_plan(existing: DataFrame, incoming: DataFrame, quantities: DataFrame) -
     known = F.coalesce("known_", F.lit(False))
     op = F.when(F.col("delivery_date").isNull(), "skip").when(~known, "insert").when(changed, "update").otherwise("touch")
     again = known & F.col("delivery_date").isNotNull() & (changed | moved) & (S.is_true("old_ai_processed") | F.col("old_ai_processed_at").isNotNull())
-    return rows.select(*keys, *columns, op.alias("op"), again.alias("again"), F.col("q.open").alias("open_qty"), F.col("q.received").alias("received_qty_so_far"), F.col("q.posted").alias("gr_qty"))
+    return rows.withColumn("op", op).withColumn("again", again)
 
 
 def apply_line_plan(existing: DataFrame, plan: DataFrame, run_time: str) -> DataFrame:
@@ -66,9 +72,16 @@ def apply_line_plan(existing: DataFrame, plan: DataFrame, run_time: str) -> Data
     others keep their stamp. The result can be planned and merged again."""
     keys, columns = ["po_number", "line_item"], compared(existing, plan)
     p = plan.filter("op <> 'skip'").select(*keys, *[F.col(c).alias(f"new_{c}") for c in plan.columns if c not in keys])
-    if "last_synced_at" not in existing.columns:
-        existing = existing.withColumn("last_synced_at", F.lit(None).cast("timestamp"))
-    both = existing.join(p, keys, "full")
+    existing = _stamped(existing)
+    return existing.join(p, keys, "full").select(*_after_plan(existing.columns, columns, run_time))
+
+
+def _stamped(existing: DataFrame) -> DataFrame:
+    return existing if "last_synced_at" in existing.columns else existing.withColumn("last_synced_at", F.lit(None).cast("timestamp"))
+
+
+def _after_plan(names: list[str], columns: list[str], run_time: str) -> list[Column]:
+    """The columns `names` of lines beside their plan's, which begin with new_."""
     planned, inserted = F.col("new_op").isNotNull(), F.col("new_op") == "insert"
     values = {c: F.when(F.col("new_op").isin("insert", "update"), F.col(f"new_{c}")).otherwise(F.col(c)) for c in columns}
     values |= {c: F.when(planned, F.col(f"new_{c}")).otherwise(F.col(c)) for c in QUANTITIES}
@@ -76,7 +89,22 @@ def apply_line_plan(existing: DataFrame, plan: DataFrame, run_time: str) -> Data
         "po_status": F.when(planned, "OPEN").otherwise(F.col("po_status")), "ai_processed": F.when(inserted | F.col("new_again"), False).otherwise(F.col("ai_processed")),
         "ai_reanalysis_needed": F.when(F.col("new_again"), True).otherwise(F.col("ai_reanalysis_needed")), "last_synced_at": F.when(planned, F.lit(run_time).cast("timestamp")).otherwise(F.col("last_synced_at")),
     }
-    return both.select(*[values[c].alias(c) if c in values else F.col(c) for c in existing.columns])
+    return [values[c].alias(c) if c in values else F.col(c) for c in names]
+
+
+def merge_lines(existing: DataFrame, incoming: DataFrame, quantities: DataFrame, run_time: str) -> DataFrame:
+    """What apply_line_plan makes of line_plan, for versions of one row a key: planned where incoming and existing lines meet, so that
+    each is dealt once."""
+    keys, columns, kinds = ["po_number", "line_item"], compared(existing, incoming), dict(existing.dtypes)
+    existing = _stamped(existing)
+    rest = [c for c in existing.columns if c not in keys]
+    come = incoming.select(*keys, *columns, "open_qty").join(quantities.select(*keys, "received", "posted"), keys, "left").withColumn("come_", F.lit(True))
+    both = come.join(existing.select(*keys, *[F.col(c).alias(f"old_{c}") for c in rest], F.lit(True).alias("known_")), keys, "full")
+    planned = F.col("come_").isNotNull() & (F.col("op") != "skip")
+    rows = _decided(both, columns, kinds).filter(F.col("known_").isNotNull() | planned)
+    new = {c: F.col(c) for c in (*columns, "op", "again")} | {c: F.col(f"q.{q}") for c, q in PLANNED.items()}
+    rows = rows.select(*keys, *[F.when(planned, v).alias(f"new_{c}") for c, v in new.items()], *[F.col(f"old_{c}").alias(c) for c in rest])
+    return rows.select(*_after_plan(existing.columns, columns, run_time))
 
 
 def document_plan(existing: DataFrame, incoming: DataFrame) -> DataFrame:
