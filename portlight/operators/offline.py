@@ -74,16 +74,18 @@ def run(t, tables: dict[str, str], run_id: str, functions: list[str], suppliers:
     """Classifies all active lines and persists what is new; returns the run's record, one row with its counters and status.
 
     tables has the folders of the versions of `exceptions`, `lines` and `runs`. The decision tree comes first; lines that it leaves
-    go through the rules, if any. Lines are classified once: counters are observed while the result is written. A run that is repeated
-    under its id changes nothing; one that fails leaves a record with status ERROR and its message.
+    go through the rules, if any. Lines are classified once: counters are observed while what is due is written. A run that is repeated
+    under its id reads its record and does nothing else; one that fails leaves a record with status ERROR and its message.
     """
-    from ..sources.files import read_version
+    from ..sources.files import read_version, versions
     from ..sources.shared import shared_folder
 
     spark = t._spark
     record = lambda status, counters, message=None: spark.createDataFrame(
         [(run_id, status, *(int(counters.get(k, 0)) for k in COUNTERS), message)], "run_id string, status string, " + ", ".join(f"{k} long" for k in COUNTERS) + ", message string"
     )
+    if any(x["label"] == run_id for x in versions(spark, tables["runs"])):
+        return read_version(spark, tables["runs"]).filter(F.col("run_id") == run_id)
     try:
         exceptions, lines = read_version(spark, tables["exceptions"]), read_version(spark, tables["lines"])
         noted = classify.with_outcome(classify.with_notes(classify.enriched_lines(lines.filter(F.col("po_status").isin(*ACTIVE)), t, functions, suppliers), as_of))
@@ -91,14 +93,14 @@ def run(t, tables: dict[str, str], run_id: str, functions: list[str], suppliers:
             outcome = [*classify.SAME, "evidence"]
             free = noted.filter("panel is null").drop(*outcome)
             noted = noted.filter("panel is not null").unionByName(first_match(free, rules).select(noted.columns))
-        rows, observation = counted(classify.unchanged(noted, exceptions), f"classification {run_id}")
+        rows, observation = counted(classify.unchanged(noted, exceptions).select(*classify.RECORDED, "unchanged"), f"classification {run_id}")
         path = shared_folder(spark, "classified")
-        rows.write.parquet(path)
+        rows.filter("panel is not null and not unchanged").write.parquet(path)
         counters = observation.get
-        due = spark.read.schema(rows.schema).parquet(path).filter("panel is not null and not unchanged")
+        due = spark.read.schema(rows.schema).parquet(path)
         made = classify.records(due, classify.max_exception_id(exceptions)).drop("is_new")
         merge_into(spark, tables["exceptions"], made, ["exception_id"], run_id)
-        stamp = made.select("po_number", "line_item", F.lit(run_time).cast("timestamp").alias("ai_processed_at"), F.lit(False).alias("ai_reanalysis_needed"))
+        stamp = due.select("po_number", "line_item", F.lit(run_time).cast("timestamp").alias("ai_processed_at"), F.lit(False).alias("ai_reanalysis_needed"))
         merge_into(spark, tables["lines"], stamp, ["po_number", "line_item"], run_id)
         done = record("SUCCESS", counters)
     except Exception as e:

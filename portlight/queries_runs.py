@@ -102,8 +102,9 @@ count(*) filter (where len(notes) > 0 and exception_id is not null) as updated,
         """One call that classifies, persists and logs; it is repeated under its id, which changes nothing."""
         spark = t._spark
         tables = {k: shared_folder(spark, k) for k in ("exceptions", "lines", "runs")}
-        files.write_version(t.exceptions, tables["exceptions"], 1)
         files.write_version(t.po_lines, tables["lines"], 1)
+        t._made["po_lines"] = files.read_version(spark, tables["lines"])  # exceptions are derived from lines
+        files.write_version(t.exceptions, tables["exceptions"], 1)
         for _ in range(2):
             out = offline.run(t, tables, "run-7", FUNCTIONS, SUPPLIERS, AS_OF_ORDERS, RUN_TIME)
         return out.drop("message")
