@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import free_name, materialise, maybe_in, mix64, release, shingle_hashes, small_batches, table, word_hashes
+from .common import discard, free_name, materialise, maybe_in, mix64, release, shingle_hashes, small_batches, table, word_hashes
 from .suffix_dedup import digest
 
 WIDTH = 3
@@ -30,6 +30,8 @@ STAGE_WIDTH, STAGE_PERCENT = 5, 80
 SIZE_STEP = 1.4
 #: Sets below this size link only when they differ in two shingles at most; they are named by what is left without one or two.
 SMALL = 29
+#: Segment keys are dealt in so many turns, each of which frees its shuffle files before the next one.
+TURNS = 2
 #: Shingles in a group of similar sets; two groups are opened together in one task.
 GROUP_TOKENS = 100_000
 
@@ -231,7 +233,8 @@ def link_components(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT)
 
 
 def _described_and_found(docs: DataFrame, width: int, percent: int) -> tuple[DataFrame, DataFrame]:
-    """(_SETS of each document; node, component_id), both written."""
+    """(doc_id, n, node of each document; node, component_id), both written."""
+    spark = docs.sparkSession
     seed = 0
     while True:
         described = materialise(describe(docs, width, percent, seed), "ngram-sets")
@@ -241,38 +244,46 @@ def _described_and_found(docs: DataFrame, width: int, percent: int) -> tuple[Dat
         if classes.filter("x <> y").isEmpty():
             break
         seed += 1  # two different sets with one digest: all are named anew
-    links = _all_links(docs, whole, classes, width, percent)
+        discard(described)
+    nodes = materialise(described.select("doc_id", "n", "node"), "ngram-nodes")
+    plain, members = _crowds(whole, classes)
+    discard(described)  # the keys are the largest table by far
+    links = _all_links(docs, classes, plain, members, width, percent)
     reached = components(links)
     named = classes.select("node", "rep").join(reached, "node", "left").select("node", "rep", F.coalesce("component", "node").alias("component"))
     least = named.groupBy("component").agg(F.min("rep").alias("component_id"))
-    return described, materialise(named.join(least, "component").select("node", "component_id"), "ngram-found")
+    found = materialise(named.join(least, "component").select("node", "component_id"), "ngram-found")
+    release(spark)
+    return nodes, found
 
 
 def _one_each(whole: DataFrame, classes: DataFrame) -> DataFrame:
     """node, keys, once for each node: of copies the one named rep. Only rows of nodes with copies are shuffled, by their
-    own doc_id, so that copies in any number spread."""
+    own doc_id, so that copies in any number spread. A semi-join would be pushed below the Bloom filter, and deal all keys."""
     copied = classes.filter("copies > 1").select("rep", F.col("node").alias("node_"))
     alone = maybe_in(whole, "node", copied.select("node_"), wanted=False)
-    first = maybe_in(whole, "node", copied.select("node_")).join(classes.select("rep", F.col("node").alias("node_")), (F.col("doc_id") == F.col("rep")) & (F.col("node") == F.col("node_")), "left_semi")
+    first = maybe_in(whole, "node", copied.select("node_")).join(classes.select("rep", F.col("node").alias("node_")), (F.col("doc_id") == F.col("rep")) & (F.col("node") == F.col("node_")))
     return alone.select("node", "keys").unionByName(first.dropDuplicates(["doc_id", "node"]).select("node", "keys"))
 
 
 def _crowds(whole: DataFrame, classes: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(pairs, members): pairs (a, b) of nodes in buckets of two, and key, node, pivot of the buckets of more."""
+    """(pairs, members): pairs (a, b) of nodes in buckets of two, and key, node, pivot of the buckets of more, both written."""
+    spark, buckets = whole.sparkSession, None
     rows = _one_each(whole, classes).select("node", F.explode("keys").alias("key"))
-    buckets = rows.groupBy("key").agg(F.min("node").alias("a"), F.max("node").alias("b"), F.count("*").alias("rows")).filter("a <> b")
-    buckets = materialise(buckets, "ngram-buckets")
-    release(whole.sparkSession)
+    for turn in range(TURNS):
+        met = rows.filter(F.pmod("key", F.lit(TURNS)) == turn).groupBy("key").agg(F.min("node").alias("a"), F.max("node").alias("b"), F.count("*").alias("rows")).filter("a <> b")
+        met = materialise(met, "ngram-buckets")
+        release(spark)
+        buckets = buckets.union(met) if buckets else met
     plain = buckets.filter("rows = 2").select("a", "b")
     more = buckets.filter("rows > 2").select("key", F.col("a").alias("pivot"))
     members = maybe_in(rows, "key", more.select("key")).join(more, "key").select("key", "node", "pivot").distinct()
     return plain, materialise(members, "ngram-members")
 
 
-def _all_links(docs: DataFrame, whole: DataFrame, classes: DataFrame, width: int, percent: int) -> DataFrame:
+def _all_links(docs: DataFrame, classes: DataFrame, plain: DataFrame, members: DataFrame, width: int, percent: int) -> DataFrame:
     """Enough links (a, b) between nodes that the ends of every link are connected."""
     spark = docs.sparkSession
-    plain, members = _crowds(whole, classes)
     tested = materialise(plain.union(members.filter("node <> pivot").select("pivot", "node")).distinct(), "ngram-pairs")
     release(spark)
     ends = tested.select("a").union(tested.select("b")).union(members.select("node")).distinct()
@@ -281,8 +292,11 @@ def _all_links(docs: DataFrame, whole: DataFrame, classes: DataFrame, width: int
     links = materialise(verified(tested, sets, percent), "ngram-links")
     release(spark)
     open_ = _open_buckets(members, links)
+    release(spark)
     if not open_.isEmpty():
         links = links.union(materialise(_open_groups(open_, sets, percent), "ngram-links"))
+        release(spark)
+    discard(sets)
     return links
 
 
@@ -300,7 +314,7 @@ def _sets_of(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
                     seen.add(node)
             yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(tokens, pa.binary())], names=["node", "tokens"])
 
-    rows = maybe_in(docs.select("doc_id", "text"), "doc_id", wanted.select("rep"))
+    rows = maybe_in(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), "doc_id", wanted.select("rep"))
     return rows.join(wanted.withColumnRenamed("rep", "doc_id"), "doc_id").select("node", "n", "text").mapInArrow(run, "node long, tokens binary")
 
 
@@ -370,8 +384,13 @@ def keep_representatives(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     with the columns of docs, whatever they are called. Documents without words or without doc_id stay; of rows that repeat
     a doc_id that with the smallest text stays; an empty table stays empty."""
     found = link_components(docs, STAGE_WIDTH, STAGE_PERCENT)
-    keep = found.filter("doc_id is null or component_id = doc_id").select("doc_id").filter("doc_id is not null").distinct()
-    kept = docs.join(keep, "doc_id", "left_semi").select(docs.columns)
-    place = free_name(docs, "place")
+    key, whose, stays, place = (free_name(docs, x) for x in ("key", "whose", "stays", "place"))
+    each = found.filter("doc_id is not null").groupBy("doc_id").agg(F.max(F.col("component_id") == F.col("doc_id")).alias(stays), F.count("*").alias("rows"))
+    doubtful = each.filter(~F.col(stays) | (F.col("rows") > 1)).select(F.col("doc_id").alias(whose), stays)
+    doubtful = materialise(doubtful, "ngram-doubtful")
+    # only texts of doubtful ids are shuffled
+    named = docs.filter("doc_id is not null").withColumn(key, F.col("doc_id").cast("long"))
+    kept = maybe_in(named, key, doubtful.select(whose)).join(doubtful, F.col(key) == F.col(whose), "left").filter(F.coalesce(F.col(stays), F.lit(True)))
     kept = kept.withColumn(place, F.row_number().over(Window.partitionBy("doc_id").orderBy("text"))).filter(F.col(place) == 1).select(docs.columns)
-    return kept.unionByName(docs.filter("doc_id is null"))
+    sure = maybe_in(named, key, doubtful.select(whose), wanted=False).select(docs.columns)
+    return sure.unionByName(kept).unionByName(docs.filter("doc_id is null"))
