@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .boosting import AdditiveModel, bounded_sample, fit_additive
-from .common import free_name, mix64, table, word_hashes
+from .common import free_name, limit_batches, mix64, table, word_hashes
 
 #: Labelled rows that the model is fitted on at most.
 TRAIN_ROWS = 20_000
@@ -73,6 +73,7 @@ def is_held_out(doc_id: Column) -> Column:
 
 def fit(docs: DataFrame, labels: DataFrame, bound: int = TRAIN_ROWS) -> AdditiveModel:
     """The model from labelled rows that aren't held out, `bound` at most, chosen by a hash of doc_id."""
+    limit_batches(docs.sparkSession)
     known = labels.filter("doc_id is not null and quality is not null").filter(~is_held_out(F.col("doc_id")))
     known = known.groupBy("doc_id").agg(F.max("quality").alias("quality_"))
     known = bounded_sample(known, "doc_id", bound)
@@ -95,6 +96,7 @@ def fit(docs: DataFrame, labels: DataFrame, bound: int = TRAIN_ROWS) -> Additive
 
 def score_documents(docs: DataFrame, model: AdditiveModel, out: str) -> DataFrame:
     """Adds the column `out`, the score (0 to 1), to docs, from the whole text alone. A null text counts as empty."""
+    limit_batches(docs.sparkSession)
     at, columns = docs.columns.index("text"), docs.columns
 
     def scored(batches):

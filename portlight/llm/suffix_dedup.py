@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import byte_values, discard, free_name, materialise, maybe_in, mix64, table
+from .common import byte_values, discard, free_name, limit_batches, materialise, maybe_in, mix64, table
 from .suffixes import repeated_runs
 
 LENGTH = 400
@@ -28,7 +28,7 @@ LENGTH = 400
 PASSAGE = 250
 RUN = 32
 #: Bytes of text sorted into one suffix array.
-SHARD_BYTES = 2 << 20
+SHARD_BYTES = 1 << 20
 #: Where more different pieces than this meet, their windows are counted by 128-bit digests, which spread over all tasks.
 HOT_PIECES = 2000
 #: Windows that are counted together there, as long as their whole text repeats.
@@ -288,6 +288,7 @@ def _merged(ranges: pa.ListArray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 def with_cover(docs: DataFrame, short: int, long: int, run: int, out: str) -> DataFrame:
     """Adds `out`, the cover of repeated_spans or null, to docs with doc_id and text, whatever its other columns are called."""
+    limit_batches(docs.sparkSession)
     # a hash of doc_id and text tells rows of one doc_id apart
     key, id_, key_ = (free_name(docs, x) for x in ("doc_key", "cover_id", "cover_key"))
     keyed = docs.withColumn(key, F.xxhash64("doc_id", F.coalesce("text", F.lit(""))))
