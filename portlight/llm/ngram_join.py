@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import discard, free_name, materialise, maybe_in, mix64, release, shingle_hashes, small_batches, table, word_hashes
+from .common import discard, free_name, materialise, maybe_in, mix64, release, shingle_hashes, small_batches, small_broadcasts, table, word_hashes
 from .suffix_dedup import digest
 
 WIDTH = 3
@@ -226,9 +226,9 @@ def link_components(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT)
     not with each other. Rows without doc_id stay, without a component, and link with nothing. Each row counts by its own
     text, also where a doc_id repeats. Other columns are ignored.
     """
-    with small_batches(docs.sparkSession):
+    with small_batches(docs.sparkSession), small_broadcasts(docs.sparkSession):
         described, found = _described_and_found(docs, width, percent)
-    out = described.select("doc_id", "n", F.when((F.col("n") > 0) & F.col("doc_id").isNotNull(), F.col("node")).alias("node")).join(found, "node", "left")
+    out = described.select("doc_id", "n", F.when((F.col("n") > 0) & F.col("doc_id").isNotNull(), F.col("node")).alias("node")).join(found.hint("merge"), "node", "left")  # one row a text: not broadcast
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
@@ -387,10 +387,11 @@ def keep_representatives(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     key, whose, stays, place = (free_name(docs, x) for x in ("key", "whose", "stays", "place"))
     each = found.filter("doc_id is not null").groupBy("doc_id").agg(F.max(F.col("component_id") == F.col("doc_id")).alias(stays), F.count("*").alias("rows"))
     doubtful = each.filter(~F.col(stays) | (F.col("rows") > 1)).select(F.col("doc_id").alias(whose), stays)
-    doubtful = materialise(doubtful, "ngram-doubtful")
-    # only texts of doubtful ids are shuffled
+    with small_broadcasts(spark):
+        doubtful = materialise(doubtful, "ngram-doubtful")
+    # only texts of doubtful ids are shuffled, once: the key follows from doc_id, so the window finds them dealt
     named = docs.filter("doc_id is not null").withColumn(key, F.col("doc_id").cast("long"))
-    kept = maybe_in(named, key, doubtful.select(whose)).join(doubtful, F.col(key) == F.col(whose), "left").filter(F.coalesce(F.col(stays), F.lit(True)))
-    kept = kept.withColumn(place, F.row_number().over(Window.partitionBy("doc_id").orderBy("text"))).filter(F.col(place) == 1).select(docs.columns)
+    kept = maybe_in(named, key, doubtful.select(whose)).join(doubtful.hint("merge"), F.col(key) == F.col(whose), "left").filter(F.coalesce(F.col(stays), F.lit(True)))
+    kept = kept.withColumn(place, F.row_number().over(Window.partitionBy(key, "doc_id").orderBy("text"))).filter(F.col(place) == 1).select(docs.columns)
     sure = maybe_in(named, key, doubtful.select(whose), wanted=False).select(docs.columns)
     return sure.unionByName(kept).unionByName(docs.filter("doc_id is null"))
