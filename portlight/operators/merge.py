@@ -73,16 +73,16 @@ def apply_line_plan(existing: DataFrame, plan: DataFrame, run_time: str) -> Data
     keys, columns = ["po_number", "line_item"], compared(existing, plan)
     p = plan.filter("op <> 'skip'").select(*keys, *[F.col(c).alias(f"new_{c}") for c in plan.columns if c not in keys])
     existing = _stamped(existing)
-    return existing.join(p, keys, "full").select(*_after_plan(existing.columns, columns, run_time))
+    return existing.join(p, keys, "full").select(*_after_plan(existing.columns, columns, run_time, F.col("new_op").isNotNull()))
 
 
 def _stamped(existing: DataFrame) -> DataFrame:
     return existing if "last_synced_at" in existing.columns else existing.withColumn("last_synced_at", F.lit(None).cast("timestamp"))
 
 
-def _after_plan(names: list[str], columns: list[str], run_time: str) -> list[Column]:
+def _after_plan(names: list[str], columns: list[str], run_time: str, planned: Column) -> list[Column]:
     """The columns `names` of lines beside their plan's, which begin with new_."""
-    planned, inserted = F.col("new_op").isNotNull(), F.col("new_op") == "insert"
+    inserted = F.col("new_op") == "insert"
     values = {c: F.when(F.col("new_op").isin("insert", "update"), F.col(f"new_{c}")).otherwise(F.col(c)) for c in columns}
     values |= {c: F.when(planned, F.col(f"new_{c}")).otherwise(F.col(c)) for c in QUANTITIES}
     values |= {
@@ -94,17 +94,17 @@ def _after_plan(names: list[str], columns: list[str], run_time: str) -> list[Col
 
 def merge_lines(existing: DataFrame, incoming: DataFrame, quantities: DataFrame, run_time: str) -> DataFrame:
     """What apply_line_plan makes of line_plan, for versions of one row a key: planned where incoming and existing lines meet, so that
-    each is dealt once."""
+    each is dealt once. Status and stamp need none of the compared columns: those aren't dealt where nothing else is asked for."""
     keys, columns, kinds = ["po_number", "line_item"], compared(existing, incoming), dict(existing.dtypes)
     existing = _stamped(existing)
     rest = [c for c in existing.columns if c not in keys]
     come = incoming.select(*keys, *columns, "open_qty").join(quantities.select(*keys, "received", "posted"), keys, "left").withColumn("come_", F.lit(True))
     both = come.join(existing.select(*keys, *[F.col(c).alias(f"old_{c}") for c in rest], F.lit(True).alias("known_")), keys, "full")
-    planned = F.col("come_").isNotNull() & (F.col("op") != "skip")
-    rows = _decided(both, columns, kinds).filter(F.col("known_").isNotNull() | planned)
+    planned = F.col("come_").isNotNull() & F.col("delivery_date").isNotNull()  # op is not skip
+    rows = _decided(both, columns, kinds).withColumn("planned_", planned).filter(F.col("known_").isNotNull() | F.col("planned_"))
     new = {c: F.col(c) for c in (*columns, "op", "again")} | {c: F.col(f"q.{q}") for c, q in PLANNED.items()}
-    rows = rows.select(*keys, *[F.when(planned, v).alias(f"new_{c}") for c, v in new.items()], *[F.col(f"old_{c}").alias(c) for c in rest])
-    return rows.select(*_after_plan(existing.columns, columns, run_time))
+    rows = rows.select(*keys, "planned_", *[F.when(F.col("planned_"), v).alias(f"new_{c}") for c, v in new.items()], *[F.col(f"old_{c}").alias(c) for c in rest])
+    return rows.select(*_after_plan(existing.columns, columns, run_time, F.col("planned_")))
 
 
 def document_plan(existing: DataFrame, incoming: DataFrame) -> DataFrame:

@@ -43,8 +43,9 @@ def changed_since(source: DataFrame, since: str | None, column: str = "LastChang
 def order_lines(lines: DataFrame, exceptions: DataFrame, source: DataFrame, asn: DataFrame, run_time: str, reconcile: bool = True, since: str | None = None, until: str | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(lines, exceptions, plan) after a run over order items."""
     incoming = merge.one_a_key(documents.map_order_items(source, since, until), ["po_number", "line_item"])
-    plan = merge.line_plan(lines, incoming, relational.asn_quantities(asn))
-    out = merge.apply_line_plan(lines, plan, run_time)
+    quantities = relational.asn_quantities(asn)
+    plan = merge.line_plan(lines, incoming, quantities)
+    out = merge.merge_lines(lines, incoming, quantities, run_time)
     if reconcile:
         out, exceptions = merge.close_stale_lines(out, exceptions, run_time)
     return out, exceptions, plan
