@@ -19,23 +19,26 @@ ACTION = ("ACTION_REQUIRED", "HIGH", 1, "AWAITING_SHIPMENT_SIGNALS")
 REPORT = ("STATUS_REPORT", "LOW", 9, "PENDING_ELIGIBILITY")
 
 
-def enriched_lines(lines: DataFrame, t, functions: list[str], suppliers: list[str]) -> DataFrame:
+def enriched_lines(lines: DataFrame, t, functions: list[str], suppliers: list[str], buckets: int | None = None) -> DataFrame:
     """Lines with their delivery summary, supplier, material, plant, latest carrier event, number of document errors that
     concern the line, partner eligibility and latest exception. Each many-side is reduced before it is joined.
 
     Names come first, as they take the place of keys. Then everything is dealt by order, and lines once only: what belongs to
-    a line is joined before what belongs to its order, so that one sort serves all.
+    a line is joined before what belongs to its order, so that one sort serves all. Tables that lie in buckets of the order
+    (layout.co_located) stay where they are where `buckets` tells how many.
     """
+    dealt = lambda df, key: df.repartition(buckets, key) if buckets else df.repartition(key)
     # keys of a join may be more than those by which its sides are dealt
     lines.sparkSession.conf.set("spark.sql.requireAllClusterKeysForCoPartition", "false")
     rows = lines.join(t.suppliers.select(F.col("supplier").alias("supplier_id"), supplier_name().alias("supplier_name")), "supplier_id", "left")
-    rows = rows.join(t.materials.select(F.col("material").alias("material_id"), "material_description"), "material_id", "left").repartition("po_number")
-    rows = rows.join(asn_summary(t.asn_ibd.repartition("reference_document")), ["po_number", "line_item"], "left")
+    rows = rows.join(t.materials.select(F.col("material").alias("material_id"), "material_description"), "material_id", "left")
+    rows = dealt(rows, "po_number")
+    rows = rows.join(asn_summary(dealt(t.asn_ibd, "reference_document")), ["po_number", "line_item"], "left")
     # an error without a line concerns every line of its order
-    errors = t.idoc_errors.select("po_number", F.coalesce(S.line_item("line_item"), F.lit("")).alias("error_line")).repartition("po_number").groupBy("po_number", "error_line").agg(F.count("*").alias("n"))
+    errors = dealt(t.idoc_errors.select("po_number", F.coalesce(S.line_item("line_item"), F.lit("")).alias("error_line")), "po_number").groupBy("po_number", "error_line").agg(F.count("*").alias("n"))
     of_order = errors.filter("error_line = ''").select("po_number", F.col("n").alias("n_order"))
     of_line = errors.filter("error_line <> ''").select("po_number", F.col("error_line").alias("line_item"), F.col("n").alias("n_line"))
-    last = newest_first(t.exceptions.select("po_number", "line_item", "exception_id").repartition("po_number"), ["po_number", "line_item"], [F.desc("exception_id")]).drop("rank_")
+    last = newest_first(dealt(t.exceptions.select("po_number", "line_item", "exception_id"), "po_number"), ["po_number", "line_item"], [F.desc("exception_id")]).drop("rank_")
     rows = rows.join(of_line, ["po_number", "line_item"], "left").join(last, ["po_number", "line_item"], "left").join(of_order, "po_number", "left")
     rows = rows.withColumn("n_errors", F.coalesce("n_order", F.lit(0)) + F.coalesce("n_line", F.lit(0))).drop("n_order", "n_line")
     latest = latest_carrier_event(t.carrier_events).select("po_number", S.first_text("event_type", "status").alias("carrier_status"))

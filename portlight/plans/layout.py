@@ -40,9 +40,10 @@ def buckets_for(df: DataFrame, least: int = 8) -> int:
     return max(least, 1 << (-(-size // BUCKET_BYTES) - 1).bit_length())
 
 
-def co_located(t, names: list[str], buckets: int = 64) -> SimpleNamespace:
+def co_located(t, names: list[str], buckets: int = 64, columns: dict[str, list[str]] | None = None) -> SimpleNamespace:
     """The order-keyed tables of a catalogue in buckets of their order's number, for all of which `buckets` is the same; other
-    tables of `names` as they are. A task then reads one bucket of each and joins them where they lie."""
+    tables of `names` as they are. A task then reads one bucket of each and joins them where they lie. Tables that `columns` names
+    are stored with these columns only, their key among them."""
     spark, out = t._spark, {}
     # keys of a join may be more than those of the buckets
     spark.conf.set("spark.sql.requireAllClusterKeysForCoPartition", "false")
@@ -51,6 +52,8 @@ def co_located(t, names: list[str], buckets: int = 64) -> SimpleNamespace:
         if key is None:
             out[name] = df
             continue
+        if columns and name in columns:
+            df = df.select(columns[name])
         table = f"{name}_{uuid.uuid4().hex}"
         df.repartition(buckets, key).write.bucketBy(buckets, key).sortBy(key).option("path", shared_folder(spark, name)).saveAsTable(table)
         out[name] = spark.table(table)

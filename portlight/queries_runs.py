@@ -79,6 +79,11 @@ when 4 then '**' || coalesce(material_description, 'NO_DATA_FOUND') || '** is on
 
 
 STAR_TABLES = ["po_lines", "asn_ibd", "carrier_events", "idoc_errors", "po_partners", "exceptions", "suppliers", "materials", "plants"]
+#: What the enriched lines take from tables of many columns.
+STAR_COLUMNS = {
+    "po_lines": ["po_number", "line_item", "supplier_id", "material_id", "plant"], "exceptions": ["po_number", "line_item", "exception_id"], "idoc_errors": ["po_number", "line_item"],
+    "asn_ibd": ["delivery", "item", "reference_document", "reference_item", "actual_delivery_qty", "goods_movement_status", "bill_of_lading"],
+}
 
 
 def register_offline() -> None:
@@ -88,8 +93,9 @@ def register_offline() -> None:
     @query("," + ENRICHED + "select po_number, line_item, cast(ibd_qty as double) as ibd_qty, delivery, supplier_name, carrier_status, n_errors, eligible, coalesce(exception_id, 0) as exception_id from star")
     def star_co_located(t):
         """The enriched lines from tables in buckets of their orders."""
-        b = layout.co_located(t, STAR_TABLES, layout.buckets_for(t.lineitem))
-        rows = classify.enriched_lines(b.po_lines, b, FUNCTIONS, SUPPLIERS)
+        buckets = layout.buckets_for(t.lineitem)
+        b = layout.co_located(t, STAR_TABLES, buckets, STAR_COLUMNS)
+        rows = classify.enriched_lines(b.po_lines, b, FUNCTIONS, SUPPLIERS, buckets)
         return rows.select("po_number", "line_item", "ibd_qty", "delivery", "supplier_name", "carrier_status", "n_errors", "eligible", F.coalesce("exception_id", F.lit(0)).alias("exception_id"))
 
     @query(_by_rules())
