@@ -75,10 +75,11 @@ def run(t, tables: dict[str, str], run_id: str, functions: list[str], suppliers:
 
     tables has the folders of the versions of `exceptions`, `lines` and `runs`. The decision tree comes first; lines that it leaves
     go through the rules, if any. Lines are classified once: counters are observed while what is due is written. A run that is repeated
-    under its id reads its record and does nothing else; one that fails leaves a record with status ERROR and its message.
+    under its id reads its record and does nothing else; one that fails leaves a record with status ERROR and its message. Each step's
+    shuffle files go before the next one.
     """
     from ..sources.files import read_version, versions
-    from ..sources.shared import shared_folder
+    from ..sources.shared import release, shared_folder
 
     spark = t._spark
     record = lambda status, counters, message=None: spark.createDataFrame(
@@ -86,6 +87,7 @@ def run(t, tables: dict[str, str], run_id: str, functions: list[str], suppliers:
     )
     if any(x["label"] == run_id for x in versions(spark, tables["runs"])):
         return read_version(spark, tables["runs"]).filter(F.col("run_id") == run_id)
+    release(spark)
     try:
         exceptions, lines = read_version(spark, tables["exceptions"]), read_version(spark, tables["lines"])
         noted = classify.with_outcome(classify.with_notes(classify.enriched_lines(lines.filter(F.col("po_status").isin(*ACTIVE)), t, functions, suppliers), as_of))
@@ -97,9 +99,11 @@ def run(t, tables: dict[str, str], run_id: str, functions: list[str], suppliers:
         path = shared_folder(spark, "classified")
         rows.filter("panel is not null and not unchanged").write.parquet(path)
         counters = observation.get
+        release(spark)
         due = spark.read.schema(rows.schema).parquet(path)
         made = classify.records(due, classify.max_exception_id(exceptions)).drop("is_new")
         merge_into(spark, tables["exceptions"], made, ["exception_id"], run_id)
+        release(spark)
         stamp = due.select("po_number", "line_item", F.lit(run_time).cast("timestamp").alias("ai_processed_at"), F.lit(False).alias("ai_reanalysis_needed"))
         merge_into(spark, tables["lines"], stamp, ["po_number", "line_item"], run_id)
         done = record("SUCCESS", counters)

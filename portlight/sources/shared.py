@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -28,3 +29,11 @@ def written(df: DataFrame, label: str) -> DataFrame:
     path = shared_folder(df.sparkSession, label)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def release(spark: SparkSession) -> None:
+    """Lets Spark drop the shuffle files of jobs that are done; else they wait for the driver's next full garbage collection. Spark's
+    threads hold on to the last job, so a small one runs first."""
+    spark.range(0, 1, 1, 1).write.format("noop").mode("overwrite").save()
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
